@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.llm.licenses import scan_licenses
+from docloom.llm.ngram_join import jaccard_components
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,8 +19,13 @@ def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(_documents(spark, sf_dir))
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(_documents(spark, sf_dir), k=3, percent=90)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_licenses": op3_licenses,
+    "op4_jaccard_join": op4_jaccard_join,
 }
 
 ORACLE_SQL: dict[str, str] = {}
