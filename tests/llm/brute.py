@@ -1,5 +1,6 @@
 """Plain definitions of the operators' results, for small inputs."""
 
+import hashlib
 import re
 
 
@@ -56,3 +57,19 @@ def jaccard_components(rows, k=3, percent=90):
                     near.append((d, e))
     comp = linked(sets, near)
     return {d: (len(sets[d]), comp[d]) for d in sets}
+
+
+def remove_repeats(rows, size=20):
+    """rows in order of their ids."""
+    seen, out = set(), {}
+    for d, t in rows:
+        w = spaced(t)
+        gone = [False] * len(w)
+        for i in range(len(w) - size + 1):
+            x = tuple(w[i : i + size])
+            if x in seen:
+                gone[i : i + size] = [True] * size
+            seen.add(x)
+        kept = " ".join(x for x, g in zip(w, gone, strict=True) if not g)
+        out[d] = (len(w), sum(gone), hashlib.sha256(kept.encode()).hexdigest())
+    return out
