@@ -7,8 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docloom.llm.decontam import decontaminate
 from docloom.llm.debruijn import remove_repeats
+from docloom.llm.kd_shards import kd_shards
 from docloom.llm.licenses import scan_licenses
+from docloom.llm.mixing import mix_sources
 from docloom.llm.ngram_join import jaccard_components
 
 
@@ -16,6 +19,10 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), size=10).drop("item_ids")
+
+
 def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(_documents(spark, sf_dir))
 
@@ -28,10 +35,62 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(_documents(spark, sf_dir), size=20).drop("kept")
 
 
+def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(_documents(spark, sf_dir), share=1.5, most=2.0).drop("copies", "row")
+
+
+def op10_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kd_shards(_documents(spark, sf_dir), shards=16)
+
+
+OP2_SQL = r"""
+WITH bw AS (
+  SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+iw AS (
+  SELECT DISTINCT item_id, least(len(w), 10) AS l, array_to_string(w[i : i + least(len(w), 10) - 1], ' ') AS p
+  FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 10, 0) + 2)) AS i FROM bw WHERE len(w) > 0)),
+dw AS (
+  SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM documents),
+dp AS (SELECT doc_id, w, l, unnest(range(1, len(w) - l + 2)) AS i FROM dw, (SELECT DISTINCT l FROM iw) WHERE len(w) >= l),
+h AS (SELECT doc_id, i, l, array_to_string(w[i : i + l - 1], ' ') AS p FROM dp WHERE array_to_string(w[i : i + l - 1], ' ') IN (SELECT p FROM iw)),
+hit AS (SELECT doc_id, count(DISTINCT k) AS n FROM (SELECT doc_id, unnest(range(i, i + l)) AS k FROM h) GROUP BY doc_id),
+it AS (
+  SELECT doc_id, count(*) AS n, string_agg(x, ',' ORDER BY x) AS ids
+  FROM (SELECT DISTINCT h.doc_id, iw.item_id::VARCHAR AS x FROM h JOIN iw ON h.p = iw.p) GROUP BY doc_id)
+SELECT dw.doc_id, len(dw.w)::BIGINT AS n_words, coalesce(hit.n, 0)::BIGINT AS n_hit, coalesce(it.n, 0)::BIGINT AS n_items,
+  sha256(coalesce(it.ids, '')) AS items_sha256, coalesce(hit.n, 0) > 0 AS contaminated
+FROM dw LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id)
+"""
+
+OP8_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS i FROM d GROUP BY source),
+w AS (SELECT *, [5.0, 2.0, 1.0][i % 3 + 1]::DOUBLE AS weight, 2.0::DOUBLE * source_size AS cap FROM s),
+c AS (
+  SELECT a.cap / a.weight AS ratio,
+    ((SELECT 1.5::DOUBLE * sum(source_size) FROM w) - coalesce(sum(b.cap) FILTER (b.cap / b.weight < a.cap / a.weight), 0)) / sum(b.weight) FILTER (b.cap / b.weight >= a.cap / a.weight) AS level
+  FROM w a, w b GROUP BY a.source, a.cap, a.weight),
+l AS (SELECT min_by(level, ratio) AS level FROM c WHERE level <= ratio),
+t AS (SELECT source, source_size, least(cap, level * weight) AS target FROM w, l),
+r AS (
+  SELECT d.doc_id, d.size, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN least(2.0::DOUBLE, t.target / t.source_size) ELSE 0 END AS rate,
+    ('0x' || substr(md5('mix:' || coalesce(d.doc_id::VARCHAR, '')), 1, 12))::BIGINT / 281474976710656.0::DOUBLE AS draw
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target, (size * (floor(rate) + CASE WHEN draw < rate - floor(rate) THEN 1 ELSE 0 END))::BIGINT AS taken FROM r
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_decontaminate": op2_decontaminate,
     "op3_licenses": op3_licenses,
     "op4_jaccard_join": op4_jaccard_join,
     "op7_substring_dedup": op7_substring_dedup,
+    "op8_mix_sources": op8_mix_sources,
+    "op10_kd_shards": op10_kd_shards,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_decontaminate": OP2_SQL,
+    "op8_mix_sources": OP8_SQL,
+}

@@ -73,3 +73,22 @@ def remove_repeats(rows, size=20):
         kept = " ".join(x for x, g in zip(w, gone, strict=True) if not g)
         out[d] = (len(w), sum(gone), hashlib.sha256(kept.encode()).hexdigest())
     return out
+
+
+def decontaminate(rows, items, size=10):
+    windows = {}
+    for i, t in items:
+        w = plain(t)
+        for j in range(max(1, len(w) - size + 1) if w else 0):
+            windows.setdefault(tuple(w[j : j + size]), set()).add(str(i))
+    lengths = {len(x) for x in windows}
+    out = {}
+    for d, t in rows:
+        w, hit, ids = plain(t), set(), set()
+        for n in lengths:
+            for j in range(len(w) - n + 1):
+                if tuple(w[j : j + n]) in windows:
+                    hit |= set(range(j, j + n))
+                    ids |= windows[tuple(w[j : j + n])]
+        out[d] = (len(w), len(hit), len(ids), hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest(), bool(hit))
+    return out
