@@ -18,8 +18,10 @@ from docloom.llm.words import SPACED_LOWER, hash_words, mix, shingles, slices, t
 #: Counters of the order sketch (a power of two). Fixed: 4 MB a task, 1 MB to each executor, at any input size.
 ORDER_CELLS = 1 << 20
 _BLOCK = 1 << 12
-#: Hash ranges of the suffix filter.
-RANGES = 16
+#: Hash ranges of the suffix filter (a power of two).
+RANGES = 128
+#: Documents that may be broadcast as a list of ids (8 bytes each); longer lists are joined by shuffle.
+BROADCAST_IDS = 1_000_000
 
 
 def _sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
@@ -90,7 +92,7 @@ def _prefixes(docs: DataFrame, k: int, percent: int, level) -> DataFrame:
                     first = np.argpartition(rank, p - 1)[:p] if 0 < p < m else np.arange(p)
                     rare.append(s[first[np.lexsort((s[first], rank[first]))]])
                     ends.append(ends[-1] + p)
-                    ranges.append(np.bincount((s >> np.uint64(60)).astype(np.int64), minlength=RANGES))
+                    ranges.append(np.bincount((s >> np.uint64(64 - 7)).astype(np.int64), minlength=RANGES))
                 flat = np.concatenate(rare).view(np.int64) if rare else np.zeros(0, np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat)), pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * RANGES, pa.int32()), pa.array(np.concatenate(ranges).astype(np.int32)))],
@@ -100,31 +102,49 @@ def _prefixes(docs: DataFrame, k: int, percent: int, level) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n long, key binary, prefix array<long>, ranges array<int>")
 
 
-def _whole_sets(docs: DataFrame, k: int) -> DataFrame:
+def _packed_texts(docs: DataFrame, members: DataFrame) -> DataFrame:
+    """(doc, text as a zstd frame) of the members; a text takes about a quarter of its set's room."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        pack = zstandard.ZstdCompressor(level=1).compress
         for batch in batches:
-            for lo in range(0, batch.num_rows, 1024):
-                part = batch.slice(lo, 1024)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in _sets(part.column(1), k)], pa.binary())], names=["doc", "items"])
+            packed = [pack((t or "").encode("utf-8", "surrogatepass")) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], names=["doc", "packed"])
 
-    return docs.mapInArrow(run, "doc long, items binary")
+    if members.count() <= BROADCAST_IDS:
+        members = F.broadcast(members)
+    some = docs.join(members, docs["doc_id"] == members["doc"], "left_semi").select("doc_id", "text")
+    return some.mapInArrow(run, "doc long, packed binary").dropDuplicates(["doc"])
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets are as similar as asked."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        open_ = zstandard.ZstdDecompressor().decompress
+        kept: dict[int, np.ndarray] = {}  # of the last documents; a document with many partners is not read anew each time
+
+        def whole(doc: int, packed: bytes) -> np.ndarray:
+            if doc not in kept:
+                if len(kept) >= 64:
+                    kept.clear()
+                kept[doc] = next(_sets(pa.array([open_(packed)], pa.large_binary()).view(pa.large_string()), k))
+            return kept[doc]
+
         for batch in batches:
             links = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = np.sort(np.concatenate((x, y)))
+            for a, b, x, y in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                both = np.sort(np.concatenate((whole(a, x), whole(b, y))))
                 same = int(np.count_nonzero(both[1:] == both[:-1]))
                 links.append(100 * same >= percent * (len(both) - same))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(links, pa.bool_()))
 
-    with_a = pairs.join(sets.select(F.col("doc").alias("a"), F.col("items").alias("x")), "a")
-    with_b = with_a.join(sets.select(F.col("doc").alias("b"), F.col("items").alias("y")), "b")
+    with_a = pairs.join(texts.select(F.col("doc").alias("a"), F.col("packed").alias("x")), "a")
+    with_b = with_a.join(texts.select(F.col("doc").alias("b"), F.col("packed").alias("y")), "b")
     return with_b.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
@@ -156,21 +176,17 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, id_col: s
     texts = scratch.save(_prefixes(docs, k, percent, level))
     classes = scratch.save(texts.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("doc")).where("doc is not null"))
 
-    lead = texts.join(classes.select(F.col("doc").alias("doc_id"), "key"), ["doc_id", "key"], "left_semi").dropDuplicates(["doc_id", "key"])
+    lead = texts.join(classes.select(F.col("doc").alias("doc_id"), "key"), ["doc_id", "key"], "left_semi").dropDuplicates(["doc_id"])
     posted = lead.select(F.posexplode("prefix").alias("pos", "item"), F.col("doc_id").alias("doc"), F.col("n").cast("int").alias("n"))
-    posted = scratch.save(posted)
     shared = posted.groupBy("item").agg(F.count("*").alias("c")).where("c > 1").select("item")
     post = scratch.save(posted.join(shared, "item", "left_semi"))
-    scratch.drop(posted)
-    members = post.select("doc").distinct()
-    ranges = scratch.save(lead.select(F.col("doc_id").alias("doc"), "ranges").join(members, "doc", "left_semi"))
-    sets = scratch.save(_whole_sets(docs.join(members, F.col("doc_id") == F.col("doc"), "left_semi").dropDuplicates(["doc_id"]), k))
+    ranges = scratch.save(lead.select(F.col("doc_id").alias("doc"), "ranges").join(post.select("doc").distinct(), "doc", "left_semi"))
 
     def possible(pairs: DataFrame) -> DataFrame:
         """Distinct pairs a < b after the length, positional and suffix filters."""
         need = F.ceil(percent * (F.col("na") + F.col("nb")) / (100 + percent))
         long_enough = (100 * F.least("na", "nb")) >= (percent * F.greatest("na", "nb"))
-        in_place = F.least("pa", "pb") + 1 + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) - 1 >= need
+        in_place = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= need  # holds at the first shared shingle of a link
         some = pairs.where(long_enough & in_place).groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"))
         some = some.join(ranges.select(F.col("doc").alias("a"), F.col("ranges").alias("ra")), "a").join(ranges.select(F.col("doc").alias("b"), F.col("ranges").alias("rb")), "b")
         most = F.aggregate(F.zip_with("ra", "rb", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
@@ -186,7 +202,7 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, id_col: s
         size = heads.agg(F.sum(F.col("c").cast("double") * (F.col("c") - 1) / 2), F.sum("c")).first()
         if not size[1]:
             break
-        last = turn >= 4 or size[0] <= 4 * size[1]
+        last = turn >= 1 or size[0] <= 4 * size[1]
         if last:
             live = now.join(heads.select("item"), "item", "left_semi")
             x = live.select("item", *(F.col(c).alias(f"{c}_a") for c in ("doc", "n", "pos", "comp")))
@@ -202,7 +218,8 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, id_col: s
         if tried is not None:
             asked = asked.join(tried, ["a", "b"], "left_anti")
         asked = scratch.save(asked)
-        found = scratch.save(_verified(asked, sets, percent))
+        members = asked.select(F.col("a").alias("doc")).union(asked.select(F.col("b").alias("doc"))).distinct()
+        found = scratch.save(_verified(asked, scratch.save(_packed_texts(docs, members)), k, percent))
         tried = asked if tried is None else tried.union(asked)
         links = found if links is None else links.union(found)
         if not found.isEmpty():
