@@ -9,10 +9,13 @@ from pyspark.sql import functions as F
 
 from docloom.llm.decontam import decontaminate
 from docloom.llm.debruijn import remove_repeats
+from docloom.llm.html_diff import extract_pages
 from docloom.llm.kd_shards import kd_shards
 from docloom.llm.licenses import scan_licenses
+from docloom.llm.maxent import score_texts
 from docloom.llm.mixing import mix_sources
 from docloom.llm.ngram_join import jaccard_components
+from docloom.llm.pivot_index import near_vectors
 from docloom.llm.toxicity import score_toxicity
 
 
@@ -20,6 +23,10 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), size=10).drop("item_ids")
 
@@ -32,6 +39,10 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_documents(spark, sf_dir), k=3, percent=90)
 
 
+def op5_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(_documents(spark, sf_dir))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -44,6 +55,10 @@ def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_documents(spark, sf_dir), share=1.5, most=2.0).drop("copies", "row")
 
 
+def op9_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), least=0.93)
+
+
 def op10_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kd_shards(_documents(spark, sf_dir), shards=16)
 
@@ -87,16 +102,20 @@ SELECT doc_id, size, source_size, target, (size * (floor(rate) + CASE WHEN draw
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_html_text": op1_html_text,
     "op2_decontaminate": op2_decontaminate,
     "op3_licenses": op3_licenses,
     "op4_jaccard_join": op4_jaccard_join,
+    "op5_lm_scores": op5_lm_scores,
     "op6_toxicity": op6_toxicity,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_mix_sources": op8_mix_sources,
+    "op9_near_vectors": op9_near_vectors,
     "op10_kd_shards": op10_kd_shards,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_html_text": op1_html_text,
     "op2_decontaminate": OP2_SQL,
     "op8_mix_sources": OP8_SQL,
 }

@@ -114,11 +114,17 @@ def slices(offsets: np.ndarray, most: int = CHUNK) -> Iterator[tuple[int, int]]:
 
 def hash_words(data: np.ndarray, offsets: np.ndarray, law: Law) -> tuple[np.ndarray, np.ndarray]:
     """Word hashes of some rows, and where each row's words begin among them (rows + 1 values)."""
+    h, at, _ = hash_words_and_tails(data, offsets, law)
+    return h, at
+
+
+def hash_words_and_tails(data: np.ndarray, offsets: np.ndarray, law: Law) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As hash_words, and each word's last two bytes as a number."""
     base, end = int(offsets[0]), int(offsets[-1])
     b, at = data[base:end], offsets - base
     if len(b) == 0:
-        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
-    hashes, starts, lo = [], [], 0
+        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64), np.zeros(0, np.int64)
+    hashes, starts, ends, lo = [], [], [], 0
     while lo < len(b):
         hi = min(len(b), lo + 2 * CHUNK)
         if hi < len(b):  # one long text: cut behind a separator
@@ -128,12 +134,14 @@ def hash_words(data: np.ndarray, offsets: np.ndarray, law: Law) -> tuple[np.ndar
             else:
                 rest = np.flatnonzero(~law.is_word[b[hi:]])
                 hi = hi + int(rest[0]) if len(rest) else len(b)
-        h, s, _ = _hash_piece(b[lo:hi], at - lo, law)
+        h, s, e = _hash_piece(b[lo:hi], at - lo, law)
         hashes.append(h)
         starts.append(s + lo)
+        ends.append(e + lo)
         lo = hi
-    h, s = np.concatenate(hashes), np.concatenate(starts)
-    return h, np.searchsorted(s, at).astype(np.int64)
+    h, s, e = np.concatenate(hashes), np.concatenate(starts), np.concatenate(ends)
+    tails = b[e - 1].astype(np.int64) + np.where(e - s > 1, b[np.maximum(e - 2, 0)].astype(np.int64) << 8, 0)
+    return h, np.searchsorted(s, at).astype(np.int64), tails
 
 
 def shingles(h: np.ndarray, k: int) -> np.ndarray:
