@@ -9,20 +9,27 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-@F.pandas_udf("string")
-def nfkc(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
+def nfkc(text: Column) -> Column:
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
 
+    return F.pandas_udf(run, "string")(text)
 
-@F.pandas_udf("string")
-def _folded(texts: pd.Series) -> pd.Series:
+
+def _folded(text: Column) -> Column:
     """NFKC, case-folded, letters and digits of any script only."""
-    return texts.map(lambda t: "".join(c for c in unicodedata.normalize("NFKC", t).casefold() if c.isalnum()), na_action="ignore")
 
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: "".join(c for c in unicodedata.normalize("NFKC", t).casefold() if c.isalnum()), na_action="ignore")
+
+    return F.pandas_udf(run, "string")(text)
+
+
+def _ascii(text: Column) -> Column:
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: unicodedata.normalize("NFKD", t).encode("ascii", "ignore").decode(), na_action="ignore")
 
-@F.pandas_udf("string")
-def _ascii(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: unicodedata.normalize("NFKD", t).encode("ascii", "ignore").decode(), na_action="ignore")
+    return F.pandas_udf(run, "string")(text)
 
 
 def _is_ascii(text: Column) -> Column:
