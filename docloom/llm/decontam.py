@@ -78,7 +78,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, size: int = 10, rarest: int
     met = starts.groupBy("phrase", "doc", "start", "size", "n").agg(F.count("*").alias("c")).where("c = n")
     candidates = scratch.save(met.groupBy("doc").agg(F.collect_list(F.struct("start", "size", "phrase")).alias("asked")))
 
-    read = docs.withColumn("words", word_array(F.col("text"))).join(candidates, F.col("_doc") == F.col("doc"), "left")
+    read = docs.join(candidates, F.col("_doc") == F.col("doc"), "left").withColumn("words", word_array(F.col("text")))  # texts, not their words, are shuffled
     there = F.filter("asked", lambda c: F.array_join(F.slice("words", c["start"] + 1, c["size"]), " ") == c["phrase"])
     read = scratch.save(read.select("_doc", "doc_id", F.size("words").cast("long").alias("n_words"), F.array_sort(there).alias("hits")))
     zero = F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("n"))
