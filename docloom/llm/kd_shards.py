@@ -65,21 +65,14 @@ def kd_shards(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_co
 
     # node -> (first shard, shards); the units' node follows from the cuts found so far
     leaves: dict[int, tuple[int, int]] = {1: (0, shards)}
-    cuts: dict[int, tuple[str, int]] = {}
 
     def key(dim: str) -> Column:
         return F.shiftleft(F.col(dim), TIE_BITS).bitwiseOR(F.col("tie"))
 
-    def node_column() -> Column:
-        node = F.lit(1)
-        for at in sorted(cuts):
-            dim, cut = cuts[at]
-            node = F.when(node == at, F.when(key(dim) < F.lit(cut), F.lit(2 * at)).otherwise(F.lit(2 * at + 1))).otherwise(node)
-        return node
-
     placed = units.withColumn("node", F.lit(1))
     while any(m > 1 for _, m in leaves.values()):
         split = [at for at, (_, m) in leaves.items() if m > 1]
+        cuts: dict[int, tuple[str, int]] = {}
         live = placed.where(F.col("node").isin(split))
         moments = [f(F.col("bytes") * F.col(d).cast("double") ** p).alias(f"{d}{p}") for d in DIMENSIONS for p, f in ((1, F.sum), (2, F.sum))]
         ends = [f(d).alias(f"{d}_{f.__name__}") for d in DIMENSIONS for f in (F.min, F.max)]
@@ -125,7 +118,11 @@ def kd_shards(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_co
             first, m = leaves.pop(at)
             leaves[2 * at] = (first, m // 2)
             leaves[2 * at + 1] = (first + m // 2, m - m // 2)
-        placed = units.withColumn("node", node_column())
+        node = F.col("node")
+        side = F.lit(None).cast("int")
+        for at, (dim, cut) in cuts.items():
+            side = F.when(F.col("node") == at, F.when(key(dim) < F.lit(cut), 2 * at).otherwise(2 * at + 1)).otherwise(side)
+        placed = scratch.save(placed.withColumn("node", F.coalesce(side, node)))
     shard = F.lit(None).cast("int")
     for at, (first, _) in leaves.items():
         shard = F.when(F.col("node") == at, F.lit(first)).otherwise(shard)
