@@ -27,7 +27,7 @@ def kd_shards(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_co
     shards is cut into m // 2 and the rest where its bytes divide in that proportion, along the dimension
     in which its documents spread most (by standard deviation of bytes over the dimension's range). The weighted median is found in
     rounds: bytes per cell of the node's range, added before the shuffle, until the cut's error is below
-    a thousandth of a shard's bytes or the cell holds one key. All nodes of a level share their rounds.
+    a thousandth of a shard's bytes or the cell holds one group. All nodes of a level share their rounds.
 
     Equal texts are one group and stay in one shard, behind the cut they straddle; a group larger than
     an eighth of a shard's bytes is dealt row by row, since it could not be balanced otherwise. Slots are
@@ -99,17 +99,17 @@ def kd_shards(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_co
                 inside = (F.col("node") == at) & (key(dim) >= F.lit(lo)) & (key(dim) < F.lit(hi))
                 cell = F.when(inside, F.call_function("div", key(dim) - F.lit(lo), F.lit(width).cast("long")).cast("int")).otherwise(cell)
             counts = defaultdict(dict)
-            for r in placed.withColumn("cell", cell).where("cell is not null").groupBy("node", "cell").agg(F.sum("bytes").alias("w")).collect():
-                counts[r.node][r.cell] = r.w
+            for r in placed.withColumn("cell", cell).where("cell is not null").groupBy("node", "cell").agg(F.sum("bytes").alias("w"), F.count("*").alias("units")).collect():
+                counts[r.node][r.cell] = (r.w, r.units)
             for at, (dim, lo, hi, want, below) in list(search.items()):
                 width = -(-(hi - lo) // CELLS)
                 for i in sorted(counts[at]):
-                    if below + counts[at][i] >= want:
+                    if below + counts[at][i][0] >= want:
                         break
-                    below += counts[at][i]
-                here = counts[at][i]
+                    below += counts[at][i][0]
+                here, units_here = counts[at][i]
                 start = lo + i * width
-                if here <= target / 1000 or width == 1:  # cut before or behind this cell, whichever is nearer
+                if here <= target / 1000 or units_here == 1 or width == 1:  # cut before or behind this cell, whichever is nearer
                     cuts[at] = (dim, start if want - below < below + here - want else start + width)
                     del search[at]
                 else:
