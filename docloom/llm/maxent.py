@@ -21,7 +21,7 @@ ROWS, CLASSES, SINGLES = 1 << 14, 48, 24
 #: Words whose exact counts every task gets (the most frequent ones); all others are joined.
 FREQUENT = 1 << 16
 #: Passes over all training texts; tokens of one update; step size.
-ROUNDS, BATCH, STEP = 2, 2048, 0.5
+ROUNDS, BATCH, STEP = 1, 2048, 0.1
 #: Texts whose sums one combining step adds at most.
 FAN_IN = 64
 _BLOCK = 256
@@ -115,15 +115,26 @@ def _log_classes(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
 
 def _update(weights: np.ndarray, squares: np.ndarray, seen: np.ndarray, rows: np.ndarray, classes: np.ndarray) -> None:
     """One gradient step (per-row AdaGrad) on a batch of tokens."""
-    slope = np.exp(_log_classes(weights, rows))
+    slope = weights[rows[0]]
+    for r in rows[1:]:
+        slope += weights[r]
+    slope -= slope.max(axis=1, keepdims=True)
+    np.exp(slope, out=slope)
+    slope /= slope.sum(axis=1, keepdims=True)
     slope[np.arange(len(classes)), classes] -= 1.0
-    for r in rows:
-        order = np.argsort(r, kind="stable")
-        u, first, n = np.unique(r[order], return_index=True, return_counts=True)
-        g = np.add.reduceat(slope[order], first, axis=0) / np.sqrt(n)[:, None]
-        squares[u] += (g * g).mean(axis=1)
-        seen[u] += n
-        weights[u] -= STEP * g / (np.sqrt(squares[u]) + 1e-3)[:, None] * 0.1
+    for r in rows[:-1]:
+        order = np.argsort(r.astype(np.int16), kind="stable")  # a radix sort; ROWS fits
+        ordered = r[order]
+        first = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
+        _step(weights, squares, seen, ordered[first], np.add.reduceat(slope[order], first, axis=0), np.diff(np.append(first, len(order))))
+    _step(weights, squares, seen, rows[-1][:1], slope.sum(axis=0, keepdims=True), np.array([len(classes)]))
+
+
+def _step(weights, squares, seen, u, g, n) -> None:
+    g = g / np.sqrt(n, dtype=np.float32)[:, None]
+    squares[u] += np.einsum("ij,ij->i", g, g) / CLASSES
+    seen[u] += n
+    weights[u] -= STEP * g / (np.sqrt(squares[u]) + 1e-3)[:, None]
 
 
 def train_round(texts: DataFrame, weights: np.ndarray, singles: np.ndarray) -> np.ndarray:
@@ -161,6 +172,18 @@ def train_round(texts: DataFrame, weights: np.ndarray, singles: np.ndarray) -> n
     return after
 
 
+def _frequent_from(counts: DataFrame) -> int:
+    """The least count, of steps of an eighth of a power of two, that at most FREQUENT tokens reach."""
+    steps = counts.groupBy(F.floor(8 * F.log2("c")).cast("int").alias("step")).agg(F.count("*").alias("n"), F.min("c").alias("least")).orderBy(F.desc("step")).collect()  # some hundred rows
+    total, least = 0, 1 << 62
+    for r in steps:
+        total += r.n
+        if total > FREQUENT:
+            return least
+        least = r.least
+    return least
+
+
 @dataclass
 class Model:
     """Class weights, single words, log10 of each class's normaliser, and the counts of the most frequent tokens."""
@@ -246,7 +269,7 @@ def score_texts(docs: DataFrame, rounds: int = ROUNDS, id_col: str = "doc_id", t
     docs = with_order_key(docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")), scratch)
     train = docs.where(~held_out_rule(F.col("doc_id"))).select("text")
     counts = scratch.save(count_tokens(train))
-    top = counts.orderBy(F.desc("c"), "h").limit(FREQUENT).select("h", "c").toPandas()  # FREQUENT rows at most
+    top = counts.where(F.col("c") >= _frequent_from(counts)).select("h", "c").toPandas()  # FREQUENT rows at most
     hashes, c = top.h.to_numpy(np.int64).view(np.uint64), top.c.to_numpy(np.int64)
     singles = np.sort(np.append(hashes[hashes != np.uint64(END)][: SINGLES - 1], np.uint64(END)))
     order = np.argsort(hashes)
