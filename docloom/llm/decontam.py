@@ -52,7 +52,7 @@ def _frequencies(docs: DataFrame, windows: DataFrame) -> DataFrame:
     return words.join(_small(vocabulary), "term").groupBy("term").agg(F.count("*").alias("freq"))
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, size: int = 10, rarest: int = 3, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, size: int = 10, rarest: int = 2, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated and item_ids for each row of ``docs``.
 
     A word is hit if any occurrence of an item's window covers it.
