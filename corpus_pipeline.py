@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from docloom.llm.decontam import decontaminate
 from docloom.llm.kd_shards import kd_shards
@@ -12,22 +13,29 @@ from docloom.llm.scratch import Scratch
 from docloom.llm.toxicity import score_toxicity
 
 
+#: Ids that may be broadcast (8 bytes each); longer lists are joined by shuffle.
+BROADCAST_IDS = 1_000_000
+
+
+def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is not listed; texts are shuffled only for a long list."""
+    listed = Scratch(docs.sparkSession, "ids").save(ids.select("doc_id").where("doc_id is not null").distinct())
+    return docs.join(F.broadcast(listed) if listed.count() <= BROADCAST_IDS else listed, "doc_id", "left_anti").select(*docs.columns)
+
+
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model does not predict as toxic."""
-    rejected = score_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).where("predicted = 1").select("doc_id")
-    return docs.join(rejected, "doc_id", "left_anti").select(*docs.columns)
+    return _without(docs, score_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).where("predicted = 1"))
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: the one with the smallest id."""
-    copies = jaccard_components(docs, k=5, percent=80).where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
+    return _without(docs, jaccard_components(docs, k=5, percent=80).where("component_id <> doc_id"))
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no window of a benchmark item."""
-    hit = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("contaminated").select("doc_id")
-    return docs.join(hit, "doc_id", "left_anti").select(*docs.columns)
+    return _without(docs, decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("contaminated"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
