@@ -21,7 +21,7 @@ ROWS, CLASSES, SINGLES = 1 << 14, 48, 24
 #: Words whose exact counts every task gets (the most frequent ones); all others are joined.
 FREQUENT = 1 << 16
 #: Passes over all training texts; tokens of one update; step size.
-ROUNDS, BATCH, STEP = 1, 2048, 0.1
+ROUNDS, BATCH, STEP = 2, 2048, 0.05
 #: Texts whose sums one combining step adds at most.
 FAN_IN = 64
 _BLOCK = 256
@@ -115,26 +115,45 @@ def _log_classes(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
 
 def _update(weights: np.ndarray, squares: np.ndarray, seen: np.ndarray, rows: np.ndarray, classes: np.ndarray) -> None:
     """One gradient step (per-row AdaGrad) on a batch of tokens."""
-    slope = weights[rows[0]]
-    for r in rows[1:]:
-        slope += weights[r]
-    slope -= slope.max(axis=1, keepdims=True)
+    slope = weights.take(rows[0], axis=0)
+    for r in rows[1:-1]:
+        slope += weights.take(r, axis=0)
+    slope += weights[rows[-1][0]]  # the bias
+    top = slope
+    while top.shape[1] % 2 == 0:  # halves against halves, as a maximum along short rows is slow
+        half = top.shape[1] // 2
+        top = np.maximum(top[:, :half], top[:, half:])
+    slope -= top.max(axis=1, keepdims=True)
     np.exp(slope, out=slope)
-    slope /= slope.sum(axis=1, keepdims=True)
+    slope /= slope @ np.ones((CLASSES, 1), np.float32)
     slope[np.arange(len(classes)), classes] -= 1.0
     for r in rows[:-1]:
         order = np.argsort(r.astype(np.int16), kind="stable")  # a radix sort; ROWS fits
         ordered = r[order]
         first = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
-        _step(weights, squares, seen, ordered[first], np.add.reduceat(slope[order], first, axis=0), np.diff(np.append(first, len(order))))
+        n = np.diff(np.append(first, len(order)))
+        _step(weights, squares, seen, ordered[first], _sums(slope, order, first, n), n)
     _step(weights, squares, seen, rows[-1][:1], slope.sum(axis=0, keepdims=True), np.array([len(classes)]))
 
 
+def _sums(slope: np.ndarray, order: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Sum of the slopes of each run of equal rows; only runs of several tokens are added up, two columns at a time."""
+    g = slope.take(order[first], axis=0)
+    several = n > 1
+    if several.any():
+        m = n[several]
+        run = slope.take(order[np.repeat(several, n)], axis=0).view(np.complex64)
+        g[several] = np.add.reduceat(run, np.cumsum(m) - m, axis=0).view(np.float32)
+    return g
+
+
 def _step(weights, squares, seen, u, g, n) -> None:
-    g = g / np.sqrt(n, dtype=np.float32)[:, None]
-    squares[u] += np.einsum("ij,ij->i", g, g) / CLASSES
+    g /= np.sqrt(n, dtype=np.float32)[:, None]
+    now = squares[u] + np.einsum("ij,ij->i", g, g) / CLASSES
+    squares[u] = now
     seen[u] += n
-    weights[u] -= STEP * g / (np.sqrt(squares[u]) + 1e-3)[:, None]
+    g *= (STEP / (np.sqrt(now) + 1e-3)).astype(np.float32)[:, None]
+    weights[u] = weights.take(u, axis=0) - g
 
 
 def train_round(texts: DataFrame, weights: np.ndarray, singles: np.ndarray) -> np.ndarray:

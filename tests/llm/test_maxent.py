@@ -3,6 +3,7 @@ import random
 import zlib
 from collections import Counter
 
+from docloom.llm import maxent
 from docloom.llm.maxent import score_texts
 from tests.llm import brute
 
@@ -31,3 +32,19 @@ def test_base_columns_and_gain(spark):
     held = [r for r in got if r.held_out]
     assert all(r.score < 0 for r in got) and sum(r.score for r in held) > sum(r.base_score for r in held)
     assert score_texts(df.limit(0)).collect() == []
+
+
+def test_tasks_train_on_from_the_averaged_weights(spark, monkeypatch):
+    starts, ends, train = [], [], maxent.train_round
+
+    def spied(texts, weights, singles):
+        starts.append(weights.copy())
+        ends.append(train(texts, weights, singles))
+        return ends[-1]
+
+    monkeypatch.setattr(maxent, "train_round", spied)
+    df = spark.createDataFrame([(d, f"a b c d{d % 7} a b") for d in range(60)], "doc_id long, text string").repartition(3)
+    score_texts(df).collect()
+    assert len(starts) >= 2 and not starts[0].any()
+    assert all((start == end).all() and start.any() for start, end in zip(starts[1:], ends, strict=False))
+    assert (ends[-1] != ends[-2]).any()
