@@ -288,7 +288,7 @@ def score_texts(docs: DataFrame, rounds: int = ROUNDS, id_col: str = "doc_id", t
     docs = with_order_key(docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")), scratch)
     train = docs.where(~held_out_rule(F.col("doc_id"))).select("text")
     counts = scratch.save(count_tokens(train))
-    top = counts.where(F.col("c") >= _frequent_from(counts)).select("h", "c").toPandas()  # FREQUENT rows at most
+    top = counts.where(F.col("c") >= _frequent_from(counts)).select("h", "c").toPandas().sort_values(["c", "h"], ascending=[False, True])  # FREQUENT rows at most
     hashes, c = top.h.to_numpy(np.int64).view(np.uint64), top.c.to_numpy(np.int64)
     singles = np.sort(np.append(hashes[hashes != np.uint64(END)][: SINGLES - 1], np.uint64(END)))
     order = np.argsort(hashes)

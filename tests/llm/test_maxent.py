@@ -3,6 +3,9 @@ import random
 import zlib
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
+
 from docloom.llm import maxent
 from docloom.llm.maxent import score_texts
 from tests.llm import brute
@@ -48,3 +51,14 @@ def test_tasks_train_on_from_the_averaged_weights(spark, monkeypatch):
     assert len(starts) >= 2 and not starts[0].any()
     assert all((start == end).all() and start.any() for start, end in zip(starts[1:], ends, strict=False))
     assert (ends[-1] != ends[-2]).any()
+
+
+def test_commonest_words_are_the_single_classes(spark, monkeypatch):
+    got = []
+    monkeypatch.setattr(maxent, "train_round", lambda texts, weights, singles: got.append(singles) or weights)
+    words = [f"w{i}" for i in range(1, 81) for _ in range(i)]
+    random.Random(2).shuffle(words)
+    df = spark.createDataFrame([(2, w) for w in words], "doc_id long, text string").repartition(5)
+    score_texts(df, rounds=1).collect()
+    hashed = lambda w: maxent.hash_words_and_tails(*maxent.text_bytes(pa.array([w])), maxent.SPACED_LOWER)[0][0]
+    assert set(got[0]) == {hashed(f"w{i}") for i in range(80 - maxent.SINGLES + 2, 81)} | {np.uint64(maxent.END)}
