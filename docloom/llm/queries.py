@@ -115,7 +115,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
-    "op1_html_text": op1_html_text,
     "op2_decontaminate": OP2_SQL,
     "op8_mix_sources": OP8_SQL,
 }
