@@ -20,6 +20,8 @@ ORDER_CELLS = 1 << 20
 _BLOCK = 1 << 12
 #: Hash ranges of the suffix filter (a power of two).
 RANGES = 128
+#: Rounds in which each class meets one centre per list, before the pairs that are left are joined.
+STARS = 2
 #: Documents that may be broadcast as a list of ids (8 bytes each); longer lists are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -157,12 +159,14 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, id_col: s
     1. A fixed sketch counts all shingles of all texts; it gives one global order, rare first.
     2. Texts with equal sets are one class, represented by its smallest id.
     3. Only the rarest n - ceil(n * percent / 100) + 1 shingles of a class are posted; two classes that
-       link share one of them. Postings of one class alone go.
+       link share one of them, and it stands in the shorter index prefix of the smaller set. Lists
+       without such a pair go.
     4. Candidates pass a length, a positional and a suffix filter, and are verified once on the whole sets.
-       First each class is paired with one centre per posted shingle. Classes that are then in one
-       component need no further check; for shingles that still join several components, all pairs
-       between different components are checked. A dense group of near copies thus costs about one check
-       a member, and no link between components is lost.
+       In each of STARS rounds, at every size, each class is paired with one centre per list: first with
+       the one of fewest rare shingles, which is nearest to what a group of near copies has in common.
+       A list of two is done then. Of the others, only pairs of classes that are still in different
+       components are joined and checked. A dense group of near copies thus costs about one check a
+       member, and no link between components is lost.
 
     Shingles are compared by 64-bit hashes. A null or empty text has n_shingles 0 and is its own
     component; a text of fewer than k words is one shingle. Rows without id have component null and
@@ -178,8 +182,9 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, id_col: s
 
     lead = texts.join(classes.select(F.col("doc").alias("doc_id"), "key"), ["doc_id", "key"], "left_semi").dropDuplicates(["doc_id"])
     posted = lead.select(F.posexplode("prefix").alias("pos", "item"), F.col("doc_id").alias("doc"), F.col("n").cast("int").alias("n"))
-    shared = posted.groupBy("item").agg(F.count("*").alias("c")).where("c > 1").select("item")
-    post = scratch.save(posted.join(shared, "item", "left_semi"))
+    indexed = (F.col("n") - F.col("pos")) * (100 + percent) >= F.col("n") * (2 * percent)  # may be the smaller set's first shared shingle
+    lists = posted.groupBy("item").agg(F.count("*").alias("c"), F.max(indexed).alias("indexed")).where("c > 1 and indexed").select("item")
+    post = scratch.save(posted.join(lists, "item", "left_semi"))
     ranges = scratch.save(lead.select(F.col("doc_id").alias("doc"), "ranges").join(post.select("doc").distinct(), "doc", "left_semi"))
 
     def possible(pairs: DataFrame) -> DataFrame:
@@ -192,45 +197,50 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, id_col: s
         most = F.aggregate(F.zip_with("ra", "rb", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
         return some.where(most >= need).select("a", "b")
 
-    links, tried, roots, turn = None, None, None, 0
-    while True:
-        now = post if roots is None else post.join(roots.withColumnRenamed("node", "doc"), "doc", "left")
-        now = now.withColumn("comp", F.col("doc") if roots is None else F.coalesce("root", "doc"))
-        best = F.min(F.struct((F.xxhash64("doc", F.lit(turn)) if turn else F.col("doc")).alias("place"), "doc", "n", "pos", "comp"))
-        heads = now.groupBy("item").agg(best.alias("head"), F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("c")).where("c0 <> c1")
-        heads = scratch.save(heads.select("item", F.col("head.doc").alias("hd"), F.col("head.n").alias("hn"), F.col("head.pos").alias("hp"), F.col("head.comp").alias("hc"), "c"))
-        size = heads.agg(F.sum(F.col("c").cast("double") * (F.col("c") - 1) / 2), F.sum("c")).first()
-        if not size[1]:
-            break
-        last = turn >= 1 or size[0] <= 4 * size[1]
-        if last:
-            live = now.join(heads.select("item"), "item", "left_semi")
-            x = live.select("item", *(F.col(c).alias(f"{c}_a") for c in ("doc", "n", "pos", "comp")))
-            y = live.select("item", *(F.col(c).alias(f"{c}_b") for c in ("doc", "n", "pos", "comp")))
-            pairs = x.join(y, "item").where("doc_a < doc_b and comp_a <> comp_b")
-            pairs = pairs.select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b"), F.col("n_a").alias("na"), F.col("n_b").alias("nb"), F.col("pos_a").alias("pa"), F.col("pos_b").alias("pb"))
-        else:
-            pairs = now.join(heads, "item").where("comp <> hc")
-            first = F.col("doc") < F.col("hd")
-            pick = lambda x, y: F.when(first, F.col(x)).otherwise(F.col(y))
-            pairs = pairs.select(pick("doc", "hd").alias("a"), pick("hd", "doc").alias("b"), pick("n", "hn").alias("na"), pick("hn", "n").alias("nb"), pick("pos", "hp").alias("pa"), pick("hp", "pos").alias("pb"))
+    def verified(pairs: DataFrame, tried: list[DataFrame]) -> DataFrame:
+        """The links among those possible pairs that no earlier round has tried; the tried ones are noted."""
         asked = possible(pairs)
-        if tried is not None:
-            asked = asked.join(tried, ["a", "b"], "left_anti")
+        for before in tried:
+            asked = asked.join(before, ["a", "b"], "left_anti")
         asked = scratch.save(asked)
+        tried.append(asked)
         members = asked.select(F.col("a").alias("doc")).union(asked.select(F.col("b").alias("doc"))).distinct()
-        found = scratch.save(_verified(asked, scratch.save(_packed_texts(docs, members)), k, percent))
-        tried = asked if tried is None else tried.union(asked)
+        packed = scratch.save(_packed_texts(docs, members))
+        found = scratch.save(_verified(asked, packed, k, percent))
+        scratch.drop(packed)
+        return found
+
+    live, tried, links, roots = post.withColumn("comp", F.col("doc")), [], None, None
+    for turn in range(STARS + 1):
+        if turn < STARS:
+            place = F.xxhash64("doc", F.lit(turn)) if turn else F.col("pos").cast("long")
+            lists = live.groupBy("item").agg(F.min(F.struct(place.alias("place"), "doc", "n", "pos", "comp")).alias("head"))
+            heads = lists.select("item", F.col("head.doc").alias("hd"), F.col("head.n").alias("hn"), F.col("head.pos").alias("hp"), F.col("head.comp").alias("hc"))
+            pairs = live.join(heads, "item").where("comp <> hc")
+            first = F.col("doc") < F.col("hd")
+            pick = lambda x, y: F.when(first, F.col(x)).otherwise(F.col(y))
+            pairs = pairs.select(pick("doc", "hd").alias("a"), pick("hd", "doc").alias("b"), pick("n", "hn").alias("na"), pick("hn", "n").alias("nb"), pick("pos", "hp").alias("pa"), pick("hp", "pos").alias("pb"))
+        else:
+            x, y = (live.select("item", *(F.col(c).alias(f"{c}{side}") for c in ("doc", "n", "pos", "comp"))) for side in ("1", "2"))
+            pairs = x.join(y, "item").where("doc1 < doc2 and comp1 <> comp2")
+            pairs = pairs.select(*(F.col(c).alias(to) for c, to in (("doc1", "a"), ("doc2", "b"), ("n1", "na"), ("n2", "nb"), ("pos1", "pa"), ("pos2", "pb"))))
+        found = verified(pairs, tried)
         links = found if links is None else links.union(found)
-        if not found.isEmpty():
+        if roots is None or not found.isEmpty():
+            if roots is not None:
+                scratch.drop(roots)
             roots = scratch.save(components(links, scratch))
-        turn += 1
-        if last:
-            break
-
-    named = classes.withColumn("component_id", F.col("doc"))
-    if roots is not None:
-        named = classes.join(roots.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component_id", F.coalesce("root", "doc"))
+        if turn < STARS:  # what is left to join: lists of more than two members that join several components
+            now = live if turn else live.join(live.groupBy("item").agg(F.count("*").alias("c")).where("c > 2").select("item"), "item", "left_semi")
+            now = now.drop("comp").join(roots.withColumnRenamed("node", "doc"), "doc", "left").withColumn("comp", F.coalesce("root", "doc")).drop("root")
+            several = now.groupBy("item").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("item")
+            after = scratch.save(now.join(several, "item", "left_semi"))
+            if turn:
+                scratch.drop(live)
+            live = after
+    scratch.drop(post)
+
+    named = classes.join(roots.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component_id", F.coalesce("root", "doc"))
     named = scratch.save(named.select("key", "component_id"))
     out = texts.select("doc_id", "n", "key").join(named, "key", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component_id"))).otherwise(F.col("doc_id")).alias("component_id"))
