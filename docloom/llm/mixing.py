@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm.ranks import global_rank
+from docloom.llm.ranks import global_rank, with_order_key
 from docloom.llm.scratch import Scratch
 
 #: Sources in code-point order weigh these, over and over.
@@ -50,22 +50,24 @@ def mix_sources(
     """doc_id, size, source_size, target, taken, copies and all columns of ``docs`` (as struct ``row``) for each row.
 
     A source's rate is target / source_size; a document is emitted floor(rate) times, and once more if
-    its draw, seeded by its id, is below the fraction, so its expected words are rate * size and reruns
-    agree. ``share`` and ``most`` are parameters of the mix.
+    its draw is below the fraction, so its expected words are rate * size and reruns agree. The draw is
+    seeded by the id; if ids are null or repeat, by the row's number in order of id, text and source,
+    so that each row draws for itself. ``share`` and ``most`` are parameters of the mix.
 
     Words per source are added before the shuffle, so a source with a third of all rows is no hot task.
     The sources' table joins back as a broadcast only if Spark finds it small. A null or empty text has
-    size 0 and takes nothing; null is a source of its own; a source of size 0 has target 0; rows
-    that repeat an id share its draw; an empty table gives an empty table.
+    size 0 and takes nothing; null is a source of its own; a source of size 0 has target 0; an empty
+    table gives an empty table.
     """
     spark: SparkSession = docs.sparkSession
     scratch = Scratch(spark, "mix")
-    sized = docs.select(docs[id_col].alias("doc_id"), docs[source_col].alias("source"), word_count(docs[text_col]).alias("size"), F.struct(*(docs[c] for c in docs.columns)).alias("row"))
+    sized = docs.select(docs[id_col].alias("doc_id"), docs[source_col].alias("source"), docs[text_col].alias("text"), F.struct(*(docs[c] for c in docs.columns)).alias("row"))
+    sized = with_order_key(sized, scratch, then=("source",)).withColumn("size", word_count(F.col("text")))
     targets = scratch.save(source_targets(docs.select(docs[source_col].alias("source"), word_count(docs[text_col]).alias("size")), share, most, scratch))
     t = targets.select(F.col("source").alias("_source"), "source_size", "target")
     joined = sized.join(t, sized["source"].eqNullSafe(t["_source"]))
     rate = F.when(F.col("source_size") > 0, F.least(F.lit(most), F.col("target") / F.col("source_size"))).otherwise(0.0)
-    copies = F.floor(rate) + F.when(unit_draw(F.col("doc_id"), seed) < rate - F.floor(rate), 1).otherwise(0)
+    copies = F.floor(rate) + F.when(unit_draw(F.col("_doc"), seed) < rate - F.floor(rate), 1).otherwise(0)
     return joined.withColumn("copies", copies.cast("long")).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", "row")
 
 

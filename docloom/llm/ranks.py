@@ -22,11 +22,12 @@ def global_rank(df: DataFrame, order: list[Column], scratch: Scratch, name: str
     return dealt.join(F.broadcast(before), "_task").withColumn(name, F.col("_before") + F.col("_at")).drop("_task", "_at", "_before")
 
 
-def with_order_key(docs: DataFrame, scratch: Scratch, text_col: str = "text") -> DataFrame:
-    """``docs`` (doc_id, text) with ``_doc``: a unique long that orders the rows by doc_id.
+def with_order_key(docs: DataFrame, scratch: Scratch, text_col: str = "text", id_col: str = "doc_id", name: str = "_doc", then: tuple[str, ...] = ()) -> DataFrame:
+    """``docs`` with ``name``: a unique long that orders the rows by id.
 
-    It is doc_id itself where ids are unique. Otherwise rows are numbered by doc_id (null last), then text.
+    It is the id itself where ids are unique. Otherwise rows are numbered by id (null last), then text,
+    then the columns ``then``; equal rows get their numbers in any order.
     """
-    if docs.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1 or doc_id is null").isEmpty():
-        return docs.withColumn("_doc", F.col("doc_id"))
-    return global_rank(docs, [F.col("doc_id").asc_nulls_last(), F.col(text_col).asc_nulls_last()], scratch, "_doc")
+    if docs.groupBy(id_col).agg(F.count("*").alias("c")).where(F.col(id_col).isNull() | (F.col("c") > 1)).isEmpty():
+        return docs.withColumn(name, F.col(id_col).cast("long"))
+    return global_rank(docs, [F.col(c).asc_nulls_last() for c in (id_col, text_col, *then)], scratch, name)

@@ -227,7 +227,8 @@ def learn(docs: DataFrame, labels: DataFrame, scratch: Scratch) -> Model:
     """Lexicon and classifier from at most TRAIN_ROWS labelled rows of the training part."""
     ids = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & train_rule(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     some = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_ROWS)
-    train = scratch.save(docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("text", "toxic").repartition(12))
+    texts = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))  # one text of an id that repeats
+    train = scratch.save(texts.select("text", "toxic").repartition(12))
     n = {r.toxic: r["count"] for r in train.groupBy("toxic").count().collect()}
     n0, n1 = n.get(0, 0), n.get(1, 0)
     lexicon = learn_lexicon(train, n0, n1) if n0 and n1 else Lexicon({}, frozenset())
@@ -256,18 +257,14 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     rows give repeated results; without labels of both kinds the score is a constant below 0.5; an empty
     table gives an empty table; other columns are not read.
     """
-    spark: SparkSession = docs.sparkSession
-    scratch = Scratch(spark, "toxicity")
     docs = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
-    shared = spark.sparkContext.broadcast(learn(docs, labels.select("doc_id", "toxic"), scratch))  # bounded by TERMS
+    shared = _shared_model(docs, labels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
         for batch in batches:
             for low in range(0, batch.num_rows, 512):
                 part = batch.slice(low, 512)
-                x = np.array([model.lexicon.features(t) for t in part.column(2).to_pylist()]).reshape(-1, FEATURES)
-                score = model.scores(x)
+                x, score = _rated(shared.value, part.column(2))
                 hits = np.rint(np.expm1(x[:, 0])).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), part.column(1), pa.array(score), pa.array((score >= 0.5).astype(np.int32)), pa.array(hits)], names=["doc_id", "held_out", "score", "predicted", "hits"]
@@ -275,3 +272,32 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
 
     held_out = F.coalesce(~train_rule(F.col("doc_id")), F.lit(False))
     return docs.select("doc_id", held_out.alias("held_out"), "text").mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int, hits int")
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose own text has a score below 0.5.
+
+    The model is that of score_toxicity. Each row is judged by its text alone, so ids that are null or
+    repeat take no other row with them. A null or empty text is clean; an empty table stays empty.
+    """
+    at = docs.columns.index(text_col)
+    shared = _shared_model(docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")), labels)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low in range(0, batch.num_rows, 512):
+                part = batch.slice(low, 512)
+                yield part.filter(pa.array(_rated(shared.value, part.column(at))[1] < 0.5))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def _shared_model(docs: DataFrame, labels: DataFrame):
+    spark: SparkSession = docs.sparkSession
+    return spark.sparkContext.broadcast(learn(docs, labels.select("doc_id", "toxic"), Scratch(spark, "toxicity")))  # bounded by TERMS
+
+
+def _rated(model: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Features and scores of some texts."""
+    x = np.array([model.lexicon.features(t) for t in texts.to_pylist()]).reshape(-1, FEATURES)
+    return x, model.scores(x)
