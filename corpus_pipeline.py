@@ -9,37 +9,49 @@ from docloom.llm.decontam import decontaminate
 from docloom.llm.kd_shards import kd_shards
 from docloom.llm.mixing import emit_copies, mix_sources
 from docloom.llm.ngram_join import jaccard_components
+from docloom.llm.ranks import with_order_key
 from docloom.llm.scratch import Scratch
-from docloom.llm.toxicity import score_toxicity
+from docloom.llm.toxicity import drop_toxic
 
+#: Rows that may be broadcast as a list of keys (8 bytes each); longer lists are joined by shuffle.
+BROADCAST_KEYS = 1_000_000
 
-#: Ids that may be broadcast (8 bytes each); longer lists are joined by shuffle.
-BROADCAST_IDS = 1_000_000
 
+def _keyed(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, str]:
+    """``docs`` with a column that tells its rows apart, null and repeated ids included, and that column's name."""
+    name = "row_key"
+    while name in docs.columns:
+        name += "_"
+    return with_order_key(docs, scratch, name=name, then=("source", "lang")), name
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is not listed; texts are shuffled only for a long list."""
-    listed = Scratch(docs.sparkSession, "ids").save(ids.select("doc_id").where("doc_id is not null").distinct())
-    return docs.join(F.broadcast(listed) if listed.count() <= BROADCAST_IDS else listed, "doc_id", "left_anti").select(*docs.columns)
+
+def _without(docs: DataFrame, key: str, gone: DataFrame, scratch: Scratch) -> DataFrame:
+    """The rows of ``docs`` whose key is not listed in ``gone`` (doc_id), less the key; texts are shuffled only for a long list."""
+    listed = scratch.save(gone.select(F.col("doc_id").alias(key)))
+    return docs.join(F.broadcast(listed) if listed.count() <= BROADCAST_KEYS else listed, key, "left_anti").drop(key).select(*(c for c in docs.columns if c != key))
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity model does not predict as toxic."""
-    return _without(docs, score_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).where("predicted = 1"))
+    """Rows whose text the toxicity model does not predict as toxic; null and empty texts stay."""
+    return drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one with the smallest id."""
-    return _without(docs, jaccard_components(docs, k=5, percent=80).where("component_id <> doc_id"))
+    """One row of each group of near-duplicates: the first by id. Rows without words have no copies and stay."""
+    scratch = Scratch(spark, "copies")
+    docs, key = _keyed(docs, scratch)
+    return _without(docs, key, jaccard_components(docs, k=5, percent=80, id_col=key).where("component_id <> doc_id"), scratch)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no window of a benchmark item."""
-    return _without(docs, decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("contaminated"))
+    """Rows that hold no window of a benchmark item; an empty benchmark removes none."""
+    scratch = Scratch(spark, "benchmark")
+    docs, key = _keyed(docs, scratch)
+    return _without(docs, key, decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col=key).where("contaminated"), scratch)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix of sources takes it."""
+    """Each row as often as the mix of sources takes it; texts without words are of no size and taken as their source's rate says."""
     return emit_copies(mix_sources(docs))
 
 
