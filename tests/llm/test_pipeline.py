@@ -50,3 +50,33 @@ def test_stages(spark):
 
 def test_run_gives_the_last_stage(spark):
     assert corpus_pipeline.run(spark, SF).columns == ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"]
+
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, extra string, row_key string"
+
+
+def test_stages_judge_rows(spark, tmp_path):
+    """Null and repeated ids: a row's fate is that of its own text, and equal rows leave one."""
+    spark.createDataFrame([(i, int(i % 2 == 0)) for i in range(1, 400)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, "bench one two three four five six seven eight nine ten eleven")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    many = [f"w{i} v{i} u{i} t{i} s{i} r{i}" for i in range(400)]
+    bad, hit = "vile scum filth " * 4, "say one two three four five six seven eight nine ten eleven now"
+    rows = [(i, f"{bad if i % 2 == 0 else ''}{many[i]}") for i in range(1, 400)]
+    rows += [(None, f"{bad} null one"), (None, "null clean row of some words"), (3, f"{bad} again three"), (3, many[3]), (None, None), (None, ""), (5, hit), (5, "five without the passage")]
+    docs = spark.createDataFrame([(d, t, "en", "s", 0, "x", "y") for d, t in rows], DOCS)
+    clean = corpus_pipeline.without_toxic(spark, docs, str(tmp_path))
+    assert clean.columns == docs.columns
+    assert Counter((r.doc_id, r.text) for r in clean.collect()) == Counter((d, t) for d, t in rows if not (t or "").startswith(bad))
+    single = corpus_pipeline.without_copies(spark, clean, str(tmp_path))
+    assert single.columns == docs.columns
+    assert Counter((r.doc_id, r.text) for r in single.collect()) == Counter({(d, t) for d, t in rows if not (t or "").startswith(bad)})
+    apart = corpus_pipeline.without_benchmark(spark, single, str(tmp_path))
+    assert apart.columns == docs.columns
+    assert Counter((r.doc_id, r.text) for r in apart.collect()) == Counter({(d, t) for d, t in rows if not (t or "").startswith(bad) and t != hit})
+
+
+def test_empty_tables(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([], DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
