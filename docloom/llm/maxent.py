@@ -16,12 +16,15 @@ from docloom.llm.ranks import with_order_key
 from docloom.llm.scratch import Scratch
 from docloom.llm.words import SPACED_LOWER, hash_words_and_tails, mix, slices, text_bytes
 
-#: Rows of the hashed weights (a power of two), classes, and classes of a single frequent word.
-ROWS, CLASSES, SINGLES = 1 << 14, 48, 24
+#: Classes of words and subclasses of each (one softmax of WIDTH outcomes for either), and subclasses of a single frequent word.
+WIDTH, SINGLES = 16, 64
+CLASSES = WIDTH * WIDTH
+#: Hashed weight rows follow the training tokens: a power of two, at least one row for TOKENS_A_ROW tokens, within these bounds (1 and 32 MB).
+LEAST_ROWS, MOST_ROWS, TOKENS_A_ROW = 1 << 13, 1 << 18, 2048
 #: Words whose exact counts every task gets (the most frequent ones); all others are joined.
 FREQUENT = 1 << 16
 #: Passes over all training texts; tokens of one update; step size.
-ROUNDS, BATCH, STEP = 2, 2048, 0.05
+ROUNDS, BATCH, STEP = 2, 4096, 0.05
 #: Texts whose sums one combining step adds at most.
 FAN_IN = 64
 _BLOCK = 256
@@ -80,14 +83,32 @@ def count_tokens(texts: DataFrame) -> DataFrame:
 
 
 def class_of(h: np.ndarray, tail: np.ndarray, singles: np.ndarray) -> np.ndarray:
-    """Class 0 to SINGLES - 1 of the single words (sorted hashes), else by the word's last two bytes."""
-    other = SINGLES + (mix(tail.astype(np.uint64)) % np.uint64(CLASSES - SINGLES)).astype(np.int64)
+    """Subclass of each token: 0 to SINGLES - 1 for the single words (sorted hashes), else by the word's last byte (class) and last two bytes."""
+    last = mix(tail.astype(np.uint64) & np.uint64(255)) % np.uint64(WIDTH - SINGLES // WIDTH)
+    other = SINGLES + (last * np.uint64(WIDTH) + mix(tail.astype(np.uint64)) % np.uint64(WIDTH)).astype(np.int64)
     i = np.minimum(np.searchsorted(singles, h), len(singles) - 1)
     return np.where(singles[i] == h, i, other)
 
 
-def feature_rows(t: Tokens, classes: np.ndarray) -> np.ndarray:
-    """Rows of the weights for each token: word before, word before that (skip), both, both classes, and the bias."""
+def table_rows(n_rows: int) -> int:
+    """Rows of the whole table: the classes' hashed rows, the subclasses', one bias for the classes and one for each class's subclasses."""
+    return 2 * n_rows + 1 + WIDTH
+
+
+def weight_rows(tokens: int) -> int:
+    n = LEAST_ROWS
+    while n < MOST_ROWS and n * TOKENS_A_ROW < tokens:
+        n *= 2
+    return n
+
+
+def feature_rows(t: Tokens, classes: np.ndarray, n_rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of the weights and outcome of each token's two choices: its class, and its subclass given the class.
+
+    The features are the word before, the word before that (skip), both, both subclasses, and a bias; for
+    the second choice each is hashed together with the class. The first axis of the rows is the feature,
+    the second the choice.
+    """
     n = len(t.h)
     back1, back2 = np.empty(n, np.uint64), np.empty(n, np.uint64)
     c1, c2 = np.full(n, CLASSES, np.int64), np.full(n, CLASSES, np.int64)
@@ -97,47 +118,48 @@ def feature_rows(t: Tokens, classes: np.ndarray) -> np.ndarray:
     second = begin[begin + 1 < t.at[1:]] + 1
     back1[begin], back2[begin], back2[second] = START[0], START[1], START[0]
     c1[begin], c2[begin], c2[second] = CLASSES, CLASSES, CLASSES
-    mask = np.uint64(ROWS - 1)
-    two = mix(back1 * np.uint64(0x9E3779B97F4A7C15) + back2 * np.uint64(0xC2B2AE3D27D4EB4F))
-    pair = mix((c1 * 1024 + c2 + (1 << 40)).astype(np.uint64))
-    rows = [mix(back1 + np.uint64(1)) & mask, mix(back2 + np.uint64(2)) & mask, two & mask, pair & mask]
-    return np.stack([*(r.astype(np.int64) for r in rows), np.full(n, ROWS)])
-
-
-def _log_classes(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Natural log probabilities of all classes for each token."""
-    x = weights[rows[0]]
+    two = back1 * np.uint64(0x9E3779B97F4A7C15) + back2 * np.uint64(0xC2B2AE3D27D4EB4F)
+    pair = (c1 * 1024 + c2 + (1 << 40)).astype(np.uint64)
+    top, sub = classes // WIDTH, classes % WIDTH
+    mask, given = np.uint64(n_rows - 1), (top.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
+    rows = np.empty((5, 2, n), np.int64)
+    for i, f in enumerate((back1 + np.uint64(1), back2 + np.uint64(2), two, pair)):
+        rows[i, 0] = (mix(f) & mask).astype(np.int64)
+        rows[i, 1] = (mix(f + given) & mask).astype(np.int64) + n_rows
+    rows[4, 0] = 2 * n_rows
+    rows[4, 1] = 2 * n_rows + 1 + top
+    return rows, np.stack((top, sub))
+
+
+def _chances(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Probabilities of the WIDTH outcomes of some choices."""
+    x = weights.take(rows[0], axis=0)
     for r in rows[1:]:
-        x += weights[r]
-    x -= x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
-
-
-def _update(weights: np.ndarray, squares: np.ndarray, seen: np.ndarray, rows: np.ndarray, classes: np.ndarray) -> None:
-    """One gradient step (per-row AdaGrad) on a batch of tokens."""
-    slope = weights.take(rows[0], axis=0)
-    for r in rows[1:-1]:
-        slope += weights.take(r, axis=0)
-    slope += weights[rows[-1][0]]  # the bias
-    top = slope
-    while top.shape[1] % 2 == 0:  # halves against halves, as a maximum along short rows is slow
+        x += weights.take(r, axis=0)
+    top = x
+    while top.shape[1] > 1:  # halves against halves, as a maximum along short rows is slow
         half = top.shape[1] // 2
         top = np.maximum(top[:, :half], top[:, half:])
-    slope -= top.max(axis=1, keepdims=True)
-    np.exp(slope, out=slope)
-    slope /= slope @ np.ones((CLASSES, 1), np.float32)
-    slope[np.arange(len(classes)), classes] -= 1.0
-    for r in rows[:-1]:
-        order = np.argsort(r.astype(np.int16), kind="stable")  # a radix sort; ROWS fits
-        ordered = r[order]
+    x -= top
+    np.exp(x, out=x)
+    x /= x @ np.ones((WIDTH, 1), np.float32)
+    return x
+
+
+def _update(weights: np.ndarray, squares: np.ndarray, seen: np.ndarray, rows: np.ndarray, outcome: np.ndarray) -> None:
+    """One gradient step (per-row AdaGrad) on a batch of choices."""
+    slope = _chances(weights, rows)
+    slope[np.arange(len(outcome)), outcome] -= 1.0
+    for r in rows:  # a batch is a sparse matrix of choices by rows; its product with the slopes, row by row
+        keyed = np.sort((r << 16) | np.arange(len(r)))  # far quicker than an argsort; batches are shorter than 2**16
+        ordered, order = keyed >> 16, keyed & 0xFFFF
         first = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
         n = np.diff(np.append(first, len(order)))
         _step(weights, squares, seen, ordered[first], _sums(slope, order, first, n), n)
-    _step(weights, squares, seen, rows[-1][:1], slope.sum(axis=0, keepdims=True), np.array([len(classes)]))
 
 
 def _sums(slope: np.ndarray, order: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """Sum of the slopes of each run of equal rows; only runs of several tokens are added up, two columns at a time."""
+    """Sum of the slopes of each run of equal rows; only runs of several choices are added up, two columns at a time."""
     g = slope.take(order[first], axis=0)
     several = n > 1
     if several.any():
@@ -149,44 +171,48 @@ def _sums(slope: np.ndarray, order: np.ndarray, first: np.ndarray, n: np.ndarray
 
 def _step(weights, squares, seen, u, g, n) -> None:
     g /= np.sqrt(n, dtype=np.float32)[:, None]
-    now = squares[u] + np.einsum("ij,ij->i", g, g) / CLASSES
+    now = squares[u] + np.einsum("ij,ij->i", g, g) / WIDTH
     squares[u] = now
     seen[u] += n
     g *= (STEP / (np.sqrt(now) + 1e-3)).astype(np.float32)[:, None]
-    weights[u] = weights.take(u, axis=0) - g
+    weights[u] -= g
 
 
 def train_round(texts: DataFrame, weights: np.ndarray, singles: np.ndarray) -> np.ndarray:
-    """Every task takes gradient steps over all of its texts; rows are then averaged by how many tokens moved them.
+    """Every task takes gradient steps over all of its texts; rows are then averaged by how many choices moved them.
 
-    The tasks' moves are added in two rounds by block of rows, so no task or driver gets them all at once.
+    The tasks' moves are added in two rounds by block of rows, so no task or driver gets them all at once,
+    and in order of the tasks, so that the sums do not depend on the shuffle.
     """
     now = texts.sparkSession.sparkContext.broadcast(weights)
+    total_rows = len(weights)
+    n_rows = (total_rows - 1 - WIDTH) // 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w, squares, seen = now.value.copy(), np.zeros(ROWS + 1, np.float32), np.zeros(ROWS + 1, np.float64)
+        w, squares, seen = now.value.copy(), np.zeros(total_rows, np.float32), np.zeros(total_rows, np.float64)
         for batch in batches:
             for _, _, t in _tokens(batch.column(0)):
-                classes = class_of(t.h, t.tail, singles)
-                rows = feature_rows(t, classes)
-                for lo in range(0, len(classes), BATCH):
-                    _update(w, squares, seen, rows[:, lo : lo + BATCH], classes[lo : lo + BATCH])
+                rows, outcome = feature_rows(t, class_of(t.h, t.tail, singles), n_rows)
+                for lo in range(0, len(t.h), BATCH):
+                    some = rows[:, :, lo : lo + BATCH]
+                    _update(w, squares, seen, some.reshape(len(some), -1), outcome[:, lo : lo + BATCH].reshape(-1))
         moved = ((w - now.value) * seen[:, None]).astype(np.float32)
-        blocks = [i for i in range(0, ROWS + 1, _BLOCK) if seen[i : i + _BLOCK].any()]
-        packed = [zlib.compress(np.column_stack((seen[i : i + _BLOCK], moved[i : i + _BLOCK])).astype(np.float32).tobytes(), 1) for i in blocks]
-        part = TaskContext.get().partitionId() // FAN_IN
-        if blocks:
-            yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int32()), pa.array([part] * len(blocks), pa.int32()), pa.array(packed, pa.binary())], names=["block", "part", "sums"])
+        blocks = [i for i in range(0, total_rows, _BLOCK) if seen[i : i + _BLOCK].any()]
+        task = TaskContext.get().partitionId()
+        for i in blocks:
+            packed = zlib.compress(np.column_stack((seen[i : i + _BLOCK], moved[i : i + _BLOCK])).astype(np.float32).tobytes(), 1)
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([task // FAN_IN], pa.int32()), pa.array([task], pa.int32()), pa.array([packed], pa.binary())], names=["block", "part", "task", "sums"])
 
     def add(pdf):
+        pdf = pdf.sort_values("task")
         total = sum(np.frombuffer(zlib.decompress(x), np.float32).astype(np.float64) for x in pdf.sums)
         return pdf.iloc[:1].assign(sums=[zlib.compress(total.astype(np.float32).tobytes(), 1)])
 
-    form = "block int, part int, sums binary"
+    form = "block int, part int, task int, sums binary"
     some = texts.mapInArrow(run, form).groupBy("block", "part").applyInPandas(add, form)
     after = weights.copy()
     for r in some.groupBy("block").applyInPandas(add, form).toLocalIterator():
-        x = np.frombuffer(zlib.decompress(r.sums), np.float32).reshape(-1, CLASSES + 1)
+        x = np.frombuffer(zlib.decompress(r.sums), np.float32).reshape(-1, WIDTH + 1)
         after[r.block : r.block + _BLOCK] += x[:, 1:] / np.maximum(x[:, :1], 1.0)
     return after
 
@@ -249,12 +275,13 @@ def _scored(docs: DataFrame, shared) -> DataFrame:
         for batch in batches:
             for lo, hi, t in _tokens(batch.column(2)):
                 classes = class_of(t.h, t.tail, m.singles)
-                rows = feature_rows(t, classes)
-                fit = np.empty(len(classes))
-                for a in range(0, len(classes), 8192):
-                    own = classes[a : a + 8192]
-                    fit[a : a + 8192] = _log_classes(m.weights, rows[:, a : a + 8192])[np.arange(len(own)), own]
-                fit = fit / np.log(10.0) - m.log_sizes[classes]
+                rows, outcome = feature_rows(t, classes, (len(m.weights) - 1 - WIDTH) // 2)
+                fit = np.zeros(len(classes))
+                for a in range(0, len(classes), 4096):
+                    for choice in (0, 1):
+                        own = outcome[choice, a : a + 4096]
+                        fit[a : a + 4096] += np.log10(_chances(m.weights, rows[:, choice, a : a + 4096])[np.arange(len(own)), own], dtype=np.float64)
+                fit -= m.log_sizes[classes]
                 counts, there = _known(m, t.h)
                 begin = t.at[:-1]
                 yield pa.RecordBatch.from_arrays(
@@ -273,10 +300,12 @@ def score_texts(docs: DataFrame, rounds: int = ROUNDS, id_col: str = "doc_id", t
     Training texts are those whose crc32(doc_id as text) mod 7 is not 2; rows without id train.
 
     * Counts: all tokens of all training texts, added per task and then by token.
-    * Score: log10 of P(class | history) * (count + 1) / (tokens + words + 1 of the class). Frequent words are
-      classes of their own, the others share classes by their last two bytes. P(class | history) is a
-      softmax over hashed weights of the two words before, each alone, both, and their classes, trained by
-      gradient steps over all training texts and averaged between tasks; its size is fixed.
+    * Score: log10 of P(class | history) * P(subclass | class, history) * (count + 1) / (tokens + words + 1 of the
+      subclass). The most frequent words are subclasses of their own, the others share one by their last two
+      bytes. Both factors are softmaxes over hashed weights of the two words before, each alone, both, and
+      their subclasses, trained by ``rounds`` passes of gradient steps over all training texts; after each
+      pass the tasks' weights are averaged. The rows of the weights grow with the training tokens up to
+      MOST_ROWS; a word within its subclass is told by counts alone.
     * Counts of the FREQUENT commonest tokens go to every task; the other tokens of each text are joined with
       the counts by hash (64 bits) and summed per text, so no vocabulary is held in one place.
 
@@ -305,7 +334,7 @@ def score_texts(docs: DataFrame, rounds: int = ROUNDS, id_col: str = "doc_id", t
     sizes = {r.k: (r.n, r.v) for r in counts.mapInArrow(by_class, "k int, n long, v long").groupBy("k").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect()}
     n, v = sum(x for x, _ in sizes.values()), sum(x for _, x in sizes.values())
     log_sizes = np.log10([float(sum(sizes.get(k, (0, 0)))) + 1.0 for k in range(CLASSES)])
-    weights = np.zeros((ROWS + 1, CLASSES), np.float32)
+    weights = np.zeros((table_rows(weight_rows(int(n))), WIDTH), np.float32)
     for _ in range(rounds):
         weights = train_round(train, weights, singles)
     shared = spark.sparkContext.broadcast(Model(weights, singles, log_sizes, hashes, c))
