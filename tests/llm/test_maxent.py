@@ -62,3 +62,26 @@ def test_commonest_words_are_the_single_classes(spark, monkeypatch):
     score_texts(df, rounds=1).collect()
     hashed = lambda w: maxent.hash_words_and_tails(*maxent.text_bytes(pa.array([w])), maxent.SPACED_LOWER)[0][0]
     assert set(got[0]) == {hashed(f"w{i}") for i in range(80 - maxent.SINGLES + 2, 81)} | {np.uint64(maxent.END)}
+
+
+def test_scores_do_not_follow_the_shuffle(spark):
+    df = spark.createDataFrame([(d, " ".join(f"w{(d * i) % (17 + d % 5)}" for i in range(40 + d % 9))) for d in range(90)], "doc_id long, text string").repartition(3).cache()
+    before, seen = spark.conf.get("spark.sql.shuffle.partitions"), []
+    try:
+        for n in (2, 7, 41):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            seen.append({r.doc_id: (round(r.base_score, 9), round(r.score, 9)) for r in score_texts(df).collect()})
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert seen[0] == seen[1] == seen[2] and len(seen[0]) == 90
+
+
+def test_weight_rows_follow_the_tokens():
+    assert maxent.weight_rows(0) == maxent.LEAST_ROWS and maxent.weight_rows(10**15) == maxent.MOST_ROWS
+    assert maxent.weight_rows(1 << 27) == (1 << 27) // maxent.TOKENS_A_ROW
+
+
+def test_long_text(spark):
+    long = "a b c d e " * 120_000
+    r = score_texts(spark.createDataFrame([(0, long), (1, "a b")], "doc_id long, text string")).where("doc_id = 0").first()
+    assert r.n_tokens == 600_001 and math.isfinite(r.score)
