@@ -9,11 +9,18 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: Characters that NFKC leaves alone wherever they stand: most of Latin, Greek, Cyrillic, kana, CJK and common signs.
+_SETTLED = r"\x00-\x7F\u00A1-\u00A7\u00A9\u00AB-\u00AE\u00B0\u00B1\u00B6\u00B7\u00BB\u00BF-\u0131\u0134-\u013E\u0141-\u0148\u014A-\u017E\u0391-\u03CE\u0400-\u0482\u048A-\u052F\u2013\u2014\u2018-\u201E\u2020-\u2022\u20AC\u3001-\u3029\u3041-\u3096\u30A1-\u30FA\u3400-\u4DBF\u4E00-\u9FFF"
+_CJK = "\u3400-\u4DBF\u4E00-\u9FFF"
+
+
 def nfkc(text: Column) -> Column:
+    """Unicode's compatible composed form; only texts with a character that it may change leave the JVM."""
+
     def run(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
 
-    return F.pandas_udf(run, "string")(text)
+    return F.coalesce(F.pandas_udf(run, "string")(F.when(text.rlike(f"[^{_SETTLED}]"), text)), text)
 
 
 def _folded(text: Column) -> Column:
@@ -36,11 +43,14 @@ def _is_ascii(text: Column) -> Column:
     return ~text.rlike(r"[^\x00-\x7F]")
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def tokens(text: Column) -> Column:
-    """Lower-case words of a-z, 0-9 and _, then each CJK run's characters and bigrams; null has none."""
-    low = F.lower(text)
-    words = F.regexp_extract_all(low, F.lit("[a-z0-9_]+"), F.lit(0))
-    runs = F.regexp_extract_all(low, F.lit("[一-鿿]+"), F.lit(0))
+    """NFKC, lower case, words of a-z, 0-9 and _, then each CJK run's characters and bigrams; null has none."""
+    found = F.regexp_extract_all(F.lower(nfkc(text)), F.lit(f"[a-z0-9_]+|[{_CJK}]+"), F.lit(0))
 
     def of_run(run: Column) -> Column:
         n = F.length(run)
@@ -48,8 +58,11 @@ def tokens(text: Column) -> Column:
         double = F.when(n > 1, F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.substring(run, i, F.lit(2)))).otherwise(F.array().cast("array<string>"))
         return F.concat(single, double)
 
-    cjk = F.flatten(F.transform(runs, of_run))
-    return F.coalesce(F.when(text.rlike("[一-鿿]"), F.concat(words, cjk)).otherwise(words), F.array().cast("array<string>"))
+    def mixed(all_: Column) -> Column:
+        is_run = lambda w: w.rlike(f"^[{_CJK}]")
+        return F.when(F.exists(all_, is_run), F.concat(F.filter(all_, lambda w: ~is_run(w)), F.flatten(F.transform(F.filter(all_, is_run), of_run)))).otherwise(all_)
+
+    return F.coalesce(_let(found, mixed), F.array().cast("array<string>"))
 
 
 def alias_key(text: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions.text import tokens
+from docloom.sources.shared import cut
 
 # BM25 and fusion constants, and how many hits each ranking keeps.
 K1, B, RRF = 1.5, 0.75, 60
@@ -19,10 +20,19 @@ def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+def tokenised(chunks: DataFrame) -> DataFrame:
+    """kb_id, chunk_id, w (tokens) and len of chunks (kb_id, chunk_id, text)."""
+    return chunks.select("kb_id", "chunk_id", tokens(F.col("text")).alias("w")).withColumn("len", F.size("w"))
+
+
+def _exploded(words: DataFrame) -> DataFrame:
+    """kb_id, chunk_id, len, token; the outer form keeps the tokeniser from being repeated in a filter of empty arrays."""
+    return words.select("kb_id", "chunk_id", "len", F.explode_outer("w").alias("token")).where("token is not null")
+
+
 def postings(chunks: DataFrame) -> DataFrame:
     """kb_id, chunk_id, token, tf, len of chunks (kb_id, chunk_id, text); len counts all tokens."""
-    words = chunks.select("kb_id", "chunk_id", tokens(F.col("text")).alias("w")).withColumn("len", F.size("w"))
-    return words.select("kb_id", "chunk_id", "len", F.explode("w").alias("token")).groupBy("kb_id", "chunk_id", "token", "len").agg(F.count("*").alias("tf"))
+    return _exploded(tokenised(chunks)).groupBy("kb_id", "chunk_id", "token", "len").agg(F.count("*").alias("tf"))
 
 
 def document_frequency(posts: DataFrame) -> DataFrame:
@@ -31,7 +41,11 @@ def document_frequency(posts: DataFrame) -> DataFrame:
 
 def scope_statistics(chunks: DataFrame) -> DataFrame:
     """kb_id, n chunks and mean length, at least 1."""
-    return chunks.select("kb_id", F.size(tokens(F.col("text"))).alias("len")).groupBy("kb_id").agg(F.count("*").alias("n"), F.greatest(F.avg("len"), F.lit(1.0)).alias("avg_len"))
+    return _statistics(tokenised(chunks))
+
+
+def _statistics(words: DataFrame) -> DataFrame:
+    return words.groupBy("kb_id").agg(F.count("*").alias("n"), F.greatest(F.avg("len"), F.lit(1.0)).alias("avg_len"))
 
 
 def rank_key(score: Column) -> Column:
@@ -48,20 +62,22 @@ def top_k(scored: DataFrame, k: int | Column, by: str = "score", over: tuple[str
 def bm25(chunks: DataFrame, queries: DataFrame) -> DataFrame:
     """query_id, kb_id, chunk_id, score > 0, for queries (query_id, kb_id, text).
 
-    Only postings of query terms are scored: the terms are met right behind the tokeniser, so a common
-    token that no query asks for is never shuffled.
+    Chunks and queries are tokenised once and written. Only postings of query terms are scored: the terms
+    are met before any shuffle, so a common token that no query asks for is never moved.
     """
-    asked = queries.select("query_id", "kb_id", F.explode(tokens(F.col("text"))).alias("token")).groupBy("query_id", "kb_id", "token").agg(F.count("*").alias("qtf"))
-    wanted = small_side(asked.select("kb_id", "token").distinct())
-    words = chunks.select("kb_id", "chunk_id", tokens(F.col("text")).alias("w")).withColumn("len", F.size("w"))
-    hit = words.select("kb_id", "chunk_id", "len", F.explode("w").alias("token")).join(wanted, ["kb_id", "token"], "left_semi")
-    hit = hit.groupBy("kb_id", "chunk_id", "token", "len").agg(F.count("*").alias("tf"))
+    words = cut(tokenised(chunks))
+    asked = _exploded(tokenised(queries.withColumnRenamed("query_id", "chunk_id"))).groupBy(F.col("chunk_id").alias("query_id"), "kb_id", "token").agg(F.count("*").alias("qtf"))
+    asked = cut(asked)
+    few = asked.count() <= BROADCAST_ROWS  # terms of the query set, and so of all that is derived from them
+    side = F.broadcast if few else lambda x: x
+    hit = _exploded(words).join(side(asked.select("kb_id", "token").distinct()), ["kb_id", "token"], "left_semi")
+    hit = cut(hit.groupBy("kb_id", "chunk_id", "token", "len").agg(F.count("*").alias("tf")))
     df = document_frequency(hit)
-    terms = asked.join(df, ["kb_id", "token"]).join(F.broadcast(scope_statistics(chunks)), "kb_id")
+    terms = asked.join(df, ["kb_id", "token"]).join(_statistics(words), "kb_id")
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     terms = terms.select("query_id", "kb_id", "token", (idf * F.col("qtf")).alias("weight"), "avg_len")
     part = F.col("weight") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
-    return hit.join(small_side(terms), ["kb_id", "token"]).groupBy("query_id", "kb_id", "chunk_id").agg(F.sum(part).alias("score")).where("score > 0")
+    return hit.join(side(terms), ["kb_id", "token"]).groupBy("query_id", "kb_id", "chunk_id").agg(F.sum(part).alias("score")).where("score > 0")
 
 
 def _dot(a: Column, b: Column) -> Column:

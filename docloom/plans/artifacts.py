@@ -44,9 +44,10 @@ def a7_purge(spark, sf):
 
 
 def a8_without_secrets(spark, sf):
-    e = table(spark, sf, "events").select("event_id", F.struct("event_type", F.col("props").alias("client_secret"), F.col("user_id").alias("credential_ref")).alias("settings"), F.create_map(F.lit("access_token"), "props", F.lit("configured"), F.lit("yes")).alias("extra"), F.col("props").alias("api_key"))
+    names = F.create_map(*(x for n in (*A.SECRET_NAMES, " API-Key", "private-key", "my-token-id", "credential-ref", "Configured", "tokens") for x in (F.lit(n), F.col("props"))))
+    e = table(spark, sf, "events").select("event_id", F.struct("event_type", F.col("props").alias("client_secret"), F.col("props").alias("private-key"), F.col("user_id").alias("credential_ref")).alias("settings"), names.alias("extra"), F.col("props").alias("api_key"), F.col("props").alias("bearer"))
     clean = A.without_secrets(e)
-    return clean.select("event_id", F.to_json("settings").alias("settings"), F.to_json("extra").alias("extra"), F.lit(",".join(clean.columns)).alias("columns"))
+    return clean.select("event_id", F.to_json("settings").alias("settings"), F.array_join(F.map_keys("extra"), ",").alias("extra"), F.lit(",".join(clean.columns)).alias("columns"))
 
 
 def a9_latest_snapshot(spark, sf):
@@ -97,7 +98,7 @@ def d5_overlay(spark, sf):
     """Labels as page notes, tables as element notes."""
     l = table(spark, sf, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
     pages = l.select("doc_id", F.lit(1).alias("page"), (F.col("quality") == 1).alias("publishable"), F.when(F.col("toxic") == 1, "toxic").alias("summary"), F.concat(F.lit(" q"), "quality").alias("search_text"), F.array(F.lit("t"), F.lit(""), F.concat(F.lit("x"), "toxic")).alias("tags"))
-    notes = _elements(spark, sf).where("kind = 'table'").select("element_id", (F.col("pos") % 2 == 0).alias("publishable"), F.substring("content", 1, 10).alias("description"), F.lit("same").alias("search_text"), F.array(F.lit("t"), F.lit("table")).alias("tags"))
+    notes = _elements(spark, sf).where("kind = 'table'").select("element_id", (F.col("pos") % 2 == 0).alias("publishable"), F.col("content").alias("description"), F.lit("same").alias("search_text"), F.array(F.lit("t"), F.lit("table")).alias("tags"))
     o = I.overlay(_chunks(spark, sf), pages, notes)
     return o.select("chunk_id", F.md5("text").alias("text_md5"), F.array_join("tags", ",").alias("tags"))
 
@@ -164,7 +165,7 @@ def i7_summary(spark, sf):
 
 
 def i8_tags(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", F.split(F.substring("text", 1, 200), "[,.\n]").alias("tags"))
+    d = table(spark, sf, "documents").select("doc_id", F.split("text", "[,.\n]").alias("tags"))
     return d.select("doc_id", F.md5(F.array_join(I.clean_tags(F.col("tags")), "|")).alias("tags_md5"), F.size(I.clean_tags(F.col("tags"))).cast("long").alias("n"))
 
 
@@ -187,7 +188,7 @@ SQL = {
     "a5_replay": "SELECT doc_id, 1 AS version, CASE WHEN doc_id % 3 = 0 THEN 'todo' WHEN doc_id % 7 = 0 OR doc_id % 11 = 0 THEN 'version_conflict' ELSE 'replay' END AS state FROM documents",
     "a6_canonical_hash": "SELECT n_nationkey, sha256('{\"n_name\":\"' || n_name || '\",\"n_nationkey\":' || n_nationkey || ',\"n_regionkey\":' || n_regionkey || '}') AS sha256 FROM nation",
     "a7_purge": _e("SELECT kb_id, count(*) AS elements FROM el WHERE doc_id % 4 <> 0 GROUP BY 1"),
-    "a8_without_secrets": "SELECT event_id, '{\"event_type\":\"' || event_type || '\",\"credential_ref\":' || user_id || '}' AS settings, '{\"configured\":\"yes\"}' AS extra, 'event_id,settings,extra' AS columns FROM events",
+    "a8_without_secrets": "SELECT event_id, '{\"event_type\":\"' || event_type || '\",\"credential_ref\":' || user_id || '}' AS settings, 'credential-ref,Configured,tokens' AS extra, 'event_id,settings,extra' AS columns FROM events",
     "a9_latest_snapshot": "SELECT user_id AS namespace, max(event_id) AS revision, arg_max(props, event_id) AS payload, arg_max(event_id % 4, event_id) AS schema_version FROM events WHERE event_id % 3 <> 0 AND event_id % 4 IN (1, 2) GROUP BY 1",
     "d1_dangling": _e(f"""WITH {_CH} SELECT DISTINCT chunk_id, 'empty_text' AS code FROM pg WHERE doc_id % 13 = 0 UNION SELECT chunk_id, 'unknown_element' FROM pg WHERE pos % 6 = 5
       UNION SELECT chunk_id, 'invalid_asset_lineage' FROM pg WHERE kind = 'table' AND doc_id % 3 = 0"""),
@@ -200,7 +201,7 @@ SQL = {
     "d5_overlay": _e(f"""WITH {_CH}, l AS (SELECT doc_id, max(quality) AS q, max(toxic) AS t FROM labels GROUP BY 1),
       c AS (SELECT doc_id, chunk_id, any_value(page) AS page, string_agg(content, chr(10) ORDER BY pos) AS text FROM pg GROUP BY 1, 2),
       n AS (SELECT chunk_id, 0 AS lv, 0 AS pl, '[page summary] ' || CASE WHEN t = 1 THEN 'toxic' ELSE '' END AS a, '[page search] q' || q AS b, 'x' || t AS tag FROM c JOIN l USING (doc_id) WHERE page = 1 AND q = 1
-        UNION ALL SELECT chunk_id, 1, pos, '[element description] ' || trim(content[1:10]), '[element search] same', 'table' FROM pg WHERE kind = 'table' AND pos % 2 = 0),
+        UNION ALL SELECT chunk_id, 1, pos, '[element description] ' || trim(content), '[element search] same', 'table' FROM pg WHERE kind = 'table' AND pos % 2 = 0),
       li AS (SELECT chunk_id, line, min((lv, pl, k)) AS o FROM (SELECT chunk_id, lv, pl, 0 AS k, a AS line FROM n UNION ALL SELECT chunk_id, lv, pl, 1, b FROM n) GROUP BY 1, 2),
       ls AS (SELECT chunk_id, string_agg(line, chr(10) ORDER BY o) AS s FROM li GROUP BY 1),
       ta AS (SELECT chunk_id, 't,' || string_agg(tag, ',' ORDER BY o) AS tags FROM (SELECT chunk_id, tag, min((lv, pl)) AS o FROM n GROUP BY 1, 2) GROUP BY 1)
@@ -216,6 +217,6 @@ SQL = {
     "i5_echo": _e(f"WITH {_ACC} SELECT element_id, publishable, code FROM acc"),
     "i6_fallback": _e(f"WITH {_ACC} SELECT element_id, md5(content) AS text_md5 FROM acc WHERE NOT publishable"),
     "i7_summary": _e(f"WITH {_ACC} SELECT doc_id, count(*) AS eligible, count(*) FILTER (publishable) AS enriched, count(*) FILTER (NOT publishable) AS pending, bool_and(publishable) AS fully_enriched FROM acc GROUP BY 1"),
-    "i8_tags": r"""WITH t AS (SELECT doc_id, unnest(string_split_regex(text[1:200], '[,.\n]')) AS t, unnest(range(0, len(string_split_regex(text[1:200], '[,.\n]')))) AS pl FROM documents), u AS (SELECT doc_id, trim(t) AS t, min(pl) AS pl FROM t WHERE trim(t) <> '' GROUP BY 1, 2)
+    "i8_tags": r"""WITH t AS (SELECT doc_id, unnest(string_split_regex(text, '[,.\n]')) AS t, unnest(range(0, len(string_split_regex(text, '[,.\n]')))) AS pl FROM documents), u AS (SELECT doc_id, trim(t) AS t, min(pl) AS pl FROM t WHERE trim(t) <> '' GROUP BY 1, 2)
       SELECT d.doc_id, md5(coalesce(string_agg(t, '|' ORDER BY pl), '')) AS tags_md5, count(t) AS n FROM documents d LEFT JOIN u ON u.doc_id = d.doc_id GROUP BY d.doc_id""",
 }

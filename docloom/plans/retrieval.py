@@ -1,4 +1,4 @@
-"""Retrieval queries: benchmark texts and some vectors as queries, languages as knowledge bases."""
+"""Retrieval queries: all benchmark texts, and the vectors with ids divisible by 100, as queries; languages as knowledge bases."""
 
 from __future__ import annotations
 
@@ -21,13 +21,13 @@ def _dense_chunks(spark: SparkSession, sf: str) -> DataFrame:
 
 def _queries(spark: SparkSession, sf: str) -> DataFrame:
     kbs = table(spark, sf, "documents").select(F.col("lang").alias("kb_id")).where("lang is not null").distinct()
-    return table(spark, sf, "benchmark").where("item_id < 20").select(F.col("item_id").alias("query_id"), "text").join(F.broadcast(kbs))
+    return table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text").join(F.broadcast(kbs))
 
 
 def _vectors(spark: SparkSession, sf: str) -> DataFrame:
-    """A stated query set: the vectors with ids below 20, one for each query, in every knowledge base."""
+    """The stated query set, in every knowledge base; the n-th of its vectors belongs to text query n."""
     kbs = table(spark, sf, "documents").select(F.col("lang").alias("kb_id")).where("lang is not null").distinct()
-    return table(spark, sf, "embeddings").where("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")).join(F.broadcast(kbs))
+    return table(spark, sf, "embeddings").where("vec_id % 100 = 0").select(F.expr("vec_id div 100").alias("query_id"), F.col("embedding").alias("vector")).join(F.broadcast(kbs))
 
 
 def e1_tokens(spark, sf):
@@ -119,7 +119,7 @@ def e15_citation(spark, sf):
 _TOK = r"coalesce(regexp_extract_all(lower(text), '[a-z0-9_]+'), [])"
 _BASE = rf"""
 ch AS (SELECT lang AS kb_id, doc_id AS chunk_id, doc_id, text, {_TOK} AS w FROM documents),
-q AS (SELECT item_id AS query_id, k.kb_id, {_TOK} AS w FROM benchmark, (SELECT DISTINCT lang AS kb_id FROM documents WHERE lang IS NOT NULL) k WHERE item_id < 20),
+q AS (SELECT item_id AS query_id, k.kb_id, {_TOK} AS w FROM benchmark, (SELECT DISTINCT lang AS kb_id FROM documents WHERE lang IS NOT NULL) k),
 p AS (SELECT kb_id, chunk_id, token, len(any_value(w)) AS l, count(*) AS tf FROM (SELECT kb_id, chunk_id, w, unnest(w) AS token FROM ch) GROUP BY kb_id, chunk_id, token),
 d AS (SELECT kb_id, token, count(*) AS df FROM p GROUP BY ALL),
 s AS (SELECT kb_id, count(*) AS n, greatest(avg(len(w)), 1.0) AS avg_len FROM ch GROUP BY kb_id),
@@ -129,7 +129,7 @@ b AS (
   FROM qt JOIN p USING (kb_id, token) JOIN d USING (kb_id, token) JOIN s USING (kb_id) GROUP BY ALL HAVING score > 0),
 lex AS (SELECT *, row_number() OVER (PARTITION BY query_id, kb_id ORDER BY round(score, 9) DESC, chunk_id)::INTEGER AS rank FROM b QUALIFY rank <= 12)"""
 _DENSE = r"""
-v AS (SELECT vec_id AS query_id, k.kb_id, embedding::DOUBLE[] AS x FROM embeddings, (SELECT DISTINCT lang AS kb_id FROM documents WHERE lang IS NOT NULL) k WHERE vec_id < 20),
+v AS (SELECT vec_id // 100 AS query_id, k.kb_id, embedding::DOUBLE[] AS x FROM embeddings, (SELECT DISTINCT lang AS kb_id FROM documents WHERE lang IS NOT NULL) k WHERE vec_id % 100 = 0),
 cv AS (SELECT lang AS kb_id, doc_id AS chunk_id, embedding::DOUBLE[] AS y FROM documents JOIN embeddings ON vec_id = doc_id),
 cs AS (SELECT query_id, kb_id, chunk_id, list_cosine_similarity(x, y) AS score FROM v JOIN cv USING (kb_id)),
 den AS (SELECT *, row_number() OVER (PARTITION BY query_id, kb_id ORDER BY round(score, 9) DESC, chunk_id)::INTEGER AS rank FROM cs QUALIFY rank <= 12)"""
