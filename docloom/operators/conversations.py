@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Messages kept of a thread, and returned of those.
 KEPT, RETURNED = 100, 20
+#: Fixed value: citations shown with an answer.
+SHOWN = 5
 
 
 def bounded_history(messages: DataFrame, kept: int = KEPT, returned: int = RETURNED) -> DataFrame:
@@ -37,19 +39,24 @@ def flatten_blocks(blocks: DataFrame) -> DataFrame:
 
 
 def pair_turns(messages: DataFrame, default: str = "(no question)") -> DataFrame:
-    """thread_id, turn, question, answer: each assistant message with the last user message since the one before."""
+    """thread_id, turn, question, answer: each assistant message with the last user message since the one before.
+
+    Where messages have citations (array of struct with score), also the first SHOWN of them with relevance = round(100 * score).
+    """
+    shown = F.transform(F.slice("citations", 1, SHOWN), lambda c: c.withField("relevance", F.round(100 * c["score"]).cast("int"))) if "citations" in messages.columns else None
     order = Window.partitionBy("thread_id").orderBy("turn")
     answered = F.count_if(F.col("role") == "assistant").over(order.rowsBetween(Window.unboundedPreceding, -1))
     own = Window.partitionBy("thread_id", "_segment").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
     asked = F.last(F.when(F.col("role") == "user", F.col("text")), ignorenulls=True).over(own)
     told = messages.withColumn("_segment", F.coalesce(answered, F.lit(0))).withColumn("question", F.coalesce(asked, F.lit(default)))
-    return told.where(F.col("role") == "assistant").select("thread_id", "turn", "question", F.col("text").alias("answer"))
+    return told.where(F.col("role") == "assistant").select("thread_id", "turn", "question", F.col("text").alias("answer"), *([] if shown is None else [shown.alias("citations")]))
 
 
-def thread_list(messages: DataFrame) -> DataFrame:
-    """thread_id, messages, last_turn and its place by last update, newest first."""
-    n = messages.groupBy("thread_id").agg(F.count("*").alias("messages"), F.max("turn").alias("last_turn"))
-    return n
+def thread_list(threads: DataFrame, messages: DataFrame) -> DataFrame:
+    """kb_id, thread_id, messages, updated_at of the active threads (thread_id, kb_id, active, updated_at), newest update first within their knowledge base."""
+    n = messages.groupBy("thread_id").agg(F.count("*").alias("messages"))
+    listed = threads.where("active").join(n, "thread_id", "left").select("kb_id", "thread_id", F.coalesce("messages", F.lit(0)).alias("messages"), "updated_at")
+    return listed.orderBy("kb_id", F.desc("updated_at"), "thread_id")
 
 
 def element_kind(element_id):

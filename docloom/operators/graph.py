@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docloom.functions.text import alias_key
 from docloom.sources.shared import cut
 
 # Keywords of communities, tried in this order.
@@ -18,16 +19,38 @@ COMMUNITIES = (
 MAX_HOPS = 2
 
 
+ASSET_KINDS = ("figure", "table", "formula")
+
+
+def _ends(elements: DataFrame) -> dict[str, Column]:
+    asset = F.col("kind").isin(*ASSET_KINDS)
+    return {
+        "document": F.concat(F.lit("document:"), "doc_id"), "page": F.concat_ws(":", F.lit("page"), "doc_id", "page"), "chunk": F.concat(F.lit("chunk:"), "chunk_id"),
+        "element": F.concat(F.when(asset, "asset:").otherwise("element:"), "element_id"),
+    }
+
+
 def structural_edges(elements: DataFrame) -> DataFrame:
-    """document - page - element CONTAINS edges of elements (doc_id, page, element_id)."""
-    doc, page, element = F.concat(F.lit("document:"), "doc_id"), F.concat_ws(":", F.lit("page"), "doc_id", "page"), F.concat(F.lit("element:"), "element_id")
-    pages = elements.select("doc_id", "page").distinct().select("doc_id", doc.alias("source"), page.alias("target"))
-    return pages.unionByName(elements.select("doc_id", page.alias("source"), element.alias("target"))).withColumn("relation", F.lit("CONTAINS"))
+    """document - page - chunk - element CONTAINS edges of elements (doc_id, page, chunk_id, element_id, kind); figures, tables and formulas are assets."""
+    id_ = _ends(elements)
+    pairs = (("document", "page", ("page",)), ("page", "chunk", ("page", "chunk_id")), ("chunk", "element", ("page", "chunk_id", "element_id", "kind")))
+    levels = [elements.select("doc_id", id_[up].alias("source"), id_[down].alias("target"), F.lit("CONTAINS").alias("relation")).distinct() for up, down, _ in pairs]
+    return levels[0].unionByName(levels[1]).unionByName(levels[2])
+
+
+def structural_nodes(elements: DataFrame, label: int = 100) -> DataFrame:
+    """doc_id, id, kind, label of documents, pages, chunks and elements; an element's label is the start of its content, a chunk's that of its first element."""
+    id_ = _ends(elements)
+    plain = lambda what, text: elements.select("doc_id", id_[what].alias("id"), F.lit(what).alias("kind"), text.alias("label")).distinct()
+    first = elements.groupBy("doc_id", id_["chunk"].alias("id")).agg(F.min_by("content", "pos").alias("label"))
+    chunks = first.select("doc_id", "id", F.lit("chunk").alias("kind"), F.substring("label", 1, label).alias("label"))
+    own = elements.select("doc_id", id_["element"].alias("id"), F.when(F.col("kind").isin(*ASSET_KINDS), "asset").otherwise("element").alias("kind"), F.substring("content", 1, label).alias("label"))
+    return plain("document", F.col("doc_id").cast("string")).unionByName(plain("page", F.concat_ws(" ", F.lit("page"), "page"))).unionByName(chunks).unionByName(own)
 
 
 def claim_edges(claims: DataFrame) -> DataFrame:
-    """HAS_CLAIM and SUPPORTED_BY edges of claims (doc_id, subject, statement, evidence): a claim is named by subject and statement."""
-    claim = F.concat(F.lit("claim:"), F.substring(F.sha2(F.concat_ws("\u001f", "subject", "statement"), 256), 1, 24))
+    """HAS_CLAIM and SUPPORTED_BY edges of claims (doc_id, subject, statement, evidence): a claim is named by subject and the statement's alias."""
+    claim = F.concat(F.lit("claim:"), F.substring(F.sha2(F.concat_ws("\u001f", "subject", alias_key(F.col("statement"))), 256), 1, 24))
     c = claims.withColumn("claim", claim)
     has = c.select("doc_id", F.col("subject").alias("source"), F.col("claim").alias("target"), F.lit("HAS_CLAIM").alias("relation"), F.lit(True).alias("semantic"))
     return has.union(c.select("doc_id", F.col("claim"), F.explode("evidence"), F.lit("SUPPORTED_BY"), F.lit(False))).distinct()
@@ -48,20 +71,50 @@ def mention_edges(mentions: DataFrame) -> DataFrame:
 
 
 def merge_edges(edges: DataFrame) -> DataFrame:
-    """One row per edge id: ends and relation of the first contribution, evidence of all, semantic if any is."""
+    """One row per edge id: ends and relation of the first contribution, properties (if edges have them) of the last, evidence of all, semantic if any is."""
+    last = [F.max_by("properties", "doc_id").alias("properties")] if "properties" in edges.columns else []
     return edges.groupBy("id").agg(
         F.min_by("source", "doc_id").alias("source"), F.min_by("target", "doc_id").alias("target"), F.min_by("relation", "doc_id").alias("relation"),
-        F.sort_array(F.array_distinct(F.flatten(F.collect_list("evidence")))).alias("evidence"), F.bool_or("semantic").alias("semantic"), F.count_distinct("doc_id").alias("contributions"),
+        F.sort_array(F.array_distinct(F.flatten(F.collect_list("evidence")))).alias("evidence"), F.bool_or("semantic").alias("semantic"), F.count_distinct("doc_id").alias("contributions"), *last,
     )
 
 
-def violations(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """id, code: node ids given twice, edges without one of their nodes, semantic edges without evidence."""
+def violations(nodes: DataFrame, edges: DataFrame, catalogue: DataFrame | None = None) -> DataFrame:
+    """id, code: node ids given twice, edges without one of their nodes, semantic edges without evidence.
+
+    Where edges have a kb_id, also edges whose source is of another knowledge base; with a catalogue (evidence,
+    doc_id), also edges with evidence of another document than their own.
+    """
     ids = nodes.select("id")
     lost = lambda end: edges.join(ids.withColumnRenamed("id", end), end, "left_anti").select("id", F.lit(f"missing_{end}").alias("code"))
     twice = nodes.groupBy("kb_id", "id").agg(F.count("*").alias("c")).where("c > 1").select("id", F.lit("duplicate_node").alias("code"))
     bare = edges.where(F.col("semantic") & (F.size("evidence") == 0)).select("id", F.lit("no_evidence").alias("code"))
-    return twice.union(lost("source")).union(lost("target")).union(bare).distinct()
+    found = twice.union(lost("source")).union(lost("target")).union(bare)
+    if "kb_id" in edges.columns:
+        home = nodes.select(F.col("id").alias("source"), F.col("kb_id").alias("_home"))
+        found = found.union(edges.join(home, "source").where("kb_id <> _home").select("id", F.lit("other_knowledge_base").alias("code")))
+    if catalogue is not None:
+        own = edges.select("id", "doc_id", F.explode("evidence").alias("evidence")).join(catalogue.select("evidence", F.col("doc_id").alias("_of")), "evidence")
+        found = found.union(own.where("doc_id <> _of").select("id", F.lit("foreign_evidence").alias("code")))
+    return found.distinct()
+
+
+def commit_contributions(stored: DataFrame, batch: DataFrame, committed: DataFrame, versions: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows, versions and conflicts after the documents of ``committed`` (kb_id, doc_id, expected_version) are written.
+
+    The (kb_id, doc_id) slice of a committed document is replaced by its rows of the batch, none included; each
+    commit adds 1 to its knowledge base's version. A commit that expects another version (null expects none) is
+    a conflict and changes nothing.
+    """
+    now = versions.select("kb_id", F.col("version").alias("_now"))
+    asked = committed.join(now, "kb_id", "left").withColumn("_now", F.coalesce("_now", F.lit(0)))
+    fits = F.col("expected_version").isNull() | (F.col("expected_version") == F.col("_now"))
+    conflicts = asked.where(~fits).select("kb_id", "doc_id", F.lit("graph_version_conflict").alias("code"), F.col("_now").alias("version"))
+    slices = asked.where(fits).select("kb_id", "doc_id").distinct()
+    rows = stored.join(slices, ["kb_id", "doc_id"], "left_anti").unionByName(batch.join(slices, ["kb_id", "doc_id"], "left_semi"))
+    added = slices.groupBy("kb_id").agg(F.count("*").alias("_n"))
+    after = versions.join(added, "kb_id", "full_outer").select("kb_id", (F.coalesce("version", F.lit(0)) + F.coalesce("_n", F.lit(0))).cast("long").alias("version"))
+    return rows, after, conflicts
 
 
 def snapshot_nodes(contributions: DataFrame, edges: DataFrame) -> DataFrame:
@@ -126,8 +179,11 @@ def local_subgraph(edges: DataFrame, seeds: DataFrame, hops: int, limit: int) ->
 
 
 def text_filter(nodes: DataFrame, edges: DataFrame, text: str) -> DataFrame:
-    """Nodes whose label holds the text, and those that an edge joins with one of them."""
-    hit = nodes.where(F.lower("label").contains(text.lower())).select("id")
+    """Nodes whose label or properties (if nodes have them) hold the text, whatever its case, and those that an edge joins with one of them."""
+    holds = F.lower("label").contains(text.lower())
+    if "properties" in nodes.columns:
+        holds = holds | F.coalesce(F.lower(F.to_json("properties")).contains(text.lower()), F.lit(False))
+    hit = nodes.where(holds).select("id")
     near = both_ways(edges).join(hit.withColumnRenamed("id", "node"), "node", "left_semi").select(F.col("other").alias("id"))
     return nodes.join(hit.union(near).distinct(), "id", "left_semi")
 
@@ -169,8 +225,8 @@ def importance(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """kb_id, id, degree, root, importance, core; the root of a knowledge base has the highest boosted degree."""
     d = nodes.join(degree(edges), "id", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
     boosted = F.col("degree") * 3 + F.when(F.col("label").rlike("(?i)deepagents|deep agents"), 120).otherwise(0)
-    first = Window.partitionBy("kb_id").orderBy(F.desc("_s"), "id")
-    d = d.withColumn("_s", boosted).withColumn("root", F.row_number().over(first) == 1)
+    roots = d.groupBy("kb_id").agg(F.min(F.struct((-boosted).alias("s"), "id")).alias("_r")).select("kb_id", F.col("_r.id").alias("_root"))  # one row a knowledge base
+    d = d.join(roots, "kb_id").withColumn("root", F.col("id") == F.col("_root"))
     value = F.least(F.lit(10.0), F.log2(F.col("degree") + 1) * 2.2 + F.when(F.col("root"), 5.0).otherwise(0.0) + F.when(F.col("kind") == "wiki", 1.5).otherwise(0.0))
     return d.select("kb_id", "id", "degree", "root", value.alias("importance"), (F.col("root") | (value >= 6.8)).alias("core"))
 

@@ -93,10 +93,27 @@ def embed(chunks: DataFrame, embedder: Callable[[list[str]], list[list[float]]],
 
 
 def index_mode(chunks: DataFrame, vectors: DataFrame) -> DataFrame:
-    """kb_id, chunks, vectors, mode: hybrid where every chunk has a vector, else lexical-only."""
+    """kb_id, chunks, vectors, mode and reason: hybrid where every chunk has a vector, else lexical-only because of no vectors at all or missing ones."""
     both = chunks.join(vectors.select("chunk_id", F.lit(1).alias("_v")).distinct(), "chunk_id", "left")
     n = both.groupBy("kb_id").agg(F.count("*").alias("chunks"), F.count("_v").alias("vectors"))
-    return n.withColumn("mode", F.when(F.col("vectors") == F.col("chunks"), "hybrid").otherwise("lexical-only"))
+    whole = F.col("vectors") == F.col("chunks")
+    reason = F.when(whole, None).when(F.col("vectors") == 0, "no_vectors").otherwise("missing_vectors")
+    return n.withColumn("mode", F.when(whole, "hybrid").otherwise("lexical-only")).withColumn("reason", reason)
+
+
+#: The parts of an index's identity.
+IDENTITY = ("schema_version", "compiler_manifest_key", "source_sha256", "compiler_config_hash", "document_title", "semantic_fingerprint", "index_signature", "mode", "dimensions")
+
+
+def load_violations(indexes: DataFrame, payloads: DataFrame, signature: str) -> DataFrame:
+    """doc_id, code of indexes (doc_id, sha256, mode, index_signature) that must not be loaded.
+
+    Their payload (doc_id, sha256) is missing or has another hash, or they are hybrid and of another
+    signature than the queries' embedder.
+    """
+    both = indexes.join(payloads.select("doc_id", F.col("sha256").alias("_p")), "doc_id", "left")
+    code = F.when(F.col("_p").isNull(), "payload_missing").when(F.col("_p") != F.col("sha256"), "payload_hash_mismatch").when((F.col("mode") == "hybrid") & ~F.col("index_signature").eqNullSafe(F.lit(signature)), "embedding_signature_mismatch")
+    return both.select("doc_id", code.alias("code")).where("code is not null")
 
 
 def eligible(elements: DataFrame) -> DataFrame:
@@ -110,7 +127,11 @@ def enriched_pages(elements: DataFrame, most: int = ENRICHED_PAGES) -> DataFrame
 
 
 def fingerprint():
-    return F.sha2(F.concat_ws("\u001f", "version", "doc_id", "page", "element_id", "kind", "content"), 256)
+    """Of version, lineage (document, page, element, box to 6 decimals), kind, content and the asset's bytes; a null part is told from an empty one."""
+    box = [F.round(c, 6) for c in ("x0", "y0", "x1", "y1")]
+    lineage = F.to_json(F.struct("version", "doc_id", "page", "element_id", F.array(*box).alias("bbox")), {"ignoreNullFields": "false"})
+    part = lambda c: F.coalesce(c, F.lit("\u0000"))
+    return F.sha2(F.concat_ws("\u001f", lineage, part(F.col("kind")), part(F.col("content")), part(F.sha2(F.col("asset"), 256))), 256)
 
 
 def reuse(work: DataFrame, cache: DataFrame) -> DataFrame:
@@ -123,9 +144,10 @@ def reuse(work: DataFrame, cache: DataFrame) -> DataFrame:
 
 def accept(work: DataFrame, outputs: DataFrame) -> DataFrame:
     """element_id, publishable, search_text, code: outputs that echo their element's lineage, the element's own text for others."""
-    o = outputs.select("element_id", F.struct("doc_id", "version", "page").alias("_echo"), F.col("search_text").alias("_text"))
+    echo = F.struct("doc_id", "version", "page", *(F.round(c, 6).alias(c) for c in ("x0", "y0", "x1", "y1")))
+    o = outputs.select("element_id", echo.alias("_echo"), F.col("search_text").alias("_text"))
     both = work.join(o, "element_id", "left")
-    good = F.col("_echo").eqNullSafe(F.struct("doc_id", "version", "page"))
+    good = F.col("_echo").eqNullSafe(echo)
     return both.select("element_id", "doc_id", good.alias("publishable"), F.when(good, F.col("_text")).otherwise(F.col("content")).alias("search_text"), F.when(good, None).when(F.col("_echo").isNull(), "pending").otherwise("lineage_mismatch").alias("code"))
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docloom.sources.shared import cut
+
 # Error codes after which a job may run again.
 RETRYABLE_CODES = (
     "connection_error", "graph_extraction_unavailable", "ocr_timeout", "ocr_unavailable", "process_restarted", "provider_unavailable", "rate_limited", "service_unavailable", "temporary_failure",
@@ -47,6 +49,34 @@ def interrupt(jobs: DataFrame) -> DataFrame:
     })
 
 
+def interrupted_documents(documents: DataFrame, jobs: DataFrame) -> DataFrame:
+    """After a restart: documents with a queued or running job have failed."""
+    open_ = jobs.where(F.col("status").isin("queued", "running") & F.col("doc_id").isNotNull()).select("doc_id", F.lit("failed").alias("_failed")).distinct()
+    return documents.join(open_, "doc_id", "left").withColumn("status", F.coalesce("_failed", "status")).drop("_failed")
+
+
+def library_totals(documents: DataFrame, name: str | None = None, status: str | None = None) -> DataFrame:
+    """kb_id, documents, pages, assets of documents (kb_id, name, status, pages, assets) whose name holds ``name``, whatever its case, and of one status if asked."""
+    some = documents if name is None else documents.where(F.lower("name").contains(name.lower()))
+    some = some if status is None else some.where(F.col("status") == status)
+    return some.groupBy("kb_id").agg(F.count("*").alias("documents"), F.sum("pages").alias("pages"), F.sum("assets").alias("assets"))
+
+
+def newest_first(jobs: DataFrame) -> DataFrame:
+    """``jobs`` with their ``place`` by time within their knowledge base, newest first.
+
+    Rows are sorted by range over all tasks and numbered in each; only counts per task and knowledge base meet,
+    so a knowledge base with most of the jobs is no single task.
+    """
+    order = [F.col("kb_id"), F.desc("created_at"), F.desc("job_id")]
+    dealt = cut(jobs.repartitionByRange(*order).withColumn("_task", F.spark_partition_id()))
+    inside = F.row_number().over(Window.partitionBy("kb_id", "_task").orderBy(*order[1:]))
+    counts = dealt.groupBy("kb_id", "_task").agg(F.count("*").alias("_n"))
+    before = counts.select("kb_id", "_task", (F.sum("_n").over(Window.partitionBy("kb_id").orderBy("_task")) - F.col("_n")).alias("_before"))
+    numbered = dealt.withColumn("_at", inside).withColumnRenamed("kb_id", "_kb").join(before, F.col("_kb").eqNullSafe(F.col("kb_id")) & (dealt["_task"] == before["_task"]))
+    return numbered.withColumn("place", (F.col("_before") + F.col("_at")).cast("int")).select("job_id", F.col("_kb").alias("kb_id"), "place")
+
+
 def backfill_pages(documents: DataFrame, jobs: DataFrame) -> DataFrame:
     """doc_id, page_count: from the newest succeeded job where that says more than 0."""
     newest = jobs.where((F.col("status") == "succeeded") & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max_by("pages", F.struct("created_at", "job_id")).alias("pages"))
@@ -75,6 +105,13 @@ def latest_index(jobs: DataFrame, documents: DataFrame) -> DataFrame:
     return done.groupBy("doc_id").agg(F.max_by("result", F.struct("created_at", "job_id")).alias("result"), F.count("*").alias("versions"))
 
 
+def empty_work(knowledge_bases: DataFrame, documents: DataFrame) -> DataFrame:
+    """kb_id, code of knowledge bases whose rebuild cannot run (no document that is not archived) or comes to nothing (none is ready)."""
+    n = documents.where(~F.col("archived")).groupBy("kb_id").agg(F.count("*").alias("n"), F.count_if(F.col("status") == "ready").alias("ready"))
+    code = F.when(F.col("n").isNull(), "knowledge_base_empty").when(F.col("ready") == 0, "document_compilation_failed")
+    return knowledge_bases.join(n, "kb_id", "left").select("kb_id", code.alias("code")).where("code is not null")
+
+
 def work_list(documents: DataFrame) -> DataFrame:
     """doc_id, step: not archived and not ready are compiled, ready ones go to the graph."""
     return documents.where(~F.col("archived")).select("doc_id", F.when(F.col("status") == "ready", "graph").otherwise("compile").alias("step"))

@@ -116,10 +116,18 @@ def reading_order(elements: DataFrame) -> DataFrame:
     return elements.withColumn("seq", F.row_number().over(order))
 
 
+def _places(elements: DataFrame) -> list[Column]:
+    if "x0" not in elements.columns:
+        return []
+    corners = F.array(*(F.array(x, y) for x, y in (("x0", "y0"), ("x1", "y0"), ("x1", "y1"), ("x0", "y1"))))
+    polygon = F.coalesce("polygon", corners) if "polygon" in elements.columns else corners
+    return [F.array("x0", "y0", "x1", "y1").alias("bbox"), polygon.alias("polygon")]
+
+
 def assets(elements: DataFrame) -> DataFrame:
-    """asset_id, element_id, doc_id, page, kind, object_key, content_sha256 of figures, tables and formulas."""
+    """asset_id, element_id, doc_id, page, kind, object_key, page_key, bbox, polygon (its corners where elements have none), content_sha256 of figures, tables and formulas."""
     a = elements.where(F.col("kind").isin(*MULTIMODAL)).withColumn("asset_id", stable_id("as", F.col("element_id"), F.col("kind")))
-    return a.select("asset_id", "element_id", "doc_id", "page", "kind", F.concat_ws("/", F.lit("assets"), "doc_id", "asset_id").alias("object_key"), F.sha2("content", 256).alias("content_sha256"))
+    return a.select("asset_id", "element_id", "doc_id", "page", "kind", F.concat_ws("/", F.lit("assets"), "doc_id", "asset_id").alias("object_key"), F.concat_ws("/", F.lit("pages"), "doc_id", "page").alias("page_key"), *_places(elements), F.sha2("content", 256).alias("content_sha256"))
 
 
 def counters(elements: DataFrame) -> DataFrame:

@@ -134,6 +134,7 @@ def remove_documents(index: DataFrame, removed: DataFrame) -> DataFrame:
 
 
 def citations(hits: DataFrame, chunks: DataFrame, excerpt: int = 120) -> DataFrame:
-    """Hits as citations: id, document, title, page, excerpt and score."""
-    own = chunks.select("kb_id", "chunk_id", "doc_id", "title", "page", F.substring("text", 1, excerpt).alias("excerpt"))
-    return hits.join(own, ["kb_id", "chunk_id"]).select("query_id", F.concat(F.lit("citation:"), "chunk_id").alias("citation_id"), "doc_id", "title", "page", "excerpt", "score")
+    """Hits as citations: id, document, title, page, box and element (where chunks have them), excerpt and score."""
+    more = [c for c in ("bbox", "element_id") if c in chunks.columns]
+    own = chunks.select("kb_id", "chunk_id", "doc_id", "title", "page", *more, F.substring("text", 1, excerpt).alias("excerpt"))
+    return hits.join(own, ["kb_id", "chunk_id"]).select("query_id", F.concat(F.lit("citation:"), "chunk_id").alias("citation_id"), "doc_id", "title", "page", *more, "excerpt", "score")

@@ -84,3 +84,26 @@ def page_citations(found: DataFrame, documents: DataFrame) -> DataFrame:
 def stale_documents(graph_docs: DataFrame, index_docs: DataFrame, registered: DataFrame) -> DataFrame:
     """kb_id, doc_id that the graph or the index still has and the knowledge base no longer."""
     return graph_docs.select("kb_id", "doc_id").union(index_docs.select("kb_id", "doc_id")).distinct().join(registered, ["kb_id", "doc_id"], "left_anti")
+
+
+def append_history(history: DataFrame, published: DataFrame) -> DataFrame:
+    """The history with every published record that it does not hold yet, told by page_id and revision; a second run adds nothing."""
+    new = published.select(*history.columns).join(history.select("page_id", "revision"), ["page_id", "revision"], "left_anti")
+    return history.unionByName(new)
+
+
+def find_pages(pages: DataFrame, asked: DataFrame) -> DataFrame:
+    """asked, page_id, slug, title of pages (page_id, slug, title) looked up by id or, where no id matches, by slug; unknown ones have none."""
+    own = pages.select("page_id", "slug", "title")
+    by_id = asked.join(own.withColumn("asked", F.col("page_id")), "asked").withColumn("_way", F.lit(0))
+    by_slug = asked.join(own.withColumn("asked", F.col("slug")), "asked").withColumn("_way", F.lit(1))
+    found = by_id.unionByName(by_slug).groupBy("asked").agg(F.min(F.struct("_way", "page_id", "slug", "title")).alias("p"))
+    return asked.join(found, "asked", "left").select("asked", F.col("p.page_id").alias("page_id"), F.col("p.slug").alias("slug"), F.col("p.title").alias("title"))
+
+
+def cascade(tables: dict[str, DataFrame], documents: DataFrame, knowledge_bases: DataFrame) -> dict[str, DataFrame]:
+    """What is left of tables (kb_id, doc_id, ...) after documents (kb_id, doc_id) and whole knowledge bases (kb_id) are deleted.
+
+    Rows without document, such as a knowledge base's own jobs, go with their knowledge base only.
+    """
+    return {name: t.join(documents.select("kb_id", "doc_id").distinct(), ["kb_id", "doc_id"], "left_anti").join(knowledge_bases.select("kb_id").distinct(), "kb_id", "left_anti") for name, t in tables.items()}

@@ -29,7 +29,7 @@ def _evidence(spark, sf):
 
 def _answers(spark, sf):
     """Assistant turns with citations and blocks that follow from turn_id: some sound, some not."""
-    t = _messages(spark, sf).where("role = 'assistant'").select((F.col("thread_id") * 100 + F.col("turn")).alias("turn_id"), F.substring("text", 1, 20).alias("text"))
+    t = _messages(spark, sf).where("role = 'assistant'").select((F.col("thread_id") * 100 + F.col("turn")).alias("turn_id"), "text")
     t = t.withColumn("m", (F.col("turn_id") % 13).cast("int"))
     m, s = F.col("m"), lambda *x: F.array(*(F.lit(v) for v in x)).cast("array<string>")
     text = F.struct(F.lit("text").alias("type"), F.when(m != 3, F.col("text")).alias("markdown"), F.when(m == 4, F.lit("a0")).cast("string").alias("asset_id"), F.lit(None).cast("string").alias("alt"), F.when(m == 5, s("c9")).when(m == 6, s()).otherwise(s("c1")).alias("citation_ids"))
@@ -97,7 +97,8 @@ def j11_recall(spark, sf):
 
 
 def j12_threads(spark, sf):
-    return C.thread_list(_messages(spark, sf))
+    threads = _messages(spark, sf).groupBy("thread_id").agg((F.max("turn") * 7 % 5 + F.col("thread_id") % 100).alias("updated_at"))
+    return C.thread_list(threads.select("thread_id", (F.col("thread_id") % 3).alias("kb_id"), (F.col("thread_id") % 7 != 0).alias("active"), "updated_at"), _messages(spark, sf))
 
 
 def j13_flatten(spark, sf):
@@ -105,7 +106,10 @@ def j13_flatten(spark, sf):
 
 
 def j14_turns(spark, sf):
-    return C.pair_turns(_messages(spark, sf)).select("thread_id", "turn", F.md5("question").alias("question_md5"), F.md5("answer").alias("answer_md5"))
+    """Each message cites as many places as its turn says, with falling scores."""
+    cited = F.transform(F.sequence(F.lit(0), F.col("turn").cast("int")), lambda i: F.struct(i.alias("place"), (1.0 / (i + 1)).alias("score")))
+    turns = C.pair_turns(_messages(spark, sf).withColumn("citations", cited))
+    return turns.select("thread_id", "turn", "question", "answer", F.array_join(F.transform("citations", lambda c: F.concat_ws("=", c["place"], c["relevance"])), ",").alias("citations"))
 
 
 def j15_citation_kind(spark, sf):
@@ -117,7 +121,7 @@ QUERIES = {f.__name__: f for f in (
     j1_audit, j2_citation_order, j3_mode_contract, j4_placeholders, j5_ledger, j6_outside_ledger, j7_budget, j8_repeat, j9_history, j10_isolation, j11_recall, j12_threads, j13_flatten, j14_turns, j15_citation_kind,
 )}
 
-_T = "WITH t AS (SELECT conv_id * 100 + turn AS turn_id, ((conv_id * 100 + turn) % 13)::INTEGER AS m, coalesce(text[1:20], '') AS text FROM conversations WHERE role = 'assistant') "
+_T = "WITH t AS (SELECT conv_id * 100 + turn AS turn_id, ((conv_id * 100 + turn) % 13)::INTEGER AS m, coalesce(text, '') AS text FROM conversations WHERE role = 'assistant') "
 _CALLS = "WITH calls AS (SELECT user_id || '-' || day(ts) AS turn_id, event_id AS seq, event_type AS tool, props AS args, event_id AS result, 'citation:' || event_id % 3 AS citation_id, value AS score, 'asset-' || event_id % 4 AS asset FROM events) "
 _LAST = _CALLS + ", last AS (SELECT turn_id, citation_id, arg_max(score, seq) AS score, arg_max(asset, seq) AS asset FROM calls GROUP BY ALL) "
 
@@ -137,11 +141,11 @@ SQL = {
     "j9_history": "SELECT thread_id, turn, role, (row_number() OVER (PARTITION BY thread_id ORDER BY turn))::INTEGER AS seq FROM (SELECT conv_id AS thread_id, turn, role FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 4)",
     "j10_isolation": "SELECT * FROM (SELECT conv_id AS thread_id, (conv_id + CASE WHEN turn = 4 THEN 1 ELSE 0 END) % 10 AS user_id, (conv_id + CASE WHEN turn = 2 THEN 1 ELSE 0 END) % 3 AS kb_id, conv_id % 10 AS owner, conv_id % 3 AS home FROM conversations WHERE role = 'user') WHERE owner <> user_id OR home <> kb_id",
     "j11_recall": "SELECT user_id, event_type AS namespace, json_extract_string(props, '$.k') AS key, arg_max(value, (ts, value)) AS value, count(*) AS versions FROM events GROUP BY 1, 2, 3",
-    "j12_threads": "SELECT conv_id AS thread_id, count(*) AS messages, max(turn) AS last_turn FROM conversations GROUP BY 1",
+    "j12_threads": "SELECT conv_id % 3 AS kb_id, conv_id AS thread_id, count(*) AS messages, max(turn) * 7 % 5 + conv_id % 100 AS updated_at FROM conversations WHERE conv_id % 7 <> 0 GROUP BY conv_id",
     "j13_flatten": """WITH l AS (SELECT conv_id * 1000 + turn AS message_id, unnest(string_split(text, chr(10))) AS line, unnest(range(0, len(string_split(text, chr(10))))) AS seq FROM conversations)
       SELECT message_id, coalesce(string_agg(x, chr(10) || chr(10) ORDER BY seq) FILTER (x <> ''), '') AS text FROM (SELECT *, CASE WHEN seq % 5 = 4 THEN '[figure] ' || line ELSE line END AS x FROM l) GROUP BY message_id""",
     "j14_turns": """WITH a AS (SELECT *, coalesce(count(*) FILTER (role = 'assistant') OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS segment FROM conversations),
       b AS (SELECT *, last_value(CASE WHEN role = 'user' THEN text END IGNORE NULLS) OVER (PARTITION BY conv_id, segment ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS question FROM a)
-      SELECT conv_id AS thread_id, turn, md5(coalesce(question, '(no question)')) AS question_md5, md5(text) AS answer_md5 FROM b WHERE role = 'assistant'""",
+      SELECT conv_id AS thread_id, turn, coalesce(question, '(no question)') AS question, text AS answer, array_to_string(['0=100', '1=50', '2=33', '3=25', '4=20'][1 : turn + 1], ',') AS citations FROM b WHERE role = 'assistant'""",
     "j15_citation_kind": "SELECT CASE WHEN p_partkey % 3 = 0 THEN 'table' WHEN p_partkey % 5 = 0 THEN 'figure' WHEN p_partkey % 7 = 0 THEN 'formula' ELSE 'text' END AS kind, count(*) AS citations FROM part GROUP BY 1",
 }

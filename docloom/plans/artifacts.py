@@ -14,6 +14,32 @@ def _docs(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.lit(1).alias("version"), "lang", "text", F.sha2("text", 256).alias("sha256"))
 
 
+def a1_uploads(spark, sf):
+    """Documents as uploads: some without bytes, some that are no PDF, some of another media type."""
+    d = table(spark, sf, "documents")
+    n = F.col("doc_id")
+    body = F.when(n % 5 == 0, "").when(n % 7 == 0, F.col("text")).otherwise(F.concat(F.lit("%PDF-"), "text"))
+    up = d.select(F.concat(F.lit("doc-"), n, F.when(n % 2 == 0, ".pdf").otherwise(".PDF")).alias("name"), F.when(n % 11 == 0, "text/plain").otherwise(A.PDF_TYPE).alias("media_type"), body.cast("binary").alias("content"))
+    return A.classify_uploads(up)
+
+
+def _json_artifacts(spark, sf):
+    e = elements(spark, sf).select("doc_id", F.struct("element_id", F.col("pos").cast("int").alias("pos"), "page", "kind", "content").alias("x"))
+    chunks = _chunks(spark, sf).select("doc_id", F.struct("chunk_id", F.lit(0).alias("ordinal"), F.col("text").alias("markdown"), "page_start", "page_end", "element_ids", "asset_ids").alias("x"))
+    items = lambda t, name: t.groupBy("doc_id").agg(F.to_json(F.struct(F.collect_list("x").alias("items"))).alias(name))
+    counts = elements(spark, sf).groupBy("doc_id").agg(F.count("*").alias("element_count"), F.count_distinct("page").alias("chunk_count"))
+    manifest = _docs(spark, sf).join(counts, "doc_id").select("doc_id", F.to_json(F.struct(F.lit(1).alias("schema_version"), F.col("sha256").alias("source_sha256"), F.lit("cfg").alias("config_hash"), "element_count", "chunk_count")).alias("manifest"))
+    return items(e, "elements").join(items(chunks, "chunks"), "doc_id").join(manifest, "doc_id").withColumn("version", F.lit(1))
+
+
+def a3_artifacts(spark, sf):
+    """Elements, chunks and manifests read from JSON, each with what tells it."""
+    e, c, m = A.artifact_tables(_json_artifacts(spark, sf))
+    rows = e.select("doc_id", F.lit("element").alias("part"), F.col("element_id").alias("id"), F.concat_ws("|", "pos", "page", "kind", "content").alias("said"))
+    rows = rows.union(c.select("doc_id", F.lit("chunk"), "chunk_id", F.concat_ws("|", "page_start", "page_end", F.size("element_ids"), F.size("asset_ids"), "markdown")))
+    return rows.union(m.select("doc_id", F.lit("manifest"), F.col("source_sha256"), F.concat_ws("|", "schema_version", "config_hash", "element_count", "chunk_count")))
+
+
 def a2_integrity(spark, sf):
     registry = _docs(spark, sf).select("doc_id", F.when(F.col("doc_id") % 10 == 0, F.sha2(F.concat("text", F.lit("x")), 256)).otherwise(F.col("sha256")).alias("sha256"))
     return A.mismatches(_docs(spark, sf), registry)
@@ -104,8 +130,23 @@ def d5_overlay(spark, sf):
 
 
 def d6_overlay_lineage(spark, sf):
-    o = _docs(spark, sf).select("doc_id", F.when(F.col("doc_id") % 5 == 0, 2).otherwise(1).alias("version"), F.when(F.col("doc_id") % 7 == 0, None).otherwise(F.col("sha256")).alias("sha256"), "lang")
-    return I.overlay_lineage(o, _docs(spark, sf), ("version", "sha256", "lang"))
+    n = F.col("doc_id")
+    m = _docs(spark, sf).select(n, F.lit(1).alias("schema_version"), F.lit("v1").alias("artifact_version"), F.concat(F.lit("doc-"), n).alias("document"), "version", "sha256", F.md5("text").alias("artifact_checksum"))
+    o = m.withColumns({
+        "schema_version": F.when(n % 3 == 0, 2).otherwise(1), "artifact_version": F.when(n % 4 == 0, F.lit(None)).otherwise("v1"), "document": F.when(n % 11 == 0, "other").otherwise(F.col("document")),
+        "version": F.when(n % 5 == 0, 2).otherwise(1), "sha256": F.when(n % 7 == 0, None).otherwise(F.col("sha256")), "artifact_checksum": F.when(n % 13 == 0, "x").otherwise(F.col("artifact_checksum")),
+    })
+    return I.overlay_lineage(o, m, ("schema_version", "artifact_version", "document", "version", "sha256", "artifact_checksum"))
+
+
+def d7_embed(spark, sf):
+    """A toy embedder of three numbers; it fails on batches with an empty text's marker and returns short vectors for every ninth text."""
+    chunks = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("chunk_id"), F.concat_ws(" ", F.when(F.col("doc_id") % 9 == 0, "short").otherwise("whole"), "text").alias("text"))
+
+    def embedder(texts):
+        return [[float(len(t)), float(t.count(" "))] + ([1.0] if t.startswith("whole") else []) for t in texts]
+
+    return I.embed(chunks, embedder, dimensions=3).select("chunk_id", F.element_at("embedding", 1).cast("long").alias("chars"), F.element_at("embedding", 2).cast("long").alias("blanks"), "code")
 
 
 def d8_mode(spark, sf):
@@ -114,18 +155,23 @@ def d8_mode(spark, sf):
 
 
 def d9_index_identity(spark, sf):
-    d = _docs(spark, sf).select("doc_id", "version", "sha256", "lang")
-    return d.select("doc_id", F.substring(A.canonical_hash(d), 1, 16).alias("variant"))
+    hybrid = F.col("doc_id") % 2 == 0
+    d = _docs(spark, sf).select(
+        F.lit("1.0").alias("schema_version"), F.concat_ws("/", F.lit("compiled"), "doc_id", "version").alias("compiler_manifest_key"), F.col("sha256").alias("source_sha256"), F.lit("cfg").alias("compiler_config_hash"), F.concat(F.lit("doc-"), "doc_id").alias("document_title"),
+        F.lit("none").alias("semantic_fingerprint"), F.col("lang").alias("index_signature"), F.when(hybrid, "hybrid").otherwise("lexical-only").alias("mode"), F.when(hybrid, 1024).alias("dimensions"), "doc_id",
+    )
+    return d.select("doc_id", F.substring(A.canonical_hash(d.select(*I.IDENTITY)), 1, 16).alias("variant"))
 
 
 def d10_load_check(spark, sf):
-    """Documents whose stored payload no longer has its manifest's hash."""
-    m = _manifests(spark, sf).select("doc_id", F.col("source_sha256").alias("sha256"))
-    return A.mismatches(_docs(spark, sf), m)
+    """Indexes whose payload is lost or no longer has its hash, and hybrid ones of another embedder than the queries'."""
+    n = F.col("doc_id")
+    m = _manifests(spark, sf).select("doc_id", F.col("source_sha256").alias("sha256"), F.when(n % 2 == 0, "hybrid").otherwise("lexical-only").alias("mode"), F.when(n % 5 == 0, "old:768").otherwise("toy:1024").alias("index_signature"))
+    return I.load_violations(m, _docs(spark, sf).where(n % 13 != 0), "toy:1024")
 
 
 def _work(spark, sf):
-    return I.eligible(_elements(spark, sf)).withColumn("version", F.lit(1)).withColumn("fingerprint", I.fingerprint())
+    return I.eligible(_elements(spark, sf)).withColumn("version", F.lit(1)).withColumn("asset", F.when(F.col("pos") % 3 != 0, F.md5("content")).cast("binary")).withColumn("fingerprint", I.fingerprint())
 
 
 def i1_eligible(spark, sf):
@@ -148,7 +194,7 @@ def i4_reuse(spark, sf):
 
 def _accepted(spark, sf):
     n = F.col("pos")
-    outputs = _work(spark, sf).where("pos % 6 <> 0").select("element_id", F.when(n % 6 == 1, -1).otherwise(F.col("doc_id")).alias("doc_id"), "version", F.when(n % 6 == 2, 0).otherwise(F.col("page")).alias("page"), F.concat(F.lit("seen "), "element_id").alias("search_text"))
+    outputs = _work(spark, sf).where("pos % 6 <> 0").select("element_id", F.when(n % 6 == 1, -1).otherwise(F.col("doc_id")).alias("doc_id"), "version", F.when(n % 6 == 2, 0).otherwise(F.col("page")).alias("page"), (F.col("x0") + F.when(n % 6 == 4, 1e-9).otherwise(0.0)).alias("x0"), "y0", (F.col("x1") + F.when(n % 6 == 5, 0.001).otherwise(0.0)).alias("x1"), "y1", F.concat(F.lit("seen "), "element_id").alias("search_text"))
     return I.accept(_work(spark, sf), outputs)
 
 
@@ -174,22 +220,28 @@ def i9_artifact(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    a2_integrity, a4_visible, a5_replay, a6_canonical_hash, a7_purge, a8_without_secrets, a9_latest_snapshot, d1_dangling, d2_anchor, d3_union_bbox, d4_count_check, d5_overlay, d6_overlay_lineage, d8_mode, d9_index_identity, d10_load_check,
+    a1_uploads, a2_integrity, a3_artifacts, a4_visible, a5_replay, a6_canonical_hash, a7_purge, a8_without_secrets, a9_latest_snapshot, d1_dangling, d2_anchor, d3_union_bbox, d4_count_check, d5_overlay, d6_overlay_lineage, d7_embed, d8_mode, d9_index_identity, d10_load_check,
     i1_eligible, i2_pages, i3_fingerprint, i4_reuse, i5_echo, i6_fallback, i7_summary, i8_tags, i9_artifact,
 )}
 
 _e = lambda body: with_tables("el", body)
 _CH = "pg AS (SELECT *, doc_id || ':' || page AS chunk_id FROM el)"
-_ACC = "acc AS (SELECT *, pos % 6 NOT IN (0, 1, 2) OR (pos % 6 = 2 AND page = 0) AS publishable, CASE WHEN pos % 6 = 0 THEN 'pending' WHEN pos % 6 IN (1, 2) THEN 'lineage_mismatch' END AS code FROM el WHERE kind = 'table')"
+_ACC = "acc AS (SELECT *, pos % 6 NOT IN (0, 1, 2, 5) OR (pos % 6 = 2 AND page = 0) AS publishable, CASE WHEN pos % 6 = 0 THEN 'pending' WHEN pos % 6 IN (1, 2, 5) THEN 'lineage_mismatch' END AS code FROM el WHERE kind = 'table')"
 
 SQL = {
+    "a1_uploads": """WITH u AS (SELECT *, CASE WHEN doc_id % 5 = 0 THEN '' WHEN doc_id % 7 = 0 THEN text ELSE '%PDF-' || text END AS c FROM documents)
+      SELECT 'doc-' || doc_id || CASE WHEN doc_id % 2 = 0 THEN '.pdf' ELSE '.PDF' END AS name, strlen(c)::BIGINT AS length, sha256(c) AS sha256, 'doc-' || doc_id AS title,
+        CASE WHEN doc_id % 11 = 0 THEN 'unsupported_media_type' WHEN c = '' THEN 'empty_file' WHEN NOT starts_with(c, '%PDF-') THEN 'invalid_pdf_signature' END AS code FROM u""",
+    "a3_artifacts": _e(f"""WITH {_CH} SELECT doc_id, 'element' AS part, element_id AS id, pos || '|' || page || '|' || kind || '|' || content AS said FROM el
+      UNION ALL SELECT doc_id, 'chunk', chunk_id, min(page) || '|' || max(page) || '|' || count(*) || '|' || count(*) FILTER (kind = 'table') || '|' || string_agg(content, chr(10) ORDER BY pos) FROM pg GROUP BY doc_id, chunk_id
+      UNION ALL SELECT d.doc_id, 'manifest', sha256(any_value(text)), '1|cfg|' || count(*) || '|' || count(DISTINCT page) FROM el JOIN documents d ON d.doc_id = el.doc_id GROUP BY d.doc_id"""),
     "a2_integrity": "SELECT doc_id, 'source_hash_mismatch' AS code FROM documents WHERE doc_id % 10 = 0",
     "a4_visible": _e("SELECT doc_id, count(*) AS elements FROM el WHERE doc_id % 3 <> 0 GROUP BY 1"),
     "a5_replay": "SELECT doc_id, 1 AS version, CASE WHEN doc_id % 3 = 0 THEN 'todo' WHEN doc_id % 7 = 0 OR doc_id % 11 = 0 THEN 'version_conflict' ELSE 'replay' END AS state FROM documents",
     "a6_canonical_hash": "SELECT n_nationkey, sha256('{\"n_name\":\"' || n_name || '\",\"n_nationkey\":' || n_nationkey || ',\"n_regionkey\":' || n_regionkey || '}') AS sha256 FROM nation",
     "a7_purge": _e("SELECT kb_id, count(*) AS elements FROM el WHERE doc_id % 4 <> 0 GROUP BY 1"),
     "a8_without_secrets": "SELECT event_id, '{\"event_type\":\"' || event_type || '\",\"credential_ref\":' || user_id || '}' AS settings, 'credential-ref,Configured,tokens' AS extra, 'event_id,settings,extra' AS columns FROM events",
-    "a9_latest_snapshot": "SELECT user_id AS namespace, max(event_id) AS revision, arg_max(props, event_id) AS payload, arg_max(event_id % 4, event_id) AS schema_version FROM events WHERE event_id % 3 <> 0 AND event_id % 4 IN (1, 2) GROUP BY 1",
+    "a9_latest_snapshot": "SELECT user_id AS namespace, max(event_id) AS revision, CASE WHEN arg_max(event_id % 4, event_id) = 1 THEN left(arg_max(props, event_id), -1) || ', \"wiki_pages\": {}}' ELSE arg_max(props, event_id) END AS payload, arg_max(event_id % 4, event_id) AS schema_version FROM events WHERE event_id % 3 <> 0 AND event_id % 4 IN (1, 2) GROUP BY 1",
     "d1_dangling": _e(f"""WITH {_CH} SELECT DISTINCT chunk_id, 'empty_text' AS code FROM pg WHERE doc_id % 13 = 0 UNION SELECT chunk_id, 'unknown_element' FROM pg WHERE pos % 6 = 5
       UNION SELECT chunk_id, 'invalid_asset_lineage' FROM pg WHERE kind = 'table' AND doc_id % 3 = 0"""),
     "d2_anchor": _e(f"""WITH {_CH}, f AS (SELECT chunk_id, coalesce(min(pos) FILTER (kind = 'table'), min(pos)) AS pos FROM pg GROUP BY 1)
@@ -206,13 +258,15 @@ SQL = {
       ls AS (SELECT chunk_id, string_agg(line, chr(10) ORDER BY o) AS s FROM li GROUP BY 1),
       ta AS (SELECT chunk_id, 't,' || string_agg(tag, ',' ORDER BY o) AS tags FROM (SELECT chunk_id, tag, min((lv, pl)) AS o FROM n GROUP BY 1, 2) GROUP BY 1)
       SELECT chunk_id, md5(text || coalesce(chr(10) || chr(10) || s, '')) AS text_md5, coalesce(tags, '') AS tags FROM c LEFT JOIN ls USING (chunk_id) LEFT JOIN ta USING (chunk_id)"""),
-    "d6_overlay_lineage": "SELECT doc_id, 'version' AS field FROM documents WHERE doc_id % 5 = 0 UNION ALL SELECT doc_id, 'sha256' FROM documents WHERE doc_id % 7 = 0",
-    "d8_mode": "WITH c AS (SELECT doc_id, CASE WHEN doc_id < 100 THEN 'small' ELSE lang END AS kb_id FROM documents) SELECT kb_id, count(*) AS chunks, count(v) AS vectors, CASE WHEN count(v) = count(*) THEN 'hybrid' ELSE 'lexical-only' END AS mode FROM c LEFT JOIN (SELECT DISTINCT vec_id AS v FROM embeddings) ON v = doc_id GROUP BY 1",
-    "d9_index_identity": "SELECT doc_id, substr(sha256('{\"doc_id\":' || doc_id || ',\"lang\":\"' || lang || '\",\"sha256\":\"' || sha256(text) || '\",\"version\":1}'), 1, 16) AS variant FROM documents",
-    "d10_load_check": "SELECT doc_id, 'source_hash_mismatch' AS code FROM documents WHERE doc_id % 3 <> 0 AND doc_id % 7 = 0",
+    "d6_overlay_lineage": "SELECT doc_id, field FROM documents, (VALUES (3, 'schema_version'), (4, 'artifact_version'), (11, 'document'), (5, 'version'), (7, 'sha256'), (13, 'artifact_checksum')) f(m, field) WHERE doc_id % m = 0",
+    "d7_embed": "WITH t AS (SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN 'short ' ELSE 'whole ' END || text AS t FROM documents) SELECT doc_id::VARCHAR AS chunk_id, CASE WHEN doc_id % 9 <> 0 THEN length(t) END AS chars, CASE WHEN doc_id % 9 <> 0 THEN length(t) - length(replace(t, ' ', '')) END AS blanks, CASE WHEN doc_id % 9 = 0 THEN 'embedding_dimension_mismatch' END AS code FROM t",
+    "d8_mode": "WITH c AS (SELECT doc_id, CASE WHEN doc_id < 100 THEN 'small' ELSE lang END AS kb_id FROM documents) SELECT kb_id, count(*) AS chunks, count(v) AS vectors, CASE WHEN count(v) = count(*) THEN 'hybrid' ELSE 'lexical-only' END AS mode, CASE WHEN count(v) = count(*) THEN NULL WHEN count(v) = 0 THEN 'no_vectors' ELSE 'missing_vectors' END AS reason FROM c LEFT JOIN (SELECT DISTINCT vec_id AS v FROM embeddings) ON v = doc_id GROUP BY 1",
+    "d9_index_identity": """SELECT doc_id, substr(sha256('{"compiler_config_hash":"cfg","compiler_manifest_key":"compiled/' || doc_id || '/1","dimensions":' || CASE WHEN doc_id % 2 = 0 THEN '1024' ELSE 'null' END || ',"document_title":"doc-' || doc_id || '","index_signature":"' || lang
+      || '","mode":"' || CASE WHEN doc_id % 2 = 0 THEN 'hybrid' ELSE 'lexical-only' END || '","schema_version":"1.0","semantic_fingerprint":"none","source_sha256":"' || sha256(text) || '"}'), 1, 16) AS variant FROM documents""",
+    "d10_load_check": "SELECT * FROM (SELECT doc_id, CASE WHEN doc_id % 13 = 0 THEN 'payload_missing' WHEN doc_id % 7 = 0 THEN 'payload_hash_mismatch' WHEN doc_id % 2 = 0 AND doc_id % 5 = 0 THEN 'embedding_signature_mismatch' END AS code FROM documents WHERE doc_id % 3 <> 0) WHERE code IS NOT NULL",
     "i1_eligible": _e("SELECT element_id, kind FROM el WHERE kind = 'table'"),
     "i2_pages": _e("WITH n AS (SELECT doc_id, page, count(*) AS n FROM el WHERE kind = 'table' GROUP BY 1, 2) SELECT *, (row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, page))::INTEGER AS place FROM n QUALIFY place <= 6"),
-    "i3_fingerprint": _e("SELECT element_id, sha256('1' || chr(31) || doc_id || chr(31) || page || chr(31) || element_id || chr(31) || kind || chr(31) || content) AS fingerprint FROM el WHERE kind = 'table'"),
+    "i3_fingerprint": _e("SELECT element_id, sha256('{\"version\":1,\"doc_id\":' || doc_id || ',\"page\":' || page || ',\"element_id\":\"' || element_id || '\",\"bbox\":[' || round(x0 / 1000, 6) || ',' || round(y0 / 1000, 6) || ',' || round(x1 / 1000, 6) || ',' || round(y1 / 1000, 6) || ']}' || chr(31) || kind || chr(31) || content || chr(31) || CASE WHEN pos % 3 = 0 THEN chr(0) ELSE sha256(md5(content)) END) AS fingerprint FROM el WHERE kind = 'table'"),
     "i4_reuse": _e("SELECT element_id, CASE WHEN pos % 5 IN (3, 4) AND pos % 7 <> 3 THEN 'hit' ELSE 'todo' END AS state FROM el WHERE kind = 'table'"),
     "i5_echo": _e(f"WITH {_ACC} SELECT element_id, publishable, code FROM acc"),
     "i6_fallback": _e(f"WITH {_ACC} SELECT element_id, md5(content) AS text_md5 FROM acc WHERE NOT publishable"),

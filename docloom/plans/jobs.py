@@ -35,6 +35,10 @@ def k5_interrupted(spark, sf):
     return J.interrupt(jobs(spark, sf)).groupBy("status", "error_code", "retryable").agg(F.count("*").alias("jobs"))
 
 
+def k5_documents(spark, sf):
+    return J.interrupted_documents(_docs(spark, sf), jobs(spark, sf)).select("doc_id", "status")
+
+
 def k6_backfill(spark, sf):
     return J.backfill_pages(_docs(spark, sf), jobs(spark, sf))
 
@@ -49,26 +53,31 @@ def k8_counts(spark, sf):
 
 
 def k9_library_totals(spark, sf):
-    d = table(spark, sf, "documents")
-    return d.where(F.lower("text").contains("the")).groupBy("lang").agg(F.count("*").alias("documents"), F.sum(F.floor(F.size(F.split("text", "\n")) / 20) + 1).alias("pages"))
+    """Documents by name (their first line) and status, with tables as assets."""
+    lines = F.split("text", "\n")
+    d = table(spark, sf, "documents").select(F.col("lang").alias("kb_id"), F.element_at(lines, 1).alias("name"), F.when(F.col("doc_id") % 4 == 0, "failed").otherwise("ready").alias("status"), (F.floor(F.size(lines) / 20) + 1).alias("pages"), F.size(F.filter(lines, lambda x: x.contains(" | "))).alias("assets"))
+    return J.library_totals(d, name="The", status="ready")
 
 
 def k10_work_list(spark, sf):
     return J.work_list(_docs(spark, sf))
 
 
+def k10_empty_work(spark, sf):
+    kbs = _docs(spark, sf).select("kb_id").distinct().union(spark.range(90, 92).select("id"))
+    return J.empty_work(kbs, _docs(spark, sf).withColumn("status", F.when(F.col("kb_id") == 3, "failed").otherwise(F.col("status"))))
+
+
 def k12_newest_first(spark, sf):
     """Listing order as a column: the place of each job by time, newest first, within its knowledge base."""
-    from pyspark.sql import Window
-
-    return jobs(spark, sf).select("job_id", "kb_id", F.row_number().over(Window.partitionBy("kb_id").orderBy(F.desc("created_at"), F.desc("job_id"))).alias("place"))
+    return J.newest_first(jobs(spark, sf))
 
 
 def d11_latest_index(spark, sf):
     return J.latest_index(jobs(spark, sf), _docs(spark, sf).where("not archived"))
 
 
-QUERIES = {f.__name__: f for f in (k1_current_job, k2_retryable, k3_retry_reason, k4_retry_chain, k5_interrupted, k6_backfill, k7_rollup, k8_counts, k9_library_totals, k10_work_list, k12_newest_first, d11_latest_index)}
+QUERIES = {f.__name__: f for f in (k1_current_job, k2_retryable, k3_retry_reason, k4_retry_chain, k5_interrupted, k5_documents, k6_backfill, k7_rollup, k8_counts, k9_library_totals, k10_work_list, k10_empty_work, k12_newest_first, d11_latest_index)}
 
 _G = """g AS (SELECT *, CASE WHEN doc_id IS NOT NULL THEN 'document:' || doc_id || ':' || kind ELSE 'knowledge_base:' || kb_id || ':' || kind END AS group_key FROM jobs),
 cur AS (SELECT *, row_number() OVER (PARTITION BY group_key ORDER BY created_at DESC, job_id DESC) = 1 AS is_current,
@@ -89,7 +98,9 @@ SQL = {
     "k6_backfill": _sql("SELECT docs.doc_id, coalesce(nullif(n.pages, 0), page_count) AS page_count FROM docs LEFT JOIN (SELECT doc_id, arg_max(pages, (created_at, job_id)) AS pages FROM jobs WHERE status = 'succeeded' AND doc_id IS NOT NULL GROUP BY doc_id) n USING (doc_id)"),
     "k7_rollup": _sql("SELECT k.kb_id, count(docs.doc_id) AS documents, CASE WHEN count(docs.doc_id) = 0 THEN 'empty' WHEN count(*) FILTER (status = 'failed') = count(docs.doc_id) THEN 'failed' WHEN count(*) FILTER (status = 'ready') < count(docs.doc_id) THEN 'partial' ELSE 'ready' END AS status FROM (SELECT DISTINCT kb_id FROM docs UNION ALL VALUES (90), (91)) k LEFT JOIN docs ON docs.kb_id = k.kb_id GROUP BY k.kb_id"),
     "k8_counts": _sql("SELECT count(*) FILTER (is_current AND status = 'running') AS running, count(*) FILTER (is_current AND status = 'queued') AS queued, count(*) FILTER (is_current AND status = 'succeeded') AS done, count(*) FILTER (is_current AND status IN ('failed', 'partial')) AS failed, count(*) FILTER (NOT is_current) AS history FROM cur"),
-    "k9_library_totals": "SELECT lang, count(*) AS documents, sum(len(string_split(text, chr(10))) // 20 + 1)::BIGINT AS pages FROM documents WHERE contains(lower(text), 'the') GROUP BY lang",
+    "k5_documents": _sql("SELECT doc_id, CASE WHEN doc_id IN (SELECT doc_id FROM jobs WHERE status IN ('queued', 'running') AND doc_id IS NOT NULL) THEN 'failed' ELSE status END AS status FROM docs"),
+    "k9_library_totals": "SELECT lang AS kb_id, count(*) AS documents, sum(len(l) // 20 + 1)::BIGINT AS pages, sum(len(list_filter(l, lambda x: contains(x, ' | '))))::BIGINT AS assets FROM (SELECT *, string_split(text, chr(10)) AS l FROM documents) WHERE contains(lower(l[1]), 'the') AND doc_id % 4 <> 0 GROUP BY lang",
+    "k10_empty_work": _sql("SELECT k.kb_id, CASE WHEN count(d.doc_id) = 0 THEN 'knowledge_base_empty' ELSE 'document_compilation_failed' END AS code FROM (SELECT DISTINCT kb_id FROM docs UNION ALL VALUES (90), (91)) k LEFT JOIN docs d ON d.kb_id = k.kb_id AND NOT d.archived GROUP BY k.kb_id HAVING count(*) FILTER (d.status = 'ready' AND k.kb_id <> 3) = 0"),
     "k10_work_list": _sql("SELECT doc_id, CASE WHEN status = 'ready' THEN 'graph' ELSE 'compile' END AS step FROM docs WHERE NOT archived"),
     "k12_newest_first": _sql("SELECT job_id, kb_id, (row_number() OVER (PARTITION BY kb_id ORDER BY created_at DESC, job_id DESC))::INTEGER AS place FROM jobs"),
     "d11_latest_index": _sql("SELECT doc_id, arg_max(result, (created_at, job_id)) AS result, count(*) AS versions FROM jobs WHERE status = 'succeeded' AND kind = 'index' AND doc_id IN (SELECT doc_id FROM docs WHERE NOT archived) GROUP BY doc_id"),

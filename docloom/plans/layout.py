@@ -167,7 +167,7 @@ SQL = {
     "b8_order": _e("SELECT element_id, (row_number() OVER (PARTITION BY doc_id ORDER BY page, pos * 7 % 10, y0, x0, element_id))::INTEGER AS seq FROM el"),
     "b9_ids": _e("SELECT doc_id, pos, element_id FROM el"),
     "b10_unknown_fields": _e("SELECT doc_id, 'extra' AS field, count(*) AS blocks, max('x' || pos) AS most FROM el GROUP BY 1"),
-    "b11_assets": _e("WITH a AS (SELECT *, 'as_' || substr(sha256(element_id || chr(31) || kind), 1, 24) AS asset_id FROM el WHERE kind = 'table') SELECT asset_id, element_id, doc_id, page, kind, 'assets/' || doc_id || '/' || asset_id AS object_key, sha256(content) AS content_sha256 FROM a"),
+    "b11_assets": _e("WITH a AS (SELECT *, 'as_' || substr(sha256(element_id || chr(31) || kind), 1, 24) AS asset_id FROM el WHERE kind = 'table') SELECT asset_id, element_id, doc_id, page, kind, 'assets/' || doc_id || '/' || asset_id AS object_key, 'pages/' || doc_id || '/' || page AS page_key, [x0, y0, x1, y1] AS bbox, [[x0, y0], [x1, y0], [x1, y1], [x0, y1]] AS polygon, sha256(content) AS content_sha256 FROM a"),
     "b12_counts": _e("SELECT doc_id, count(DISTINCT page) AS pages, count(*) AS elements, count(*) FILTER (kind = 'table') AS assets FROM el GROUP BY 1"),
     "b13_kinds": _e("SELECT doc_id, page, 0::BIGINT AS figure, 0::BIGINT AS formula, count(*) FILTER (kind = 'table') AS \"table\", count(*) FILTER (kind = 'heading') AS heading, count(*) FILTER (kind = 'text') AS text FROM el GROUP BY 1, 2"),
     "b14_regions": _e("SELECT doc_id, element_id, page, x0, y0, x1, y1, CASE WHEN kind = 'table' THEN 'assets/' || doc_id || '/as_' || substr(sha256(element_id || chr(31) || kind), 1, 24) END AS object_key FROM el WHERE pos % 10 = 0"),
