@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import functions as F
 
 from docloom.functions.text import alias_key, slug
@@ -31,7 +33,7 @@ def f2_sanitise(spark, sf):
 
 
 def f3_contract(spark, sf):
-    d = _declared(spark, sf).where("id < 120")
+    d = _declared(spark, sf)
     n = F.col("id")
     ents = d.select("doc_id", F.when(n % 17 == 0, "bad").otherwise(F.format_string("entity_%04d", n)).alias("ref"), F.when(n % 13 == 0, " ").otherwise(F.col("name")).alias("name"), F.when(n % 11 == 0, "x y").otherwise("PRODUCT").alias("kind"), F.when(n % 7 == 0, F.array("kind", "kind")).otherwise(F.array("kind")).alias("aliases"), F.when(n % 19 == 0, F.array().cast("array<string>")).otherwise(F.col("refs")).alias("refs"))
     claims = d.select("doc_id", F.format_string("claim_%04d", n).alias("ref"), F.format_string("entity_%04d", F.when(n % 5 == 0, n + 1).otherwise(n)).alias("subject"), F.when(n % 23 == 0, "").otherwise("s").alias("statement"))
@@ -86,9 +88,10 @@ def f9_components(spark, sf):
 
 
 def f10_match(spark, sf):
-    old = table(spark, sf, "part").where("p_partkey < 40")
+    """Every third part is an entity that is known already."""
+    old = table(spark, sf, "part").where("p_partkey % 3 = 0")
     existing = old.select(F.concat(F.lit("e"), "p_partkey").alias("entity_id"), F.col("p_type").alias("kind"), alias_key(F.col("p_name")).alias("alias")).union(old.where("p_partkey % 2 = 0").select(F.concat(F.lit("e"), "p_partkey"), F.col("p_type"), alias_key(F.concat_ws(" ", "p_brand", F.col("p_partkey") % 3))))
-    groups = table(spark, sf, "part").where("p_partkey >= 40").select(F.col("p_partkey").alias("group_id"), F.col("p_type").alias("kind"), F.array("p_name", F.concat_ws(" ", "p_brand", F.col("p_size") % 3)).alias("names"))
+    groups = table(spark, sf, "part").where("p_partkey % 3 <> 0").select(F.col("p_partkey").alias("group_id"), F.col("p_type").alias("kind"), F.array("p_name", F.concat_ws(" ", "p_brand", F.col("p_size") % 3)).alias("names"))
     return X.match_existing(groups, existing)
 
 
@@ -102,13 +105,14 @@ def _entities(spark, sf):
 
 
 def _relations(spark, sf):
-    """Every tenth order relates its customer to three times its number."""
-    o = table(spark, sf, "orders").where("o_orderkey % 10 = 0")
-    return o.select(F.concat(F.lit("r"), "o_orderkey").alias("id"), F.concat(F.lit("entity:"), "o_custkey").alias("source"), F.concat(F.lit("entity:"), F.col("o_custkey") * 3 % 150).alias("target"), F.concat(F.lit("buys "), "o_orderstatus").alias("statement"), F.array(F.concat(F.lit("d"), F.col("o_orderkey") % 30)).alias("refs"))
+    """Orders that are open or pending relate their customer to the one of their own number."""
+    customers = table(spark, sf, "customer").agg(F.max("c_custkey").alias("most"))
+    o = table(spark, sf, "orders").where("o_orderstatus <> 'F'").join(F.broadcast(customers))  # one row
+    return o.select(F.concat(F.lit("r"), "o_orderkey").alias("id"), F.concat(F.lit("entity:"), "o_custkey").alias("source"), F.concat(F.lit("entity:"), F.col("o_custkey") * 3 % F.col("most")).alias("target"), F.concat(F.lit("buys "), "o_orderstatus").alias("statement"), F.array(F.concat(F.lit("d"), F.col("o_orderkey") % 30)).alias("refs"))
 
 
 def _claims(spark, sf):
-    o = table(spark, sf, "orders").where("o_orderkey % 10 = 5")
+    o = table(spark, sf, "orders").where("o_orderstatus = 'F'")
     return o.select(F.concat(F.lit("c"), "o_orderkey").alias("id"), F.concat(F.lit("entity:"), "o_custkey").alias("source"), F.concat(F.lit("has "), "o_orderpriority").alias("statement"), F.array(F.concat(F.lit("d"), F.col("o_orderkey") % 30), F.lit("d99")).alias("refs"))
 
 
@@ -151,8 +155,30 @@ def h5_merge(spark, sf):
     return _published(spark, sf).select("page_id", "title", "summary", F.array_join(F.transform(F.array_sort(F.map_entries("sections")), lambda s: F.concat_ws("=", s["key"], s["value"])), ";").alias("sections"), "revision", "status")
 
 
+def h6_orphans(spark, sf):
+    """Pages without a draft: those with a lock stay as they were."""
+    old_only = F.concat(F.lit("p"), F.col("c_custkey"))
+    gone = table(spark, sf, "customer").where("c_custkey % 3 = 0 and c_custkey % 4 = 1").select(old_only.alias("page_id"))
+    return gone.join(_published(spark, sf).select("page_id", "title", "status", "revision"), "page_id", "left")
+
+
+def h7_history(spark, sf):
+    """Some of the published records are in the history already, and older ones."""
+    new = _published(spark, sf).select("page_id", "revision", "title")
+    history = new.where("page_id like '%2'").union(new.where("revision > 1").select("page_id", F.col("revision") - 1, F.concat(F.lit("before "), "title")))
+    return W.append_history(W.append_history(history, new), new)
+
+
 def h8_markdown(spark, sf):
-    return _published(spark, sf).select("page_id", F.md5(W.page_markdown()).alias("md5"))
+    return _published(spark, sf).select("page_id", W.page_markdown().alias("markdown"))
+
+
+def h9_lookup(spark, sf):
+    """Pages asked for by id, by slug, by a slug that is another page's id, or not known."""
+    c = F.col("c_custkey")
+    pages = table(spark, sf, "customer").select(F.concat(F.lit("p"), c).alias("page_id"), F.when(c % 5 == 0, F.concat(F.lit("p"), c + 1)).otherwise(F.concat(F.lit("s"), c)).alias("slug"), F.col("c_name").alias("title"))
+    asked = table(spark, sf, "customer").select(F.when(c % 3 == 0, F.concat(F.lit("s"), c)).when(c % 7 == 0, "unknown").otherwise(F.concat(F.lit("p"), c)).alias("asked")).distinct()
+    return W.find_pages(pages, asked)
 
 
 def h9_citations(spark, sf):
@@ -166,21 +192,28 @@ def h10_stale(spark, sf):
 
 
 def h11_cascade(spark, sf):
-    """What is left of elements, per knowledge base, after documents are deleted."""
-    gone = table(spark, sf, "labels").where("toxic = 1").select("doc_id").distinct()
-    return elements(spark, sf).join(gone, "doc_id", "left_anti").groupBy("kb_id").agg(F.count("*").alias("elements"), F.count_distinct("doc_id").alias("documents"))
+    """What is left of elements, manifests, graph rows, pages and jobs after toxic documents and one knowledge base are deleted."""
+    docs = table(spark, sf, "documents").select(F.col("lang").alias("kb_id"), "doc_id", "text")
+    gone = docs.join(table(spark, sf, "labels").where("toxic = 1").select("doc_id").distinct(), "doc_id", "left_semi")
+    tables = {
+        "elements": elements(spark, sf).select("kb_id", "doc_id", F.col("element_id").alias("id")), "manifests": docs.select("kb_id", "doc_id", F.md5("text").alias("id")),
+        "graph": elements(spark, sf).where("kind = 'heading'").select("kb_id", "doc_id", F.concat(F.lit("heading:"), "element_id").alias("id")), "wiki": docs.select("kb_id", "doc_id", F.concat(F.lit("page:"), "doc_id").alias("id")),
+        "jobs": docs.select("kb_id", F.when(F.col("doc_id") % 5 != 0, F.col("doc_id")).alias("doc_id"), F.concat(F.lit("job:"), "doc_id").alias("id")),
+    }
+    left = [t.select(F.lit(name).alias("part"), "kb_id", "doc_id", "id") for name, t in W.cascade(tables, gone, docs.where("kb_id = 'fr'")).items()]
+    return functools.reduce(lambda a, b: a.union(b), left)
 
 
 QUERIES = {f.__name__: f for f in (
     f1_pull_json, f2_sanitise, f3_contract, f4_catalogue, f5_lineage, f6_validity, f7_merge, f8_alias, f9_components, f10_match, f11_new_entity,
-    h1_conclusions, h2_sections, h3_slug, h4_related, h5_merge, h8_markdown, h9_citations, h10_stale, h11_cascade,
+    h1_conclusions, h2_sections, h3_slug, h4_related, h5_merge, h6_orphans, h7_history, h8_markdown, h9_lookup, h9_citations, h10_stale, h11_cascade,
 )}
 
 _D = "d AS (SELECT p_partkey AS id, p_partkey % 20 AS doc_id, p_partkey % 3 AS batch, p_type AS kind, p_name AS name, p_brand AS brand, 'chunk:' || p_size % 5 AS r1, 'element:' || p_partkey % 7 AS r2 FROM part)"
 _KEY = "regexp_replace(lower({0}), '[^a-z0-9]+', '', 'g')"
 _PG = "pg AS (SELECT *, doc_id || ':' || page AS chunk_id FROM el)"
-_WIKI = """r AS (SELECT 'r' || o_orderkey AS id, 'entity:' || o_custkey AS source, 'entity:' || o_custkey * 3 % 150 AS target, 'buys ' || o_orderstatus AS statement, ['d' || o_orderkey % 30] AS refs FROM orders WHERE o_orderkey % 10 = 0),
-c AS (SELECT 'c' || o_orderkey AS id, 'entity:' || o_custkey AS source, 'has ' || o_orderpriority AS statement, ['d' || o_orderkey % 30, 'd99'] AS refs FROM orders WHERE o_orderkey % 10 = 5),
+_WIKI = """r AS (SELECT 'r' || o_orderkey AS id, 'entity:' || o_custkey AS source, 'entity:' || o_custkey * 3 % (SELECT max(c_custkey) FROM customer) AS target, 'buys ' || o_orderstatus AS statement, ['d' || o_orderkey % 30] AS refs FROM orders WHERE o_orderstatus <> 'F'),
+c AS (SELECT 'c' || o_orderkey AS id, 'entity:' || o_custkey AS source, 'has ' || o_orderpriority AS statement, ['d' || o_orderkey % 30, 'd99'] AS refs FROM orders WHERE o_orderstatus = 'F'),
 en AS (SELECT 'entity:' || c_custkey AS entity_id, c_name AS label, c_mktsegment AS entity_kind, trim(regexp_replace(lower(c_name), '[^a-z0-9]+', '-', 'g'), '-') || '-' || lpad(c_custkey::VARCHAR, 8, '0') AS slug FROM customer),
 co AS (SELECT * FROM (SELECT source AS entity_id, id AS conclusion_id, '关键结论' AS section, statement, NULL::VARCHAR AS other, refs FROM c UNION ALL SELECT source, id, '关联关系', statement, target, refs FROM r
   UNION ALL SELECT target, id || ':incoming', '反向关联', statement, source, refs FROM r WHERE source <> target) WHERE entity_id IN (SELECT entity_id FROM en))"""
@@ -193,7 +226,7 @@ pub AS (SELECT page_id, CASE WHEN new.page_id IS NULL OR k = 1 THEN old.title EL
 SQL = {
     "f1_pull_json": "SELECT event_id, CASE WHEN event_id % 4 <> 2 THEN props END AS json, CASE WHEN event_id % 4 = 2 THEN 'no_json_object' END AS code FROM events",
     "f2_sanitise": f"WITH {_D}, k AS (SELECT id, list_filter([r1, r2], lambda x: x = 'chunk:' || doc_id % 5 OR x = 'element:3') AS l FROM d) SELECT id, array_to_string(l, ',') AS refs FROM k WHERE len(l) > 0",
-    "f3_contract": f"""WITH {_D}, s AS (SELECT *, CASE WHEN id % 17 = 0 THEN 'bad' ELSE printf('entity_%04d', id) END AS ref FROM d WHERE id < 120),
+    "f3_contract": f"""WITH {_D}, s AS (SELECT *, CASE WHEN id % 17 = 0 THEN 'bad' ELSE printf('entity_%04d', id) END AS ref FROM d),
       q AS (SELECT *, printf('claim_%04d', id) AS cref, printf('entity_%04d', CASE WHEN id % 5 = 0 THEN id + 1 ELSE id END) AS subject FROM s)
       SELECT doc_id, ref, 'bad_ref' AS code FROM s WHERE id % 17 = 0 UNION SELECT doc_id, ref, 'blank_name' FROM s WHERE id % 13 = 0 UNION SELECT doc_id, ref, 'bad_kind' FROM s WHERE id % 11 = 0
       UNION SELECT doc_id, ref, 'repeated_alias' FROM s WHERE id % 7 = 0 UNION SELECT doc_id, ref, 'no_evidence' FROM s WHERE id % 19 = 0 UNION SELECT doc_id, ref, 'repeated_ref' FROM s GROUP BY doc_id, ref HAVING count(*) > 1
@@ -208,8 +241,8 @@ SQL = {
     "f7_merge": f"""WITH {_D}, m AS (SELECT doc_id, kind, {_KEY.format('name')} AS key, arg_min(name, (batch, id)) AS name, list_sort(list(DISTINCT brand)) AS aliases, list_sort(list_distinct(flatten(list([r1, r2])))) AS refs FROM d GROUP BY 1, 2, 3)
       SELECT doc_id, printf('entity_%04d', row_number() OVER (PARTITION BY doc_id ORDER BY kind, key)) AS ref, kind, name, array_to_string(aliases, ',') AS aliases, array_to_string(refs, ',') AS refs FROM m""",
     "f8_alias": "SELECT p_partkey, " + _KEY.format("p_name || ' - ' || p_brand") + " AS alias FROM part",
-    "f10_match": f"""WITH ex AS (SELECT 'e' || p_partkey AS entity_id, p_type AS kind, {_KEY.format('p_name')} AS alias FROM part WHERE p_partkey < 40 UNION ALL SELECT 'e' || p_partkey, p_type, {_KEY.format("p_brand || ' ' || p_partkey % 3")} FROM part WHERE p_partkey < 40 AND p_partkey % 2 = 0),
-      g AS (SELECT p_partkey AS group_id, p_type AS kind, unnest([{_KEY.format('p_name')}, {_KEY.format("p_brand || ' ' || p_size % 3")}]) AS alias FROM part WHERE p_partkey >= 40),
+    "f10_match": f"""WITH ex AS (SELECT 'e' || p_partkey AS entity_id, p_type AS kind, {_KEY.format('p_name')} AS alias FROM part WHERE p_partkey % 3 = 0 UNION ALL SELECT 'e' || p_partkey, p_type, {_KEY.format("p_brand || ' ' || p_partkey % 3")} FROM part WHERE p_partkey % 3 = 0 AND p_partkey % 2 = 0),
+      g AS (SELECT p_partkey AS group_id, p_type AS kind, unnest([{_KEY.format('p_name')}, {_KEY.format("p_brand || ' ' || p_size % 3")}]) AS alias FROM part WHERE p_partkey % 3 <> 0),
       h AS (SELECT group_id, count(DISTINCT entity_id) AS n, min(entity_id) AS e FROM g LEFT JOIN ex USING (kind, alias) GROUP BY 1)
       SELECT group_id, CASE n WHEN 0 THEN 'new' WHEN 1 THEN 'match' ELSE 'conflict' END AS verdict, CASE WHEN n = 1 THEN e END AS entity_id FROM h""",
     "f11_new_entity": f"""WITH s AS (SELECT p_partkey % 3 AS kb_id, p_type AS kind, CASE p_size % 3 WHEN 0 THEN upper(p_name) WHEN 1 THEN p_name || '!' ELSE p_name END AS name FROM part)
@@ -221,8 +254,15 @@ SQL = {
     "h3_slug": "SELECT p_partkey, trim(regexp_replace(lower(' *  ' || p_name || '  ' || p_brand || '  !'), '[^a-z0-9]+', '-', 'g'), '-') || '-' || right(lpad(p_partkey::VARCHAR, 10, '0'), 8) AS slug FROM part",
     "h4_related": f"WITH {_WIKI}, b AS (SELECT source AS entity_id, target AS other FROM r UNION SELECT target, source FROM r), p AS (SELECT DISTINCT entity_id FROM co) SELECT entity_id, string_agg(other, ',' ORDER BY other) AS related FROM b WHERE entity_id IN (SELECT entity_id FROM p) AND other IN (SELECT entity_id FROM p) GROUP BY 1",
     "h5_merge": f"WITH {_PUB} SELECT page_id, title, summary, 'a=' || a || coalesce(';b=' || b, '') || coalesce(';c=' || c, '') AS sections, revision, status FROM pub",
-    "h8_markdown": f"WITH {_PUB} SELECT page_id, md5('# ' || title || chr(10) || chr(10) || summary || chr(10) || chr(10) || '## a' || chr(10) || chr(10) || a || coalesce(chr(10) || chr(10) || '## b' || chr(10) || chr(10) || b, '') || CASE WHEN coalesce(c, '') <> '' THEN chr(10) || chr(10) || '## c' || chr(10) || chr(10) || c ELSE '' END) AS md5 FROM pub",
+    "h8_markdown": f"WITH {_PUB} SELECT page_id, '# ' || title || chr(10) || chr(10) || summary || chr(10) || chr(10) || '## a' || chr(10) || chr(10) || a || coalesce(chr(10) || chr(10) || '## b' || chr(10) || chr(10) || b, '') || CASE WHEN coalesce(c, '') <> '' THEN chr(10) || chr(10) || '## c' || chr(10) || chr(10) || c ELSE '' END AS markdown FROM pub",
+    "h6_orphans": f"WITH {_PUB} SELECT 'p' || c_custkey AS page_id, pub.title, pub.status, pub.revision FROM customer LEFT JOIN pub ON pub.page_id = 'p' || c_custkey WHERE c_custkey % 3 = 0 AND c_custkey % 4 = 1",
+    "h7_history": f"WITH {_PUB} SELECT page_id, revision, title FROM pub UNION ALL SELECT page_id, revision - 1, 'before ' || title FROM pub WHERE revision > 1",
+    "h9_lookup": """WITH p AS (SELECT 'p' || c_custkey AS page_id, CASE WHEN c_custkey % 5 = 0 THEN 'p' || (c_custkey + 1) ELSE 's' || c_custkey END AS slug, c_name AS title FROM customer),
+      a AS (SELECT DISTINCT CASE WHEN c_custkey % 3 = 0 THEN 's' || c_custkey WHEN c_custkey % 7 = 0 THEN 'unknown' ELSE 'p' || c_custkey END AS asked FROM customer)
+      SELECT asked, coalesce(i.page_id, s.page_id) AS page_id, coalesce(i.slug, s.slug) AS slug, coalesce(i.title, s.title) AS title FROM a LEFT JOIN p i ON i.page_id = asked LEFT JOIN p s ON s.slug = asked""",
     "h9_citations": f"WITH {_WIKI}, x AS (SELECT DISTINCT entity_id, unnest(refs) AS ref FROM co) SELECT entity_id, ref, n_name AS title FROM x LEFT JOIN nation ON ref = 'd' || n_nationkey",
     "h10_stale": "SELECT lang AS kb_id, doc_id FROM documents WHERE (doc_id % 3 = 0 OR doc_id % 4 = 0) AND doc_id % 5 = 0",
-    "h11_cascade": with_tables("el", "SELECT kb_id, count(*) AS elements, count(DISTINCT doc_id) AS documents FROM el WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1) GROUP BY 1"),
+    "h11_cascade": with_tables("el", """WITH t AS (SELECT 'elements' AS part, kb_id, doc_id, element_id AS id FROM el UNION ALL SELECT 'graph', kb_id, doc_id, 'heading:' || element_id FROM el WHERE kind = 'heading' UNION ALL SELECT 'manifests', lang, doc_id, md5(text) FROM documents
+      UNION ALL SELECT 'wiki', lang, doc_id, 'page:' || doc_id FROM documents UNION ALL SELECT 'jobs', lang, CASE WHEN doc_id % 5 <> 0 THEN doc_id END, 'job:' || doc_id FROM documents)
+      SELECT * FROM t WHERE coalesce(kb_id, '') <> 'fr' AND (doc_id IS NULL OR doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1))"""),
 }

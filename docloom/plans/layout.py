@@ -102,9 +102,9 @@ def b13_kinds(spark, sf):
 
 
 def b14_regions(spark, sf):
-    """Where a cited element stands: every tenth line is cited."""
+    """Where each element stands, as if all were cited."""
     e = elements(spark, sf)
-    cited = e.where("pos % 10 = 0").select("doc_id", "element_id")
+    cited = e.select("doc_id", "element_id")
     return cited.join(e.select("element_id", "page", "x0", "y0", "x1", "y1"), "element_id").join(L.assets(e).select("element_id", "object_key"), "element_id", "left")
 
 
@@ -170,7 +170,7 @@ SQL = {
     "b11_assets": _e("WITH a AS (SELECT *, 'as_' || substr(sha256(element_id || chr(31) || kind), 1, 24) AS asset_id FROM el WHERE kind = 'table') SELECT asset_id, element_id, doc_id, page, kind, 'assets/' || doc_id || '/' || asset_id AS object_key, 'pages/' || doc_id || '/' || page AS page_key, [x0, y0, x1, y1] AS bbox, [[x0, y0], [x1, y0], [x1, y1], [x0, y1]] AS polygon, sha256(content) AS content_sha256 FROM a"),
     "b12_counts": _e("SELECT doc_id, count(DISTINCT page) AS pages, count(*) AS elements, count(*) FILTER (kind = 'table') AS assets FROM el GROUP BY 1"),
     "b13_kinds": _e("SELECT doc_id, page, 0::BIGINT AS figure, 0::BIGINT AS formula, count(*) FILTER (kind = 'table') AS \"table\", count(*) FILTER (kind = 'heading') AS heading, count(*) FILTER (kind = 'text') AS text FROM el GROUP BY 1, 2"),
-    "b14_regions": _e("SELECT doc_id, element_id, page, x0, y0, x1, y1, CASE WHEN kind = 'table' THEN 'assets/' || doc_id || '/as_' || substr(sha256(element_id || chr(31) || kind), 1, 24) END AS object_key FROM el WHERE pos % 10 = 0"),
+    "b14_regions": _e("SELECT doc_id, element_id, page, x0, y0, x1, y1, CASE WHEN kind = 'table' THEN 'assets/' || doc_id || '/as_' || substr(sha256(element_id || chr(31) || kind), 1, 24) END AS object_key FROM el"),
     "c1_markdown": _e(f"SELECT element_id, md5({_MD}) AS md5 FROM el"),
     "c2_document_markdown": _e(f"""WITH p AS (SELECT doc_id, page, '<!-- page:' || page || ' -->' || chr(10) || chr(10) || string_agg({_MD}, chr(10) || chr(10) ORDER BY pos) AS p FROM el GROUP BY 1, 2),
       d AS (SELECT doc_id, '# doc-' || doc_id || chr(10) || chr(10) || string_agg(p, chr(10) || chr(10) ORDER BY page) || chr(10) AS m FROM p GROUP BY 1) SELECT doc_id, md5(m) AS md5, length(m)::BIGINT AS n FROM d"""),

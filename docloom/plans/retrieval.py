@@ -111,7 +111,7 @@ def e14_fetch_chunk(spark, sf):
 
 
 def e15_citation(spark, sf):
-    chunks = _chunks(spark, sf).withColumn("title", F.concat(F.lit("doc-"), "doc_id")).withColumn("page", F.lit(1))
+    chunks = _chunks(spark, sf).withColumn("title", F.concat(F.lit("doc-"), "doc_id")).withColumn("page", F.lit(1)).withColumn("bbox", F.array(F.lit(0.0), (F.col("doc_id") % 10 / 10))).withColumn("element_id", F.concat(F.lit("el-"), "doc_id"))
     hits = _bm25(spark, sf).where("rank <= 3")
     return R.citations(hits, chunks).withColumn("score", F.round("score", 6))
 
@@ -161,5 +161,5 @@ SQL = {
     "e12_upsert": "SELECT doc_id AS chunk_id, lang AS kb_id, md5(CASE WHEN doc_id % 7 = 0 THEN 'new ' || text ELSE text END) AS text_md5 FROM documents",
     "e13_remove_doc": "SELECT lang AS kb_id, count(*) AS chunks, count(DISTINCT doc_id) AS documents FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0) GROUP BY lang",
     "e14_fetch_chunk": "SELECT l.doc_id, l.kb_id, length(d.text)::BIGINT AS n_chars FROM (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'en' ELSE 'fr' END AS kb_id FROM labels) l LEFT JOIN documents d ON d.doc_id = l.doc_id AND d.lang = l.kb_id",
-    "e15_citation": _W + "SELECT query_id, 'citation:' || chunk_id AS citation_id, doc_id, 'doc-' || doc_id AS title, 1 AS page, text[1:120] AS excerpt, round(score, 6) AS score FROM lex JOIN ch USING (kb_id, chunk_id) WHERE rank <= 3",
+    "e15_citation": _W + "SELECT query_id, 'citation:' || chunk_id AS citation_id, doc_id, 'doc-' || doc_id AS title, 1 AS page, [0.0::DOUBLE, doc_id % 10 / 10::DOUBLE] AS bbox, 'el-' || doc_id AS element_id, text[1:120] AS excerpt, round(score, 6) AS score FROM lex JOIN ch USING (kb_id, chunk_id) WHERE rank <= 3",
 }
