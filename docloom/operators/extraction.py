@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -55,29 +56,51 @@ def sanitise(items: DataFrame, valid: DataFrame) -> DataFrame:
     return kept.where(F.size("refs") > 0).drop("_valid")
 
 
-def contract_violations(entities: DataFrame, claims: DataFrame) -> DataFrame:
-    """doc_id, ref, code. Entities: doc_id, ref, name, kind, aliases, refs; claims: doc_id, ref, subject, statement."""
+# Most entities, claims and relations of an extraction, its schema version, and how kinds and predicates look.
+MOST = {"entities": 10, "claims": 12, "relations": 12}
+SCHEMA_VERSION = "1.0"
+TYPE_PATTERN = "^[A-Z][A-Z_]*$"
+
+
+def contract_violations(entities: DataFrame, claims: DataFrame, relations: DataFrame, evidence: DataFrame, extractions: DataFrame) -> DataFrame:
+    """doc_id, ref, code of what breaks the contract of an extraction; ref is empty for what concerns the whole.
+
+    Entities: doc_id, ref, name, kind, aliases, refs; claims: doc_id, ref, subject, statement, refs; relations: doc_id,
+    ref, source, target, predicate, statement, refs; evidence: doc_id, ref of what a document offers; extractions:
+    doc_id, schema_version.
+    """
     out = lambda df, code: df.select("doc_id", "ref", F.lit(code).alias("code"))
     blank = lambda c: F.trim(F.coalesce(F.col(c), F.lit(""))) == ""
-    twice = entities.groupBy("doc_id", "ref").agg(F.count("*").alias("c")).where("c > 1")
-    unknown = claims.join(entities.select("doc_id", F.col("ref").alias("subject")), ["doc_id", "subject"], "left_anti")
-    many = entities.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 10").select("doc_id", F.lit("").alias("ref"))
-    return (
-        out(entities.where(~F.col("ref").rlike(r"^entity_\d{4}$")), "bad_ref").union(out(entities.where(blank("name")), "blank_name")).union(out(entities.where(~F.col("kind").rlike("^[A-Z][A-Z_]*$")), "bad_kind"))
-        .union(out(entities.where(F.size(F.array_distinct("aliases")) < F.size("aliases")), "repeated_alias")).union(out(entities.where(F.size("refs") == 0), "no_evidence")).union(out(twice, "repeated_ref"))
-        .union(out(unknown, "unknown_subject")).union(out(claims.where(blank("statement")), "blank_statement")).union(out(many, "too_many_entities")).distinct()
-    )
+    whole = lambda df, code: df.select("doc_id", F.lit("").alias("ref"), F.lit(code).alias("code"))
+    parts = {"entities": entities, "claims": claims, "relations": relations}
+    refs = functools.reduce(DataFrame.union, (t.select("doc_id", "ref") for t in parts.values()))
+    cited = functools.reduce(DataFrame.union, (t.select("doc_id", "ref", "refs") for t in parts.values()))
+    known = evidence.select("doc_id", F.col("ref").alias("cited")).distinct()
+    unknown = lambda t, end: t.join(entities.select("doc_id", F.col("ref").alias(end)), ["doc_id", end], "left_anti")
+    found = [
+        out(entities.where(~F.col("ref").rlike(r"^entity_\d{4}$")), "bad_ref"), out(entities.where(blank("name")), "blank_name"), out(entities.where(~F.col("kind").rlike(TYPE_PATTERN)), "bad_kind"),
+        out(entities.where(F.size(F.array_distinct("aliases")) < F.size("aliases")), "repeated_alias"), out(refs.groupBy("doc_id", "ref").agg(F.count("*").alias("c")).where("c > 1"), "repeated_ref"),
+        out(cited.where(F.size("refs") == 0), "no_evidence"), out(cited.select("doc_id", "ref", F.explode("refs").alias("cited")).join(known, ["doc_id", "cited"], "left_anti"), "unknown_evidence"),
+        out(unknown(claims, "subject"), "unknown_subject"), out(claims.where(blank("statement")), "blank_statement"),
+        out(unknown(relations, "source"), "unknown_source"), out(unknown(relations, "target"), "unknown_target"), out(relations.where(~F.col("predicate").rlike(TYPE_PATTERN)), "bad_predicate"), out(relations.where(blank("statement")), "blank_statement"),
+        whole(extractions.where(~F.col("schema_version").eqNullSafe(F.lit(SCHEMA_VERSION))), "bad_schema_version"),
+        *(whole(t.groupBy("doc_id").agg(F.count("*").alias("c")).where(F.col("c") > MOST[name]), f"too_many_{name}") for name, t in parts.items()),
+    ]
+    return functools.reduce(DataFrame.union, found).distinct()
 
 
 def catalogue_violations(chunks: DataFrame, elements: DataFrame) -> DataFrame:
-    """id, code of chunks (chunk_id, element_ids) and elements (element_id, chunk_id) that don't agree."""
+    """id, code of chunks (doc_id, chunk_id, element_ids) and elements (doc_id, element_id, chunk_id) that don't agree, are given twice or are of different documents."""
     out = lambda df, c, code: df.select(F.col(c).alias("id"), F.lit(code).alias("code"))
+    twice = lambda df, c: df.groupBy(c).agg(F.count("*").alias("n")).where("n > 1")
     listed = chunks.select("chunk_id", F.explode("element_ids").alias("element_id"))
     homeless = elements.join(chunks.select("chunk_id"), "chunk_id", "left_anti")
     unlisted = elements.join(chunks.select("chunk_id"), "chunk_id", "left_semi").join(listed, ["chunk_id", "element_id"], "left_anti")
     dangling = listed.join(elements.select("element_id"), "element_id", "left_anti")
     both = chunks.select(F.col("chunk_id").alias("element_id")).join(elements.select("element_id"), "element_id", "left_semi")
-    return out(homeless, "element_id", "unknown_chunk").union(out(unlisted, "element_id", "unlisted_element")).union(out(dangling, "element_id", "unknown_element")).union(out(both, "element_id", "shared_id")).distinct()
+    foreign = elements.join(chunks.select("chunk_id", F.col("doc_id").alias("_of")), "chunk_id").where("doc_id <> _of")
+    found = out(homeless, "element_id", "unknown_chunk").union(out(unlisted, "element_id", "unlisted_element")).union(out(dangling, "element_id", "unknown_element")).union(out(both, "element_id", "shared_id"))
+    return found.union(out(twice(elements, "element_id"), "element_id", "repeated_element")).union(out(twice(chunks, "chunk_id"), "chunk_id", "repeated_chunk")).union(out(foreign, "element_id", "other_document")).distinct()
 
 
 def lineage(items: DataFrame, elements: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -125,12 +148,20 @@ def resolve(declared: DataFrame) -> DataFrame:
 
 
 def match_existing(groups: DataFrame, existing: DataFrame) -> DataFrame:
-    """group_id, verdict (new, match, conflict), entity_id: by (kind, alias) of groups (group_id, kind, names) and existing (entity_id, kind, alias)."""
+    """group_id, verdict (new, match, conflict), entity_id, label, aliases: by (kind, alias) of groups (group_id, kind, names) and existing (entity_id, kind, alias, label).
+
+    A match takes the entity's id and label, and its aliases united with the group's; more than one entity is a
+    conflict for manual merging.
+    """
     names = groups.select("group_id", "kind", F.explode("names").alias("name")).select("group_id", "kind", alias_key(F.col("name")).alias("alias")).distinct()
-    hits = names.join(existing, ["kind", "alias"]).groupBy("group_id").agg(F.count_distinct("entity_id").alias("n"), F.min("entity_id").alias("entity_id"))
-    all_ = groups.select("group_id").join(hits, "group_id", "left")
-    n = F.coalesce("n", F.lit(0))
-    return all_.select("group_id", F.when(n == 0, "new").when(n == 1, "match").otherwise("conflict").alias("verdict"), F.when(n == 1, F.col("entity_id")).alias("entity_id"))
+    hits = names.join(existing, ["kind", "alias"]).groupBy("group_id").agg(F.count_distinct("entity_id").alias("n"), F.min("entity_id").alias("entity_id"), F.min_by("label", "entity_id").alias("label"))
+    own = names.groupBy("group_id").agg(F.collect_set("alias").alias("_own"))
+    theirs = existing.groupBy("entity_id").agg(F.collect_set("alias").alias("_theirs"))
+    all_ = groups.select("group_id").join(own, "group_id", "left").join(hits, "group_id", "left").join(theirs, "entity_id", "left")
+    n, none = F.coalesce("n", F.lit(0)), F.array().cast("array<string>")
+    one = lambda c: F.when(n == 1, F.col(c)).alias(c)
+    aliases = F.sort_array(F.array_union(F.coalesce("_own", none), F.when(n == 1, F.coalesce("_theirs", none)).otherwise(none)))
+    return all_.select("group_id", F.when(n == 0, "new").when(n == 1, "match").otherwise("conflict").alias("verdict"), one("entity_id"), one("label"), aliases.alias("aliases"))
 
 
 def new_entities(declared: DataFrame) -> DataFrame:

@@ -36,8 +36,10 @@ def f3_contract(spark, sf):
     d = _declared(spark, sf)
     n = F.col("id")
     ents = d.select("doc_id", F.when(n % 17 == 0, "bad").otherwise(F.format_string("entity_%04d", n)).alias("ref"), F.when(n % 13 == 0, " ").otherwise(F.col("name")).alias("name"), F.when(n % 11 == 0, "x y").otherwise("PRODUCT").alias("kind"), F.when(n % 7 == 0, F.array("kind", "kind")).otherwise(F.array("kind")).alias("aliases"), F.when(n % 19 == 0, F.array().cast("array<string>")).otherwise(F.col("refs")).alias("refs"))
-    claims = d.select("doc_id", F.format_string("claim_%04d", n).alias("ref"), F.format_string("entity_%04d", F.when(n % 5 == 0, n + 1).otherwise(n)).alias("subject"), F.when(n % 23 == 0, "").otherwise("s").alias("statement"))
-    return X.contract_violations(ents, claims)
+    claims = d.select("doc_id", F.format_string("claim_%04d", n).alias("ref"), F.format_string("entity_%04d", F.when(n % 5 == 0, n + 1).otherwise(n)).alias("subject"), F.when(n % 23 == 0, "").otherwise("s").alias("statement"), "refs")
+    relations = d.select("doc_id", F.when(n % 29 == 0, F.format_string("claim_%04d", n)).otherwise(F.format_string("relation_%04d", n)).alias("ref"), F.format_string("entity_%04d", n).alias("source"), F.format_string("entity_%04d", F.when(n % 4 == 0, n + 1).otherwise(n)).alias("target"), F.when(n % 6 == 0, "uses it").otherwise("USES").alias("predicate"), F.lit("s").alias("statement"), "refs")
+    evidence = d.select("doc_id", F.explode("refs").alias("ref")).where("ref <> 'element:6'").distinct()
+    return X.contract_violations(ents, claims, relations, evidence, d.select("doc_id", F.when(F.col("doc_id") % 3 == 0, "0.9").otherwise("1.0").alias("schema_version")).distinct())
 
 
 def _pages(spark, sf):
@@ -45,10 +47,11 @@ def _pages(spark, sf):
 
 
 def f4_catalogue(spark, sf):
-    """Elements and page chunks, with some of each lost."""
+    """Elements and page chunks, with some of each lost, some elements given twice and some of another document."""
     e = _pages(spark, sf)
-    chunks = e.where("doc_id % 9 <> 0 and pos % 10 <> 4").groupBy("chunk_id").agg(F.collect_list("element_id").alias("element_ids"))
-    return X.catalogue_violations(chunks, e.where("pos % 6 <> 5").select("element_id", "chunk_id"))
+    chunks = e.where("doc_id % 9 <> 0 and pos % 10 <> 4").groupBy("chunk_id").agg(F.collect_list("element_id").alias("element_ids"), F.min("doc_id").alias("doc_id"))
+    own = e.where("pos % 6 <> 5").union(e.where("pos = 2")).select((F.col("doc_id") + F.when(F.col("pos") % 12 == 7, 1).otherwise(0)).alias("doc_id"), "element_id", "chunk_id")
+    return X.catalogue_violations(chunks, own)
 
 
 def _places(spark, sf):
@@ -60,9 +63,9 @@ def _places(spark, sf):
 
 
 def f5_lineage(spark, sf):
-    """Each document cites its first three elements and two pages, one of which may not exist."""
+    """Each document cites all its elements and two pages, one of which may not exist."""
     one, chunks = _places(spark, sf)
-    refs = one.where("pos < 3").groupBy(F.col("doc_id").alias("item")).agg(F.collect_list("element_id").alias("r"))
+    refs = one.groupBy(F.col("doc_id").alias("item")).agg(F.collect_list("element_id").alias("r"))
     items = refs.select("item", F.concat("r", F.array(F.concat_ws(":", "item", F.lit(1)), F.concat_ws(":", "item", F.lit(2)))).alias("refs"))
     return X.lineage(items, one, chunks)
 
@@ -90,9 +93,9 @@ def f9_components(spark, sf):
 def f10_match(spark, sf):
     """Every third part is an entity that is known already."""
     old = table(spark, sf, "part").where("p_partkey % 3 = 0")
-    existing = old.select(F.concat(F.lit("e"), "p_partkey").alias("entity_id"), F.col("p_type").alias("kind"), alias_key(F.col("p_name")).alias("alias")).union(old.where("p_partkey % 2 = 0").select(F.concat(F.lit("e"), "p_partkey"), F.col("p_type"), alias_key(F.concat_ws(" ", "p_brand", F.col("p_partkey") % 3))))
+    existing = old.select(F.concat(F.lit("e"), "p_partkey").alias("entity_id"), F.col("p_type").alias("kind"), alias_key(F.col("p_name")).alias("alias"), F.upper("p_name").alias("label")).union(old.where("p_partkey % 2 = 0").select(F.concat(F.lit("e"), "p_partkey"), F.col("p_type"), alias_key(F.concat_ws(" ", "p_brand", F.col("p_partkey") % 3)), F.upper("p_name")))
     groups = table(spark, sf, "part").where("p_partkey % 3 <> 0").select(F.col("p_partkey").alias("group_id"), F.col("p_type").alias("kind"), F.array("p_name", F.concat_ws(" ", "p_brand", F.col("p_size") % 3)).alias("names"))
-    return X.match_existing(groups, existing)
+    return X.match_existing(groups, existing).withColumn("aliases", F.array_join("aliases", ","))
 
 
 def f11_new_entity(spark, sf):
@@ -227,24 +230,30 @@ SQL = {
     "f1_pull_json": "SELECT event_id, CASE WHEN event_id % 4 <> 2 THEN props END AS json, CASE WHEN event_id % 4 = 2 THEN 'no_json_object' END AS code FROM events",
     "f2_sanitise": f"WITH {_D}, k AS (SELECT id, list_filter([r1, r2], lambda x: x = 'chunk:' || doc_id % 5 OR x = 'element:3') AS l FROM d) SELECT id, array_to_string(l, ',') AS refs FROM k WHERE len(l) > 0",
     "f3_contract": f"""WITH {_D}, s AS (SELECT *, CASE WHEN id % 17 = 0 THEN 'bad' ELSE printf('entity_%04d', id) END AS ref FROM d),
-      q AS (SELECT *, printf('claim_%04d', id) AS cref, printf('entity_%04d', CASE WHEN id % 5 = 0 THEN id + 1 ELSE id END) AS subject FROM s)
-      SELECT doc_id, ref, 'bad_ref' AS code FROM s WHERE id % 17 = 0 UNION SELECT doc_id, ref, 'blank_name' FROM s WHERE id % 13 = 0 UNION SELECT doc_id, ref, 'bad_kind' FROM s WHERE id % 11 = 0
-      UNION SELECT doc_id, ref, 'repeated_alias' FROM s WHERE id % 7 = 0 UNION SELECT doc_id, ref, 'no_evidence' FROM s WHERE id % 19 = 0 UNION SELECT doc_id, ref, 'repeated_ref' FROM s GROUP BY doc_id, ref HAVING count(*) > 1
-      UNION SELECT doc_id, cref, 'unknown_subject' FROM q WHERE (doc_id, subject) NOT IN (SELECT (doc_id, ref) FROM s) UNION SELECT doc_id, cref, 'blank_statement' FROM q WHERE id % 23 = 0 UNION SELECT doc_id, '', 'too_many_entities' FROM s GROUP BY doc_id HAVING count(*) > 10""",
+      q AS (SELECT *, printf('claim_%04d', id) AS cref, printf('entity_%04d', CASE WHEN id % 5 = 0 THEN id + 1 ELSE id END) AS subject FROM s),
+      rl AS (SELECT *, CASE WHEN id % 29 = 0 THEN cref ELSE printf('relation_%04d', id) END AS rref, printf('entity_%04d', id) AS source, printf('entity_%04d', CASE WHEN id % 4 = 0 THEN id + 1 ELSE id END) AS target FROM q)
+      SELECT doc_id, ref, 'bad_ref' AS code FROM s WHERE id % 17 = 0 OR id > 9999 UNION SELECT doc_id, ref, 'blank_name' FROM s WHERE id % 13 = 0 UNION SELECT doc_id, ref, 'bad_kind' FROM s WHERE id % 11 = 0
+      UNION SELECT doc_id, ref, 'repeated_alias' FROM s WHERE id % 7 = 0 UNION SELECT doc_id, ref, 'no_evidence' FROM s WHERE id % 19 = 0 UNION SELECT doc_id, ref, 'repeated_ref' FROM (SELECT doc_id, ref FROM s UNION ALL SELECT doc_id, cref FROM q UNION ALL SELECT doc_id, rref FROM rl) GROUP BY doc_id, ref HAVING count(*) > 1
+      UNION SELECT doc_id, cref, 'unknown_subject' FROM q WHERE (doc_id, subject) NOT IN (SELECT (doc_id, ref) FROM s) UNION SELECT doc_id, cref, 'blank_statement' FROM q WHERE id % 23 = 0 UNION SELECT doc_id, '', 'too_many_entities' FROM s GROUP BY doc_id HAVING count(*) > 10
+      UNION SELECT doc_id, '', 'too_many_claims' FROM s GROUP BY doc_id HAVING count(*) > 12 UNION SELECT doc_id, '', 'too_many_relations' FROM s GROUP BY doc_id HAVING count(*) > 12 UNION SELECT doc_id, '', 'bad_schema_version' FROM s WHERE doc_id % 3 = 0
+      UNION SELECT doc_id, rref, 'unknown_source' FROM rl WHERE (doc_id, source) NOT IN (SELECT (doc_id, ref) FROM s) UNION SELECT doc_id, rref, 'unknown_target' FROM rl WHERE (doc_id, target) NOT IN (SELECT (doc_id, ref) FROM s) UNION SELECT doc_id, rref, 'bad_predicate' FROM rl WHERE id % 6 = 0
+      UNION SELECT doc_id, ref, 'unknown_evidence' FROM s WHERE r2 = 'element:6' AND id % 19 <> 0 UNION SELECT doc_id, cref, 'unknown_evidence' FROM q WHERE r2 = 'element:6' UNION SELECT doc_id, rref, 'unknown_evidence' FROM rl WHERE r2 = 'element:6'""",
     "f4_catalogue": with_tables("el", f"""WITH {_PG}, l AS (SELECT chunk_id, element_id FROM pg WHERE doc_id % 9 <> 0 AND pos % 10 <> 4), c AS (SELECT DISTINCT chunk_id FROM l), e AS (SELECT element_id, chunk_id FROM pg WHERE pos % 6 <> 5)
       SELECT element_id AS id, 'unknown_chunk' AS code FROM e WHERE chunk_id NOT IN (SELECT chunk_id FROM c) UNION SELECT element_id, 'unlisted_element' FROM e WHERE chunk_id IN (SELECT chunk_id FROM c) AND (chunk_id, element_id) NOT IN (SELECT (chunk_id, element_id) FROM l)
-      UNION SELECT element_id, 'unknown_element' FROM l WHERE element_id NOT IN (SELECT element_id FROM e)"""),
+      UNION SELECT element_id, 'unknown_element' FROM l WHERE element_id NOT IN (SELECT element_id FROM e) UNION SELECT element_id, 'repeated_element' FROM pg WHERE pos = 2
+      UNION SELECT element_id, 'other_document' FROM pg WHERE pos % 12 = 7 AND chunk_id IN (SELECT chunk_id FROM c)"""),
     "f5_lineage": with_tables("el", f"""WITH {_PG}, c AS (SELECT doc_id, chunk_id, min(page) AS page, min(x0) / 1000 AS x0, min(y0) / 1000 AS y0, max(x1) / 1000 AS x1, max(y1) / 1000 AS y1 FROM pg GROUP BY 1, 2)
-      SELECT doc_id AS item, element_id AS key, page, x0 / 1000 AS x0, y0 / 1000 AS y0, x1 / 1000 AS x1, y1 / 1000 AS y1 FROM pg WHERE pos < 3
-      UNION ALL SELECT doc_id, chunk_id, page, x0, y0, x1, y1 FROM c WHERE page <= 2 AND doc_id IN (SELECT doc_id FROM pg WHERE pos < 3)"""),
+      SELECT doc_id AS item, element_id AS key, page, x0 / 1000 AS x0, y0 / 1000 AS y0, x1 / 1000 AS x1, y1 / 1000 AS y1 FROM pg
+      UNION ALL SELECT doc_id, chunk_id, page, x0, y0, x1, y1 FROM c WHERE page <= 2"""),
     "f6_validity": with_tables("el", "SELECT element_id AS key, (page - (pos % 8 = 0)::INTEGER)::INTEGER AS page FROM el WHERE (page = 1 AND pos % 8 = 0) OR pos % 9 = 0 OR pos % 10 = 0"),
     "f7_merge": f"""WITH {_D}, m AS (SELECT doc_id, kind, {_KEY.format('name')} AS key, arg_min(name, (batch, id)) AS name, list_sort(list(DISTINCT brand)) AS aliases, list_sort(list_distinct(flatten(list([r1, r2])))) AS refs FROM d GROUP BY 1, 2, 3)
       SELECT doc_id, printf('entity_%04d', row_number() OVER (PARTITION BY doc_id ORDER BY kind, key)) AS ref, kind, name, array_to_string(aliases, ',') AS aliases, array_to_string(refs, ',') AS refs FROM m""",
     "f8_alias": "SELECT p_partkey, " + _KEY.format("p_name || ' - ' || p_brand") + " AS alias FROM part",
     "f10_match": f"""WITH ex AS (SELECT 'e' || p_partkey AS entity_id, p_type AS kind, {_KEY.format('p_name')} AS alias FROM part WHERE p_partkey % 3 = 0 UNION ALL SELECT 'e' || p_partkey, p_type, {_KEY.format("p_brand || ' ' || p_partkey % 3")} FROM part WHERE p_partkey % 3 = 0 AND p_partkey % 2 = 0),
       g AS (SELECT p_partkey AS group_id, p_type AS kind, unnest([{_KEY.format('p_name')}, {_KEY.format("p_brand || ' ' || p_size % 3")}]) AS alias FROM part WHERE p_partkey % 3 <> 0),
-      h AS (SELECT group_id, count(DISTINCT entity_id) AS n, min(entity_id) AS e FROM g LEFT JOIN ex USING (kind, alias) GROUP BY 1)
-      SELECT group_id, CASE n WHEN 0 THEN 'new' WHEN 1 THEN 'match' ELSE 'conflict' END AS verdict, CASE WHEN n = 1 THEN e END AS entity_id FROM h""",
+      h AS (SELECT group_id, count(DISTINCT entity_id) AS n, min(entity_id) AS e FROM g LEFT JOIN ex USING (kind, alias) GROUP BY 1),
+      al AS (SELECT group_id, alias FROM g UNION SELECT group_id, ex.alias FROM h JOIN ex ON ex.entity_id = e WHERE n = 1), ag AS (SELECT group_id, string_agg(alias, ',' ORDER BY alias) AS aliases FROM al GROUP BY 1)
+      SELECT group_id, CASE n WHEN 0 THEN 'new' WHEN 1 THEN 'match' ELSE 'conflict' END AS verdict, CASE WHEN n = 1 THEN e END AS entity_id, CASE WHEN n = 1 THEN upper(p_name) END AS label, aliases FROM h JOIN ag USING (group_id) LEFT JOIN part ON 'e' || p_partkey = e""",
     "f11_new_entity": f"""WITH s AS (SELECT p_partkey % 3 AS kb_id, p_type AS kind, CASE p_size % 3 WHEN 0 THEN upper(p_name) WHEN 1 THEN p_name || '!' ELSE p_name END AS name FROM part)
       SELECT 'en_' || substr(sha256(kb_id || chr(31) || kind || chr(31) || {_KEY.format('name')}), 1, 24) AS entity_id, kb_id, kind, arg_min(name, (-length(name), lower(name), name)) AS label FROM s GROUP BY kb_id, kind, {_KEY.format('name')}""",
     "h1_conclusions": f"WITH {_WIKI} SELECT entity_id, conclusion_id, section, statement, other FROM co",
