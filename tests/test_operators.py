@@ -1,5 +1,9 @@
 """Operators on small fixtures with known results."""
 
+import hashlib
+import json
+import re
+import unicodedata
 from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
@@ -23,9 +27,9 @@ def test_tokens_of_mixed_scripts(spark):
 
 
 def test_alias_and_slug(spark):
-    df = spark.createDataFrame([("Ｋimi-K3 ", "00000000abcdef12"), ("Paddle OCR!", "x12345678"), ("知识", "x12345678")], "t string, id string")
+    df = spark.createDataFrame([("Ｍodel-X7 ", "00000000abcdef12"), ("Deep Field!", "x12345678"), ("知识", "x12345678")], "t string, id string")
     got = df.select(alias_key(F.col("t")).alias("a"), slug(F.col("t"), F.col("id")).alias("s")).collect()
-    assert [tuple(r) for r in got] == [("kimik3", "kimi-k3-abcdef12"), ("paddleocr", "paddle-ocr-12345678"), ("知识", "entity-12345678")]
+    assert [tuple(r) for r in got] == [("modelx7", "model-x7-abcdef12"), ("deepfield", "deep-field-12345678"), ("知识", "entity-12345678")]
 
 
 def test_hybrid_retrieval_keeps_scopes(spark):
@@ -95,9 +99,9 @@ def test_pull_json(spark):
 
 
 def test_merge_and_resolution(spark):
-    d = spark.createDataFrame([("doc", 0, "P", "Kimi K3", ["K3"], ["chunk-2"]), ("doc", 1, "P", "kimi-k3", ["Moonshot K3"], ["element-1"]), ("doc", 2, "P", "PaddleOCR", ["Paddle OCR"], ["chunk-1"])], "doc_id string, place int, kind string, name string, aliases array<string>, refs array<string>")
+    d = spark.createDataFrame([("doc", 0, "P", "Model X7", ["X7"], ["chunk-2"]), ("doc", 1, "P", "model-x7", ["Orbit X7"], ["element-1"]), ("doc", 2, "P", "DeepField", ["Deep Field"], ["chunk-1"])], "doc_id string, place int, kind string, name string, aliases array<string>, refs array<string>")
     got = {r.name: (r.ref, r.aliases, r.refs) for r in X.merge_entities(d).collect()}
-    assert got == {"Kimi K3": ("entity_0001", ["K3", "Moonshot K3"], ["chunk-2", "element-1"]), "PaddleOCR": ("entity_0002", ["Paddle OCR"], ["chunk-1"])}
+    assert got == {"Model X7": ("entity_0002", ["Orbit X7", "X7"], ["chunk-2", "element-1"]), "DeepField": ("entity_0001", ["Deep Field"], ["chunk-1"])}
     chain = spark.createDataFrame([(i, "k", [f"n{i}", f"n{i + 1}"]) for i in range(12)] + [(50, "other", ["n3"])], "id int, kind string, names array<string>")
     assert {r.id: r.root for r in X.resolve(chain).collect()} == {i: 0 for i in range(12)} | {50: 50}
 
@@ -132,18 +136,73 @@ def test_embedding_codes(spark):
 
 def test_sources(spark, tmp_path):
     (tmp_path / "in").mkdir()
-    for name, data in (("a.pdf", b"%PDF-1.7 x"), ("b.pdf", b""), ("c.txt", b"hello")):
+    for name, data in (("a.pdf", b"%PDF-1.7 x"), ("b.pdf", b""), ("c.txt", b"hello"), ("d.PDF", b"none")):
         (tmp_path / "in" / name).write_bytes(data)
     got = {r.title: (r.code, r.length) for r in S.scan_pdfs(spark, str(tmp_path / "in")).collect()}
-    assert got == {"a": (None, 10), "c.txt": ("not_a_pdf", 5)}  # Spark's reader passes over files of no bytes
+    assert got == {"a": (None, 10), "c.txt": ("unsupported_media_type", 5), "d": ("invalid_pdf_signature", 4)}  # Spark's reader passes over files of no bytes
     (tmp_path / "c").mkdir()
     (tmp_path / "c" / "x.json").write_text('{"document_id": "d", "version": 1,\n "chunks": [{"chunk_id": "c1", "ordinal": 1, "markdown": "m", "page_start": 1, "page_end": 2, "element_ids": ["e"], "asset_ids": []}]}')
     row = S.read_chunks(spark, str(tmp_path / "c")).first()
     assert (row.doc_id, row.chunk_id, row.page_end, row.element_ids) == ("d", "c1", 2, ["e"])
     rows = spark.createDataFrame([("d", 1, "x"), ("d", 2, "y")], "doc_id string, version int, v string")
-    S.write_version(rows, rows.where("version = 1").select("doc_id", "version"), str(tmp_path / "out"))
+    for _ in range(2):  # a second run changes nothing
+        S.write_version(rows, rows.where("version = 1").select("doc_id", "version"), str(tmp_path / "out"))
     stored = spark.read.parquet(str(tmp_path / "out" / "data"))
-    assert [r.v for r in S.visible(stored, spark.read.parquet(str(tmp_path / "out" / "manifests"))).collect()] == ["x"]
+    manifests = spark.read.parquet(str(tmp_path / "out" / "manifests"))
+    assert [r.v for r in S.visible(stored, manifests).collect()] == ["x"]
+    assert S.visible(stored.withColumn("v", F.lit("changed")), manifests).count() == 0
+
+
+def test_each_secret_name(spark):
+    hidden = [*S.SECRET_NAMES, *(n.replace("_", "-").title() for n in S.SECRET_NAMES), " Token ", "my_token", "db-password", "x_authorization_y", "user-credential"]
+    shown = ["credential_ref", "configured", "Credential-Ref", "tokens", "secretary", "bearer_id", "key"]
+    df = spark.createDataFrame([({n: "v" for n in [*hidden, *shown]},)], "m map<string,string>")
+    assert sorted(S.without_secrets(df).first().m) == sorted(shown)
+    for name in hidden:
+        assert S.without_secrets(spark.createDataFrame([(1, 2)], ["id", name])).columns == ["id"]
+    for name in shown:
+        assert S.without_secrets(spark.createDataFrame([(1, 2)], ["id", name])).columns == ["id", name]
+
+
+def test_tokens_are_compatible_forms(spark):
+    texts = ["ＡＢＣ１２ ﬁne x²", "㐀䶿 龿", "ｶﾞ½", "e\u0301 é", "①b", "Ｋ２知识", "plain Ünïcode naïve ß 100€ — “q”"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+
+    def plain(text):
+        text = unicodedata.normalize("NFKC", text).lower()
+        runs = re.findall("[\u3400-\u4dbf\u4e00-\u9fff]+", text)
+        return re.findall("[a-z0-9_]+", text) + [x for r in runs for x in [*r, *(r[i : i + 2] for i in range(len(r) - 1))]]
+
+    got = {r.i: r.w for r in df.select("i", tokens(F.col("t")).alias("w")).collect()}
+    assert got == {i: plain(t) for i, t in enumerate(texts)}
+    every = [chr(c) for c in range(1, 0x10000) if not 0xD800 <= c < 0xE000 and chr(c) not in "\u0130\u2126\u212A"]
+    df = spark.createDataFrame([(i, f"a{c}b") for i, c in enumerate(every)], "i int, t string")
+    got = {r.i: r.w for r in df.select("i", tokens(F.col("t")).alias("w")).collect()}
+    assert [every[i] for i in got if got[i] != plain(f"a{every[i]}b")] == []
+
+
+def test_semantic_artifact(spark):
+    rows = [("d1", "e2", True, "two", None), ("d1", "e1", False, "one", "pending"), ("d2", "e9", True, None, None)]
+    df = spark.createDataFrame(rows, "doc_id string, element_id string, publishable boolean, search_text string, code string").repartition(3)
+    got = {r.doc_id: r for r in I.semantic_artifact(df).collect()}
+    assert {d: r.elements for d, r in got.items()} == {"d1": 2, "d2": 1}
+    assert [x["e"].get("search_text") for x in json.loads(got["d1"].artifact)] == ["one", "two"]
+    for r in got.values():
+        assert r.sha256 == hashlib.sha256(r.artifact.encode()).hexdigest()
+        want = sorted((e, p, s, c) for d, e, p, s, c in rows if d == r.doc_id)
+        assert [(x["e"]["element_id"], x["e"]["publishable"], x["e"].get("search_text"), x["e"].get("code")) for x in json.loads(r.artifact)] == want
+
+
+def test_commits_replace_a_documents_slice(spark):
+    form = "kb_id int, doc_id string, id string"
+    stored = spark.createDataFrame([(1, "a", "x"), (1, "b", "y"), (2, "a", "z")], form)
+    batch = spark.createDataFrame([(1, "a", "new"), (1, "c", "first"), (2, "a", "never")], form)
+    asked = spark.createDataFrame([(1, "a", 5), (1, "c", None), (2, "a", 9), (3, "q", 0)], "kb_id int, doc_id string, expected_version int")
+    versions = spark.createDataFrame([(1, 5), (2, 7)], "kb_id int, version int")
+    rows, after, conflicts = G.commit_contributions(stored, batch, asked, versions)
+    assert sorted(map(tuple, rows.collect())) == [(1, "a", "new"), (1, "b", "y"), (1, "c", "first"), (2, "a", "z")]
+    assert sorted(map(tuple, after.collect())) == [(1, 7), (2, 7), (3, 1)]
+    assert [tuple(r) for r in conflicts.collect()] == [(2, "a", "graph_version_conflict", 7)]
 
 
 def test_secrets_are_left_out_at_any_depth(spark):
