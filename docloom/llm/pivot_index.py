@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,8 +13,10 @@ from pyspark.sql import functions as F
 from docloom.llm.components import components
 from docloom.llm.scratch import Scratch
 
-#: Pivots, drawn from at most SAMPLE vectors; the nearest pivots that describe a vector; pivots that a pair must share.
-PIVOTS, SAMPLE, NEAREST, SHARED = 256, 4096, 8, 2
+#: Pivots: twice the root of the number of distinct vectors, within these bounds, drawn from a sample of at most MOST_PIVOTS vectors.
+LEAST_PIVOTS, MOST_PIVOTS = 256, 4096
+#: The nearest pivots that describe a vector, and how many of them a pair must share.
+NEAREST, SHARED = 8, 2
 #: Vectors of one block; longer pivot lists are cut into blocks, and all pairs of blocks are compared.
 BLOCK = 2048
 
@@ -39,7 +42,7 @@ def _classes(vectors: DataFrame) -> DataFrame:
 
 
 def choose_pivots(classes: DataFrame, pivots: int, sample: int) -> dict[int, np.ndarray]:
-    """Per dimension, the pivots: from the sample of smallest hashes, each the farthest from those before among 64 tried."""
+    """Per dimension, the pivots: distinct vectors of the sample of smallest hashes, in a fixed random order."""
     rows = classes.select("dim", "raw").orderBy(F.xxhash64("raw"), "raw").limit(sample).collect()  # a bounded sample
     out = {}
     for dim in {r.dim for r in rows}:
@@ -127,17 +130,27 @@ def _linked(posts: DataFrame, least: float, shared: int) -> DataFrame:
     return posts.groupBy("label", "dim", "pivot", "i", "j").applyInArrow(compare, "vec long, links long, root long")
 
 
+def pivot_count(n: int) -> int:
+    """Pivots for n distinct vectors: lists then hold some 4 * sqrt(n) postings a label, and describing n vectors costs n * sqrt(n) products."""
+    return min(MOST_PIVOTS, max(LEAST_PIVOTS, 2 * math.isqrt(n)))
+
+
 def near_vectors(
-    vectors: DataFrame, least: float = 0.93, pivots: int = PIVOTS, nearest: int = NEAREST, shared: int = SHARED, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label"
+    vectors: DataFrame, least: float = 0.93, pivots: int | None = None, nearest: int = NEAREST, shared: int = SHARED, exact: bool = False, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label"
 ) -> DataFrame:
     """vec_id, n_links, component_id and kept for each row; links join vectors of one label with cosine >= least.
 
     1. Equal vectors of a label are one class, counted and represented by its smallest id.
-    2. Each class is described by its nearest pivots, in order, out of pivots from a bounded sample.
+    2. Each class is described by its nearest pivots, in order, out of pivots from a bounded sample; their
+       number grows with the classes (``pivot_count``) unless it is given.
     3. Classes meet in the inverted lists of (label, pivot). A pair that shares enough pivots is verified in
        double precision, once, in the list of its smallest shared pivot. Lists longer than BLOCK are cut,
        and each pair of blocks is a task of its own; blocks return counts and chains, never all pairs.
 
+    The index finds pairs that share ``shared`` of their ``nearest`` pivots (the README has the measured recall).
+    With ``exact`` all classes of a label and dimension are one list, so that every pair is verified, in blocks:
+    all links, at quadratic arithmetic.
+
     Vectors that are null, empty, zero, or hold null or non-finite parts, and rows without label, link with
     nothing; vectors of different lengths do not link. Rows without id have no links and a null component;
     rows that repeat an id share their links. Empty tables give empty tables; other columns are not read.
@@ -148,7 +161,7 @@ def near_vectors(
     rows = scratch.save(_classes(rows))
     valid = rows.where("raw is not null and label is not null and vec_id is not null")
     classes = scratch.save(valid.groupBy("label", "dim", "raw").agg(F.min("vec_id").alias("vec"), F.count("*").alias("n")).select("vec", "label", "dim", "n", "raw"))
-    chosen = spark.sparkContext.broadcast(choose_pivots(classes, pivots, SAMPLE))
+    chosen = spark.sparkContext.broadcast({} if exact else choose_pivots(classes, pivots or pivot_count(classes.count()), MOST_PIVOTS))
     known = scratch.save(_described(classes, chosen, nearest))
     posts = known.select("*", F.explode("near").alias("pivot"))
     blocks = F.ceil(F.count("*") / BLOCK).cast("int")
