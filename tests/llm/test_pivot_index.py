@@ -52,3 +52,33 @@ def test_odd_rows(spark):
     alone = [(str(i), 0, i, True) for i in (1, 2, 3, 4, 5, 8, 9)]
     assert got == sorted([*alone, ("6", 2, 6, True), ("6", 2, 6, True), ("7", 2, 6, False), ("None", 0, None, False)])
     assert pivot_index.near_vectors(df.limit(0)).collect() == []
+
+
+def test_recall_and_exact_mode(spark):
+    """Noisy copies of given embeddings at cosines around and above the bound, with as many pivots as a large table has."""
+    x = np.array([r.embedding for r in spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").orderBy("vec_id").collect()])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    rnd = np.random.default_rng(4)
+    rows = [(i, v.tolist(), i % 2) for i, v in enumerate(x)]
+    for k, c in enumerate((0.9, 0.935, 0.96, 1.0), 1):
+        noise = rnd.normal(size=x.shape)
+        noise -= (noise * x).sum(axis=1, keepdims=True) * x
+        noise /= np.linalg.norm(noise, axis=1, keepdims=True)
+        rows += [(1000 * k + i, (c * v + np.sqrt(1 - c * c) * n).tolist(), i % 2) for i, (v, n) in enumerate(zip(x, noise, strict=True))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(5).cache()
+    ids, all_, labels = np.array([r[0] for r in rows]), np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
+    all_ = all_ / np.linalg.norm(all_, axis=1, keepdims=True)
+    links = (all_ @ all_.T >= 0.93) & (labels[:, None] == labels[None, :])
+    np.fill_diagonal(links, False)
+    want = dict(zip(ids.tolist(), links.sum(axis=1).tolist(), strict=True))
+    assert sum(want.values()) > 2 * 2 * len(x)
+    exact = {r.vec_id: r.n_links for r in pivot_index.near_vectors(df, exact=True).collect()}
+    assert exact == want
+    for pivots in (None, 2000):
+        found = {r.vec_id: r.n_links for r in pivot_index.near_vectors(df, pivots=pivots).collect()}
+        assert all(found[i] <= want[i] for i in want)
+        assert sum(found.values()) >= 0.95 * sum(want.values())
+
+
+def test_pivots_follow_the_vectors():
+    assert [pivot_index.pivot_count(n) for n in (0, 10_000, 90_000, 10**12)] == [256, 256, 600, 4096]
