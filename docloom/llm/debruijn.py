@@ -23,7 +23,7 @@ from docloom.llm.words import BASE, SPACED, _Powers, hash_words, mix, shingles,
 
 @dataclass
 class Paths:
-    """Of some texts: per window its text, hash and path; per path its text, minimizer and content."""
+    """Of some texts: per window its text, hash and path; per path its text, minimizer, content and the words from and to which it reaches."""
 
     at: np.ndarray
     window_at: np.ndarray
@@ -33,6 +33,8 @@ class Paths:
     path_text: np.ndarray
     minimizer: np.ndarray
     content: np.ndarray
+    path_from: np.ndarray
+    path_to: np.ndarray
 
 
 def _smallest(values: np.ndarray, width: int) -> np.ndarray:
@@ -51,7 +53,7 @@ def paths(h: np.ndarray, at: np.ndarray, size: int, k: int) -> Paths:
     if n < size:
         i = np.zeros(0, np.int64)
         u = np.zeros(0, np.uint64)
-        return Paths(at, i, i, u, i, i, u, u)
+        return Paths(at, i, i, u, i, i, u, u, i, i)
     least = _smallest(shingles(h, k), size - k + 1)
     window_at = np.flatnonzero(text[: n - size + 1] == text[size - 1 :])
     window_text, least = text[window_at], least[window_at]
@@ -65,7 +67,7 @@ def paths(h: np.ndarray, at: np.ndarray, size: int, k: int) -> Paths:
     hashed = lambda a, b: mix((sums[b] - sums[a]) * _Powers.down[a])
     a, b = window_at[first], window_at[last] + size
     content = mix(hashed(a, b) + (b - a).astype(np.uint64) * np.uint64(BASE))
-    return Paths(at, window_at, window_text, hashed(window_at, window_at + size), np.cumsum(new) - 1, window_text[first], least[first], content)
+    return Paths(at, window_at, window_text, hashed(window_at, window_at + size), np.cumsum(new) - 1, window_text[first], least[first], content, a, b)
 
 
 def _each(column: pa.Array, size: int, k: int) -> Iterator[tuple[int, int, Paths]]:
@@ -146,14 +148,63 @@ def _windows(docs: DataFrame, size: int, k: int) -> DataFrame:
     return docs.select("_doc", "text", "open").mapInArrow(run, "m long, w long, doc long")
 
 
+def _source_words(docs: DataFrame, size: int, k: int) -> DataFrame:
+    """(kind, h, words): of the first texts, the words at the places of the paths (kind 0) and windows (1) named in ``asked``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low in range(0, batch.num_rows, 256):
+                part = batch.slice(low, 256)
+                texts, asked = _unpacked(part.column(0)), part.column(1).to_pylist()
+                kinds, hashes, said = [], [], []
+                for lo, hi, p in _each(_bytes_array(texts), size, k):
+                    path_at = np.searchsorted(p.path_text, np.arange(hi - lo + 1))
+                    window_at = np.searchsorted(p.window_text, np.arange(hi - lo + 1))
+                    for i in range(hi - lo):
+                        words = texts[lo + i].split()
+                        for kind, bounds, values, start, end in ((0, path_at, p.content, p.path_from, p.path_to), (1, window_at, p.window_hash, p.window_at, p.window_at + size)):
+                            own = np.array([x["h"] for x in asked[lo + i] if x["kind"] == kind], np.int64)
+                            here = np.arange(bounds[i], bounds[i + 1])
+                            here = here[np.isin(values[here].view(np.int64), own)]
+                            for j in here[np.unique(values[here], return_index=True)[1]].tolist():
+                                kinds.append(kind)
+                                hashes.append(int(values[j].view(np.int64)))
+                                said.append(b" ".join(words[start[j] - p.at[i] : end[j] - p.at[i]]))
+                yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(hashes, pa.int64()), pa.array(said, pa.binary())], names=["kind", "h", "words"])
+
+    return docs.select("text", "asked").mapInArrow(run, "kind int, h long, words binary")
+
+
+def _repeated(p: Paths, i: int, words: list[bytes], size: int, paths_here: tuple[int, int], windows_here: tuple[int, int], gone: list[dict]) -> np.ndarray:
+    """Which windows of text i are repeats: equal, word by word, to their first occurrence's words, which are in ``gone``, or to an earlier window of the text."""
+    (c, d), (a, b), zero = paths_here, windows_here, p.at[i]
+    source = [{x["h"]: x["words"] for x in gone if x["kind"] == kind} for kind in (0, 1)]
+    again = np.zeros(b - a, bool)
+    if source[0]:
+        known = np.isin(p.content[c:d].view(np.int64), np.fromiter(source[0], np.int64, len(source[0])))
+        whole = np.zeros(d - c, bool)
+        for j in np.flatnonzero(known).tolist():
+            whole[j] = b" ".join(words[p.path_from[c + j] - zero : p.path_to[c + j] - zero]) == source[0][int(p.content[c + j].view(np.int64))]
+        again |= whole[p.window_path[a:b] - c]
+    hashes, starts = p.window_hash[a:b], p.window_at[a:b] - zero
+    if source[1]:
+        for j in np.flatnonzero(np.isin(hashes.view(np.int64), np.fromiter(source[1], np.int64, len(source[1]))) & ~again).tolist():
+            again[j] = b" ".join(words[starts[j] : starts[j] + size]) == source[1][int(hashes[j].view(np.int64))]
+    _, first, back = np.unique(hashes, return_index=True, return_inverse=True)
+    for j in np.flatnonzero((first[back] < np.arange(b - a)) & ~again).tolist():
+        e = starts[first[back[j]]]
+        again[j] = words[starts[j] : starts[j] + size] == words[e : e + size]
+    return again
+
+
 def _cut(docs: DataFrame, size: int, k: int) -> DataFrame:
-    """The result rows, from the texts with their repeated paths (gone) and windows (gone_windows)."""
+    """The result rows, from the texts with the first occurrences' words of their repeated paths and windows (gone)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for low in range(0, batch.num_rows, 256):
                 part = batch.slice(low, 256)
-                texts = _unpacked(part.column(1))
+                texts, gone = _unpacked(part.column(1)), part.column(2)
                 n, removed, digest, kept_text = [], [], [], []
                 for lo, hi, p in _each(_bytes_array(texts), size, k):
                     path_at = np.searchsorted(p.path_text, np.arange(hi - lo + 1))
@@ -161,13 +212,7 @@ def _cut(docs: DataFrame, size: int, k: int) -> DataFrame:
                     for i in range(hi - lo):
                         words = texts[lo + i].split()
                         a, b = window_at[i], window_at[i + 1]
-                        hashes = p.window_hash[a:b]
-                        again = np.ones(b - a, bool)
-                        again[np.unique(hashes, return_index=True)[1]] = False
-                        for col, values in ((2, p.content[path_at[i] : path_at[i + 1]][p.window_path[a:b] - path_at[i]]), (3, hashes)):
-                            gone = part.column(col)[lo + i].values
-                            if gone is not None and len(gone):
-                                again |= np.isin(values, np.asarray(gone).view(np.uint64))
+                        again = _repeated(p, i, words, size, (path_at[i], path_at[i + 1]), (a, b), gone[lo + i].as_py() or [])
                         if again.any():
                             starts = p.window_at[a:b][again] - p.at[i]
                             edge = np.zeros(len(words) + 1, np.int64)
@@ -185,7 +230,7 @@ def _cut(docs: DataFrame, size: int, k: int) -> DataFrame:
                     [part.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(digest, pa.string()), pa.array(kept_text, pa.binary()).view(pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept"]
                 )
 
-    return docs.select("doc_id", "text", "gone", "gone_windows").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
+    return docs.select("doc_id", "text", "gone").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
 
 
 def remove_repeats(docs: DataFrame, size: int = 20, k: int = 6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -198,10 +243,15 @@ def remove_repeats(docs: DataFrame, size: int = 20, k: int = 6, id_col: str = "d
        that only one path of one text has are dropped: nothing on them repeats.
     2. Of a repeated path all copies but the one in the first text go whole. Where a minimizer has several
        different paths, their first copies are opened into windows, and each window's first text is found.
-    3. Texts are joined with their repeated paths and windows; repeats inside one text are found there.
+    3. The words of each repeated path and window are read at its source coordinates, in its first text, and
+       joined to the texts that repeat it; a text's span is cut only if its words are the same, one by one.
+       Repeats inside one text are found and compared there.
+
+    Paths are compacted inside each text, between changes of the minimizer, which is where other texts can
+    branch off; the joins are on minimizers and contents, not on single edges.
 
     Every aggregate is combined before its shuffle, so a passage that very many texts share costs a row
-    per task. Words and windows are compared by 64-bit hashes, windows within their minimizer's.
+    per task. Candidates are found by 64-bit hashes, windows within their minimizer's.
     A null or empty text has no words (digest of nothing); a text of fewer than ``size`` words keeps all.
     Rows that repeat an id, or have none, are separate texts, in order of their texts, null ids last. An
     empty table gives an empty table; other columns are not read.
@@ -222,6 +272,11 @@ def remove_repeats(docs: DataFrame, size: int = 20, k: int = 6, id_col: str = "d
     windows = scratch.save(_windows(opened, size, k))
     seen = scratch.save(windows.groupBy("m", "w").agg(F.min("doc").alias("first"), F.count("*").alias("n")).where("n > 1").select("m", "w", "first"))
     later = windows.join(seen, ["m", "w"]).where("first < doc")
-    lists = known.where("gone").select("doc", "c", F.lit(None).cast("long").alias("w")).union(later.select("doc", F.lit(None).cast("long").alias("c"), "w"))
-    lists = scratch.save(lists.groupBy("doc").agg(F.collect_list("c").alias("gone"), F.collect_list("w").alias("gone_windows")))
-    return _cut(_packed(docs).join(lists, F.col("_doc") == F.col("doc"), "left"), size, k)
+    lists = known.where("gone").select("doc", F.lit(0).alias("kind"), F.col("c").alias("h")).union(later.select("doc", F.lit(1), "w"))
+    lists = scratch.save(lists.distinct())
+    scratch.drop(pieces)
+    starts = first.select(F.lit(0).alias("kind"), F.col("c").alias("h"), F.col("first").alias("doc")).union(seen.select(F.lit(1), "w", "first")).groupBy("kind", "h").agg(F.min("doc").alias("doc"))
+    asked = lists.select("kind", "h").distinct().join(starts, ["kind", "h"]).groupBy("doc").agg(F.collect_list(F.struct("kind", "h")).alias("asked"))
+    said = scratch.save(_source_words(_packed(docs.select("_doc", "text")).join(asked, F.col("_doc") == F.col("doc")), size, k))
+    gone = lists.join(said, ["kind", "h"]).groupBy("doc").agg(F.collect_list(F.struct("kind", "h", "words")).alias("gone"))
+    return _cut(_packed(docs).join(gone, F.col("_doc") == F.col("doc"), "left"), size, k)
