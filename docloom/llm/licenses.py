@@ -159,11 +159,13 @@ def scan_text(text: str | None) -> tuple:
             duty = max(duty or 0, DUTY[label])
     low = raw.translate(_LOWER).decode("latin-1")
     read_to = -1
-    for end, _ in tags.iter(low):
+    marks = list(tags.iter(low))
+    for i, (end, _) in enumerate(marks):
         if end <= read_to:
             continue
-        stop = raw.find(b"\n", end)
-        rest = raw[end + 1 : stop if stop >= 0 else len(raw)].decode("utf-8", "replace")
+        upto = next((e - len(t) + 1 for e, t in marks[i + 1 : i + 1 + len(TAGS)] if e > end), len(raw))  # a line with many tags is read once
+        stop = raw.find(b"\n", end, max(upto, end + 1))
+        rest = raw[end + 1 : stop if stop >= 0 else max(upto, end + 1)].decode("utf-8", "replace")
         read_to = end
         postfix = to_postfix(rest)
         if postfix is None:
