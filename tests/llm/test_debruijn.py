@@ -1,5 +1,9 @@
 import random
 
+import numpy as np
+import pyarrow as pa
+
+from docloom.llm import debruijn
 from docloom.llm.debruijn import remove_repeats
 from tests.llm import brute
 
@@ -41,3 +45,27 @@ def test_odd_rows(spark):
     out = sorted((str(r.doc_id), r.n_words, r.n_removed) for r in remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     assert out == sorted([("1", 0, 0), ("2", 0, 0), ("3", 40, 0), ("3", 40, 40), ("None", 40, 40), ("4", 2, 0)])
     assert remove_repeats(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_hash_matches_are_compared_word_by_word():
+    """A span goes only if the words at its source are the same, whatever its hash says."""
+    words = [f"w{i}".encode() for i in range(60)]
+    text = pa.array([b" ".join(words).decode()])
+    _, _, p = next(debruijn._each(text, 20, 6))
+    here = ((0, len(p.content)), (0, len(p.window_hash)))
+    own = lambda j: b" ".join(words[p.path_from[j] : p.path_to[j]])
+    signed = lambda x: int(np.uint64(x).view(np.int64))
+    for said, want in ((own, True), (lambda j: own(j) + b"x", False)):
+        gone = [{"kind": 0, "h": signed(p.content[j]), "words": said(j)} for j in range(len(p.content))]
+        assert debruijn._repeated(p, 0, words, 20, *here, gone).tolist() == [want] * 41
+    for said, want in ((b" ".join(words[3:23]), [j == 3 for j in range(41)]), (b" ".join(words[4:24]), [False] * 41)):
+        assert debruijn._repeated(p, 0, words, 20, *here, [{"kind": 1, "h": signed(p.window_hash[3]), "words": said}]).tolist() == want
+    p.window_hash[:] = 7  # all windows collide
+    assert not debruijn._repeated(p, 0, words, 20, *here, []).any()
+
+
+def test_long_text(spark):
+    long = " ".join(f"w{i % 50_000}" for i in range(120_000))
+    r = remove_repeats(spark.createDataFrame([(1, long), (2, "a " + long[:600])], "doc_id long, text string")).orderBy("doc_id").collect()
+    want = brute.remove_repeats([(1, long), (2, "a " + long[:600])])
+    assert {x.doc_id: (x.n_words, x.n_removed, x.kept_sha256) for x in r} == want

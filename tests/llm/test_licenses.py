@@ -33,3 +33,13 @@ def test_shunting_yard():
     assert evaluate(to_postfix("GPL-3.0 OR MIT")) == (frozenset({"gpl", "mit"}), 1)
     assert evaluate(to_postfix("GPL-3.0 AND MIT"))[1] == 3 and evaluate(to_postfix("GPL-3.0 WITH x"))[1] == 2
     assert re.fullmatch(r"[a-z0-9. -]+", " ".join(to_postfix("Apache-2.0 WITH LLVM-exception")))
+
+
+def test_long_line_of_tags(spark):
+    from time import monotonic
+
+    from docloom.llm.licenses import scan_text
+
+    began = monotonic()
+    row = scan_text("SPDX-License-Identifier: MIT or Apache-2.0 " * 20_000)
+    assert monotonic() - began < 20 and "mit" in row[5].lower() and len(row[7]) == 20_000
