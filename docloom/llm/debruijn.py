@@ -148,48 +148,59 @@ def _windows(docs: DataFrame, size: int, k: int) -> DataFrame:
     return docs.select("_doc", "text", "open").mapInArrow(run, "m long, w long, doc long")
 
 
-def _source_words(docs: DataFrame, size: int, k: int) -> DataFrame:
-    """(kind, h, words): of the first texts, the words at the places of the paths (kind 0) and windows (1) named in ``asked``."""
+_MISS = np.zeros((0, 4), np.int64)
+
+
+def _digest(words: list[bytes]) -> tuple[int, int]:
+    """128 bits of the words themselves, as two signed numbers."""
+    import xxhash
+
+    x = xxhash.xxh3_128_intdigest(b" ".join(words))
+    return (x >> 64) - (1 << 63), (x & ((1 << 64) - 1)) - (1 << 63)
+
+
+def _source_digests(docs: DataFrame, size: int, k: int) -> DataFrame:
+    """(kind, h, d1, d2): of the first texts, digests of the words at the places of the paths (kind 0) and windows (1) named in ``asked``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for low in range(0, batch.num_rows, 256):
                 part = batch.slice(low, 256)
-                texts, asked = _unpacked(part.column(0)), part.column(1).to_pylist()
-                kinds, hashes, said = [], [], []
+                texts, asked, out = _unpacked(part.column(0)), part.column(1), []
                 for lo, hi, p in _each(_bytes_array(texts), size, k):
                     path_at = np.searchsorted(p.path_text, np.arange(hi - lo + 1))
                     window_at = np.searchsorted(p.window_text, np.arange(hi - lo + 1))
                     for i in range(hi - lo):
-                        words = texts[lo + i].split()
+                        words, own = texts[lo + i].split(), asked[lo + i].values
+                        kinds, hashes = (own.field(c).to_numpy(zero_copy_only=False) for c in ("kind", "h"))
                         for kind, bounds, values, start, end in ((0, path_at, p.content, p.path_from, p.path_to), (1, window_at, p.window_hash, p.window_at, p.window_at + size)):
-                            own = np.array([x["h"] for x in asked[lo + i] if x["kind"] == kind], np.int64)
                             here = np.arange(bounds[i], bounds[i + 1])
-                            here = here[np.isin(values[here].view(np.int64), own)]
+                            here = here[np.isin(values[here].view(np.int64), hashes[kinds == kind])]
                             for j in here[np.unique(values[here], return_index=True)[1]].tolist():
-                                kinds.append(kind)
-                                hashes.append(int(values[j].view(np.int64)))
-                                said.append(b" ".join(words[start[j] - p.at[i] : end[j] - p.at[i]]))
-                yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(hashes, pa.int64()), pa.array(said, pa.binary())], names=["kind", "h", "words"])
+                                out.append((kind, int(values[j].view(np.int64)), *_digest(words[start[j] - p.at[i] : end[j] - p.at[i]])))
+                table = np.array(out, np.int64).reshape(-1, 4)
+                yield pa.RecordBatch.from_arrays([pa.array(table[:, 0].astype(np.int32)), *(pa.array(table[:, c].copy()) for c in (1, 2, 3))], names=["kind", "h", "d1", "d2"])
+
+    return docs.select("text", "asked").mapInArrow(run, "kind int, h long, d1 long, d2 long")
+
 
-    return docs.select("text", "asked").mapInArrow(run, "kind int, h long, words binary")
+def _same_as_source(values: np.ndarray, said: np.ndarray, words: list[bytes], start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Which spans (hashes ``values``) have the words of their source (rows of ``said``: kind, hash and two digests)."""
+    same = np.zeros(len(values), bool)
+    if len(said):
+        said = said[np.argsort(said[:, 1], kind="stable")]
+        at = np.minimum(np.searchsorted(said[:, 1], values.view(np.int64)), len(said) - 1)
+        for j in np.flatnonzero(said[at, 1] == values.view(np.int64)).tolist():
+            same[j] = _digest(words[start[j] : end[j]]) == (int(said[at[j], 2]), int(said[at[j], 3]))
+    return same
 
 
-def _repeated(p: Paths, i: int, words: list[bytes], size: int, paths_here: tuple[int, int], windows_here: tuple[int, int], gone: list[dict]) -> np.ndarray:
-    """Which windows of text i are repeats: equal, word by word, to their first occurrence's words, which are in ``gone``, or to an earlier window of the text."""
+def _repeated(p: Paths, i: int, words: list[bytes], size: int, paths_here: tuple[int, int], windows_here: tuple[int, int], gone: np.ndarray) -> np.ndarray:
+    """Which windows of text i are repeats: their words have the digest of those at the first occurrence (in ``gone``), or are those of an earlier window of the text."""
     (c, d), (a, b), zero = paths_here, windows_here, p.at[i]
-    source = [{x["h"]: x["words"] for x in gone if x["kind"] == kind} for kind in (0, 1)]
-    again = np.zeros(b - a, bool)
-    if source[0]:
-        known = np.isin(p.content[c:d].view(np.int64), np.fromiter(source[0], np.int64, len(source[0])))
-        whole = np.zeros(d - c, bool)
-        for j in np.flatnonzero(known).tolist():
-            whole[j] = b" ".join(words[p.path_from[c + j] - zero : p.path_to[c + j] - zero]) == source[0][int(p.content[c + j].view(np.int64))]
-        again |= whole[p.window_path[a:b] - c]
     hashes, starts = p.window_hash[a:b], p.window_at[a:b] - zero
-    if source[1]:
-        for j in np.flatnonzero(np.isin(hashes.view(np.int64), np.fromiter(source[1], np.int64, len(source[1]))) & ~again).tolist():
-            again[j] = b" ".join(words[starts[j] : starts[j] + size]) == source[1][int(hashes[j].view(np.int64))]
+    whole = _same_as_source(p.content[c:d], gone[gone[:, 0] == 0], words, p.path_from[c:d] - zero, p.path_to[c:d] - zero)
+    again = whole[p.window_path[a:b] - c] | _same_as_source(hashes, gone[gone[:, 0] == 1], words, starts, starts + size)
     _, first, back = np.unique(hashes, return_index=True, return_inverse=True)
     for j in np.flatnonzero((first[back] < np.arange(b - a)) & ~again).tolist():
         e = starts[first[back[j]]]
@@ -198,7 +209,7 @@ def _repeated(p: Paths, i: int, words: list[bytes], size: int, paths_here: tuple
 
 
 def _cut(docs: DataFrame, size: int, k: int) -> DataFrame:
-    """The result rows, from the texts with the first occurrences' words of their repeated paths and windows (gone)."""
+    """The result rows, from the texts with the digests of the first occurrences of their repeated paths and windows (gone)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -212,7 +223,9 @@ def _cut(docs: DataFrame, size: int, k: int) -> DataFrame:
                     for i in range(hi - lo):
                         words = texts[lo + i].split()
                         a, b = window_at[i], window_at[i + 1]
-                        again = _repeated(p, i, words, size, (path_at[i], path_at[i + 1]), (a, b), gone[lo + i].as_py() or [])
+                        own = gone[lo + i].values
+                        own = _MISS if own is None else np.stack([own.field(x).to_numpy(zero_copy_only=False).astype(np.int64) for x in ("kind", "h", "d1", "d2")], axis=1)
+                        again = _repeated(p, i, words, size, (path_at[i], path_at[i + 1]), (a, b), own)
                         if again.any():
                             starts = p.window_at[a:b][again] - p.at[i]
                             edge = np.zeros(len(words) + 1, np.int64)
@@ -244,8 +257,8 @@ def remove_repeats(docs: DataFrame, size: int = 20, k: int = 6, id_col: str = "d
     2. Of a repeated path all copies but the one in the first text go whole. Where a minimizer has several
        different paths, their first copies are opened into windows, and each window's first text is found.
     3. The words of each repeated path and window are read at its source coordinates, in its first text, and
-       joined to the texts that repeat it; a text's span is cut only if its words are the same, one by one.
-       Repeats inside one text are found and compared there.
+       their 128-bit digest is joined to the texts that repeat it; a text's span is cut only if its own words
+       have that digest. Repeats inside one text are found and compared there, word by word.
 
     Paths are compacted inside each text, between changes of the minimizer, which is where other texts can
     branch off; the joins are on minimizers and contents, not on single edges.
@@ -277,6 +290,6 @@ def remove_repeats(docs: DataFrame, size: int = 20, k: int = 6, id_col: str = "d
     scratch.drop(pieces)
     starts = first.select(F.lit(0).alias("kind"), F.col("c").alias("h"), F.col("first").alias("doc")).union(seen.select(F.lit(1), "w", "first")).groupBy("kind", "h").agg(F.min("doc").alias("doc"))
     asked = lists.select("kind", "h").distinct().join(starts, ["kind", "h"]).groupBy("doc").agg(F.collect_list(F.struct("kind", "h")).alias("asked"))
-    said = scratch.save(_source_words(_packed(docs.select("_doc", "text")).join(asked, F.col("_doc") == F.col("doc")), size, k))
-    gone = lists.join(said, ["kind", "h"]).groupBy("doc").agg(F.collect_list(F.struct("kind", "h", "words")).alias("gone"))
+    said = scratch.save(_source_digests(_packed(docs.select("_doc", "text")).join(asked, F.col("_doc") == F.col("doc")), size, k))
+    gone = lists.join(said, ["kind", "h"]).groupBy("doc").agg(F.collect_list(F.struct("kind", "h", "d1", "d2")).alias("gone"))
     return _cut(_packed(docs).join(gone, F.col("_doc") == F.col("doc"), "left"), size, k)
