@@ -53,15 +53,15 @@ def test_hash_matches_are_compared_word_by_word():
     text = pa.array([b" ".join(words).decode()])
     _, _, p = next(debruijn._each(text, 20, 6))
     here = ((0, len(p.content)), (0, len(p.window_hash)))
-    own = lambda j: b" ".join(words[p.path_from[j] : p.path_to[j]])
-    signed = lambda x: int(np.uint64(x).view(np.int64))
-    for said, want in ((own, True), (lambda j: own(j) + b"x", False)):
-        gone = [{"kind": 0, "h": signed(p.content[j]), "words": said(j)} for j in range(len(p.content))]
+    own = lambda j: words[p.path_from[j] : p.path_to[j]]
+    row = lambda kind, h, said: (kind, int(np.uint64(h).view(np.int64)), *debruijn._digest(said))
+    for said, want in ((own, True), (lambda j: [*own(j), b"x"], False)):
+        gone = np.array([row(0, p.content[j], said(j)) for j in range(len(p.content))])
         assert debruijn._repeated(p, 0, words, 20, *here, gone).tolist() == [want] * 41
-    for said, want in ((b" ".join(words[3:23]), [j == 3 for j in range(41)]), (b" ".join(words[4:24]), [False] * 41)):
-        assert debruijn._repeated(p, 0, words, 20, *here, [{"kind": 1, "h": signed(p.window_hash[3]), "words": said}]).tolist() == want
+    for said, want in ((words[3:23], [j == 3 for j in range(41)]), (words[4:24], [False] * 41)):
+        assert debruijn._repeated(p, 0, words, 20, *here, np.array([row(1, p.window_hash[3], said)])).tolist() == want
     p.window_hash[:] = 7  # all windows collide
-    assert not debruijn._repeated(p, 0, words, 20, *here, []).any()
+    assert not debruijn._repeated(p, 0, words, 20, *here, debruijn._MISS).any()
 
 
 def test_long_text(spark):
