@@ -89,7 +89,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, size: int = 10, rarest: int
 
     n_hit = F.coalesce(F.aggregate("hits", zero, cover, lambda acc: acc["n"]), F.lit(0).cast("long"))
     found = read.select("_doc", F.explode(F.array_distinct(F.transform("hits", lambda c: c["phrase"]))).alias("phrase"))
-    named = found.join(windows.select("phrase", "item_id"), "phrase").groupBy("_doc").agg(F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("item_ids"))
+    owners = windows.groupBy("phrase").agg(F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("owners"))
+    named = found.join(owners, "phrase").groupBy("_doc").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_set("owners")))).alias("item_ids"))  # a text's phrases mostly have the same owners
     out = read.select("_doc", "doc_id", "n_words", n_hit.alias("n_hit")).join(named, "_doc", "left")
     ids = F.coalesce("item_ids", F.array().cast("array<string>"))
     return out.select("doc_id", "n_words", "n_hit", F.size(ids).cast("long").alias("n_items"), F.sha2(F.array_join(ids, ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), ids.alias("item_ids"))
