@@ -10,12 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a new temporary folder where it is unset (single-machine tests)."""
+    """spark.checkpoint.dir; where it is unset, a new temporary folder on a local master, and an error on a cluster."""
     set_dir = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if set_dir:
         return set_dir.rstrip("/")
     own = spark.conf.get("docloom.scratch.dir", None)
     if own is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         own = "file://" + tempfile.mkdtemp(prefix="docloom-")
         spark.conf.set("docloom.scratch.dir", own)
     return own
