@@ -16,6 +16,9 @@ from docloom.llm.maxent import score_texts
 from docloom.llm.mixing import mix_sources
 from docloom.llm.ngram_join import jaccard_components
 from docloom.llm.pivot_index import near_vectors
+from docloom.llm.recompression import find_runs, planted_period
+from docloom.llm.resample import resample
+from docloom.llm.robust_rules import quality_rules
 from docloom.llm.toxicity import score_toxicity
 
 
@@ -63,6 +66,30 @@ def op10_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kd_shards(_documents(spark, sf_dir), shards=16)
 
 
+def op11_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_runs(_documents(spark, sf_dir), least=6, times=4, rewrite=planted_period)
+    top = F.col("strongest")
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        top["start"].alias("start"),
+        top["length"].alias("length"),
+        top["period"].alias("period"),
+        F.expr("1000 * strongest.length div strongest.period").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform(lines, lambda x: F.concat(x, F.lit("\n"))), ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(_documents(spark, sf_dir))
+
+
 OP2_SQL = r"""
 WITH bw AS (
   SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
@@ -100,6 +127,36 @@ r AS (
 SELECT doc_id, size, source_size, target, (size * (floor(rate) + CASE WHEN draw < rate - floor(rate) THEN 1 ELSE 0 END))::BIGINT AS taken FROM r
 """
 
+OP11_SQL = r"""
+WITH bytes AS (SELECT range AS b FROM range(256)),
+crc_table AS (
+  SELECT list(v ORDER BY b) AS t FROM (
+    SELECT b, list_reduce(list_prepend(b::UBIGINT, range(8)::UBIGINT[]), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END) AS v FROM bytes)),
+texts AS (
+  SELECT 0 AS side, row_number() OVER () AS row, doc_id, text FROM documents
+  UNION ALL SELECT 1, row_number() OVER (), NULL, text FROM benchmark),
+words AS (
+  SELECT side, row, doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM texts),
+runs AS (
+  SELECT side, row, array_to_string(w[i : i + k - 1], ' ') AS f
+  FROM (SELECT side, row, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM words, (SELECT unnest([1, 2, 3]) AS k) WHERE len(w) >= k)),
+features AS (SELECT f, hex(encode(f)) AS h FROM (SELECT DISTINCT f FROM runs)),
+hashed AS (
+  SELECT f, xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(range(1, len(h), 2), lambda i: ('0x' || substr(h, i, 2))::UBIGINT)),
+      lambda c, b: xor(c >> 8, t[(xor(c, b) % 256 + 1)::BIGINT])), 4294967295::UBIGINT) % 10000 AS bucket
+  FROM features, crc_table),
+r AS (SELECT side, row, bucket FROM runs JOIN hashed USING (f)),
+b AS (SELECT bucket, count(*) FILTER (side = 0) AS s, count(*) FILTER (side = 1) AS t FROM r GROUP BY bucket),
+al AS (SELECT count(*) FILTER (side = 0) + 10000 AS s, count(*) FILTER (side = 1) + 10000 AS t FROM r),
+g AS (SELECT bucket, floor(1000 * ln((b.t + 1)::DOUBLE * al.s::DOUBLE / ((b.s + 1)::DOUBLE * al.t::DOUBLE)))::BIGINT AS gain FROM b, al),
+w AS (SELECT row, count(*) AS n, sum(gain)::BIGINT AS weight FROM r JOIN g USING (bucket) WHERE side = 0 GROUP BY row),
+sc AS (
+  SELECT doc_id, len(w) AS n_words, coalesce(n, 0)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+    (coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('42:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296.0::DOUBLE))))::BIGINT AS score
+  FROM words LEFT JOIN w USING (row) WHERE side = 0),
+rk AS (SELECT *, row_number() OVER (ORDER BY n_words < 20, score DESC, doc_id NULLS LAST) AS k, count(*) FILTER (n_words >= 20) OVER () * 5 // 100 AS drawn FROM sc)
+SELECT doc_id, n_features, weight, score, CASE WHEN k <= drawn THEN k END AS rank FROM rk
+"""
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_text": op1_html_text,
@@ -112,9 +169,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mix_sources": op8_mix_sources,
     "op9_near_vectors": op9_near_vectors,
     "op10_kd_shards": op10_kd_shards,
+    "op11_resample": op11_resample,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_quality_rules": op13_quality_rules,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_decontaminate": OP2_SQL,
     "op8_mix_sources": OP8_SQL,
+    "op11_resample": OP11_SQL,
 }
