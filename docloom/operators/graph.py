@@ -57,8 +57,11 @@ def claim_edges(claims: DataFrame) -> DataFrame:
 
 
 def relation_edges(relations: DataFrame) -> DataFrame:
-    """The predicate itself, ASSERTS, OBJECT and SUPPORTED_BY of relations (doc_id, subject, object, predicate, statement, evidence)."""
-    claim = F.concat(F.lit("claim:"), F.substring(F.sha2(F.concat_ws("\u001f", "subject", "predicate", "object", "statement"), 256), 1, 24))
+    """The predicate itself, ASSERTS, OBJECT and SUPPORTED_BY of relations (doc_id, subject, object, predicate, statement, evidence).
+
+    The asserted claim is named by both ends, the predicate and the statement's alias, so spellings of one statement meet.
+    """
+    claim = F.concat(F.lit("claim:"), F.substring(F.sha2(F.concat_ws("\u001f", "subject", "object", "predicate", alias_key(F.col("statement"))), 256), 1, 24))
     r = relations.withColumn("claim", claim)
     pick = lambda s, t, name, semantic: r.select("doc_id", F.col(s).alias("source"), F.col(t).alias("target"), (F.col("predicate") if name is None else F.lit(name)).alias("relation"), F.lit(semantic).alias("semantic"))
     edges = pick("subject", "object", None, True).union(pick("subject", "claim", "ASSERTS", True)).union(pick("claim", "object", "OBJECT", True))
@@ -70,13 +73,21 @@ def mention_edges(mentions: DataFrame) -> DataFrame:
     return mentions.select(F.col("entity").alias("source"), F.explode("evidence").alias("target"), F.lit("MENTIONED_IN").alias("relation")).distinct()
 
 
+def _united(rows: DataFrame, column: str) -> DataFrame:
+    """id, column: the sorted distinct values of an array column over all rows of an id; repeats go before the shuffle."""
+    each = rows.select("id", F.explode(column).alias("v")).groupBy("id").agg(F.sort_array(F.collect_set("v")).alias(column))
+    return each
+
+
 def merge_edges(edges: DataFrame) -> DataFrame:
     """One row per edge id: ends and relation of the first contribution, properties (if edges have them) of the last, evidence of all, semantic if any is."""
     last = [F.max_by("properties", "doc_id").alias("properties")] if "properties" in edges.columns else []
-    return edges.groupBy("id").agg(
+    one = edges.groupBy("id").agg(
         F.min_by("source", "doc_id").alias("source"), F.min_by("target", "doc_id").alias("target"), F.min_by("relation", "doc_id").alias("relation"),
-        F.sort_array(F.array_distinct(F.flatten(F.collect_list("evidence")))).alias("evidence"), F.bool_or("semantic").alias("semantic"), F.count_distinct("doc_id").alias("contributions"), *last,
+        F.bool_or("semantic").alias("semantic"), F.count_distinct("doc_id").alias("contributions"), *last,
     )
+    merged = one.join(_united(edges, "evidence"), "id", "left").withColumn("evidence", F.coalesce("evidence", F.array().cast("array<string>")))
+    return merged.select("id", "source", "target", "relation", "evidence", "semantic", "contributions", *(["properties"] if last else []))
 
 
 def violations(nodes: DataFrame, edges: DataFrame, catalogue: DataFrame | None = None) -> DataFrame:
@@ -117,23 +128,34 @@ def commit_contributions(stored: DataFrame, batch: DataFrame, committed: DataFra
     return rows, after, conflicts
 
 
-def snapshot_nodes(contributions: DataFrame, edges: DataFrame) -> DataFrame:
-    """Merged nodes: the first contribution (by doc_id) gives kind and label, the last its value, aliases are united.
+def fold_nodes(contributions: DataFrame) -> DataFrame:
+    """Merged nodes: the first contribution (by doc_id) gives kind and label, the last its value, aliases are united and joined by commas."""
+    n = contributions.groupBy("id").agg(F.min_by("kind", "doc_id").alias("kind"), F.min_by("label", "doc_id").alias("label"), F.max_by("value", "doc_id").alias("value"))
+    return n.join(_united(contributions, "aliases"), "id", "left").withColumn("aliases", F.coalesce(F.array_join("aliases", ","), F.lit("")))
 
-    Nodes other than entities stay only if an edge refers to them.
-    """
-    n = contributions.groupBy("id").agg(
-        F.min_by("kind", "doc_id").alias("kind"), F.min_by("label", "doc_id").alias("label"), F.max_by("value", "doc_id").alias("value"),
-        F.array_join(F.sort_array(F.array_distinct(F.flatten(F.collect_list("aliases")))), ",").alias("aliases"),
-    )
+
+def referenced(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Entities, and those other nodes that an edge refers to."""
     ends = edges.select(F.col("source").alias("id")).union(edges.select("target")).distinct()
-    return n.where("kind = 'entity'").unionByName(n.where("kind <> 'entity'").join(ends, "id", "left_semi"))
+    return nodes.where("kind = 'entity'").unionByName(nodes.where("kind <> 'entity'").join(ends, "id", "left_semi"))
+
+
+def snapshot_nodes(contributions: DataFrame, edges: DataFrame) -> DataFrame:
+    """The folded nodes of all contributions that the snapshot keeps."""
+    return referenced(fold_nodes(contributions), edges)
 
 
 def without_contribution(rows: DataFrame, removed: DataFrame) -> DataFrame:
     return rows.join(removed, "doc_id", "left_anti")
 
 
+def versions_after_removal(rows: DataFrame, removed: DataFrame, versions: DataFrame) -> DataFrame:
+    """kb_id, version after the slices of ``removed`` (kb_id, doc_id) are taken from rows (kb_id, doc_id): one more for each slice that was there."""
+    slices = rows.select("kb_id", "doc_id").distinct().join(removed.distinct(), ["kb_id", "doc_id"], "left_semi")
+    gone = slices.groupBy("kb_id").agg(F.count("*").alias("_n"))
+    return versions.join(gone, "kb_id", "left").select("kb_id", (F.col("version") + F.coalesce("_n", F.lit(0))).cast("long").alias("version"))
+
+
 def both_ways(edges: DataFrame) -> DataFrame:
     cols = [F.col("id"), F.col("relation")]
     return edges.select(F.col("source").alias("node"), F.col("target").alias("other"), *cols, F.lit("out").alias("way")).union(edges.select(F.col("target"), F.col("source"), *cols, F.lit("in")))
@@ -162,22 +184,50 @@ def neighbourhood(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
 
 
 def local_subgraph(edges: DataFrame, seeds: DataFrame, hops: int, limit: int) -> DataFrame:
-    """seed, node, place, hop: breadth-first, neighbours by (relation, node), until ``limit`` nodes of a seed are selected.
+    """seed, node, place, hop, parent: breadth-first, neighbours by (relation, node), until ``limit`` nodes of a seed are selected.
 
     Each hop is a join of the frontier with both directions of the edges. A node's place follows from its
-    parent's place, the relation and its own id; only first meetings count against the limit.
+    parent's place, the relation and its own id; only first meetings count against the limit. ``parent`` is
+    the place of the node from which it was met, null for the seed.
     """
     ways = both_ways(edges)
-    found = cut(seeds.select(F.col("id").alias("seed"), F.col("id").alias("node"), F.lit(1).cast("long").alias("place"), F.lit(0).alias("hop")))
+    found = cut(seeds.select(F.col("id").alias("seed"), F.col("id").alias("node"), F.lit(1).cast("long").alias("place"), F.lit(0).alias("hop"), F.lit(None).cast("long").alias("parent")))
     for hop in range(1, hops + 1):
         met = found.where(F.col("hop") == hop - 1).join(ways, "node").groupBy("seed", F.col("other").alias("node")).agg(F.min(F.struct("place", "relation")).alias("met"))
         new = met.join(found.select("seed", "node"), ["seed", "node"], "left_anti")
+        first = new.withColumn("r", F.row_number().over(Window.partitionBy("seed").orderBy("met.place", "met.relation", "node"))).where(F.col("r") <= limit)
         so_far = found.groupBy("seed").agg(F.max("place").alias("last"))
-        ranked = new.join(so_far, "seed").withColumn("r", F.row_number().over(Window.partitionBy("seed").orderBy("met.place", "met.relation", "node")) + F.col("last"))
-        found = cut(found.union(ranked.where(F.col("r") <= limit).select("seed", "node", "r", F.lit(hop))))
+        ranked = first.join(so_far, "seed").withColumn("place", F.col("r") + F.col("last")).where(F.col("place") <= limit)
+        found = cut(found.union(ranked.select("seed", "node", "place", F.lit(hop), "met.place")))
     return found
 
 
+def subgraph_edges(edges: DataFrame, found: DataFrame, hops: int, limit: int) -> DataFrame:
+    """seed, id, source, target, relation: the edges that a limited search (local_subgraph) passes on its way.
+
+    A node that is expanded gives all its edges, as long as nodes are still taken. The one at which the limit is
+    reached gives those, by (relation, other end), before the first whose other end was not taken; the nodes
+    after it give none. That node is the parent of the last place, so no edge has to be walked in turn: one
+    minimum per seed finds where its edges end.
+    """
+    last = found.groupBy("seed").agg(F.count("*").alias("taken"), F.max_by("parent", "place").alias("stop"))
+    full = F.col("taken") >= limit
+    open_ = found.join(last, "seed").where((F.col("hop") < hops) & (~full | (F.col("place") <= F.col("stop")))).select("seed", "node", (full & (F.col("place") == F.col("stop"))).alias("cut"))
+    met = open_.join(both_ways(edges), "node").withColumn("key", F.struct("relation", "other"))
+    met = met.join(found.select("seed", F.col("node").alias("other"), F.lit(True).alias("taken")), ["seed", "other"], "left")
+    ends = met.where(F.col("cut") & F.col("taken").isNull()).groupBy("seed").agg(F.min("key").alias("end"))
+    kept = met.where("taken").join(ends, "seed", "left").where(~F.col("cut") | F.col("end").isNull() | (F.col("key") < F.col("end")))
+    source, target = (F.when(F.col("way") == "out", F.col(a)).otherwise(F.col(b)) for a, b in (("node", "other"), ("other", "node")))
+    return kept.select("seed", "id", source.alias("source"), target.alias("target"), "relation").distinct()
+
+
+def graph_search(edges: DataFrame, seeds: DataFrame, hops: int, limit: int, most_hops: int = MAX_HOPS) -> DataFrame:
+    """seed, id, source, target, relation: the semantic edges of each seed's limited subgraph, of at most ``most_hops`` hops; edges have semantic."""
+    hops = min(hops, most_hops)
+    near = subgraph_edges(edges, local_subgraph(edges, seeds, hops, limit), hops, limit)
+    return near.join(edges.where("semantic").select("id").distinct(), "id", "left_semi")
+
+
 def text_filter(nodes: DataFrame, edges: DataFrame, text: str) -> DataFrame:
     """Nodes whose label or properties (if nodes have them) hold the text, whatever its case, and those that an edge joins with one of them."""
     holds = F.lower("label").contains(text.lower())
@@ -188,13 +238,24 @@ def text_filter(nodes: DataFrame, edges: DataFrame, text: str) -> DataFrame:
     return nodes.join(hit.union(near).distinct(), "id", "left_semi")
 
 
-def semantic_view(nodes: DataFrame, edges: DataFrame, limit: int) -> DataFrame:
-    """kb_id, id, degree, place: entity, claim and wiki nodes by degree over the edges between them, entities first, then label."""
+def semantic_view(nodes: DataFrame, edges: DataFrame, limit: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of each knowledge base the shown nodes, the edges between them, and the totals of the whole view.
+
+    Nodes: kb_id, id, degree, place; entity, claim and wiki nodes by degree over the edges between them, entities
+    first, then label. Edges: kb_id, id, source, target of those with both ends shown. Totals: kb_id, nodes and edges
+    of the graph and of the view, truncated (whether nodes were left out). An edge belongs to its source's knowledge base.
+    """
     n = nodes.where(F.col("kind").isin("entity", "claim", "wiki"))
-    inside = edges.join(n.select(F.col("id").alias("source")), "source", "left_semi").join(n.select(F.col("id").alias("target")), "target", "left_semi")
+    inside = edges.join(n.select(F.col("id").alias("source"), "kb_id"), "source").join(n.select(F.col("id").alias("target")), "target", "left_semi")
     rated = n.join(degree(inside), "id", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
     order = Window.partitionBy("kb_id").orderBy(F.desc("degree"), F.col("kind") != "entity", "label", "id")
-    return rated.withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit).select("kb_id", "id", "degree", "place")
+    shown = rated.withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit).select("kb_id", "id", "degree", "place")
+    ends = shown.select("id")
+    between = inside.join(ends.withColumnRenamed("id", "source"), "source", "left_semi").join(ends.withColumnRenamed("id", "target"), "target", "left_semi").select("kb_id", "id", "source", "target")
+    of = nodes.select(F.col("id").alias("source"), "kb_id")
+    count = lambda df, name: df.groupBy("kb_id").agg(F.count("*").alias(name))
+    totals = count(nodes, "nodes").join(count(edges.join(of, "source"), "edges"), "kb_id", "left").join(count(n, "view_nodes"), "kb_id", "left").join(count(inside, "view_edges"), "kb_id", "left").na.fill(0)
+    return shown, between, totals.withColumn("truncated", F.col("view_nodes") > limit)
 
 
 def seeds(nodes: DataFrame, queries: DataFrame, most: int = 3) -> DataFrame:
@@ -247,6 +308,14 @@ def relations_of(nodes: DataFrame, edges: DataFrame, most: int = 6) -> DataFrame
     return named.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most).select("node", "place", "other", "other_label", "relation", "way")
 
 
+def key_neighbours(edges: DataFrame, weights: DataFrame, most: int = 3) -> DataFrame:
+    """node, place, other, importance: the most important neighbours of each node, each once; weights: id, importance."""
+    near = both_ways(edges).select("node", "other").where("node <> other").distinct()
+    rated = near.join(weights.select(F.col("id").alias("other"), "importance"), "other")
+    order = Window.partitionBy("node").orderBy(F.desc(F.round("importance", 9)), "other")
+    return rated.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most).select("node", "place", "other", "importance")
+
+
 def signature(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """kb_id, nodes, edges, signature: sums of row hashes, which change when a node or a pair of ends does.
 
@@ -257,3 +326,12 @@ def signature(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     n = nodes.groupBy("kb_id").agg(F.count("*").alias("nodes"), F.sum(part("id")).alias("n_sum"))
     e = edges.join(kb, "source").groupBy("kb_id").agg(F.count("*").alias("edges"), F.sum(part("source", "target")).alias("e_sum"))
     return n.join(e, "kb_id", "left").select("kb_id", "nodes", F.coalesce("edges", F.lit(0)).alias("edges"), (F.col("n_sum") + F.coalesce("e_sum", F.lit(0))).alias("signature"))
+
+
+def build_totals(nodes: DataFrame, edges: DataFrame, graph_versions: DataFrame, wiki_versions: DataFrame) -> DataFrame:
+    """kb_id with graph and wiki version (0 where none was published) and counts of documents, nodes, edges and wiki pages; edges have kb_id, versions kb_id and version."""
+    n = nodes.groupBy("kb_id").agg(F.count("*").alias("node_count"), F.count_if(F.col("kind") == "wiki").alias("wiki_page_count"))
+    e = edges.groupBy("kb_id").agg(F.count("*").alias("edge_count"), F.count_distinct(F.when(F.col("semantic"), F.col("doc_id"))).alias("document_count"))
+    named = lambda v, c: v.select("kb_id", F.col("version").alias(c))
+    all_ = n.join(e, "kb_id", "left").join(named(graph_versions, "graph_version"), "kb_id", "left").join(named(wiki_versions, "wiki_version"), "kb_id", "left").na.fill(0)
+    return all_.select("kb_id", "graph_version", "wiki_version", "document_count", "node_count", "edge_count", "wiki_page_count")

@@ -2,18 +2,27 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from docloom.operators import graph as G
 from docloom.sources.derived import edges, elements, nodes, table, with_tables
+from docloom.sources.graph_store import GraphStore
+from docloom.sources.shared import cut, shared_dir
+
+#: Nodes of a limited subgraph in the queries.
+NEAR = 50
 
 
 def _seeds(spark, sf):
-    return nodes(spark, sf).where("kind = 'claim' and kb_id = 1").select("id")
+    """All claims and wiki pages: claims have more neighbours than the limit, pages reach it at the second hop."""
+    return nodes(spark, sf).where("kind in ('claim', 'wiki')").select("id")
 
 
-def _held(spark, sf):
-    return edges(spark, sf).where("relation = 'CONTAINS'")
+def _merged(spark, sf):
+    """Each edge once, whichever documents contribute it."""
+    return cut(edges(spark, sf).select("id", "source", "target", "relation", "semantic").distinct())
 
 
 def _claims(spark, sf):
@@ -95,10 +104,51 @@ def g8_snapshot(spark, sf):
     return G.snapshot_nodes(_contributions(spark, sf), edges(spark, sf))
 
 
+def _gone(spark):
+    return spark.range(1995, 1997).select(F.col("id").cast("int").alias("doc_id"))
+
+
 def g9_remove_contribution(spark, sf):
-    gone = spark.range(1995, 1997).select(F.col("id").cast("int").alias("doc_id"))
-    left = G.without_contribution(edges(spark, sf), gone)
-    return G.merge_edges(left).groupBy("relation").agg(F.count("*").alias("edges"), F.sum("contributions").alias("contributions"))
+    merged = G.merge_edges(G.without_contribution(edges(spark, sf), _gone(spark)))
+    return merged.select("id", "source", "target", "relation", F.array_join("evidence", ",").alias("evidence"), "semantic", "contributions")
+
+
+def g9_versions(spark, sf):
+    """Versions after two years are removed, of which some knowledge bases have one only, and one was never there."""
+    removed = spark.createDataFrame([(k, y) for k in range(3) for y in (1995, 1996, 2050)], "kb_id int, doc_id int")
+    versions = _years(spark, sf).select("kb_id").distinct().select("kb_id", (F.col("kb_id") + 4).cast("long").alias("version"))
+    return G.versions_after_removal(_years(spark, sf), removed, versions)
+
+
+def _stored(spark, sf):
+    """A store after four steps: all years come in, odd ones again with less, 1996 goes, and 1997 conflicts."""
+    store = GraphStore(spark, f"{shared_dir(spark)}/graph-{uuid.uuid4().hex}")
+    rows = edges(spark, sf).where("semantic").withColumns({"kb_id": (F.col("doc_id") % 2).cast("long"), "doc_id": F.col("doc_id").cast("string")})
+    rows = cut(rows.select("kb_id", "doc_id", "id", "source", "target", "relation", "evidence", "semantic"))
+    own = rows.select("kb_id", "doc_id", F.explode(F.array("source", "target")).alias("id")).distinct()
+    held = own.withColumns({"kind": F.element_at(F.split("id", ":"), 1), "label": F.concat_ws(" ", "id", "doc_id"), "value": F.col("doc_id"), "aliases": F.array(F.concat(F.lit("of "), F.col("doc_id").cast("int") % 3))})
+    slices = rows.select("kb_id", "doc_id").distinct()
+    any_ = F.lit(None).cast("long")
+    store.commit(held, rows, slices.withColumn("expected_version", any_))
+    odd = "cast(doc_id as int) % 2 = 1"
+    less = "length(id) % 2 = 0"
+    store.commit(held.where(odd).where(less), rows.where(odd).where(less), slices.where(odd).withColumn("expected_version", any_))
+    store.remove(slices.where("doc_id = '1996'").union(slices.where("doc_id = '1996'").select("kb_id", F.lit("2050"))))
+    conflicts = store.commit(held.limit(0), rows.limit(0), slices.where("doc_id = '1997'").withColumn("expected_version", F.lit(1).cast("long")))
+    return store, conflicts
+
+
+def g7_store_edges(spark, sf):
+    """The store's edges, folded by change only."""
+    return _stored(spark, sf)[0].snapshot()[1].select("kb_id", "id", "source", "target", "relation", F.array_join("evidence", ",").alias("evidence"), "contributions")
+
+
+def g7_store_nodes(spark, sf):
+    """The store's nodes, and its versions and conflicts as rows of kind version and conflict."""
+    store, conflicts = _stored(spark, sf)
+    told = store.versions().select("kb_id", F.lit("version").alias("id"), F.lit("version").alias("kind"), F.col("version").cast("string").alias("label"), F.lit("").alias("value"), F.lit("").alias("aliases"))
+    lost = conflicts.select("kb_id", "doc_id", F.lit("conflict"), "code", F.lit(""), F.lit(""))
+    return store.snapshot()[0].select("kb_id", "id", "kind", "label", "value", "aliases").union(told).union(lost)
 
 
 def g10_pending(spark, sf):
@@ -112,11 +162,16 @@ def g11_evidence(spark, sf):
 
 
 def g12_subgraph(spark, sf):
-    return G.local_subgraph(edges(spark, sf), _seeds(spark, sf), hops=2, limit=50)
+    """Nodes with their places, and edges without, of each seed's limited subgraph."""
+    e = _merged(spark, sf)
+    found = G.local_subgraph(e, _seeds(spark, sf), hops=2, limit=NEAR)
+    passed = G.subgraph_edges(e, found, hops=2, limit=NEAR)
+    return found.select("seed", F.col("node").alias("id"), "place", "hop").union(passed.select("seed", "id", F.lit(None).cast("long"), F.lit(None).cast("int")))
 
 
 def g13_khop(spark, sf):
-    return G.neighbourhood(_held(spark, sf), _seeds(spark, sf), hops=3).groupBy("seed", "hop").agg(F.count("*").alias("nodes"))
+    """Everything within two hops of each wiki page, over edges of all relations, with the least distance."""
+    return G.neighbourhood(_merged(spark, sf), nodes(spark, sf).where("kind = 'wiki'").select("id"), hops=2)
 
 
 def g14_text_filter(spark, sf):
@@ -126,7 +181,15 @@ def g14_text_filter(spark, sf):
 
 
 def g15_degree_view(spark, sf):
-    return G.semantic_view(nodes(spark, sf), edges(spark, sf), 100)
+    return G.semantic_view(nodes(spark, sf), edges(spark, sf), 100)[0]
+
+
+def g15_view_edges(spark, sf):
+    return G.semantic_view(nodes(spark, sf), _merged(spark, sf), 100)[1]
+
+
+def g15_view_totals(spark, sf):
+    return G.semantic_view(nodes(spark, sf), edges(spark, sf), 400)[2]
 
 
 def g16_seed(spark, sf):
@@ -136,12 +199,11 @@ def g16_seed(spark, sf):
 
 
 def g17_expand(spark, sf):
-    """Semantic edges around each seed and, of their evidence, the lines that still exist (returned ones do not)."""
-    near = G.neighbourhood(edges(spark, sf).where("semantic"), _seeds(spark, sf), min(1, G.MAX_HOPS))
-    e = edges(spark, sf).where("semantic").join(near.select("seed", F.col("node").alias("source")), "source").join(near.select("seed", F.col("node").alias("target")), ["seed", "target"])
+    """Semantic edges of each seed's subgraph (three hops are asked for, two are given), and which of their evidence still exists (returned lines do not)."""
+    near = G.graph_search(_merged(spark, sf), _seeds(spark, sf), hops=3, limit=NEAR)
     lines = table(spark, sf, "lineitem").where("l_returnflag <> 'R'").select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("citation"))
-    cited = e.select("seed", F.explode("evidence").alias("citation")).distinct().join(lines, "citation").groupBy("seed").agg(F.count("*").alias("citations"), F.min("citation").alias("first"))
-    return e.groupBy("seed").agg(F.count_distinct("id").alias("edges"), F.count_distinct("source").alias("sources")).join(cited, "seed", "left")
+    evidence = edges(spark, sf).where("semantic").select("id", F.explode("evidence").alias("citation")).join(lines, "citation")
+    return near.join(evidence, "id", "left").select("seed", "id", "source", "target", "citation")
 
 
 def g18_community(spark, sf):
@@ -162,12 +224,17 @@ def g20_community_edges(spark, sf):
 
 
 def g21_labels(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", F.concat(F.lit("# $\\text{A}$ \\alpha "), F.element_at(F.split("text", "\n"), 1)).alias("label"), F.when(F.col("doc_id") % 2 == 0, "chunk").otherwise("entity").alias("kind"))
-    return d.select("doc_id", G.compact_label(F.col("label"), F.col("kind")).alias("label"))
+    d = elements(spark, sf).select("element_id", F.concat(F.lit("# $\\text{A}$ \\alpha "), "content").alias("label"), F.when(F.col("doc_id") % 2 == 0, "chunk").otherwise("entity").alias("kind"))
+    return d.select("element_id", G.compact_label(F.col("label"), F.col("kind")).alias("label"))
 
 
 def g22_relations(spark, sf):
-    return G.relations_of(nodes(spark, sf), edges(spark, sf))
+    return G.relations_of(cut(nodes(spark, sf)), cut(edges(spark, sf).select("id", "source", "target", "relation")))
+
+
+def g22_neighbours(spark, sf):
+    e = _merged(spark, sf)
+    return G.key_neighbours(e, G.importance(cut(nodes(spark, sf)), e)).withColumn("importance", F.round("importance", 6))
 
 
 def g23_signature(spark, sf):
@@ -175,22 +242,39 @@ def g23_signature(spark, sf):
 
 
 def g24_totals(spark, sf):
-    n = nodes(spark, sf).groupBy("kb_id").agg(F.count("*").alias("nodes"), F.count_if(F.col("kind") == "wiki").alias("pages"))
-    e = edges(spark, sf).join(nodes(spark, sf).select("kb_id", F.col("id").alias("source")), "source").groupBy("kb_id").agg(F.count("*").alias("edges"), F.count_distinct(F.when(F.col("semantic"), F.col("doc_id"))).alias("documents"))
-    return n.join(e, "kb_id", "left")
+    """Totals after a build; a graph's version is its committed years, a wiki's the nations that it covers."""
+    e = edges(spark, sf).join(nodes(spark, sf).select("kb_id", F.col("id").alias("source")), "source")
+    graph_versions = e.where("semantic").groupBy("kb_id").agg(F.count_distinct("doc_id").alias("version"))
+    wiki_versions = table(spark, sf, "nation").groupBy(F.col("n_regionkey").alias("kb_id")).agg(F.count("*").alias("version"))
+    return G.build_totals(nodes(spark, sf), e, graph_versions, wiki_versions)
 
 
 QUERIES = {f.__name__: f for f in (
-    g1_structure, g1_nodes, g2_mentions, g3_claims, g4_relations, g5_edge_merge, g6_violations, g7_commit, g7_versions, g8_snapshot, g9_remove_contribution, g10_pending, g11_evidence, g12_subgraph, g13_khop, g14_text_filter, g15_degree_view,
-    g16_seed, g17_expand, g18_community, g19_importance, g20_community_edges, g21_labels, g22_relations, g23_signature, g24_totals,
+    g1_structure, g1_nodes, g2_mentions, g3_claims, g4_relations, g5_edge_merge, g6_violations, g7_commit, g7_versions, g8_snapshot, g7_store_edges, g7_store_nodes, g9_remove_contribution, g9_versions, g10_pending, g11_evidence, g12_subgraph, g13_khop, g14_text_filter, g15_degree_view, g15_view_edges, g15_view_totals,
+    g16_seed, g17_expand, g18_community, g19_importance, g20_community_edges, g21_labels, g22_relations, g22_neighbours, g23_signature, g24_totals,
 )}
 
-_g = lambda body: with_tables("nodes edges", body)
+_g = lambda body, names="nodes edges": with_tables(names, body)
 _CL = "cl AS (SELECT l_orderkey % 50 AS doc_id, 'entity:' || l_suppkey AS subject, 'flag ' || l_returnflag AS statement, list(DISTINCT 'chunk:' || l_orderkey % 20) AS evidence FROM lineitem GROUP BY 1, 2, 3)"
 _ENDS = "SELECT id, count(*) AS degree FROM (SELECT source AS id FROM {0} UNION ALL SELECT target FROM {0}) GROUP BY id"
 _COMM = "CASE " + " ".join(f"WHEN regexp_matches(label, '(?i){w}') THEN '{n}'" for n, w in G.COMMUNITIES) + " WHEN kind IN ('wiki', 'chunk') THEN 'retrieval' WHEN kind IN ('claim', 'document', 'page', 'asset') THEN 'evidence' ELSE 'core' END"
 _MERGED = "m AS (SELECT id, arg_min(source, doc_id) AS source, arg_min(target, doc_id) AS target, arg_min(relation, doc_id) AS relation, list_sort(list_distinct(flatten(list(evidence)))) AS evidence, bool_or(semantic) AS semantic, count(DISTINCT doc_id) AS contributions FROM {0} GROUP BY id)"
 _BOTH = "w AS (SELECT source AS node, target AS other, id, relation, 'out' AS way FROM {0} UNION ALL SELECT target, source, id, relation, 'in' FROM {0})"
+_VIEW = "n AS (SELECT * FROM nodes WHERE kind IN ('entity', 'claim', 'wiki')), e AS (SELECT DISTINCT id, source, target FROM edges), i AS (SELECT * FROM e WHERE source IN (SELECT id FROM n) AND target IN (SELECT id FROM n)), d AS (" + _ENDS.format("i") + "), r AS (SELECT kb_id, id, row_number() OVER (PARTITION BY kb_id ORDER BY coalesce(degree, 0) DESC, kind <> 'entity', label, id) AS place FROM n LEFT JOIN d USING (id))"
+_STORED = """se AS (SELECT doc_id % 2 AS kb_id, doc_id, id, source, target, relation, evidence FROM edges WHERE semantic AND doc_id <> 1996 AND (doc_id % 2 = 0 OR length(id) % 2 = 0)),
+      so AS (SELECT DISTINCT doc_id % 2 AS kb_id, doc_id, unnest([source, target]) AS id FROM edges WHERE semantic AND doc_id <> 1996), sn AS (SELECT * FROM so WHERE doc_id % 2 = 0 OR length(id) % 2 = 0)"""
+#: Two hops written out: places by (parent's place, relation, node), then the edges up to the cut.
+_SUB = f"""e AS (SELECT DISTINCT id, source, target, relation FROM edges), w AS (SELECT source AS node, target AS other, * FROM e UNION ALL SELECT target, source, * FROM e),
+      f0 AS (SELECT id AS seed, id AS node, 1::BIGINT AS place, 0 AS hop, NULL::BIGINT AS parent FROM nodes WHERE kind IN ('claim', 'wiki')),
+      m1 AS (SELECT seed, other AS node, min(relation) AS relation FROM f0 JOIN w USING (node) WHERE other <> seed GROUP BY ALL),
+      f1 AS (SELECT seed, node, 1 + row_number() OVER (PARTITION BY seed ORDER BY relation, node) AS place, 1 AS hop, 1::BIGINT AS parent FROM m1 QUALIFY place <= {NEAR}), a1 AS (SELECT * FROM f0 UNION ALL SELECT * FROM f1),
+      m2 AS (SELECT f1.seed, w.other AS node, min({{'p': f1.place, 'r': w.relation}}) AS m FROM f1 JOIN w USING (node) LEFT JOIN a1 ON a1.seed = f1.seed AND a1.node = w.other WHERE a1.seed IS NULL GROUP BY ALL),
+      n1 AS (SELECT seed, count(*) AS n FROM a1 GROUP BY seed),
+      f2 AS (SELECT seed, node, n + row_number() OVER (PARTITION BY seed ORDER BY m, node) AS place, 2 AS hop, m.p AS parent FROM m2 JOIN n1 USING (seed) QUALIFY place <= {NEAR}), fa AS (SELECT * FROM a1 UNION ALL SELECT * FROM f2),
+      l AS (SELECT seed, count(*) AS n, arg_max(parent, place) AS stop FROM fa GROUP BY seed),
+      x AS (SELECT fa.seed, fa.place, n >= {NEAR} AND fa.place = stop AS last, w.*, o.seed IS NOT NULL AS held FROM fa JOIN l USING (seed) JOIN w USING (node) LEFT JOIN fa o ON o.seed = fa.seed AND o.node = w.other WHERE fa.hop < 2 AND (n < {NEAR} OR fa.place <= stop)),
+      z AS (SELECT seed, min({{'r': relation, 'o': other}}) AS z FROM x WHERE last AND NOT held GROUP BY seed),
+      passed AS (SELECT x.seed, id, source, target FROM x LEFT JOIN z ON z.seed = x.seed WHERE held AND (NOT last OR z.z IS NULL OR {{'r': relation, 'o': other}} < z.z))"""
 
 SQL = {
     "g1_structure": with_tables("el", """WITH p AS (SELECT *, 'page:' || doc_id || ':' || page AS pg, 'chunk:' || doc_id || ':' || page || ':' || pos % 3 AS ch FROM el)
@@ -203,7 +287,7 @@ SQL = {
     "g3_claims": f"""WITH {_CL}, c AS (SELECT *, 'claim:' || substr(sha256(subject || chr(31) || regexp_replace(lower(statement), '[^a-z0-9]+', '', 'g')), 1, 24) AS claim FROM cl),
       e AS (SELECT DISTINCT doc_id, subject AS source, claim AS target, 'HAS_CLAIM' AS relation, true AS semantic FROM c UNION SELECT doc_id, claim, unnest(evidence), 'SUPPORTED_BY', false FROM c) SELECT * FROM e""",
     "g4_relations": f"""WITH {_CL}, c AS (SELECT *, 'entity:' || length(statement) AS object, CASE WHEN doc_id % 2 = 0 THEN 'WORKS_WITH' ELSE 'USES' END AS predicate FROM cl),
-      r AS (SELECT *, 'claim:' || substr(sha256(subject || chr(31) || predicate || chr(31) || object || chr(31) || statement), 1, 24) AS claim FROM c),
+      r AS (SELECT *, 'claim:' || substr(sha256(subject || chr(31) || object || chr(31) || predicate || chr(31) || regexp_replace(lower(statement), '[^a-z0-9]+', '', 'g')), 1, 24) AS claim FROM c),
       e AS (SELECT doc_id, subject AS source, object AS target, predicate AS relation, true AS semantic FROM r UNION SELECT doc_id, subject, claim, 'ASSERTS', true FROM r UNION SELECT doc_id, claim, object, 'OBJECT', true FROM r UNION SELECT doc_id, claim, unnest(evidence), 'SUPPORTED_BY', false FROM r) SELECT * FROM e""",
     "g5_edge_merge": _g(f"WITH {_MERGED.format('edges')} SELECT m.id, m.source, m.target, m.relation, array_to_string(m.evidence, ',') AS evidence, m.semantic, contributions, properties FROM m JOIN (SELECT id, 'year ' || max(doc_id) AS properties FROM edges GROUP BY id) y ON y.id = m.id"),
     "g6_violations": _g("""WITH n AS (SELECT * FROM nodes WHERE NOT (kind = 'claim' AND id LIKE '%0') UNION ALL SELECT * FROM nodes WHERE kind = 'document'),
@@ -222,31 +306,42 @@ SQL = {
       d AS (SELECT id, doc_id, CASE WHEN doc_id % 2 = 0 THEN 'entity' ELSE 'claim' END AS kind, id || ' ' || doc_id AS label, value, aliases FROM c UNION ALL SELECT 'asset:' || p_partkey, 1999, 'asset', p_name, p_brand, [p_type] FROM part),
       n AS (SELECT id, arg_min(kind, doc_id) AS kind, arg_min(label, doc_id) AS label, arg_max(value, doc_id) AS value, array_to_string(list_sort(list_distinct(flatten(list(aliases)))), ',') AS aliases FROM d GROUP BY id)
       SELECT * FROM n WHERE kind = 'entity' OR id IN (SELECT source FROM edges UNION SELECT target FROM edges)"""),
-    "g9_remove_contribution": _g("WITH l AS (SELECT * FROM edges WHERE doc_id NOT IN (1995, 1996)), " + _MERGED.format("l") + " SELECT relation, count(*) AS edges, sum(contributions)::BIGINT AS contributions FROM m GROUP BY relation"),
+    "g7_store_edges": _g(f"""WITH {_STORED} SELECT kb_id, id, arg_min(source, doc_id) AS source, arg_min(target, doc_id) AS target, any_value(relation) AS relation, array_to_string(list_sort(list_distinct(flatten(list(evidence)))), ',') AS evidence, count(DISTINCT doc_id) AS contributions FROM se GROUP BY kb_id, id"""),
+    "g7_store_nodes": _g(f"""WITH {_STORED}, f AS (SELECT kb_id, id, split_part(id, ':', 1) AS kind, id || ' ' || min(doc_id) AS label, max(doc_id)::VARCHAR AS value, array_to_string(list_sort(list(DISTINCT 'of ' || doc_id % 3)), ',') AS aliases FROM sn GROUP BY kb_id, id),
+      n AS (SELECT kb_id, count(*) AS years FROM (SELECT DISTINCT doc_id % 2 AS kb_id, doc_id FROM edges WHERE semantic) GROUP BY 1)
+      SELECT kb_id, id, kind, label, value, aliases FROM f WHERE kind = 'entity' OR (kb_id, id) IN (SELECT (kb_id, source) FROM se UNION SELECT (kb_id, target) FROM se)
+      UNION ALL SELECT kb_id, 'version', 'version', (CASE WHEN kb_id = 1 THEN 2 * years ELSE years + 1 END)::VARCHAR, '', '' FROM n UNION ALL SELECT 1, '1997', 'conflict', 'graph_version_conflict', '', ''"""),
+    "g9_remove_contribution": _g("WITH l AS (SELECT * FROM edges WHERE doc_id NOT IN (1995, 1996)), " + _MERGED.format("l") + " SELECT id, source, target, relation, array_to_string(evidence, ',') AS evidence, semantic, contributions FROM m"),
+    "g9_versions": _g("SELECT kb_id, kb_id + 4 + count(DISTINCT doc_id) FILTER (doc_id IN (1995, 1996)) AS version FROM (SELECT doc_id % 3 AS kb_id, doc_id FROM edges WHERE semantic) GROUP BY kb_id"),
     "g10_pending": _g("SELECT DISTINCT year(o_orderdate)::INTEGER AS doc_id FROM orders WHERE year(o_orderdate) NOT IN (SELECT doc_id FROM edges WHERE doc_id <> 1997)"),
     "g11_evidence": _g("WITH e AS (SELECT id, source, target, unnest(evidence) AS v FROM edges), u AS (SELECT id, v AS evidence FROM e UNION SELECT source, v FROM e UNION SELECT target, v FROM e) SELECT * FROM u"),
-    "g13_khop": _g("""WITH RECURSIVE h AS (SELECT * FROM edges WHERE relation = 'CONTAINS'), w AS (SELECT source AS node, target AS other FROM h UNION SELECT target, source FROM h),
-      r AS (SELECT id AS seed, id AS node, 0 AS hop FROM nodes WHERE kind = 'claim' AND kb_id = 1 UNION SELECT seed, other, hop + 1 FROM r JOIN w USING (node) WHERE hop < 3)
-      SELECT seed, hop, count(*) AS nodes FROM (SELECT seed, node, min(hop)::INTEGER AS hop FROM r GROUP BY ALL) GROUP BY ALL""").replace("WITH nodes", "WITH RECURSIVE nodes", 1).replace("RECURSIVE h AS", "h AS"),
+    "g12_subgraph": _g(f"WITH {_SUB} SELECT seed, node AS id, place, hop FROM fa UNION ALL SELECT seed, id, NULL, NULL FROM (SELECT DISTINCT seed, id FROM passed)"),
+    "g13_khop": _g("""WITH RECURSIVE w AS (SELECT source AS node, target AS other FROM edges UNION SELECT target, source FROM edges),
+      r AS (SELECT id AS seed, id AS node, 0 AS hop FROM nodes WHERE kind = 'wiki' UNION SELECT seed, other, hop + 1 FROM r JOIN w USING (node) WHERE hop < 2)
+      SELECT seed, node, min(hop)::INTEGER AS hop FROM r GROUP BY ALL""").replace("WITH nodes", "WITH RECURSIVE nodes", 1).replace("RECURSIVE w AS", "w AS"),
     "g14_text_filter": _g("WITH " + _BOTH.format("edges") + ", hit AS (SELECT id FROM nodes WHERE contains(lower(label), 'nation_1') OR (kind = 'wiki' AND kb_id = 1)) SELECT id, kind, label FROM nodes WHERE id IN (SELECT id FROM hit UNION SELECT other FROM w WHERE node IN (SELECT id FROM hit))"),
     "g15_degree_view": _g("WITH n AS (SELECT * FROM nodes WHERE kind IN ('entity', 'claim', 'wiki')), i AS (SELECT * FROM edges WHERE source IN (SELECT id FROM n) AND target IN (SELECT id FROM n)), d AS (" + _ENDS.format("i") + "), r AS (SELECT kb_id, id, coalesce(degree, 0) AS degree, (row_number() OVER (PARTITION BY kb_id ORDER BY coalesce(degree, 0) DESC, kind <> 'entity', label, id))::INTEGER AS place FROM n LEFT JOIN d USING (id)) SELECT * FROM r WHERE place <= 100"),
+    "g15_view_edges": _g("WITH " + _VIEW + ", v AS (SELECT * FROM r WHERE place <= 100) SELECT n.kb_id, i.id, source, target FROM i JOIN n ON n.id = source WHERE source IN (SELECT id FROM v) AND target IN (SELECT id FROM v)"),
+    "g15_view_totals": _g("WITH " + _VIEW.replace("SELECT DISTINCT id, source, target FROM edges", "SELECT * FROM edges") + """, a AS (SELECT kb_id, count(*) AS nodes, count(*) FILTER (kind IN ('entity', 'claim', 'wiki')) AS view_nodes FROM nodes GROUP BY 1), b AS (SELECT kb_id, count(*) AS edges FROM edges JOIN nodes ON nodes.id = source GROUP BY 1), c AS (SELECT kb_id, count(*) AS view_edges FROM i JOIN n ON n.id = source GROUP BY 1)
+      SELECT kb_id, nodes, coalesce(edges, 0) AS edges, view_nodes, coalesce(view_edges, 0) AS view_edges, view_nodes > 400 AS truncated FROM a LEFT JOIN b USING (kb_id) LEFT JOIN c USING (kb_id)"""),
     "g16_seed": """WITH q AS (SELECT n_nationkey AS query_id, 'region ' || lower(n_name) AS text, list_distinct(regexp_extract_all('region ' || lower(n_name), '[a-z0-9_]+')) AS qt FROM nation),
       n AS (SELECT 'x' || n_nationkey AS id, 'The Region ' || n_name || ' ' || n_nationkey % 3 AS label, regexp_extract_all(lower('The Region ' || n_name || ' ' || n_nationkey % 3), '[a-z0-9_]+') AS nt FROM nation),
       s AS (SELECT query_id, id, label, CASE WHEN contains(lower(label), text) THEN 4.0 ELSE 0.0 END::DOUBLE + len(list_intersect(qt, nt))::DOUBLE / len(qt) AS score FROM q, n WHERE len(list_intersect(qt, nt)) > 0),
       r AS (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, label, id))::INTEGER AS place FROM s) SELECT query_id, id, round(score, 6) AS score, place FROM r WHERE place <= 3""",
-    "g17_expand": _g("""WITH e AS (SELECT * FROM edges WHERE semantic), s AS (SELECT id AS seed FROM nodes WHERE kind = 'claim' AND kb_id = 1),
-      near AS (SELECT seed, seed AS node FROM s UNION SELECT seed, source FROM s JOIN e ON target = seed UNION SELECT seed, target FROM s JOIN e ON source = seed),
-      x AS (SELECT a.seed, e.* FROM e JOIN near a ON a.node = e.source JOIN near b ON b.node = e.target AND b.seed = a.seed), c AS (SELECT DISTINCT seed, unnest(evidence) AS v FROM x),
-      k AS (SELECT seed, count(*) AS citations, min(v) AS first FROM c JOIN lineitem ON v = l_orderkey || '-' || l_linenumber AND l_returnflag <> 'R' GROUP BY 1)
-      SELECT seed, count(DISTINCT id) AS edges, count(DISTINCT source) AS sources, any_value(citations) AS citations, any_value(first) AS first FROM x LEFT JOIN k USING (seed) GROUP BY seed"""),
+    "g17_expand": _g(f"""WITH {_SUB}, v AS (SELECT id, unnest(evidence) AS citation FROM edges WHERE semantic), k AS (SELECT v.id, citation FROM v JOIN lineitem ON citation = l_orderkey || '-' || l_linenumber AND l_returnflag <> 'R'),
+      p AS (SELECT DISTINCT seed, id, source, target FROM passed WHERE id IN (SELECT id FROM edges WHERE semantic)) SELECT seed, p.id, source, target, citation FROM p LEFT JOIN k ON k.id = p.id"""),
     "g18_community": f"WITH p AS (SELECT p_name || ' ' || ['Store', 'an API', 'Vector', 'taskforce', 'metrics', 'plain'][p_partkey % 6 + 1] AS label, ['chunk', 'claim', 'entity'][p_partkey % 3 + 1] AS kind FROM part) SELECT {_COMM} AS community, kind, count(*) AS nodes FROM p GROUP BY 1, 2",
     "g19_importance": _g("WITH d AS (" + _ENDS.format("edges") + """), r AS (SELECT kb_id, id, kind, coalesce(degree, 0) AS degree, row_number() OVER (PARTITION BY kb_id ORDER BY coalesce(degree, 0) * 3 DESC, id) = 1 AS root FROM nodes LEFT JOIN d USING (id)),
       v AS (SELECT *, least(10.0, log2(degree + 1) * 2.2 + CASE WHEN root THEN 5.0 ELSE 0 END + CASE WHEN kind = 'wiki' THEN 1.5 ELSE 0 END) AS v FROM r) SELECT kb_id, id, degree, root, round(v, 6) AS importance, root OR v >= 6.8 AS core FROM v"""),
     "g20_community_edges": _g(f"WITH n AS (SELECT id, {_COMM} AS community FROM nodes), i AS (SELECT a.community, count(*) AS edges FROM edges JOIN n a ON a.id = source JOIN n b ON b.id = target WHERE a.community = b.community GROUP BY 1) SELECT community, count(*) AS nodes, coalesce(any_value(i.edges), 0) AS edges FROM n LEFT JOIN i USING (community) GROUP BY community"),
-    "g21_labels": r"""WITH d AS (SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace('# $\text{A}$ \alpha ' || string_split(text, chr(10))[1], '\\(?:underline|text)\{([^}]*)\}', '\1', 'g'), '\\[a-zA-Z]+', ' ', 'g'), '[#*`$\[\]{}]', '', 'g'), '\s+', ' ', 'g')) AS t, CASE WHEN doc_id % 2 = 0 THEN 30 ELSE 34 END AS n FROM documents)
-      SELECT doc_id, CASE WHEN length(t) > n THEN trim(t[1 : n - 1]) || '…' ELSE t END AS label FROM d""",
+    "g21_labels": _g(r"""WITH d AS (SELECT element_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace('# $\text{A}$ \alpha ' || content, '\\(?:underline|text)\{([^}]*)\}', '\1', 'g'), '\\[a-zA-Z]+', ' ', 'g'), '[#*`$\[\]{}]', '', 'g'), '\s+', ' ', 'g')) AS t, CASE WHEN doc_id % 2 = 0 THEN 30 ELSE 34 END AS n FROM el)
+      SELECT element_id, CASE WHEN length(t) > n THEN trim(t[1 : n - 1]) || '…' ELSE t END AS label FROM d""", "el"),
     "g22_relations": _g("WITH " + _BOTH.format("edges") + ", r AS (SELECT node, (row_number() OVER (PARTITION BY node ORDER BY w.id, way))::INTEGER AS place, other, label AS other_label, relation, way FROM w JOIN nodes ON nodes.id = other) SELECT * FROM r WHERE place <= 6"),
+    "g22_neighbours": _g("WITH e AS (SELECT DISTINCT id, source, target FROM edges), d AS (" + _ENDS.format("e") + """), r AS (SELECT kb_id, id, kind, coalesce(degree, 0) AS degree, row_number() OVER (PARTITION BY kb_id ORDER BY coalesce(degree, 0) DESC, id) = 1 AS root FROM nodes LEFT JOIN d USING (id)),
+      v AS (SELECT id, least(10.0, log2(degree + 1) * 2.2 + CASE WHEN root THEN 5.0 ELSE 0 END + CASE WHEN kind = 'wiki' THEN 1.5 ELSE 0 END) AS v FROM r), p AS (SELECT source AS node, target AS other FROM e UNION SELECT target, source FROM e)
+      SELECT node, (row_number() OVER (PARTITION BY node ORDER BY round(v, 9) DESC, other))::INTEGER AS place, other, round(v, 6) AS importance FROM p JOIN v ON v.id = other QUALIFY place <= 3"""),
     "g23_signature": _g("""WITH n AS (SELECT kb_id, count(*) AS nodes, sum(('0x' || substr(md5(id), 1, 8))::BIGINT)::BIGINT AS s FROM nodes GROUP BY 1), e AS (SELECT kb_id, count(*) AS edges, sum(('0x' || substr(md5(source || '>' || target), 1, 8))::BIGINT)::BIGINT AS s FROM edges JOIN nodes ON nodes.id = source GROUP BY 1)
       SELECT kb_id, nodes, coalesce(edges, 0) AS edges, n.s + coalesce(e.s, 0) AS signature FROM n LEFT JOIN e USING (kb_id)"""),
-    "g24_totals": _g("WITH n AS (SELECT kb_id, count(*) AS nodes, count(*) FILTER (kind = 'wiki') AS pages FROM nodes GROUP BY 1), e AS (SELECT kb_id, count(*) AS edges, count(DISTINCT doc_id) FILTER (semantic) AS documents FROM edges JOIN nodes ON nodes.id = source GROUP BY 1) SELECT * FROM n LEFT JOIN e USING (kb_id)"),
+    "g24_totals": _g("""WITH n AS (SELECT kb_id, count(*) AS node_count, count(*) FILTER (kind = 'wiki') AS wiki_page_count FROM nodes GROUP BY 1), e AS (SELECT kb_id, count(*) AS edge_count, count(DISTINCT doc_id) FILTER (semantic) AS document_count FROM edges JOIN nodes ON nodes.id = source GROUP BY 1),
+      w AS (SELECT n_regionkey AS kb_id, count(*) AS wiki_version FROM nation GROUP BY 1) SELECT kb_id, coalesce(document_count, 0) AS graph_version, coalesce(wiki_version, 0) AS wiki_version, coalesce(document_count, 0) AS document_count, node_count, coalesce(edge_count, 0) AS edge_count, wiki_page_count FROM n LEFT JOIN e USING (kb_id) LEFT JOIN w USING (kb_id)"""),
 }
