@@ -41,37 +41,64 @@ def heading_path(elements: DataFrame) -> DataFrame:
     return elements.withColumn("heading", F.last(F.when((F.col("kind") == "heading") & (F.col("content") != ""), F.col("content")), ignorenulls=True).over(before))
 
 
-def assign_chunks(elements: DataFrame, target: int = TARGET) -> DataFrame:
-    """``part`` and ``piece``: which chunk of its document an element goes to, by greedy packing of markdown (md).
+def _starts(link: Column) -> Column:
+    """The positions 1, link[1], link[link[1]], ... of an array of links, each beyond its own place, up to the array's end.
 
-    A heading opens a part, an asset closes one; a running sum finds these. Inside a part one fold over
-    the elements' sizes finds where a chunk would outgrow the target, so a fold sees a part and no document.
+    By doubling: the first 2^k positions and the links over 2^k steps give the next 2^k positions.
+    """
+    n = F.size(link)
+    begin = F.struct(F.array(F.lit(1)).alias("s"), F.concat(link, F.array(n + 1)).alias("j"))
+
+    def double(state, _):
+        far = F.filter(F.transform(state["s"], lambda x: F.element_at(state["j"], x)), lambda x: x <= n)
+        return F.struct(F.concat(state["s"], far).alias("s"), F.transform(state["j"], lambda x: F.element_at(state["j"], x)).alias("j"))
+
+    return F.aggregate(F.sequence(F.lit(1), F.ceil(F.log2(n + 1)).cast("int")), begin, double, lambda state: state["s"])
+
+
+def packed(elements: DataFrame, target: int = TARGET) -> DataFrame:
+    """doc_id, part, piece, e: runs of elements in order, by greedy packing of markdown (md); e keeps seq and the other columns.
+
+    A heading opens a part, an asset closes one; a running sum finds these. Inside a part each element is linked to
+    the one at which a chunk that began with it would end: the last whose start lies within the target, from
+    prefix sums and one count. Chunks follow these links from the part's first element. Markdown that is empty
+    takes a joiner only behind some that is not.
     """
     order = Window.partitionBy("doc_id").orderBy("seq")
     opens = (F.col("kind") == "heading") | F.coalesce(F.lag(F.col("kind").isin(*MULTIMODAL)).over(order), F.lit(False))
     parts = elements.withColumn("_opens", opens.cast("int")).withColumn("part", F.sum("_opens").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_opens")
-    sizes = parts.groupBy("doc_id", "part").agg(F.sort_array(F.collect_list(F.struct("seq", F.length("md").alias("n")))).alias("e"))
-    start = F.struct(F.lit(0).alias("piece"), F.lit(0).alias("size"), F.lit(0).alias("count"), F.array().cast("array<struct<seq:int,piece:int>>").alias("out"))
-
-    def step(s, x):
-        new = (s["count"] > 0) & (s["size"] + x["n"] + 2 > target)
-        piece = s["piece"] + new.cast("int")
-        size = F.when(new, x["n"]).otherwise(s["size"] + x["n"] + F.when(s["size"] > 0, 2).otherwise(0))
-        return F.struct(piece.alias("piece"), size.alias("size"), F.when(new, 1).otherwise(s["count"] + 1).alias("count"), F.concat(s["out"], F.array(F.struct(x["seq"].alias("seq"), piece.alias("piece")))).alias("out"))
-
-    placed = sizes.select("doc_id", "part", F.explode(F.aggregate("e", start, step, lambda s: s["out"])).alias("o")).select("doc_id", "part", "o.seq", "o.piece")
-    return parts.join(placed, ["doc_id", "part", "seq"])
+    by = Window.partitionBy("doc_id", "part")
+    size, before = F.length("md"), Window.unboundedPreceding
+    rows = parts.withColumns({"_at": F.row_number().over(by.orderBy("seq")), "_n": F.count("*").over(by), "_upto": F.sum(size + 2).over(by.orderBy("seq").rowsBetween(before, 0))})
+    rows = rows.withColumn("_from", F.col("_upto") - size - 2)
+    rows = rows.withColumn("_reach", F.count("*").over(by.orderBy("_from").rangeBetween(before, target + 2)).cast("int"))
+    own = F.struct("_at", size.alias("size"), F.when((F.col("_reach") == F.col("_n")) & (F.max("_upto").over(by) <= F.col("_from") + target + 2), F.col("_n") + 1).otherwise(F.col("_reach")).cast("int").alias("reach"))
+    rows = rows.withColumn("_f", F.last(F.when(size > 0, own), ignorenulls=True).over(by.orderBy(F.desc("seq")).rowsBetween(before, 0)))  # the first with markdown from here on
+    far = F.greatest(F.col("_f._at") + 1, F.col("_f.reach"))
+    link = F.when(F.col("_f").isNull(), F.col("_n") + 1).when((F.col("_f._at") > F.col("_at")) & (F.col("_f.size") + 2 > target), F.col("_f._at")).otherwise(far).cast("int")
+    rows = rows.withColumn("_link", link)
+    kept = ["seq", *(c for c in elements.columns if c not in ("doc_id", "seq")), "_link"]
+    whole = rows.groupBy("doc_id", "part").agg(F.sort_array(F.collect_list(F.struct(*kept))).alias("e"))
+    whole = whole.withColumn("_starts", _starts(F.transform("e", lambda x: x["_link"])))
+    pieces = F.transform("_starts", lambda s: F.slice("e", s, F.element_at("e", s)["_link"] - s))
+    return whole.select("doc_id", "part", F.posexplode(pieces).alias("piece", "e"))
 
 
 def chunks(elements: DataFrame, target: int = TARGET) -> DataFrame:
-    """chunk_id, doc_id, ordinal, markdown, page_start, page_end, element_ids, heading; empty chunks take no ordinal."""
-    placed = assign_chunks(heading_path(elements), target)
-    c = placed.groupBy("doc_id", "part", "piece").agg(
-        F.sort_array(F.collect_list(F.struct("seq", "md", "element_id"))).alias("e"), F.min("page").alias("page_start"), F.max("page").alias("page_end"), F.min_by("heading", "seq").alias("heading")
-    )
-    c = c.withColumn("markdown", F.array_join(F.filter(F.transform("e", lambda x: x["md"]), lambda x: x != ""), "\n\n")).where("markdown <> ''")
-    c = c.withColumn("ordinal", F.row_number().over(Window.partitionBy("doc_id").orderBy("part", "piece"))).withColumn("element_ids", F.transform("e", lambda x: x["element_id"]))
-    return c.select(stable_id("ch", F.col("doc_id"), F.col("ordinal"), F.array_join("element_ids", ","), F.col("markdown")).alias("chunk_id"), "doc_id", "ordinal", "markdown", "page_start", "page_end", "element_ids", "heading")
+    """chunk_id, doc_id, ordinal, markdown, page_start, page_end, element_ids, asset_ids, heading; empty chunks take no ordinal.
+
+    Elements have doc_id, seq, kind, content, md, page, element_id and, where they are assets, asset_id.
+    """
+    e = heading_path(elements)
+    asset = F.col("asset_id") if "asset_id" in elements.columns else F.lit(None).cast("string")
+    c = packed(e.select("doc_id", "seq", "kind", "md", "page", "element_id", asset.alias("asset_id"), "heading"), target)
+    of = lambda name: F.transform("e", lambda x: x[name])
+    c = c.withColumn("markdown", F.array_join(F.filter(of("md"), lambda x: x != ""), "\n\n")).where("markdown <> ''")
+    c = c.withColumn("ordinal", F.row_number().over(Window.partitionBy("doc_id").orderBy("part", "piece"))).withColumn("element_ids", of("element_id"))
+    return c.select(
+        stable_id("ch", F.col("doc_id"), F.col("ordinal"), F.array_join("element_ids", ","), F.col("markdown")).alias("chunk_id"), "doc_id", "ordinal", "markdown",
+        F.array_min(of("page")).alias("page_start"), F.array_max(of("page")).alias("page_end"), "element_ids", F.array_compact(of("asset_id")).alias("asset_ids"), F.element_at("e", 1)["heading"].alias("heading"),
+    )
 
 
 def page_chunks(elements: DataFrame) -> DataFrame:
@@ -79,8 +106,21 @@ def page_chunks(elements: DataFrame) -> DataFrame:
     return elements.groupBy("doc_id", "page").agg(F.sum(F.length("content")).alias("size"), F.min("page").alias("page_start"), F.max("page").alias("page_end"), F.count("*").alias("elements"))
 
 
-def extraction_batches(rows: DataFrame, size: int = BATCH_CHUNKS, most: int = BATCH_ELEMENTS, chars: int = ELEMENT_CHARS) -> DataFrame:
-    """doc_id, batch, elements, chars: runs of ``size`` pages of a document, at most ``most`` elements, their texts cut."""
-    batch = F.floor((F.dense_rank().over(Window.partitionBy("doc_id").orderBy("page")) - 1) / size)
-    b = rows.withColumn("batch", batch).withColumn("_r", F.row_number().over(Window.partitionBy("doc_id", "batch").orderBy("pos"))).where(F.col("_r") <= most)
-    return b.groupBy("doc_id", "batch").agg(F.count("*").alias("elements"), F.sum(F.length(F.substring("content", 1, chars))).alias("chars"))
+def extraction_batches(chunks: DataFrame, elements: DataFrame, size: int = BATCH_CHUNKS, most: int = BATCH_ELEMENTS) -> DataFrame:
+    """doc_id, batch, chunks, elements: runs of ``size`` chunks of a document with the elements they list, at most ``most``.
+
+    Chunks have doc_id, ordinal, chunk_id, markdown and element_ids; elements element_id, kind and content. The arrays hold
+    structs (chunk_id, text) and (element_id, kind, text), in order, their texts cut to CHUNK_CHARS and ELEMENT_CHARS.
+    """
+    batch = F.floor((F.row_number().over(Window.partitionBy("doc_id").orderBy("ordinal")) - 1) / size)
+    c = chunks.withColumn("batch", batch)
+    texts = c.groupBy("doc_id", "batch").agg(F.sort_array(F.collect_list(F.struct("ordinal", "chunk_id", F.substring("markdown", 1, CHUNK_CHARS).alias("text")))).alias("c"))
+    listed = c.select("doc_id", "batch", "ordinal", F.posexplode("element_ids").alias("pos", "element_id"))
+    listed = listed.withColumn("_r", F.row_number().over(Window.partitionBy("doc_id", "batch").orderBy("ordinal", "pos"))).where(F.col("_r") <= most)
+    held = listed.join(elements.select("element_id", "kind", F.substring("content", 1, ELEMENT_CHARS).alias("text")), "element_id")
+    held = held.groupBy("doc_id", "batch").agg(F.sort_array(F.collect_list(F.struct("_r", "element_id", "kind", "text"))).alias("e"))
+    both = texts.join(held, ["doc_id", "batch"], "left")
+    return both.select(
+        "doc_id", "batch", F.transform("c", lambda x: F.struct(x["chunk_id"].alias("chunk_id"), x["text"].alias("text"))).alias("chunks"),
+        F.coalesce(F.transform("e", lambda x: F.struct(x["element_id"].alias("element_id"), x["kind"].alias("kind"), x["text"].alias("text"))), F.array().cast("array<struct<element_id:string,kind:string,text:string>>")).alias("elements"),
+    )

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from docloom.operators import chunking as C
 from docloom.operators import layout as L
 from docloom.sources.derived import elements, table, with_tables
+from docloom.sources.shared import cut
 
 
 def _attempts(spark, sf):
@@ -110,7 +111,7 @@ def b14_regions(spark, sf):
 
 def _ready(spark, sf):
     e = elements(spark, sf).withColumn("seq", F.col("pos").cast("int"))
-    e = e.withColumns({"nx0": F.col("x0") / 1000, "ny0": F.col("y0") / 1000, "nx1": F.col("x1") / 1000, "ny1": F.col("y1") / 1000, "asset_id": F.concat(F.lit("as-"), "element_id")})
+    e = e.withColumns({"nx0": F.col("x0") / 1000, "ny0": F.col("y0") / 1000, "nx1": F.col("x1") / 1000, "ny1": F.col("y1") / 1000, "asset_id": F.when(F.col("kind").isin(*L.MULTIMODAL), F.concat(F.lit("as-"), "element_id"))})
     return e.withColumn("md", C.element_markdown())
 
 
@@ -123,7 +124,8 @@ def c2_document_markdown(spark, sf):
 
 
 def c3_chunks(spark, sf):
-    return C.chunks(_ready(spark, sf)).select("chunk_id", "doc_id", "ordinal", "page_start", "page_end", F.size("element_ids").alias("elements"), F.length("markdown").alias("size"), "heading")
+    joined = lambda c: F.array_join(c, ",").alias(c)
+    return C.chunks(_ready(spark, sf)).select("chunk_id", "doc_id", "ordinal", "page_start", "page_end", joined("element_ids"), joined("asset_ids"), F.length("markdown").alias("size"), F.md5("markdown").alias("md5"), "heading")
 
 
 def c4_heading_path(spark, sf):
@@ -137,7 +139,11 @@ def c5_ranges(spark, sf):
 
 
 def c6_batches(spark, sf):
-    return C.extraction_batches(elements(spark, sf))
+    """Batches of chunks of 300 characters, with what of their texts goes to extraction."""
+    e = cut(_ready(spark, sf))
+    b = C.extraction_batches(C.chunks(e, 300), e)
+    text = lambda c: F.md5(F.array_join(F.transform(c, lambda x: x["text"]), "|"))
+    return b.select("doc_id", "batch", F.size("chunks").alias("chunks"), F.size("elements").alias("elements"), text("chunks").alias("chunk_md5"), text("elements").alias("element_md5"), F.array_join(F.transform("elements", lambda x: x["element_id"]), ",").alias("element_ids"))
 
 
 QUERIES = {f.__name__: f for f in (
@@ -152,6 +158,20 @@ _LABEL = "CASE kind WHEN 'table' THEN 'Table-Region' WHEN 'heading' THEN 'paragr
 _MD = r"""CASE kind WHEN 'heading' THEN '## ' || content WHEN 'table' THEN '<asset id="as-' || element_id || '" type="table" page="' || page || '" bbox="' || printf('%.6f,%.6f,%.6f,%.6f', x0 / 1000, y0 / 1000, x1 / 1000, y1 / 1000) || '">' || chr(10) || chr(10) || content ELSE content END"""
 _e = lambda body: with_tables("el", body)
 
+
+def _chunks(target: int, body: str) -> str:
+    """Chunks as ch, packed by walking from element to element."""
+    return _e(rf"""WITH md AS (SELECT *, {_MD} AS md, coalesce(lag(kind = 'table') OVER (PARTITION BY doc_id ORDER BY pos), false) OR kind = 'heading' AS o,
+        last_value(CASE WHEN kind = 'heading' AND content <> '' THEN content END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS heading FROM el),
+      pt AS (SELECT *, sum(o::INTEGER) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS part FROM md), pl AS (SELECT *, row_number() OVER (PARTITION BY doc_id, part ORDER BY pos) AS k FROM pt),
+      w AS (SELECT doc_id, part, k, length(md) AS size, 0 AS piece FROM pl WHERE k = 1
+        UNION ALL SELECT pl.doc_id, pl.part, pl.k, CASE WHEN size + length(md) + 2 > {target} THEN length(md) ELSE size + length(md) + CASE WHEN size > 0 THEN 2 ELSE 0 END END, piece + (size + length(md) + 2 > {target})::INTEGER FROM w JOIN pl ON pl.doc_id = w.doc_id AND pl.part = w.part AND pl.k = w.k + 1),
+      g AS (SELECT doc_id, part, piece, coalesce(string_agg(md, chr(10) || chr(10) ORDER BY pos) FILTER (md <> ''), '') AS markdown, min(page) AS page_start, max(page) AS page_end, list(element_id ORDER BY pos) AS element_ids, coalesce(list('as-' || element_id ORDER BY pos) FILTER (kind = 'table'), []) AS asset_ids, arg_min(coalesce(heading, chr(0)), pos) AS heading
+        FROM w JOIN pl USING (doc_id, part, k) GROUP BY 1, 2, 3),
+      n AS (SELECT *, (row_number() OVER (PARTITION BY doc_id ORDER BY part, piece))::INTEGER AS ordinal FROM g WHERE markdown <> ''),
+      ch AS (SELECT 'ch_' || substr(sha256(doc_id || chr(31) || ordinal || chr(31) || array_to_string(element_ids, ',') || chr(31) || markdown), 1, 24) AS chunk_id, doc_id, ordinal, markdown, page_start, page_end, element_ids, asset_ids, nullif(heading, chr(0)) AS heading FROM n) {body}""").replace("WITH el", "WITH RECURSIVE el", 1)
+
+
 SQL = {
     "b1_unwrap": _e("SELECT doc_id, page, count(*) AS blocks FROM el GROUP BY ALL"),
     "b2_attempt": _ATT + "SELECT doc_id, page, tier FROM c",
@@ -176,6 +196,9 @@ SQL = {
       d AS (SELECT doc_id, '# doc-' || doc_id || chr(10) || chr(10) || string_agg(p, chr(10) || chr(10) ORDER BY page) || chr(10) AS m FROM p GROUP BY 1) SELECT doc_id, md5(m) AS md5, length(m)::BIGINT AS n FROM d"""),
     "c4_heading_path": _e("SELECT element_id, last_value(CASE WHEN kind = 'heading' THEN content END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS heading FROM el"),
     "c5_ranges": _e("WITH h AS (SELECT *, sum((kind = 'heading')::INTEGER) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)::BIGINT AS part FROM el) SELECT doc_id, part, min(page) AS page_start, max(page) AS page_end, sum(length(content))::BIGINT AS size FROM h GROUP BY 1, 2"),
-    "c6_batches": _e("""WITH b AS (SELECT *, (dense_rank() OVER (PARTITION BY doc_id ORDER BY page) - 1) // 8 AS batch FROM el), r AS (SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY doc_id, batch ORDER BY pos) <= 64)
-      SELECT doc_id, batch, count(*) AS elements, sum(length(content[1:400]))::BIGINT AS chars FROM r GROUP BY 1, 2"""),
+    "c3_chunks": _chunks(1800, "SELECT chunk_id, doc_id, ordinal, page_start, page_end, array_to_string(element_ids, ',') AS element_ids, array_to_string(asset_ids, ',') AS asset_ids, length(markdown)::INTEGER AS size, md5(markdown) AS md5, heading FROM ch"),
+    "c6_batches": _chunks(300, """, cb AS (SELECT *, (row_number() OVER (PARTITION BY doc_id ORDER BY ordinal) - 1) // 8 AS batch FROM ch),
+      ct AS (SELECT doc_id, batch, count(*)::INTEGER AS chunks, md5(string_agg(markdown[1:1600], '|' ORDER BY ordinal)) AS chunk_md5 FROM cb GROUP BY 1, 2),
+      x AS (SELECT doc_id, batch, ordinal, unnest(element_ids) AS element_id, unnest(range(len(element_ids))) AS p FROM cb), y AS (SELECT *, row_number() OVER (PARTITION BY doc_id, batch ORDER BY ordinal, p) AS r FROM x QUALIFY r <= 64),
+      z AS (SELECT y.doc_id, batch, count(*)::INTEGER AS elements, md5(string_agg(content[1:400], '|' ORDER BY r)) AS element_md5, string_agg(element_id, ',' ORDER BY r) AS element_ids FROM y JOIN el USING (element_id) GROUP BY 1, 2) SELECT * FROM ct JOIN z USING (doc_id, batch)"""),
 }

@@ -86,11 +86,25 @@ def test_chunks_equal_plain_loop(spark):
     import random
 
     rnd = random.Random(4)
-    docs = [[(rnd.choice(["heading", "text", "text", "text", "table"]), "m" * rnd.choice([0, 5, 40, 90, 250])) for _ in range(rnd.randrange(1, 40))] for _ in range(12)]
-    rows = [(d, i, k, m, m, f"{d}-{i}", 1 + i // 10) for d, doc in enumerate(docs) for i, (k, m) in enumerate(doc)]
-    df = spark.createDataFrame(rows, "doc_id int, seq int, kind string, md string, content string, element_id string, page int")
-    got = {(r.doc_id, r.ordinal): [int(e.split("-")[1]) for e in r.element_ids] for r in C.chunks(df, 200).collect()}
-    assert got == {(d, n): c for d, doc in enumerate(docs) for n, c in enumerate(chunk_loop(doc, 200), 1)}
+    docs = [[(rnd.choice(["heading", "text", "text", "text", "table"]), "m" * rnd.choice([0, 0, 5, 40, 90, 197, 198, 199, 200, 250])) for _ in range(rnd.randrange(1, 40))] for _ in range(40)]
+    rows = [(d, i, k, m, m, f"{d}-{i}", f"a{d}-{i}" if k == "table" else None, 1 + i // 10) for d, doc in enumerate(docs) for i, (k, m) in enumerate(doc)]
+    df = spark.createDataFrame(rows, "doc_id int, seq int, kind string, md string, content string, element_id string, asset_id string, page int")
+    got = C.chunks(df, 200).collect()
+    want = {(d, n): c for d, doc in enumerate(docs) for n, c in enumerate(chunk_loop(doc, 200), 1)}
+    assert {(r.doc_id, r.ordinal): [int(e.split("-")[1]) for e in r.element_ids] for r in got} == want
+    for r in got:
+        assert r.asset_ids == [f"a{e}" for e in r.element_ids if docs[r.doc_id][int(e.split("-")[1])][0] == "table"]
+        assert (r.page_start, r.page_end) == (1 + want[r.doc_id, r.ordinal][0] // 10, 1 + want[r.doc_id, r.ordinal][-1] // 10)
+
+
+def test_a_very_long_part_is_packed_in_linear_work(spark):
+    n = 100_000
+    df = spark.range(n).select(F.lit(1).alias("doc_id"), F.col("id").cast("int").alias("seq"), F.lit("text").alias("kind"), F.expr("repeat('x', cast(id % 7 as int))").alias("md"), F.lit("").alias("content"), F.col("id").cast("string").alias("element_id"), F.lit(1).alias("page"))
+    C.chunks(df.limit(10), 300).collect()
+    began = datetime.now()
+    got = C.chunks(df, 300).orderBy("ordinal").select("element_ids").collect()
+    assert (datetime.now() - began).total_seconds() < 20  # a few seconds where the machine is free
+    assert [[int(e) for e in r.element_ids] for r in got] == chunk_loop([("text", "x" * (i % 7)) for i in range(n)], 300)
 
 
 def test_pull_json(spark):
