@@ -46,14 +46,13 @@ def _starts(link: Column) -> Column:
 
     By doubling: the first 2^k positions and the links over 2^k steps give the next 2^k positions.
     """
-    n = F.size(link)
-    begin = F.struct(F.array(F.lit(1)).alias("s"), F.concat(link, F.array(n + 1)).alias("j"))
+    begin = F.struct(F.array(F.lit(1)).alias("s"), F.concat(link, F.array(F.size(link) + 1)).alias("j"), F.size(link).alias("n"))
 
     def double(state, _):
-        far = F.filter(F.transform(state["s"], lambda x: F.element_at(state["j"], x)), lambda x: x <= n)
-        return F.struct(F.concat(state["s"], far).alias("s"), F.transform(state["j"], lambda x: F.element_at(state["j"], x)).alias("j"))
+        far = F.filter(F.transform(state["s"], lambda x: F.element_at(state["j"], x)), lambda x: x <= state["n"])
+        return F.struct(F.concat(state["s"], far).alias("s"), F.transform(state["j"], lambda x: F.element_at(state["j"], x)).alias("j"), state["n"].alias("n"))
 
-    return F.aggregate(F.sequence(F.lit(1), F.ceil(F.log2(n + 1)).cast("int")), begin, double, lambda state: state["s"])
+    return F.aggregate(F.sequence(F.lit(1), F.ceil(F.log2(F.size(link) + 1)).cast("int")), begin, double, lambda state: state["s"])
 
 
 def packed(elements: DataFrame, target: int = TARGET) -> DataFrame:
