@@ -104,11 +104,11 @@ def catalogue_violations(chunks: DataFrame, elements: DataFrame) -> DataFrame:
 
 
 def lineage(items: DataFrame, elements: DataFrame, chunks: DataFrame) -> DataFrame:
-    """item, key, page, x0, y0, x1, y1: an element reference takes the element's place, a chunk reference the chunk's."""
+    """item, key, page, x0, y0, x1, y1, chunk_id, element_id: an element reference takes the element's place and chunk, a chunk reference the chunk's and no element."""
     refs = items.select("item", F.explode("refs").alias("ref")).distinct()
-    place = ["page", "x0", "y0", "x1", "y1"]
-    e = elements.select(F.col("element_id").alias("ref"), F.struct(*place).alias("of_element"))
-    c = chunks.select(F.col("chunk_id").alias("ref"), F.struct(*place).alias("of_chunk"))
+    place = ["page", "x0", "y0", "x1", "y1", "chunk_id"]
+    e = elements.select(F.col("element_id").alias("ref"), F.struct(*place, "element_id").alias("of_element"))
+    c = chunks.select(F.col("chunk_id").alias("ref"), F.struct(*place, F.lit(None).cast("string").alias("element_id")).alias("of_chunk"))
     placed = refs.join(e, "ref", "left").join(c, "ref", "left").withColumn("p", F.coalesce("of_element", "of_chunk"))
     return placed.where("p is not null").select("item", F.col("ref").alias("key"), "p.*").dropDuplicates(["item", "key"])
 
@@ -118,15 +118,77 @@ def invalid_lineage(rows: DataFrame) -> DataFrame:
     return rows.where(bad)
 
 
+def _clean(values: Column) -> Column:
+    """Trimmed texts without blanks, each once."""
+    return F.array_distinct(F.filter(F.transform(F.coalesce(values, F.array().cast("array<string>")), lambda v: F.trim(v)), lambda v: v != ""))
+
+
+def _merged(rows: DataFrame, keys: list[str], first: tuple[str, ...] = (), united: tuple[str, ...] = ("refs",)) -> DataFrame:
+    """One row a key: the given columns of the first row by place, and the sorted union of each array column; repeats go before the shuffle."""
+    out = rows.groupBy(*keys).agg(*(F.min_by(c, "place").alias(c) for c in first), F.min("place").alias("place"))
+    for c in united:
+        each = rows.select(*keys, F.explode(_clean(F.col(c))).alias("v")).groupBy(*keys).agg(F.sort_array(F.collect_set("v")).alias(c))
+        out = out.join(each, keys, "left").withColumn(c, F.coalesce(c, F.array().cast("array<string>")))
+    return out
+
+
+def _numbered(rows: DataFrame, name: str, *order: Column) -> DataFrame:
+    """``ref``: name_0001, name_0002, ... in each document by the given order."""
+    return rows.withColumn("ref", F.format_string(f"{name}_%04d", F.row_number().over(Window.partitionBy("doc_id").orderBy(*order))))
+
+
 def merge_entities(declared: DataFrame) -> DataFrame:
-    """doc_id, ref, kind, name, aliases, refs: declarations of a document with one kind and name, first name kept, unions sorted.
+    """doc_id, ref, kind, key, name, aliases, refs: declarations of a document with one kind and name, first name kept, unions sorted.
 
-    Declarations have doc_id, place (order of batches), kind, name, aliases, refs.
+    Declarations have doc_id, place (order of batches), kind, name, aliases, refs; aliases and refs are trimmed, blank ones dropped.
     """
-    keyed = declared.withColumn("key", alias_key(F.col("name")))
-    united = lambda c: F.sort_array(F.array_distinct(F.flatten(F.collect_list(c))))
-    m = keyed.groupBy("doc_id", "kind", "key").agg(F.min_by("name", "place").alias("name"), united("aliases").alias("aliases"), united("refs").alias("refs"))
-    return m.withColumn("ref", F.format_string("entity_%04d", F.row_number().over(Window.partitionBy("doc_id").orderBy("kind", "key"))))
+    named = declared.withColumns({"kind": F.trim("kind"), "name": F.trim("name")})
+    m = _merged(named.withColumn("key", alias_key(F.col("name"))), ["doc_id", "kind", "key"], ("name",), ("aliases", "refs"))
+    return _numbered(m, "entity", F.col("kind"), F.col("key"))
+
+
+def merge_extractions(entities: DataFrame, claims: DataFrame, relations: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Entities, claims and relations of each document, merged over its batches, and the problems found.
+
+    In: entities (doc_id, batch, place, ref, kind, name, aliases, refs), claims (doc_id, batch, place, subject_ref, statement,
+    refs) and relations (doc_id, batch, place, source_ref, target_ref, predicate, statement, refs), place by the order in a batch; references
+    hold inside a batch. Out: entities (doc_id, ref, kind, name, aliases, refs), claims (doc_id, ref, subject_ref, statement, refs), relations
+    (doc_id, ref, source_ref, target_ref, predicate, statement, refs), all with the document's own references, numbered in the
+    order of their keys; problems (doc_id, batch, code).
+
+    A batch's reference becomes the key of its entity (kind and name's alias), and that the entity's new reference: one
+    table, joined to both ends. Of a reference that a batch gives twice the last stands. Claims and relations whose ends a
+    batch doesn't declare, and entities without reference, name or kind, are problems and left out.
+    """
+    entities, claims, relations = (t.withColumn("place", F.struct("batch", "place")) for t in (entities, claims, relations))
+    blank = lambda c: F.trim(F.coalesce(F.col(c), F.lit(""))) == ""
+    whole = ~(blank("ref") | blank("name") | blank("kind"))
+    merged = cut(merge_entities(entities.where(whole)))
+    named = entities.where(whole).select("doc_id", "batch", F.col("ref").alias("_local"), "place", F.trim("kind").alias("kind"), alias_key(F.trim("name")).alias("key"))
+    local = named.groupBy("doc_id", "batch", "_local").agg(F.max_by(F.struct("kind", "key"), "place").alias("k")).select("doc_id", "batch", "_local", "k.*")
+    # how a key is written decides the order of claims and relations
+    written = F.concat(F.lit("('"), F.col("kind"), F.lit("', '"), F.col("key"), F.lit("')"))
+    local = cut(local.join(merged.select("doc_id", "kind", "key", "ref"), ["doc_id", "kind", "key"]).select("doc_id", "batch", "_local", F.struct(written.alias("key"), F.col("ref").alias("ref")).alias("_end")))
+
+    def ended(rows: DataFrame, *ends: str) -> DataFrame:
+        for e in ends:
+            rows = rows.join(local.withColumnsRenamed({"_local": e, "_end": f"_{e}"}), ["doc_id", "batch", e], "left")
+        return rows
+
+    texts = lambda rows, *cols: rows.withColumns({c: F.trim(F.coalesce(c, F.lit(""))) for c in cols})
+    c, r = ended(texts(claims, "statement"), "subject_ref"), ended(texts(relations, "predicate", "statement"), "source_ref", "target_ref")
+    known = {"claim": F.col("_subject_ref").isNotNull(), "relation": F.col("_source_ref").isNotNull() & F.col("_target_ref").isNotNull()}
+    said = lambda rows, code: rows.select("doc_id", "batch", F.lit(code).alias("code"))
+    problems = said(entities.where(~whole), "incomplete_entity").union(said(c.where(~known["claim"]), "claim_of_unknown_entity")).union(said(r.where(~known["relation"]), "relation_of_unknown_entity")).distinct()
+    c = _numbered(_merged(c.where(known["claim"]), ["doc_id", "_subject_ref", "statement"]), "claim", F.col("_subject_ref.key"), F.col("statement"))
+    r = _merged(r.where(known["relation"]), ["doc_id", "_source_ref", "_target_ref", "predicate", "statement"])
+    r = _numbered(r, "relation", F.col("_source_ref.key"), F.col("_target_ref.key"), F.col("predicate"), F.col("statement"))
+    return (
+        merged.select("doc_id", "ref", "kind", "name", "aliases", "refs"),
+        c.select("doc_id", "ref", F.col("_subject_ref.ref").alias("subject_ref"), "statement", "refs"),
+        r.select("doc_id", "ref", F.col("_source_ref.ref").alias("source_ref"), F.col("_target_ref.ref").alias("target_ref"), "predicate", "statement", "refs"),
+        problems,
+    )
 
 
 def resolve(declared: DataFrame) -> DataFrame:

@@ -76,9 +76,36 @@ def f6_validity(spark, sf):
     return X.invalid_lineage(rows).select("key", "page")
 
 
+def _extracted(spark, sf):
+    """Parts as entities of 20 documents in 3 batches, lines as claims about their part, and as relations to a part 60 further on, which may not exist."""
+    d = _declared(spark, sf)
+    ref = lambda c: F.concat(F.lit("e"), c)
+    entities = d.select("doc_id", F.col("place.batch").alias("batch"), "place", ref("id").alias("ref"), F.when(F.col("id") % 31 == 0, " ").otherwise(F.col("kind")).alias("kind"), F.concat(F.lit(" "), "name").alias("name"), F.array(F.concat(F.element_at("aliases", 1), F.lit(" ")), F.lit("")).alias("aliases"), "refs")
+    line = table(spark, sf, "lineitem").withColumns({"doc_id": F.col("l_partkey") % 20, "batch": F.col("l_partkey") % 3, "place": F.struct((F.col("l_partkey") % 3).alias("batch"), F.col("l_partkey").alias("p_partkey"))})
+    refs = F.array(F.concat(F.lit(" s"), F.col("l_suppkey") % 5, F.lit(" ")), F.concat(F.lit("n"), "l_linenumber"))
+    claims = line.select("doc_id", "batch", "place", ref("l_partkey").alias("subject_ref"), F.concat(F.lit("is "), "l_returnflag", F.lit(" ")).alias("statement"), refs.alias("refs"))
+    relations = line.select("doc_id", "batch", "place", ref("l_partkey").alias("source_ref"), ref(F.col("l_partkey") + 60).alias("target_ref"), F.concat(F.lit("SHIPS_"), F.translate("l_linestatus", " ", "_")).alias("predicate"), F.concat(F.lit("by "), F.col("l_suppkey") % 3).alias("statement"), refs.alias("refs"))
+    return X.merge_extractions(entities, claims, relations)
+
+
+def _flat(rows):
+    return rows.withColumns({c: F.array_join(c, ",") for c in ("aliases", "refs") if c in rows.columns})
+
+
 def f7_merge(spark, sf):
-    m = X.merge_entities(_declared(spark, sf))
-    return m.select("doc_id", "ref", "kind", "name", F.array_join("aliases", ",").alias("aliases"), F.array_join("refs", ",").alias("refs"))
+    return _flat(_extracted(spark, sf)[0])
+
+
+def f7_claims(spark, sf):
+    return _flat(_extracted(spark, sf)[1])
+
+
+def f7_relations(spark, sf):
+    return _flat(_extracted(spark, sf)[2])
+
+
+def f7_problems(spark, sf):
+    return _extracted(spark, sf)[3]
 
 
 def f8_alias(spark, sf):
@@ -208,7 +235,7 @@ def h11_cascade(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    f1_pull_json, f2_sanitise, f3_contract, f4_catalogue, f5_lineage, f6_validity, f7_merge, f8_alias, f9_components, f10_match, f11_new_entity,
+    f1_pull_json, f2_sanitise, f3_contract, f4_catalogue, f5_lineage, f6_validity, f7_merge, f7_claims, f7_relations, f7_problems, f8_alias, f9_components, f10_match, f11_new_entity,
     h1_conclusions, h2_sections, h3_slug, h4_related, h5_merge, h6_orphans, h7_history, h8_markdown, h9_lookup, h9_citations, h10_stale, h11_cascade,
 )}
 
@@ -226,6 +253,12 @@ pub AS (SELECT page_id, CASE WHEN new.page_id IS NULL OR k = 1 THEN old.title EL
   CASE WHEN new.page_id IS NULL THEN 'old a' WHEN k = 2 THEN 'old a' ELSE new.title END AS a, CASE WHEN new.page_id IS NULL THEN 'old b' END AS b, CASE WHEN new.page_id IS NOT NULL THEN new.c END AS c,
   coalesce(revision, 0) + 1 AS revision, CASE WHEN coalesce(k, 0) > 0 THEN 'locked' ELSE 'published' END AS status FROM old FULL JOIN new USING (page_id) WHERE new.page_id IS NOT NULL OR k > 0)"""
 
+_F7 = f"""{_D}, m0 AS (SELECT doc_id, kind, {_KEY.format("name")} AS key, arg_min(name, (batch, id)) AS name, array_to_string(list_sort(list(DISTINCT brand)), ',') AS aliases, array_to_string(list_sort(list_distinct(flatten(list([r1, r2])))), ',') AS refs FROM d WHERE id % 31 <> 0 GROUP BY 1, 2, 3),
+      m AS (SELECT *, printf('entity_%04d', row_number() OVER (PARTITION BY doc_id ORDER BY kind, key)) AS ref FROM m0),
+      lo AS (SELECT d.doc_id, d.batch, d.id, m.ref, printf('(%s%s%s, %s%s%s)', chr(39), m.kind, chr(39), chr(39), m.key, chr(39)) AS w FROM d JOIN m ON m.doc_id = d.doc_id AND m.kind = d.kind AND m.key = {_KEY.format("d.name")} WHERE id % 31 <> 0),
+      li AS (SELECT *, l_partkey % 20 AS doc_id, l_partkey % 3 AS batch FROM lineitem)"""
+_F7_REFS = "array_to_string(list_sort(list_distinct(flatten(list(['s' || l_suppkey % 5, 'n' || l_linenumber])))), ',')"
+
 SQL = {
     "f1_pull_json": "SELECT event_id, CASE WHEN event_id % 4 <> 2 THEN props END AS json, CASE WHEN event_id % 4 = 2 THEN 'no_json_object' END AS code FROM events",
     "f2_sanitise": f"WITH {_D}, k AS (SELECT id, list_filter([r1, r2], lambda x: x = 'chunk:' || doc_id % 5 OR x = 'element:3') AS l FROM d) SELECT id, array_to_string(l, ',') AS refs FROM k WHERE len(l) > 0",
@@ -243,12 +276,19 @@ SQL = {
       UNION SELECT element_id, 'unknown_element' FROM l WHERE element_id NOT IN (SELECT element_id FROM e) UNION SELECT element_id, 'repeated_element' FROM pg WHERE pos = 2
       UNION SELECT element_id, 'other_document' FROM pg WHERE pos % 12 = 7 AND chunk_id IN (SELECT chunk_id FROM c)"""),
     "f5_lineage": with_tables("el", f"""WITH {_PG}, c AS (SELECT doc_id, chunk_id, min(page) AS page, min(x0) / 1000 AS x0, min(y0) / 1000 AS y0, max(x1) / 1000 AS x1, max(y1) / 1000 AS y1 FROM pg GROUP BY 1, 2)
-      SELECT doc_id AS item, element_id AS key, page, x0 / 1000 AS x0, y0 / 1000 AS y0, x1 / 1000 AS x1, y1 / 1000 AS y1 FROM pg
-      UNION ALL SELECT doc_id, chunk_id, page, x0, y0, x1, y1 FROM c WHERE page <= 2"""),
+      SELECT doc_id AS item, element_id AS key, page, x0 / 1000 AS x0, y0 / 1000 AS y0, x1 / 1000 AS x1, y1 / 1000 AS y1, chunk_id, element_id FROM pg
+      UNION ALL SELECT doc_id, chunk_id, page, x0, y0, x1, y1, chunk_id, NULL FROM c WHERE page <= 2"""),
     "f6_validity": with_tables("el", "SELECT element_id AS key, (page - (pos % 8 = 0)::INTEGER)::INTEGER AS page FROM el WHERE (page = 1 AND pos % 8 = 0) OR pos % 9 = 0 OR pos % 10 = 0"),
-    "f7_merge": f"""WITH {_D}, m AS (SELECT doc_id, kind, {_KEY.format('name')} AS key, arg_min(name, (batch, id)) AS name, list_sort(list(DISTINCT brand)) AS aliases, list_sort(list_distinct(flatten(list([r1, r2])))) AS refs FROM d GROUP BY 1, 2, 3)
-      SELECT doc_id, printf('entity_%04d', row_number() OVER (PARTITION BY doc_id ORDER BY kind, key)) AS ref, kind, name, array_to_string(aliases, ',') AS aliases, array_to_string(refs, ',') AS refs FROM m""",
+    "f7_merge": f"WITH {_F7} SELECT doc_id, ref, kind, name, aliases, refs FROM m",
+    "f7_claims": f"""WITH {_F7}, c AS (SELECT l.doc_id, w, ref AS subject_ref, 'is ' || l_returnflag AS statement, {_F7_REFS} AS refs FROM li l JOIN lo a ON a.doc_id = l.doc_id AND a.id = l_partkey GROUP BY 1, 2, 3, 4)
+      SELECT doc_id, printf('claim_%04d', row_number() OVER (PARTITION BY doc_id ORDER BY w, statement)) AS ref, subject_ref, statement, refs FROM c""",
+    "f7_relations": f"""WITH {_F7}, c AS (SELECT l.doc_id, a.w AS w, b.w AS w2, a.ref AS source_ref, b.ref AS target_ref, 'SHIPS_' || l_linestatus AS predicate, 'by ' || l_suppkey % 3 AS statement, {_F7_REFS} AS refs FROM li l JOIN lo a ON a.doc_id = l.doc_id AND a.id = l_partkey JOIN lo b ON b.doc_id = l.doc_id AND b.id = l_partkey + 60 GROUP BY ALL)
+      SELECT doc_id, printf('relation_%04d', row_number() OVER (PARTITION BY doc_id ORDER BY w, w2, predicate, statement)) AS ref, source_ref, target_ref, predicate, statement, refs FROM c""",
+    "f7_problems": f"""WITH {_F7} SELECT DISTINCT doc_id, batch, 'incomplete_entity' AS code FROM d WHERE id % 31 = 0 UNION SELECT doc_id, batch, 'claim_of_unknown_entity' FROM li WHERE l_partkey NOT IN (SELECT id FROM lo)
+      UNION SELECT doc_id, batch, 'relation_of_unknown_entity' FROM li WHERE l_partkey NOT IN (SELECT id FROM lo) OR l_partkey + 60 NOT IN (SELECT id FROM lo)""",
     "f8_alias": "SELECT p_partkey, " + _KEY.format("p_name || ' - ' || p_brand") + " AS alias FROM part",
+    "f9_components": f"""WITH RECURSIVE {_D}, t AS (SELECT DISTINCT id, doc_id || '/' || kind || ':' || a AS alias FROM (SELECT id, doc_id, kind, unnest([{_KEY.format('name')}, {_KEY.format('brand')}]) AS a FROM d)), e AS (SELECT DISTINCT x.id AS a, y.id AS b FROM t x JOIN t y USING (alias)),
+      r AS (SELECT id, id AS root FROM d UNION SELECT b, root FROM r JOIN e ON e.a = r.id) SELECT id, min(root) AS root FROM r GROUP BY id""",
     "f10_match": f"""WITH ex AS (SELECT 'e' || p_partkey AS entity_id, p_type AS kind, {_KEY.format('p_name')} AS alias FROM part WHERE p_partkey % 3 = 0 UNION ALL SELECT 'e' || p_partkey, p_type, {_KEY.format("p_brand || ' ' || p_partkey % 3")} FROM part WHERE p_partkey % 3 = 0 AND p_partkey % 2 = 0),
       g AS (SELECT p_partkey AS group_id, p_type AS kind, unnest([{_KEY.format('p_name')}, {_KEY.format("p_brand || ' ' || p_size % 3")}]) AS alias FROM part WHERE p_partkey % 3 <> 0),
       h AS (SELECT group_id, count(DISTINCT entity_id) AS n, min(entity_id) AS e FROM g LEFT JOIN ex USING (kind, alias) GROUP BY 1),

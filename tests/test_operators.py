@@ -120,6 +120,27 @@ def test_merge_and_resolution(spark):
     assert {r.id: r.root for r in X.resolve(chain).collect()} == {i: 0 for i in range(12)} | {50: 50}
 
 
+def test_merged_extractions(spark):
+    """Batch-local references, one of them used for different entities, meet in the document's own."""
+    entities = [
+        ("doc", 1, 1, "entity_0001", "PRODUCT", " Model X7 ", ["X7", " "], ["chunk-2"]), ("doc", 1, 2, "entity_0002", "ORG", "Acme", [], ["chunk-1"]),
+        ("doc", 2, 1, "entity_0001", "ORG", "ACME", ["Acme Inc"], ["chunk-3 ", "chunk-1"]), ("doc", 2, 2, "entity_0002", "PRODUCT", "model-x7", ["Orbit X7"], ["element-1"]), ("doc", 2, 3, "", "PRODUCT", "lost", [], ["c"]),
+    ]
+    claims = [("doc", 1, 1, "entity_0001", "is fast ", ["chunk-2"]), ("doc", 2, 1, "entity_0002", "is fast", ["element-1"]), ("doc", 2, 2, "entity_0001", "sells", ["chunk-3"]), ("doc", 2, 3, "entity_0009", "lost", ["c"])]
+    relations = [("doc", 1, 1, "entity_0002", "entity_0001", "MAKES", "makes it", ["chunk-1"]), ("doc", 2, 1, "entity_0001", "entity_0002", "MAKES", " makes it", ["chunk-3"]), ("doc", 2, 2, "entity_0001", "entity_0009", "MAKES", "lost", ["c"])]
+    many = "refs array<string>"
+    e, c, r, problems = X.merge_extractions(
+        spark.createDataFrame(entities, f"doc_id string, batch int, place int, ref string, kind string, name string, aliases array<string>, {many}"),
+        spark.createDataFrame(claims, f"doc_id string, batch int, place int, subject_ref string, statement string, {many}"),
+        spark.createDataFrame(relations, f"doc_id string, batch int, place int, source_ref string, target_ref string, predicate string, statement string, {many}"),
+    )
+    rows = lambda df: sorted(tuple(x) for x in df.drop("doc_id").collect())
+    assert rows(e) == [("entity_0001", "ORG", "Acme", ["Acme Inc"], ["chunk-1", "chunk-3"]), ("entity_0002", "PRODUCT", "Model X7", ["Orbit X7", "X7"], ["chunk-2", "element-1"])]
+    assert rows(c) == [("claim_0001", "entity_0001", "sells", ["chunk-3"]), ("claim_0002", "entity_0002", "is fast", ["chunk-2", "element-1"])]
+    assert rows(r) == [("relation_0001", "entity_0001", "entity_0002", "MAKES", "makes it", ["chunk-1", "chunk-3"])]
+    assert rows(problems) == [(2, "claim_of_unknown_entity"), (2, "incomplete_entity"), (2, "relation_of_unknown_entity")]
+
+
 def test_subgraph_limits(spark):
     edges = spark.createDataFrame([(f"e{i}", "hub", f"n{i:02d}", "R") for i in range(10)] + [("x", "n00", "far", "A")], "id string, source string, target string, relation string")
     seeds = spark.createDataFrame([("hub",)], "id string")
