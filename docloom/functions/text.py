@@ -48,9 +48,15 @@ def _let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def tokens(text: Column) -> Column:
-    """NFKC, lower case, words of a-z, 0-9 and _, then each CJK run's characters and bigrams; null has none."""
-    found = F.regexp_extract_all(F.lower(nfkc(text)), F.lit(f"[a-z0-9_]+|[{_CJK}]+"), F.lit(0))
+def unsettled(text: Column) -> Column:
+    """Whether NFKC may change the text; false for null."""
+    return F.coalesce(text.rlike(f"[^{_SETTLED}]"), F.lit(False))
+
+
+def settled_tokens(text: Column) -> Column:
+    """As ``tokens``, of texts that NFKC does not change; nothing leaves the JVM, and each text is tested for CJK once."""
+    low = F.lower(text)
+    words = F.regexp_extract_all(low, F.lit("[a-z0-9_]+"), F.lit(0))
 
     def of_run(run: Column) -> Column:
         n = F.length(run)
@@ -58,11 +64,25 @@ def tokens(text: Column) -> Column:
         double = F.when(n > 1, F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.substring(run, i, F.lit(2)))).otherwise(F.array().cast("array<string>"))
         return F.concat(single, double)
 
-    def mixed(all_: Column) -> Column:
-        is_run = lambda w: w.rlike(f"^[{_CJK}]")
-        return F.when(F.exists(all_, is_run), F.concat(F.filter(all_, lambda w: ~is_run(w)), F.flatten(F.transform(F.filter(all_, is_run), of_run)))).otherwise(all_)
+    runs = F.regexp_extract_all(low, F.lit(f"[{_CJK}]+"), F.lit(0))
+    all_ = F.when(text.rlike(f"[{_CJK}]"), F.concat(words, F.flatten(F.transform(runs, of_run)))).otherwise(words)
+    return F.coalesce(all_, F.array().cast("array<string>"))
+
+
+def tokens(text: Column) -> Column:
+    """NFKC, lower case, words of a-z, 0-9 and _, then each CJK run's characters and bigrams; null has none."""
+    return settled_tokens(nfkc(text))
+
+
+def term_counts(words: Column) -> Column:
+    """array of (token, tf) of an array of tokens, by sorting it: a repeated token is a run whose end gives its count."""
+
+    def of_sorted(s: Column) -> Column:
+        n = F.size(s)
+        ends = F.filter(F.sequence(F.lit(1), n), lambda i: (i == n) | (F.element_at(s, i) != F.element_at(s, F.least(i + 1, n))))
+        return _let(ends, lambda e: F.transform(e, lambda i, k: F.struct(F.element_at(s, i).alias("token"), (i - F.when(k > 0, F.get(e, k - 1)).otherwise(0)).cast("long").alias("tf"))))
 
-    return F.coalesce(_let(found, mixed), F.array().cast("array<string>"))
+    return F.when(F.size(words) > 0, _let(F.sort_array(words), of_sorted)).otherwise(F.array().cast("array<struct<token:string,tf:bigint>>"))
 
 
 def alias_key(text: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.functions.text import tokens
+from docloom.functions.text import settled_tokens, term_counts, tokens, unsettled
 from docloom.sources.shared import cut
 
 # BM25 and fusion constants, and how many hits each ranking keeps.
@@ -21,18 +21,27 @@ def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 
 
 def tokenised(chunks: DataFrame) -> DataFrame:
-    """kb_id, chunk_id, w (tokens) and len of chunks (kb_id, chunk_id, text)."""
-    return chunks.select("kb_id", "chunk_id", tokens(F.col("text")).alias("w")).withColumn("len", F.size("w"))
+    """chunks (text) with w (tokens), less the text, and len; only texts that NFKC may change are sent to Python."""
+    rest = [c for c in chunks.columns if c != "text"]
+    odd = unsettled(F.col("text"))
+    each = lambda df, w: df.select(*rest, w(F.col("text")).alias("w"))
+    return each(chunks.where(~odd), settled_tokens).union(each(chunks.where(odd), tokens)).withColumn("len", F.size("w"))
 
 
-def _exploded(words: DataFrame) -> DataFrame:
-    """kb_id, chunk_id, len, token; the outer form keeps the tokeniser from being repeated in a filter of empty arrays."""
-    return words.select("kb_id", "chunk_id", "len", F.explode_outer("w").alias("token")).where("token is not null")
+def counted(chunks: DataFrame) -> DataFrame:
+    """chunks with len and terms (token, tf), less the text. Terms are counted inside their row, so nothing is shuffled for it."""
+    words = tokenised(chunks)
+    return words.select(*(c for c in words.columns if c != "w"), term_counts(F.col("w")).alias("terms"))
+
+
+def posted(counts: DataFrame) -> DataFrame:
+    """A row for each term of counted chunks."""
+    return counts.select(*(c for c in counts.columns if c != "terms"), F.explode("terms").alias("t")).select("*", "t.token", "t.tf").drop("t")
 
 
 def postings(chunks: DataFrame) -> DataFrame:
-    """kb_id, chunk_id, token, tf, len of chunks (kb_id, chunk_id, text); len counts all tokens."""
-    return _exploded(tokenised(chunks)).groupBy("kb_id", "chunk_id", "token", "len").agg(F.count("*").alias("tf"))
+    """kb_id, chunk_id, len, token, tf of chunks (kb_id, chunk_id, text); len counts all tokens."""
+    return posted(counted(chunks))
 
 
 def document_frequency(posts: DataFrame) -> DataFrame:
@@ -48,6 +57,11 @@ def _statistics(words: DataFrame) -> DataFrame:
     return words.groupBy("kb_id").agg(F.count("*").alias("n"), F.greatest(F.avg("len"), F.lit(1.0)).alias("avg_len"))
 
 
+def query_terms(queries: DataFrame) -> DataFrame:
+    """query_id, kb_id, token, qtf of queries (query_id, kb_id, text)."""
+    return posted(counted(queries.select("query_id", "kb_id", "text"))).select("query_id", "kb_id", "token", F.col("tf").alias("qtf"))
+
+
 def rank_key(score: Column) -> Column:
     """Ranks ignore what summation order can change."""
     return F.round(score, 9)
@@ -59,46 +73,70 @@ def top_k(scored: DataFrame, k: int | Column, by: str = "score", over: tuple[str
     return ranked.where(F.col("rank") <= k)
 
 
-def bm25(chunks: DataFrame, queries: DataFrame) -> DataFrame:
-    """query_id, kb_id, chunk_id, score > 0, for queries (query_id, kb_id, text).
+def bm25_weights(asked: DataFrame, df: DataFrame, statistics: DataFrame) -> DataFrame:
+    """query_id, kb_id, token, weight (idf times qtf), avg_len of query terms, by df (kb_id, token, df) and statistics (kb_id, n, avg_len)."""
+    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    return asked.join(df, ["kb_id", "token"]).join(statistics, "kb_id").select("query_id", "kb_id", "token", (idf * F.col("qtf")).alias("weight"), "avg_len")
+
+
+def bm25_score(hits: DataFrame, weights: DataFrame, within: DataFrame | None = None) -> DataFrame:
+    """query_id, kb_id, chunk_id, score > 0 of postings (kb_id, chunk_id, token, tf, len) that have a term of a query.
+
+    With ``within`` (query_id, doc_id) only chunks (doc_id) of the query's documents are scored; they are met before
+    any score is added up. Weights, and so statistics, stay those of the whole scope.
+    """
+    part = F.col("weight") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
+    both = hits.join(weights, ["kb_id", "token"])
+    if within is not None:
+        both = both.join(small_side(within.select("query_id", "doc_id").distinct()), ["query_id", "doc_id"], "left_semi")
+    return both.groupBy("query_id", "kb_id", "chunk_id").agg(F.sum(part).alias("score")).where("score > 0")
+
+
+def bm25(chunks: DataFrame, queries: DataFrame, within: DataFrame | None = None) -> DataFrame:
+    """query_id, kb_id, chunk_id, score > 0, for queries (query_id, kb_id, text), without a stored index.
 
-    Chunks and queries are tokenised once and written. Only postings of query terms are scored: the terms
-    are met before any shuffle, so a common token that no query asks for is never moved.
+    Chunks are tokenised and counted once and written. Only postings of query terms are scored: the terms
+    are met before any shuffle, so a common token that no query asks for is never moved. For ``within`` see
+    bm25_score; chunks then have a doc_id.
     """
-    words = cut(tokenised(chunks))
-    asked = _exploded(tokenised(queries.withColumnRenamed("query_id", "chunk_id"))).groupBy(F.col("chunk_id").alias("query_id"), "kb_id", "token").agg(F.count("*").alias("qtf"))
-    asked = cut(asked)
+    counts = cut(counted(chunks.select("kb_id", "chunk_id", *(["doc_id"] if within is not None else []), "text")))
+    asked = cut(query_terms(queries))
     few = asked.count() <= BROADCAST_ROWS  # terms of the query set, and so of all that is derived from them
     side = F.broadcast if few else lambda x: x
-    hit = _exploded(words).join(side(asked.select("kb_id", "token").distinct()), ["kb_id", "token"], "left_semi")
-    hit = cut(hit.groupBy("kb_id", "chunk_id", "token", "len").agg(F.count("*").alias("tf")))
-    df = document_frequency(hit)
-    terms = asked.join(df, ["kb_id", "token"]).join(_statistics(words), "kb_id")
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    terms = terms.select("query_id", "kb_id", "token", (idf * F.col("qtf")).alias("weight"), "avg_len")
-    part = F.col("weight") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
-    return hit.join(side(terms), ["kb_id", "token"]).groupBy("query_id", "kb_id", "chunk_id").agg(F.sum(part).alias("score")).where("score > 0")
+    hit = cut(posted(counts).join(side(asked.select("kb_id", "token").distinct()), ["kb_id", "token"], "left_semi"))
+    return bm25_score(hit, side(bm25_weights(asked, document_frequency(hit), _statistics(counts))), within)
 
 
 def _dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def cosine(chunks: DataFrame, queries: DataFrame) -> DataFrame:
+def cosine(chunks: DataFrame, queries: DataFrame, within: DataFrame | None = None) -> DataFrame:
     """query_id, kb_id, chunk_id, score for queries (query_id, kb_id, vector) against chunks (kb_id, chunk_id, embedding).
 
     Null vectors and other dimensions are skipped; a zero norm gives 0. The queries are a stated set, so
-    the work is queries times the chunks of their scope, met by the scope's key.
+    the work is queries times the chunks of their scope, met by the scope's key. With ``within`` (query_id, doc_id)
+    only chunks (doc_id) of the query's documents are compared, met by the document's key.
     """
     norm = lambda v: F.sqrt(_dot(v, v))
-    c = chunks.where("embedding is not null").select("kb_id", "chunk_id", "embedding", norm(F.col("embedding")).alias("cn"))
+    c = chunks.where("embedding is not null").select("kb_id", "chunk_id", *(["doc_id"] if within is not None else []), "embedding", norm(F.col("embedding")).alias("cn"))
     q = queries.where("vector is not null").select("query_id", "kb_id", "vector", norm(F.col("vector")).alias("qn"))
-    both = c.join(small_side(q), "kb_id").where(F.size("embedding") == F.size("vector"))
+    if within is not None:
+        q = q.join(within.select("query_id", "doc_id").distinct(), "query_id")
+    both = c.join(small_side(q), ["kb_id", "doc_id"] if within is not None else "kb_id").where(F.size("embedding") == F.size("vector"))
     size = F.col("cn") * F.col("qn")
     return both.select("query_id", "kb_id", "chunk_id", F.when(size > 0, _dot(F.col("embedding"), F.col("vector")) / size).otherwise(0.0).alias("score"))
 
 
-def fuse(lexical: DataFrame, dense: DataFrame, k: int = RERANK_TOP_K) -> DataFrame:
+def override(k: Column) -> dict[str, Column]:
+    """How many hits each ranking keeps where k are asked for: at least the defaults before the fusion, k after it; a null k asks for nothing."""
+    return {
+        "lexical": F.coalesce(F.greatest(F.lit(LEXICAL_TOP_K), k), F.lit(LEXICAL_TOP_K)), "dense": F.coalesce(F.greatest(F.lit(DENSE_TOP_K), k), F.lit(DENSE_TOP_K)),
+        "rerank": F.coalesce(k, F.lit(RERANK_TOP_K)),
+    }
+
+
+def fuse(lexical: DataFrame, dense: DataFrame, k: int | Column = RERANK_TOP_K) -> DataFrame:
     """Reciprocal-rank fusion of two ranked tables; the score is scaled by the best of the returned list."""
     keys = ["query_id", "kb_id", "chunk_id"]
     both = lexical.select(*keys, F.col("rank").alias("lexical_rank"), F.col("score").alias("lexical_score")).join(

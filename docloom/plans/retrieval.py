@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from docloom.functions.text import tokens
 from docloom.operators import retrieval as R
 from docloom.sources.derived import table
+from docloom.sources.index_store import IndexStore, stored_index
+from docloom.sources.shared import shared_dir
 
 
 def _chunks(spark: SparkSession, sf: str) -> DataFrame:
@@ -30,12 +32,32 @@ def _vectors(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "embeddings").where("vec_id % 100 = 0").select(F.expr("vec_id div 100").alias("query_id"), F.col("embedding").alias("vector")).join(F.broadcast(kbs))
 
 
+def _index(spark: SparkSession, sf: str) -> IndexStore:
+    """The stored index of all documents, which the queries of a session share."""
+    return stored_index(spark, shared_dir(spark), f"{sf}/documents.parquet", _chunks(spark, sf))
+
+
 def e1_tokens(spark, sf):
-    return _chunks(spark, sf).select("chunk_id", F.size(tokens(F.col("text"))).cast("long").alias("n_tokens"), F.md5(F.array_join(tokens(F.col("text")), " ")).alias("tokens_md5"))
+    w = R.tokenised(_chunks(spark, sf))
+    return w.select("chunk_id", F.col("len").cast("long").alias("n_tokens"), F.md5(F.array_join("w", " ")).alias("tokens_md5"))
+
+
+def e1_mixed(spark, sf):
+    """Tokens of the documents with CJK runs (every third), full-width letters or ligatures put in."""
+    more = F.element_at(F.array(F.lit(" 知识图 q知"), F.lit(" Ａｇｅ１_ﬁ"), F.lit("")), (F.col("doc_id") % 3 + 1).cast("int"))
+    w = R.tokenised(_chunks(spark, sf).withColumn("text", F.concat("text", more)))
+    return w.select("chunk_id", F.col("len").cast("long").alias("n_tokens"), F.md5(F.array_join("w", " ")).alias("tokens_md5"))
 
 
 def e2_postings(spark, sf):
-    return R.postings(_chunks(spark, sf)).groupBy("chunk_id", "len").agg(F.count("*").alias("terms"), F.max("tf").alias("max_tf"), F.sum(F.col("tf") * F.col("tf")).alias("tf2")).select("chunk_id", F.col("len").cast("long").alias("len"), "terms", "max_tf", "tf2")
+    return R.counted(_chunks(spark, sf)).select(
+        "chunk_id", F.col("len").cast("long").alias("len"), F.size("terms").cast("long").alias("terms"), F.array_max("terms.tf").alias("max_tf"), F.aggregate("terms.tf", F.lit(0).cast("long"), lambda s, x: s + x * x).alias("tf2"),
+    ).where("terms > 0")
+
+
+def e2_stored(spark, sf):
+    """The stored postings of the benchmark's terms."""
+    return _index(spark, sf).postings(R.query_terms(_queries(spark, sf))).select("kb_id", "chunk_id", "token", "tf", F.col("len").cast("long").alias("len"))
 
 
 def e3_document_frequency(spark, sf):
@@ -47,7 +69,7 @@ def e3_scope_statistics(spark, sf):
 
 
 def _bm25(spark, sf):
-    return R.top_k(R.bm25(_chunks(spark, sf), _queries(spark, sf)), R.LEXICAL_TOP_K)
+    return R.top_k(_index(spark, sf).bm25(_queries(spark, sf)), R.LEXICAL_TOP_K)
 
 
 def _dense(spark, sf):
@@ -71,7 +93,7 @@ def e7_rrf(spark, sf):
 
 
 def e8_scope(spark, sf):
-    """One knowledge base: the scope's filter reaches the scan."""
+    """One knowledge base, without a stored index: the scope's filter reaches the scan."""
     only = F.col("kb_id") == "en"
     return R.top_k(R.bm25(_chunks(spark, sf).where(only), _queries(spark, sf).where(only)), R.LEXICAL_TOP_K).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
 
@@ -83,9 +105,27 @@ def e9_doc_filter(spark, sf):
     return R.in_documents(hits, listed).select("query_id", "kb_id", "doc_id", "rank")
 
 
+def _listed(spark, sf):
+    """Each query's documents: those that agree with it modulo 3."""
+    q = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id")).distinct()
+    d = table(spark, sf, "documents").select("doc_id", (F.col("doc_id") % 3).alias("m")).distinct()
+    return q.withColumn("m", F.col("query_id") % 3).join(d, "m").select("query_id", "doc_id")
+
+
+def e9_prefilter(spark, sf):
+    """Rankings inside each query's documents, with the scope's own statistics, fused."""
+    within = _listed(spark, sf)
+    lexical = R.top_k(_index(spark, sf).bm25(_queries(spark, sf), within), R.LEXICAL_TOP_K)
+    dense = R.top_k(R.cosine(_dense_chunks(spark, sf), _vectors(spark, sf), within), R.DENSE_TOP_K)
+    return R.fuse(lexical, dense).select("query_id", "kb_id", "chunk_id", "lexical_rank", "dense_rank", F.round("score", 6).alias("score"), "rank")
+
+
 def e10_topk_override(spark, sf):
-    k = F.greatest(F.lit(R.LEXICAL_TOP_K), F.col("query_id").cast("int"))
-    return R.top_k(R.bm25(_chunks(spark, sf), _queries(spark, sf)), k).groupBy("query_id", "kb_id").agg(F.count("*").alias("hits"), F.round(F.min("score"), 6).alias("least"))
+    """Each query's own k, at least the defaults in both rankings, and as it is in the fused list."""
+    k = R.override(F.col("query_id").cast("int"))
+    lexical = R.top_k(_index(spark, sf).bm25(_queries(spark, sf)), k["lexical"])
+    dense = R.top_k(R.cosine(_dense_chunks(spark, sf), _vectors(spark, sf)), k["dense"])
+    return R.fuse(lexical, dense, k["rerank"]).select("query_id", "kb_id", "chunk_id", "lexical_rank", "dense_rank", "rank")
 
 
 def e11_mode(spark, sf):
@@ -128,6 +168,7 @@ b AS (
   SELECT query_id, kb_id, chunk_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * qtf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * l / avg_len))) AS score
   FROM qt JOIN p USING (kb_id, token) JOIN d USING (kb_id, token) JOIN s USING (kb_id) GROUP BY ALL HAVING score > 0),
 lex AS (SELECT *, row_number() OVER (PARTITION BY query_id, kb_id ORDER BY round(score, 9) DESC, chunk_id)::INTEGER AS rank FROM b QUALIFY rank <= 12)"""
+_MIXED = """CASE doc_id % 3 WHEN 0 THEN list_concat(list_append(w, 'q'), ['知', '识', '图', '知识', '识图', '知']) WHEN 1 THEN list_append(w, 'age1_fi') ELSE w END"""
 _DENSE = r"""
 v AS (SELECT vec_id // 100 AS query_id, k.kb_id, embedding::DOUBLE[] AS x FROM embeddings, (SELECT DISTINCT lang AS kb_id FROM documents WHERE lang IS NOT NULL) k WHERE vec_id % 100 = 0),
 cv AS (SELECT lang AS kb_id, doc_id AS chunk_id, embedding::DOUBLE[] AS y FROM documents JOIN embeddings ON vec_id = doc_id),
@@ -143,12 +184,14 @@ _W = f"WITH {_BASE} "
 _H = f"WITH {_BASE}, {_DENSE}, {_FUSED} "
 
 QUERIES = {f.__name__: f for f in (
-    e1_tokens, e2_postings, e3_document_frequency, e3_scope_statistics, e4_bm25_topk, e5_cosine_topk, e7_rrf, e8_scope, e9_doc_filter, e10_topk_override, e11_mode, e12_upsert, e13_remove_doc, e14_fetch_chunk, e15_citation,
+    e1_tokens, e1_mixed, e2_postings, e2_stored, e3_document_frequency, e3_scope_statistics, e4_bm25_topk, e5_cosine_topk, e7_rrf, e8_scope, e9_doc_filter, e9_prefilter, e10_topk_override, e11_mode, e12_upsert, e13_remove_doc, e14_fetch_chunk, e15_citation,
 )}
 
 SQL = {
     "e1_tokens": _W + "SELECT chunk_id, len(w)::BIGINT AS n_tokens, md5(array_to_string(w, ' ')) AS tokens_md5 FROM ch",
     "e2_postings": _W + "SELECT chunk_id, any_value(l)::BIGINT AS len, count(*) AS terms, max(tf) AS max_tf, sum(tf * tf)::BIGINT AS tf2 FROM p GROUP BY chunk_id",
+    "e1_mixed": _W + f", m AS (SELECT chunk_id, {_MIXED} AS w FROM ch) SELECT chunk_id, len(w)::BIGINT AS n_tokens, md5(array_to_string(w, ' ')) AS tokens_md5 FROM m",
+    "e2_stored": _W + "SELECT kb_id, chunk_id, token, tf, l::BIGINT AS len FROM p WHERE (kb_id, token) IN (SELECT (kb_id, token) FROM qt)",
     "e3_document_frequency": _W + "SELECT kb_id, token, df FROM d",
     "e3_scope_statistics": _W + "SELECT kb_id, n, round(avg_len, 6) AS avg_len FROM s",
     "e4_bm25_topk": _W + "SELECT query_id, kb_id, chunk_id, round(score, 6) AS score, rank FROM lex",
@@ -156,7 +199,9 @@ SQL = {
     "e7_rrf": _H + "SELECT query_id, kb_id, chunk_id, lexical_rank, dense_rank, round(score, 6) AS score, rank FROM hits",
     "e8_scope": _W + "SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM lex WHERE kb_id = 'en'",
     "e9_doc_filter": _H + "SELECT query_id, kb_id, chunk_id AS doc_id, rank FROM hits WHERE chunk_id % 3 = query_id % 3",
-    "e10_topk_override": _W + ", r AS (SELECT *, row_number() OVER (PARTITION BY query_id, kb_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM b QUALIFY rank <= greatest(12, query_id)) SELECT query_id, kb_id, count(*) AS hits, round(min(score), 6) AS least FROM r GROUP BY ALL",
+    "e9_prefilter": (_H.replace("FROM b QUALIFY", "FROM b WHERE chunk_id % 3 = query_id % 3 QUALIFY").replace("FROM cs QUALIFY", "FROM cs WHERE chunk_id % 3 = query_id % 3 AND query_id IN (SELECT item_id FROM benchmark) QUALIFY")
+      + "SELECT query_id, kb_id, chunk_id, lexical_rank, dense_rank, round(score, 6) AS score, rank FROM hits"),
+    "e10_topk_override": _H.replace("QUALIFY rank <= 12", "QUALIFY rank <= greatest(12, query_id)").replace("QUALIFY rank <= 8", "QUALIFY rank <= query_id") + "SELECT query_id, kb_id, chunk_id, lexical_rank, dense_rank, rank FROM hits",
     "e11_mode": _H + "SELECT q.query_id, q.kb_id, count(hits.chunk_id) AS hits, CASE WHEN count(hits.chunk_id) = 0 THEN 'empty' WHEN count(dense_rank) > 0 THEN 'hybrid' ELSE 'lexical_fallback' END AS mode FROM q LEFT JOIN hits USING (query_id, kb_id) GROUP BY ALL",
     "e12_upsert": "SELECT doc_id AS chunk_id, lang AS kb_id, md5(CASE WHEN doc_id % 7 = 0 THEN 'new ' || text ELSE text END) AS text_md5 FROM documents",
     "e13_remove_doc": "SELECT lang AS kb_id, count(*) AS chunks, count(DISTINCT doc_id) AS documents FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0) GROUP BY lang",

@@ -8,13 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; where it is unset, a new temporary folder on a local master, and an error on a cluster."""
+    """spark.checkpoint.dir; where it is unset, one temporary folder a session on a local master, and an error on a cluster."""
     set_dir = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if set_dir:
         return set_dir.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return "file://" + tempfile.mkdtemp(prefix="docloom-")
+    own = spark.conf.get("docloom.shared.dir", None)
+    if own is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        own = "file://" + tempfile.mkdtemp(prefix="docloom-")
+        spark.conf.set("docloom.shared.dir", own)
+    return own
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -5,12 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from docloom.operators.retrieval import document_frequency, postings, scope_statistics
+from docloom.sources.index_store import IndexStore
 
 #: Seconds a job may run, and states that end it.
 BUDGET_S, ENDED = 1500, ("succeeded", "failed", "partial")
@@ -51,19 +50,9 @@ def follow_jobs(events: DataFrame, budget_s: int = BUDGET_S) -> DataFrame:
     return timed.groupBy("job_id").applyInPandasWithState(step, schema, state, "update", GroupStateTimeout.EventTimeTimeout)
 
 
-def refresh_index(chunks: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Postings of new chunks (kb_id, chunk_id, text) are appended per batch; a batch that is run again replaces itself."""
+def refresh_index(chunks: DataFrame, store: IndexStore, checkpoint: str) -> StreamingQuery:
+    """New and replaced chunks (kb_id, chunk_id, doc_id, text) of a stream go into the store, a batch each; a batch that is run again replaces itself.
 
-    def write(batch: DataFrame, epoch: int) -> None:
-        postings(batch).withColumn("batch", F.lit(epoch)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(f"{path}/postings")
-        batch.withColumn("batch", F.lit(epoch)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(f"{path}/chunks")
-
-    return chunks.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def read_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Newest postings of each chunk, document frequencies and scope statistics."""
-    newest = spark.read.parquet(f"{path}/chunks").groupBy("chunk_id").agg(F.max("batch").alias("batch"))
-    posts = spark.read.parquet(f"{path}/postings").join(newest, ["chunk_id", "batch"], "left_semi")
-    chunks = spark.read.parquet(f"{path}/chunks").join(newest, ["chunk_id", "batch"], "left_semi")
-    return posts, document_frequency(posts), scope_statistics(chunks)
+    A batch reads the stored rows of the chunks that it replaces, and writes what changes in the statistics.
+    """
+    return chunks.writeStream.foreachBatch(lambda batch, epoch: store.upsert(batch, epoch)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
