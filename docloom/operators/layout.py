@@ -14,7 +14,27 @@ LABEL_KEYS = ("block_label", "label", "type")
 CONTENT_KEYS = ("block_content", "content", "text", "markdown")
 BOX_KEYS = ("block_bbox", "bbox", "box", "coordinate")
 ORDER_KEYS = ("block_order", "order")
-KNOWN_KEYS = (*LABEL_KEYS, *CONTENT_KEYS, *BOX_KEYS, *ORDER_KEYS, "confidence", "score", "polygon", "poly")
+KNOWN_KEYS = (*LABEL_KEYS, *CONTENT_KEYS, *BOX_KEYS, *ORDER_KEYS, "confidence", "score", "polygon", "poly", "image_base64", "asset_base64", "crop_base64")
+OUTER_KEYS = ("markdown", "images", "input_path")
+BOX_FORMS = (("x0", "y0", "x1", "y1"), ("left", "top", "right", "bottom"), ("x", "y", "width", "height"))
+
+
+def _get(v: Column, path: str = "$", kind: str = "variant") -> Column:
+    """A part of a variant as the given type; null where it is missing or of another kind."""
+    return F.try_variant_get(v, path, kind)
+
+
+def _is(v: Column, kind: str) -> Column:
+    return F.coalesce(F.schema_of_variant(v).rlike(f"^({kind})"), F.lit(False))
+
+
+def _object(v: Column) -> Column:
+    return F.when(_is(v, "OBJECT"), v)
+
+
+def _list(v: Column) -> Column:
+    """array<variant> of a list; null for anything else."""
+    return F.when(_is(v, "ARRAY"), _get(v, kind="array<variant>"))
 
 
 def choose_attempt(attempts: DataFrame) -> DataFrame:
@@ -38,28 +58,41 @@ def failed_pages(attempts: DataFrame) -> DataFrame:
 
 
 def unwrap_page(pages: DataFrame) -> DataFrame:
-    """doc_id, page, blocks (JSON): inside ``data`` and ``result``, of the item for the asked page, else the first.
+    """doc_id, page, width, height, payload (map<string, variant>), code of pages (doc_id, page, width, height, raw: JSON text).
 
-    ``pages`` has doc_id, page and raw (JSON text); payloads that aren't JSON have null blocks.
+    A payload is inside ``data`` and ``result``, of the list's item for the asked page (one without a number fits any), else its
+    first; its ``prunedResult`` is taken with those outer keys that it lacks. Each text is parsed once. What is no object
+    has no payload and the code ocr_invalid_response.
     """
-    raw = F.coalesce(F.get_json_object("raw", "$.data.result"), F.get_json_object("raw", "$.result"), F.get_json_object("raw", "$.data"), F.col("raw"))
-    listed = F.from_json(F.coalesce(*(F.get_json_object(raw, f"$.{k}") for k in ("layoutParsingResults", "results", "pages"))), "array<string>")
-    number = lambda x: F.coalesce(F.get_json_object(x, "$.page_number"), F.get_json_object(x, "$.page")).try_cast("int")
-    asked = F.try_element_at(F.filter(listed, lambda x: number(x) == F.col("page")), F.lit(1))
-    one = F.coalesce(asked, F.try_element_at(listed, F.lit(1)), raw)
-    pruned = F.coalesce(F.get_json_object(one, "$.prunedResult"), one)
-    return pages.select("doc_id", "page", "width", "height", F.coalesce(*(F.get_json_object(pruned, f"$.{k}") for k in LIST_KEYS)).alias("blocks"))
+    p = pages.select("doc_id", "page", "width", "height", F.try_parse_json("raw").alias("v"))
+    for key in ("data", "result"):
+        p = p.withColumn("v", F.coalesce(_object(_get(F.col("v"), f"$.{key}")), F.col("v")))
+    p = p.withColumn("items", F.coalesce(*(_list(_get(F.col("v"), f"$.{k}")) for k in ("layoutParsingResults", "results", "pages"))))
+    number = lambda x: F.coalesce(_get(x, "$.page_number", "int"), _get(x, "$.page", "int"), F.col("page"))
+    asked = F.get(F.filter("items", lambda x: _is(x, "OBJECT") & (number(x) == F.col("page"))), F.lit(0))
+    p = p.withColumn("v", F.when(F.size("items") > 0, F.coalesce(asked, F.get("items", F.lit(0)))).otherwise(F.col("v")))
+    fields = lambda v: _get(_object(v), kind="map<string,variant>")
+    p = p.withColumns({"outer": fields(F.col("v")), "inner": fields(_get(F.col("v"), "$.prunedResult"))})
+    lacking = F.map_filter("outer", lambda k, _: k.isin(*OUTER_KEYS) & ~F.map_contains_key("inner", k))
+    p = p.withColumn("payload", F.when(F.col("inner").isNull(), F.col("outer")).otherwise(F.map_concat("inner", lacking)))
+    return p.select("doc_id", "page", "width", "height", "payload", F.when(F.col("payload").isNull(), "ocr_invalid_response").alias("code"))
 
 
 def explode_blocks(pages: DataFrame) -> DataFrame:
-    """One row per block with a box: label, content, box (JSON), order and confidence from the first name that has a value."""
-    b = pages.select("doc_id", "page", "width", "height", F.posexplode(F.from_json("blocks", "array<string>")).alias("pos", "b"))
-    pick = lambda keys: F.coalesce(*(F.nullif(F.get_json_object("b", f"$.{k}"), F.lit("")) for k in keys))
+    """One row per block with a usable box: label, content, box (4 doubles), polygon (variant), ord, confidence and raw (variant), each from the first name that has a value.
+
+    Blocks are the objects of the first list among the payload's names; one without an order takes its place among them.
+    """
+    listed = F.coalesce(*(_list(F.col("payload")[k]) for k in LIST_KEYS))
+    b = pages.select("doc_id", "page", "width", "height", F.posexplode(F.filter(listed, lambda x: _is(x, "OBJECT"))).alias("pos", "raw"))
+    text = lambda keys: F.coalesce(*(F.nullif(_get(F.col("raw"), f"$.{k}", "string"), F.lit("")) for k in keys))
+    some = lambda k: F.when(~F.to_json(_get(F.col("raw"), f"$.{k}")).isin("null", "[]", "{}", '""', "0", "false"), _get(F.col("raw"), f"$.{k}"))
+    order = F.coalesce(*(F.nullif(_get(F.col("raw"), f"$.{k}", "int"), F.lit(0)) for k in ORDER_KEYS), F.col("pos") + 1)
     rows = b.select(
-        "doc_id", "page", "width", "height", F.coalesce(pick(LABEL_KEYS), F.lit("text")).alias("label"), F.trim(F.coalesce(pick(CONTENT_KEYS), F.lit(""))).alias("content"), pick(BOX_KEYS).alias("box"),
-        F.coalesce(pick(ORDER_KEYS).try_cast("int"), F.col("pos") + 1).alias("ord"), confidence(F.coalesce(F.get_json_object("b", "$.confidence"), F.get_json_object("b", "$.score"))).alias("confidence"), F.col("b").alias("raw"),
+        "doc_id", "page", "width", "height", F.coalesce(text(LABEL_KEYS), F.lit("text")).alias("label"), F.trim(F.coalesce(text(CONTENT_KEYS), F.lit(""))).alias("content"), F.coalesce(*map(some, BOX_KEYS)).alias("_box"),
+        F.coalesce(some("polygon"), some("poly")).alias("polygon"), order.alias("ord"), confidence(text(("confidence", "score"))).alias("confidence"), "raw",
     )
-    return rows.where("box is not null")
+    return rows.withColumn("box", corners(F.col("_box"))).where("box is not null").drop("_box")
 
 
 def kind_of(label: Column) -> Column:
@@ -69,17 +102,26 @@ def kind_of(label: Column) -> Column:
 
 def confidence(value: Column) -> Column:
     """Between 0 and 1; null where it is no number."""
-    return F.least(F.greatest(value.try_cast("double"), F.lit(0.0)), F.lit(1.0))
+    number = value.try_cast("double")
+    return F.when(number.isNotNull(), F.least(F.greatest(number, F.lit(0.0)), F.lit(1.0)))
+
+
+def _whole(numbers: Column) -> Column:
+    """The array if none of it is null."""
+    return F.when(~F.exists(numbers, lambda v: v.isNull()), numbers)
 
 
 def corners(box: Column) -> Column:
-    """array of 4 doubles from a JSON box: a list, x0..y1, left..bottom, or x, y, width, height."""
-    at = lambda *keys: F.array(*(F.get_json_object(box, f"$.{k}").try_cast("double") for k in keys))
-    whole = lambda a: ~F.exists(a, lambda v: v.isNull())
-    listed = F.slice(F.from_json(box, "array<double>"), 1, 4)
-    sides, edges, sized = at("x0", "y0", "x1", "y1"), at("left", "top", "right", "bottom"), at("x", "y", "width", "height")
-    from_size = F.array(sized[0], sized[1], sized[0] + sized[2], sized[1] + sized[3])
-    return F.when((F.size(listed) == 4) & whole(listed), listed).when(whole(sides), sides).when(whole(edges), edges).when(whole(sized), from_size)
+    """array of 4 doubles from a variant: a list of 4 or more, or an object with x0..y1, left..bottom, or x, y, width and height; null where it is unusable."""
+    items = _list(box)
+    form = F.when(F.size(items) >= 4, _whole(F.transform(F.slice(items, 1, 4), lambda v: _get(v, kind="double"))))
+    keys = F.map_keys(_get(_object(box), kind="map<string,variant>"))
+    for names in BOX_FORMS:
+        v = F.array(*(_get(box, f"$.{n}", "double") for n in names))
+        if names == BOX_FORMS[2]:
+            v = F.array(v[0], v[1], v[0] + v[2], v[1] + v[3])
+        form = form.when(F.size(F.array_intersect(keys, F.array(*map(F.lit, names)))) == 4, _whole(v))
+    return form
 
 
 def scaled_box(c: Column, width: Column, height: Column) -> Column:
@@ -95,19 +137,39 @@ def normalised(box: Column, width: Column, height: Column) -> Column:
     return F.struct(F.round(box["x0"] / width, 6).alias("x0"), F.round(box["y0"] / height, 6).alias("y0"), F.round(box["x1"] / width, 6).alias("x1"), F.round(box["y1"] / height, 6).alias("y1"))
 
 
-def polygon(flat: Column, box: Column, width: Column, height: Column) -> Column:
-    """array of points from a flat list; the box's corners where there are fewer than two numbers."""
-    part = F.array_max(F.transform(flat, F.abs)) <= 1.0
-    x, y = F.when(part, width).otherwise(F.lit(1)), F.when(part, height).otherwise(F.lit(1))
-    n = F.floor(F.size(flat) / 2).cast("int")
-    point = lambda px, py: F.struct(F.least(F.greatest(px, F.lit(0.0)), width.cast("double")).alias("x"), F.least(F.greatest(py, F.lit(0.0)), height.cast("double")).alias("y"))
-    own = F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: point(flat[2 * i] * x, flat[2 * i + 1] * y))
-    return F.when(n > 0, own).otherwise(F.array(point(box["x0"], box["y0"]), point(box["x1"], box["y0"]), point(box["x1"], box["y1"]), point(box["x0"], box["y1"])))
+def polygon(raw: Column, box: Column, width: Column, height: Column) -> Column:
+    """struct of points and normalised points (both arrays of x, y) from a variant.
+
+    A list of numbers is read in pairs; of a list of other things those that are pairs or have x and y are points. Where there
+    are none, the box's corners stand. Points of which no coordinate is above 1 are fractions of the page; all are clamped to it.
+    """
+    items = _list(raw)
+    number = lambda v: _get(v, kind="double")
+    point = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+    none = F.array().cast("array<struct<x:double,y:double>>")
+    pairs = F.floor(F.size(items) / 2).cast("int")
+    flat = F.when(pairs > 0, F.transform(F.sequence(F.lit(0), F.greatest(pairs - 1, F.lit(0))), lambda i: point(number(F.get(items, 2 * i)), number(F.get(items, 2 * i + 1))))).otherwise(none)
+    one = lambda v: F.when(_is(v, "ARRAY"), point(_get(v, "$[0]", "double"), _get(v, "$[1]", "double"))).when(_is(v, "OBJECT"), point(_get(v, "$.x", "double"), _get(v, "$.y", "double")))
+    mixed = F.filter(F.transform(items, one), lambda p: p["x"].isNotNull() & p["y"].isNotNull())
+    plain = ~F.exists(items, lambda v: ~_is(v, "TINYINT|SMALLINT|INT|BIGINT|FLOAT|DOUBLE|DECIMAL|BOOLEAN"))
+    given = F.coalesce(F.when(plain, flat).otherwise(mixed), none)
+    own = F.when(F.size(given) > 0, given).otherwise(F.array(point(box["x0"], box["y0"]), point(box["x1"], box["y0"]), point(box["x1"], box["y1"]), point(box["x0"], box["y1"])))
+    clamp = lambda v, top: F.least(F.greatest(v, F.lit(0.0)), top.cast("double"))
+
+    def placed(points: Column) -> Column:
+        part = F.array_max(F.transform(points, lambda p: F.greatest(F.abs(p["x"]), F.abs(p["y"])))) <= 1.0
+        x, y = F.when(part, width).otherwise(F.lit(1)), F.when(part, height).otherwise(F.lit(1))
+        return F.transform(points, lambda p: point(clamp(p["x"] * x, width), clamp(p["y"] * y, height)))
+
+    points = F.get(F.transform(F.array(own), placed), F.lit(0))  # named once
+    of_page = lambda p: point(F.round(p["x"] / width, 6), F.round(p["y"] / height, 6))
+    return F.get(F.transform(F.array(points), lambda ps: F.struct(ps.alias("points"), F.transform(ps, of_page).alias("normalised"))), F.lit(0))
 
 
 def unknown_fields(raw: Column) -> Column:
-    """The block's fields that no other column holds."""
-    return F.map_filter(F.from_json(raw, "map<string,string>"), lambda k, _: ~k.isin(*KNOWN_KEYS))
+    """The block's fields that no other column holds, as texts."""
+    fields = F.map_filter(_get(raw, kind="map<string,variant>"), lambda k, _: ~k.isin(*KNOWN_KEYS))
+    return F.transform_values(fields, lambda _, v: _get(v, kind="string"))
 
 
 def reading_order(elements: DataFrame) -> DataFrame:
@@ -130,8 +192,21 @@ def assets(elements: DataFrame) -> DataFrame:
     return a.select("asset_id", "element_id", "doc_id", "page", "kind", F.concat_ws("/", F.lit("assets"), "doc_id", "asset_id").alias("object_key"), F.concat_ws("/", F.lit("pages"), "doc_id", "page").alias("page_key"), *_places(elements), F.sha2("content", 256).alias("content_sha256"))
 
 
-def counters(elements: DataFrame) -> DataFrame:
-    return elements.groupBy("doc_id").agg(F.count_distinct("page").alias("pages"), F.count("*").alias("elements"), F.count_if(F.col("kind").isin(*MULTIMODAL)).alias("assets"))
+def counters(elements: DataFrame, chunks: DataFrame) -> DataFrame:
+    """doc_id, pages, elements, assets and chunks (doc_id, chunk_id) of each document."""
+    e = elements.groupBy("doc_id").agg(F.count_distinct("page").alias("pages"), F.count("*").alias("elements"), F.count_if(F.col("kind").isin(*MULTIMODAL)).alias("assets"))
+    return e.join(chunks.groupBy("doc_id").agg(F.count("*").alias("chunks")), "doc_id", "left").na.fill(0, ["chunks"])
+
+
+def citation_regions(cited: DataFrame, elements: DataFrame, pages: DataFrame, assets: DataFrame) -> DataFrame:
+    """doc_id, version, element_id, page, box, page_key and object_key (null for elements that are no assets) of cited elements (doc_id, version, element_id).
+
+    Elements have version, page and x0 to y1; pages (doc_id, version, page, page_key); assets (element_id, object_key). An element or
+    page of another version is not found.
+    """
+    box = F.struct("x0", "y0", "x1", "y1").alias("box")
+    placed = cited.join(elements.select("doc_id", "version", "element_id", "page", box), ["doc_id", "version", "element_id"])
+    return placed.join(pages.select("doc_id", "version", "page", "page_key"), ["doc_id", "version", "page"]).join(assets.select("element_id", "object_key"), "element_id", "left")
 
 
 def kinds_per_page(elements: DataFrame) -> DataFrame:

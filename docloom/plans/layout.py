@@ -26,15 +26,17 @@ def b2_failed_pages(spark, sf):
 
 
 def _raw_pages(spark, sf):
-    """Documents as raw page payloads; list and block names, and box forms, alternate."""
+    """Documents as raw page payloads; list and block names, and box forms, alternate. Every fifth has blocks without usable boxes, every third outer keys."""
     e = elements(spark, sf)
     even = F.col("doc_id") % 2 == 0
     box = F.when(even, F.to_json(F.array("x0", "y0", "x1", "y1"))).otherwise(F.to_json(F.struct(F.col("x0").alias("x"), F.col("y0").alias("y"), (F.col("x1") - F.col("x0")).alias("width"), (F.col("y1") - F.col("y0")).alias("height"))))
     label = F.when(F.col("kind") == "table", "Table-Region").when(F.col("kind") == "heading", "paragraph title").otherwise("plain text")
     block = F.concat(F.lit('{"'), F.when(even, "block_label").otherwise("type"), F.lit('":"'), label, F.lit('","'), F.when(even, "block_bbox").otherwise("bbox"), F.lit('":'), box, F.lit(',"score":'), (F.col("pos") % 15 / 10).cast("string"), F.lit(',"extra":"x'), F.col("pos"), F.lit('"}'))
     pages = e.groupBy("doc_id", "page").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", block.alias("b")))), lambda x: x["b"]), ",").alias("b"))
-    inner = F.concat(F.lit('{"'), F.when(F.col("doc_id") % 2 == 0, "parsing_res_list").otherwise("elements"), F.lit('":['), "b", F.lit("]}"))
-    raw = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit('{"data":{"result":{"pages":[{"page":'), "page", F.lit(',"prunedResult":'), inner, F.lit("}]}}}"))).otherwise(inner)
+    lost = F.when(F.col("doc_id") % 5 == 0, ',7,{"label":"lost","bbox":[1,2]},{"label":"lost","box":{"x0":1,"y0":"?","x1":3,"y1":4}},{"label":"lost"}').otherwise("")
+    inner = F.concat(F.lit('{"'), F.when(F.col("doc_id") % 2 == 0, "parsing_res_list").otherwise("elements"), F.lit('":['), "b", lost, F.when(F.col("doc_id") % 6 == 0, '],"markdown":"own"}').otherwise("]}"))
+    raw = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit('{"data":{"result":{"pages":[{"page":999},{"page":'), "page", F.lit(',"markdown":"outer","input_path":"p'), "page", F.lit('","prunedResult":'), inner, F.lit("}]}}}"))).otherwise(inner)
+    raw = F.when(F.col("doc_id") % 31 == 30, "[1]").otherwise(raw)
     return pages.select("doc_id", "page", F.lit(1000).alias("width"), F.lit(1000).alias("height"), raw.alias("raw"))
 
 
@@ -43,12 +45,14 @@ def _blocks(spark, sf):
 
 
 def b1_unwrap(spark, sf):
+    """Keys of each page's payload, and what comes from its outer part."""
     p = L.unwrap_page(_raw_pages(spark, sf))
-    return p.select("doc_id", "page", F.size(F.from_json("blocks", "array<string>")).cast("long").alias("blocks"))
+    text = lambda k: F.try_variant_get(F.col("payload")[k], "$", "string").alias(k)
+    return p.select("doc_id", "page", F.array_join(F.sort_array(F.map_keys("payload")), ",").alias("keys"), text("markdown"), text("input_path"), "code")
 
 
 def b3_blocks(spark, sf):
-    return _blocks(spark, sf).groupBy("doc_id", "label").agg(F.count("*").alias("blocks"), F.sum("ord").alias("orders"))
+    return _blocks(spark, sf).select("doc_id", "page", "ord", "label", *(F.round(F.col("box")[i], 6).alias(c) for i, c in enumerate(("x0", "y0", "x1", "y1"))))
 
 
 def b4_kind(spark, sf):
@@ -66,15 +70,18 @@ def b5_bbox(spark, sf):
 
 
 def b6_polygon(spark, sf):
-    """Bounding sums of polygons given as flat lists, or missing."""
+    """Polygons given as flat lists (with a number too many), lists of pairs, points with x and y, fractions, or not at all."""
     e = elements(spark, sf)
-    flat = F.when(F.col("pos") % 2 == 0, F.array("x0", "y0", "x1", "y0", "x1", "y1"))
-    p = e.select("element_id", L.polygon(flat, F.struct("x0", "y0", "x1", "y1"), F.lit(800), F.lit(900)).alias("p"))
-    return p.select("element_id", F.size("p").cast("long").alias("points"), F.round(F.aggregate("p", F.lit(0.0), lambda s, q: s + q["x"] + q["y"]), 3).alias("total"))
+    w, h = F.lit(800), F.lit(900)
+    raw = F.when(F.col("pos") % 5 == 0, F.to_json(F.array("x0", "y0", "x1", "y0", "x1", "y1", "x0"))).when(F.col("pos") % 5 == 1, F.concat(F.lit("["), F.to_json(F.array("x0", "y0")), F.lit(',"no",'), F.to_json(F.array("x1", "y1")), F.lit(",[5]]")))
+    raw = raw.when(F.col("pos") % 5 == 2, F.concat(F.lit("["), F.to_json(F.struct(F.col("x1").alias("x"), F.col("y0").alias("y"))), F.lit(',{"x":1}]'))).when(F.col("pos") % 5 == 3, F.lit("[0.5,0.25,1,1]"))
+    p = e.select("element_id", L.polygon(F.try_parse_json(raw), F.struct("x0", "y0", "x1", "y1"), w, h).alias("p"))
+    total = lambda c: F.round(F.aggregate(F.col("p")[c], F.lit(0.0), lambda s, q: s + q["x"] + q["y"]), 6)
+    return p.select("element_id", F.size("p.points").cast("long").alias("points"), total("points").alias("total"), total("normalised").alias("normalised"))
 
 
 def b7_confidence(spark, sf):
-    return _blocks(spark, sf).groupBy("doc_id").agg(F.round(F.sum("confidence"), 4).alias("total"), F.max("confidence").alias("most"))
+    return _blocks(spark, sf).select("doc_id", "page", "ord", F.round("confidence", 6).alias("confidence"))
 
 
 def b8_order(spark, sf):
@@ -87,7 +94,7 @@ def b9_ids(spark, sf):
 
 
 def b10_unknown_fields(spark, sf):
-    return _blocks(spark, sf).select("doc_id", F.explode(L.unknown_fields(F.col("raw"))).alias("field", "value")).groupBy("doc_id", "field").agg(F.count("*").alias("blocks"), F.max("value").alias("most"))
+    return _blocks(spark, sf).select("doc_id", "page", "ord", F.explode(L.unknown_fields(F.col("raw"))).alias("field", "value"))
 
 
 def b11_assets(spark, sf):
@@ -95,7 +102,8 @@ def b11_assets(spark, sf):
 
 
 def b12_counts(spark, sf):
-    return L.counters(elements(spark, sf))
+    e = cut(_ready(spark, sf))
+    return L.counters(e, C.chunks(e, 300))
 
 
 def b13_kinds(spark, sf):
@@ -103,10 +111,11 @@ def b13_kinds(spark, sf):
 
 
 def b14_regions(spark, sf):
-    """Where each element stands, as if all were cited."""
-    e = elements(spark, sf)
-    cited = e.select("doc_id", "element_id")
-    return cited.join(e.select("element_id", "page", "x0", "y0", "x1", "y1"), "element_id").join(L.assets(e).select("element_id", "object_key"), "element_id", "left")
+    """Where each element stands, as if all were cited; every seventh document's citations are of a version that is gone."""
+    e = elements(spark, sf).withColumn("version", (F.col("doc_id") % 3 + 1).cast("int"))
+    cited = e.select("doc_id", (F.col("version") + F.when(F.col("doc_id") % 7 == 0, 1).otherwise(0)).alias("version"), "element_id")
+    pages = e.select("doc_id", "version", "page", F.concat_ws("/", F.lit("pages"), "doc_id", "version", "page").alias("page_key")).distinct()
+    return L.citation_regions(cited, e, pages, L.assets(e)).select("doc_id", "version", "element_id", "page", "box.*", "page_key", "object_key")
 
 
 def _ready(spark, sf):
@@ -155,6 +164,7 @@ _ATT = """WITH a AS (SELECT l_orderkey AS page, l_orderkey % 100 AS doc_id, (l_l
 f AS (SELECT doc_id, page, bool_or(ok) FILTER (tier = 1) AS ok1, bool_or(re) FILTER (tier = 1) AS re1, bool_or(ok) FILTER (tier = 2) AS ok2, bool_or(re) FILTER (tier = 2) AS re2 FROM a GROUP BY ALL),
 c AS (SELECT doc_id, page, min(tier) AS tier FROM a JOIN f USING (doc_id, page) WHERE ok AND CASE tier WHEN 1 THEN true WHEN 2 THEN NOT ok1 AND re1 WHEN 3 THEN NOT ok1 AND (NOT re1 OR (NOT coalesce(ok2, true) AND coalesce(re2, false))) END GROUP BY ALL) """
 _LABEL = "CASE kind WHEN 'table' THEN 'Table-Region' WHEN 'heading' THEN 'paragraph title' ELSE 'plain text' END"
+_ORD = "(row_number() OVER (PARTITION BY doc_id, page ORDER BY pos))::INTEGER"
 _MD = r"""CASE kind WHEN 'heading' THEN '## ' || content WHEN 'table' THEN '<asset id="as-' || element_id || '" type="table" page="' || page || '" bbox="' || printf('%.6f,%.6f,%.6f,%.6f', x0 / 1000, y0 / 1000, x1 / 1000, y1 / 1000) || '">' || chr(10) || chr(10) || content ELSE content END"""
 _e = lambda body: with_tables("el", body)
 
@@ -173,24 +183,26 @@ def _chunks(target: int, body: str) -> str:
 
 
 SQL = {
-    "b1_unwrap": _e("SELECT doc_id, page, count(*) AS blocks FROM el GROUP BY ALL"),
+    "b1_unwrap": _e("""SELECT DISTINCT doc_id, page, CASE WHEN doc_id % 31 <> 30 THEN array_to_string(list_sort(list_concat([CASE WHEN doc_id % 2 = 0 THEN 'parsing_res_list' ELSE 'elements' END], CASE WHEN doc_id % 3 = 0 THEN ['markdown', 'input_path'] ELSE [] END)), ',') END AS keys,
+      CASE WHEN doc_id % 31 = 30 THEN NULL WHEN doc_id % 6 = 0 THEN 'own' WHEN doc_id % 3 = 0 THEN 'outer' END AS markdown, CASE WHEN doc_id % 31 <> 30 AND doc_id % 3 = 0 THEN 'p' || page END AS input_path, CASE WHEN doc_id % 31 = 30 THEN 'ocr_invalid_response' END AS code FROM el"""),
     "b2_attempt": _ATT + "SELECT doc_id, page, tier FROM c",
     "b2_failed_pages": _ATT + "SELECT DISTINCT doc_id, page FROM a WHERE (doc_id, page) NOT IN (SELECT (doc_id, page) FROM c)",
-    "b3_blocks": _e(f"WITH n AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY pos) AS ord FROM el) SELECT doc_id, {_LABEL} AS label, count(*) AS blocks, sum(ord)::BIGINT AS orders FROM n GROUP BY 1, 2"),
-    "b4_kind": _e("SELECT kind, count(*) AS blocks FROM el GROUP BY 1"),
+    "b3_blocks": _e(f"SELECT doc_id, page, {_ORD} AS ord, {_LABEL} AS label, x0, y0, x1, y1 FROM el WHERE doc_id % 31 <> 30"),
+    "b4_kind": _e("SELECT kind, count(*) AS blocks FROM el WHERE doc_id % 31 <> 30 GROUP BY 1"),
     "b5_bbox": _e("""WITH s AS (SELECT element_id, CASE WHEN pos % 3 = 0 AND greatest(x1, y0, x0, y1) <= 1000 THEN 0.8 ELSE 1 END AS fx, CASE WHEN pos % 3 = 0 AND greatest(x1, y0, x0, y1) <= 1000 THEN 0.9 ELSE 1 END AS fy,
       CASE WHEN pos % 3 = 0 THEN x0 ELSE x0 END AS x0, x1, y0, y1 FROM el)
       SELECT element_id, round(least(x0 * fx, 800) / 800, 6) AS x0, round(least(y0 * fy, 900) / 900, 6) AS y0, round(least(x1 * fx, 800) / 800, 6) AS x1, round(least(y1 * fy, 900) / 900, 6) AS y1 FROM s"""),
-    "b6_polygon": _e("""SELECT element_id, CASE WHEN pos % 2 = 0 THEN 3 ELSE 4 END::BIGINT AS points,
-      round(CASE WHEN pos % 2 = 0 THEN least(x0, 800) + 2 * least(x1, 800) + 2 * least(y0, 900) + least(y1, 900) ELSE 2 * (least(x0, 800) + least(x1, 800) + least(y0, 900) + least(y1, 900)) END, 3) AS total FROM el"""),
-    "b7_confidence": _e("SELECT doc_id, round(sum(least(pos % 15 / 10.0::DOUBLE, 1)), 4) AS total, max(least(pos % 15 / 10.0::DOUBLE, 1)) AS most FROM el GROUP BY 1"),
+    "b6_polygon": _e("""WITH c AS (SELECT element_id, pos % 5 AS m, least(x0, 800) AS a, least(y0, 900) AS b, least(x1, 800) AS c, least(y1, 900) AS d FROM el),
+      p AS (SELECT element_id, CASE m WHEN 0 THEN [a, c, c] WHEN 1 THEN [a, c] WHEN 2 THEN [c] WHEN 3 THEN [400, 800] ELSE [a, c, c, a] END AS xs, CASE m WHEN 0 THEN [b, b, d] WHEN 1 THEN [b, d] WHEN 2 THEN [b] WHEN 3 THEN [225, 900] ELSE [b, b, d, d] END AS ys FROM c)
+      SELECT element_id, len(xs) AS points, round(list_sum(xs) + list_sum(ys), 6) AS total, round(list_sum(list_transform(xs, lambda x: round(x / 800, 6))) + list_sum(list_transform(ys, lambda y: round(y / 900, 6))), 6) AS normalised FROM p"""),
+    "b7_confidence": _e(f"SELECT doc_id, page, {_ORD} AS ord, round(least(pos % 15 / 10.0::DOUBLE, 1), 6) AS confidence FROM el WHERE doc_id % 31 <> 30"),
     "b8_order": _e("SELECT element_id, (row_number() OVER (PARTITION BY doc_id ORDER BY page, pos * 7 % 10, y0, x0, element_id))::INTEGER AS seq FROM el"),
     "b9_ids": _e("SELECT doc_id, pos, element_id FROM el"),
-    "b10_unknown_fields": _e("SELECT doc_id, 'extra' AS field, count(*) AS blocks, max('x' || pos) AS most FROM el GROUP BY 1"),
+    "b10_unknown_fields": _e(f"SELECT doc_id, page, {_ORD} AS ord, 'extra' AS field, 'x' || pos AS value FROM el WHERE doc_id % 31 <> 30"),
     "b11_assets": _e("WITH a AS (SELECT *, 'as_' || substr(sha256(element_id || chr(31) || kind), 1, 24) AS asset_id FROM el WHERE kind = 'table') SELECT asset_id, element_id, doc_id, page, kind, 'assets/' || doc_id || '/' || asset_id AS object_key, 'pages/' || doc_id || '/' || page AS page_key, [x0, y0, x1, y1] AS bbox, [[x0, y0], [x1, y0], [x1, y1], [x0, y1]] AS polygon, sha256(content) AS content_sha256 FROM a"),
-    "b12_counts": _e("SELECT doc_id, count(DISTINCT page) AS pages, count(*) AS elements, count(*) FILTER (kind = 'table') AS assets FROM el GROUP BY 1"),
+    "b12_counts": _chunks(300, ", n2 AS (SELECT doc_id, count(*) AS chunks FROM ch GROUP BY 1), c2 AS (SELECT doc_id, count(DISTINCT page) AS pages, count(*) AS elements, count(*) FILTER (kind = 'table') AS assets FROM el GROUP BY 1) SELECT doc_id, pages, elements, assets, coalesce(chunks, 0) AS chunks FROM c2 LEFT JOIN n2 USING (doc_id)"),
     "b13_kinds": _e("SELECT doc_id, page, 0::BIGINT AS figure, 0::BIGINT AS formula, count(*) FILTER (kind = 'table') AS \"table\", count(*) FILTER (kind = 'heading') AS heading, count(*) FILTER (kind = 'text') AS text FROM el GROUP BY 1, 2"),
-    "b14_regions": _e("SELECT doc_id, element_id, page, x0, y0, x1, y1, CASE WHEN kind = 'table' THEN 'assets/' || doc_id || '/as_' || substr(sha256(element_id || chr(31) || kind), 1, 24) END AS object_key FROM el"),
+    "b14_regions": _e("SELECT doc_id, (doc_id % 3 + 1)::INTEGER AS version, element_id, page, x0, y0, x1, y1, 'pages/' || doc_id || '/' || doc_id % 3 + 1 || '/' || page AS page_key, CASE WHEN kind = 'table' THEN 'assets/' || doc_id || '/as_' || substr(sha256(element_id || chr(31) || kind), 1, 24) END AS object_key FROM el WHERE doc_id % 7 <> 0"),
     "c1_markdown": _e(f"SELECT element_id, md5({_MD}) AS md5 FROM el"),
     "c2_document_markdown": _e(f"""WITH p AS (SELECT doc_id, page, '<!-- page:' || page || ' -->' || chr(10) || chr(10) || string_agg({_MD}, chr(10) || chr(10) ORDER BY pos) AS p FROM el GROUP BY 1, 2),
       d AS (SELECT doc_id, '# doc-' || doc_id || chr(10) || chr(10) || string_agg(p, chr(10) || chr(10) ORDER BY page) || chr(10) AS m FROM p GROUP BY 1) SELECT doc_id, md5(m) AS md5, length(m)::BIGINT AS n FROM d"""),

@@ -46,13 +46,49 @@ def test_layout_pages(spark):
     two = '{"data":{"result":{"pages":[{"page":1,"prunedResult":{"blocks":[]}},{"page":2,"prunedResult":{"elements":[{"type":"table","content":"|a|","bbox":{"x":120,"y":200,"width":900,"height":420}},{"type":"formula","bbox":[0.1,0.55,0.9,0.68]}]}}]}}}'
     pages = spark.createDataFrame([("doc-1", 1, 1000, 1400, one), ("doc-1", 2, 1200, 1600, two), ("doc-1", 3, 10, 10, "no json")], "doc_id string, page int, width int, height int, raw string")
     b = L.explode_blocks(L.unwrap_page(pages)).withColumn("kind", L.kind_of(F.col("label")))
-    b = b.withColumn("b", L.scaled_box(L.corners(F.col("box")), F.col("width"), F.col("height"))).withColumn("n", L.normalised(F.col("b"), F.col("width"), F.col("height")))
+    b = b.withColumn("b", L.scaled_box(F.col("box"), F.col("width"), F.col("height"))).withColumn("n", L.normalised(F.col("b"), F.col("width"), F.col("height")))
     got = {r.kind: r for r in b.collect()}
     assert set(got) == {"heading", "figure", "table", "formula"}
     assert tuple(got["figure"].n) == (0.1, 0.214286, 0.5, 0.5) and got["figure"].confidence == 1.0
     assert tuple(round(v, 9) for v in got["formula"].b) == (120.0, 880.0, 1080.0, 1088.0) and tuple(got["table"].b) == (120.0, 200.0, 1020.0, 620.0)
 
 
+def test_payload_forms(spark):
+    raws = [
+        '{"result":{"results":[{"page_number":5,"markdown":"out","input_path":"p","images":{"a":1},"prunedResult":{"blocks":[],"markdown":"in"}}]}}',
+        '{"data":{"pages":[{"prunedResult":{"layout":[]}},{"page":2,"elements":[]}]}}', '{"data":[1],"blocks":[]}', "[1]", "no json", None, '{"pages":[3]}', '{"pages":[],"layout":[]}',
+    ]
+    pages = spark.createDataFrame([("d", i, 10, 10, r) for i, r in enumerate(raws)], "doc_id string, page int, width int, height int, raw string")
+    got = {r.page: (sorted(r.k) if r.k else None, r.m, r.code) for r in L.unwrap_page(pages).select("page", F.map_keys("payload").alias("k"), F.try_variant_get(F.col("payload")["markdown"], "$", "string").alias("m"), "code").collect()}
+    bad = (None, None, "ocr_invalid_response")
+    assert got == {0: (["blocks", "images", "input_path", "markdown"], "in", None), 1: (["layout"], None, None), 2: (["blocks", "data"], None, None), 3: bad, 4: bad, 5: bad, 6: bad, 7: (["layout", "pages"], None, None)}
+
+
+def test_block_forms(spark):
+    blocks = '{"label":"","type":"Table","bbox":{"left":1,"top":2,"right":3,"bottom":4},"order":0},5,{"bbox":[],"box":["1","2","3","4",9],"text":" t ","score":"x"},{"bbox":[1,2,"?",4]},{"coordinate":{"x":1,"y":2,"width":3,"height":4},"block_order":7,"confidence":0.5,"image_base64":"z","more":{"a":[1]}}'
+    pages = spark.createDataFrame([("d", 1, 10, 10, f'{{"blocks":3,"layout":[{blocks}]}}')], "doc_id string, page int, width int, height int, raw string")
+    got = L.explode_blocks(L.unwrap_page(pages)).select("label", "content", "ord", "box", "confidence", L.unknown_fields(F.col("raw")).alias("more")).collect()
+    assert [tuple(r) for r in got] == [("Table", "", 1, [1, 2, 3, 4], None, {}), ("text", "t", 2, [1, 2, 3, 4], None, {}), ("text", "", 7, [1, 2, 4, 6], 0.5, {"more": '{"a":[1]}'})]
+
+
+def test_polygon_forms(spark):
+    forms = {"[1,2,3,4,5]": [(1, 2), (3, 4)], "[[1,2,9],[3],\"x\",[30,-4]]": [(1, 2), (10, 0)], '[{"x":1,"y":2},{"x":3},{"x":"4","y":5}]': [(1, 2), (4, 5)], "[0.5,0.25,1,1]": [(5, 5), (10, 20)], "[]": None, "[7]": None, "{}": None, '"s"': None}
+    df = spark.createDataFrame(list(enumerate(forms)), "i int, raw string")
+    box = F.struct(F.lit(2.0).alias("x0"), F.lit(4.0).alias("y0"), F.lit(6.0).alias("x1"), F.lit(8.0).alias("y1"))
+    corners = [(2, 4), (6, 4), (6, 8), (2, 8)]
+    for r in df.select("i", "raw", L.polygon(F.try_parse_json("raw"), box, F.lit(10), F.lit(20)).alias("p")).collect():
+        want = forms[r.raw] or corners
+        assert [tuple(p) for p in r.p.points] == want and [tuple(p) for p in r.p.normalised] == [(x / 10, y / 20) for x, y in want]
+
+
+def test_citation_regions_are_of_one_version(spark):
+    elements = spark.createDataFrame([("d", 1, "e1", 1, 0.0, 0.0, 1.0, 1.0), ("d", 2, "e1", 3, 0.0, 0.0, 1.0, 2.0)], "doc_id string, version int, element_id string, page int, x0 double, y0 double, x1 double, y1 double")
+    pages = spark.createDataFrame([("d", 1, 1, "p1"), ("d", 2, 3, "p3")], "doc_id string, version int, page int, page_key string")
+    assets = spark.createDataFrame([("e2", "k")], "element_id string, object_key string")
+    cited = spark.createDataFrame([("d", 2, "e1"), ("d", 3, "e1"), ("d", 1, "none")], "doc_id string, version int, element_id string")
+    assert [(r.page, r.page_key, r.object_key) for r in L.citation_regions(cited, elements, pages, assets).collect()] == [(3, "p3", None)]
+
+
 def test_attempts(spark):
     a = spark.createDataFrame([("d", 1, 1, False, True), ("d", 1, 2, True, False), ("d", 2, 1, False, False), ("d", 2, 2, True, False), ("d", 2, 3, True, False), ("d", 3, 1, False, True), ("d", 3, 2, False, False), ("d", 3, 3, True, False)], "doc_id string, page int, tier int, ok boolean, retryable boolean")
     assert {(r.page, r.tier) for r in L.choose_attempt(a).collect()} == {(1, 2), (2, 3)}
