@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame
 
 from docloom.llm.words import BASE, SPACED, hash_words, mix, slices, text_bytes
 
+#: What keeps the names of blocks and of both parts of pairs apart.
+_BLOCK, _LEFT, _RIGHT = (np.uint64(x) for x in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3))
 #: Grid candidates that are compared at a time.
 CANDIDATES = 1 << 18
 
@@ -70,9 +72,9 @@ def grammar(symbols: np.ndarray, fixed: np.ndarray) -> list[Level]:
             levels.append(Level(symbols, np.cumsum(begins) - 1, first, blocks))
             width, now = np.diff(first), symbols[first[:-1]]
             if blocks:
-                made = mix(now * np.uint64(BASE) + width.astype(np.uint64))
+                made = mix(mix(now ^ _BLOCK) + width.astype(np.uint64) * np.uint64(BASE))
             else:
-                made = mix(now * np.uint64(BASE) + mix(symbols[first[1:] - 1]))
+                made = mix(mix(now ^ _LEFT) * np.uint64(BASE) + mix(symbols[first[1:] - 1] ^ _RIGHT))
             fixed = fixed[first[:-1]]
             symbols = np.where(width > 1, made, now)
         turn += 1
