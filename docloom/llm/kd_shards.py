@@ -29,9 +29,10 @@ def kd_shards(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_co
     rounds: bytes per cell of the node's range, added before the shuffle, until the cut's error is below
     a thousandth of a shard's bytes or the cell holds one group. All nodes of a level share their rounds.
 
-    Equal texts are one group and stay in one shard, behind the cut they straddle; a group larger than
-    an eighth of a shard's bytes is dealt row by row, since it could not be balanced otherwise. Slots are
-    numbered in buckets of a shard, so no task orders a whole shard.
+    Equal texts are one group and stay in one shard, behind the cut they straddle. Groups of more than an eighth of
+    a shard's bytes (fewer than 8 a shard) are placed before the tree, largest first, each where most room is left;
+    nodes are then cut in proportion to the room of their shards. Only a group larger than a shard, which no shard
+    can hold, is dealt row by row. Slots are numbered in buckets of a shard, so no task orders a whole shard.
 
     A null text has size 1 and the CRC of nothing, and its rows are one group; null ids, sources and
     languages are values like others; repeated rows are rows of a group; an empty table gives an empty one.
@@ -50,16 +51,23 @@ def kd_shards(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_co
         return _result(rows.withColumn("shard", F.lit(0)).withColumn("_k", F.lit(0).cast("long")), 1)
     target = total / shards
 
-    # one row a group; a group beyond an eighth of a shard is spread over keys, one for each row
+    # one row a group; a group beyond a shard is spread over keys, one for each row
     span = max(1, (high or 0) - (low or 0))
     place = F.coalesce(((F.col("doc_id") - F.lit(low or 0)).cast("double") / span * ((1 << VALUE_BITS) - 1)).cast("long"), F.lit(0).cast("long"))
     groups = rows.groupBy("g", "g2").agg(F.sum("size").alias("bytes"), F.min("doc_id").alias("doc_id"), F.max("size").alias("size"), F.min("d_source").alias("d_source"), F.min("d_lang").alias("d_lang"))
     groups = scratch.save(groups.withColumn("d_id", place).withColumn("d_size", (F.log2(F.col("size").cast("double")) / 48 * ((1 << VALUE_BITS) - 1)).cast("long")))
-    large = groups.where(F.col("bytes") > target / 8)  # fewer than 8 * shards of them
+    room = [target] * shards
+    homes = []
+    for r in groups.where((F.col("bytes") > target / 8) & (F.col("bytes") <= target)).orderBy(F.desc("bytes"), "g", "g2").select("g", "g2", "bytes").collect():  # fewer than 8 * shards
+        shard = max(range(shards), key=lambda i: (room[i], -i))
+        room[shard] -= r.bytes
+        homes.append(F.struct(F.lit(r.g).cast("long").alias("g"), F.lit(r.g2).cast("long").alias("g2"), F.lit(-1).cast("long").alias("piece"), F.lit(shard).alias("shard")))
+    room = [max(0.0, x) for x in room]
+    huge = groups.where(F.col("bytes") > target)  # fewer than shards of them
     small = groups.where(F.col("bytes") <= target / 8).select("g", "g2", F.lit(None).cast("long").alias("piece"), "bytes", *DIMENSIONS)
-    of_large = rows.join(F.broadcast(large.select("g", "g2", *(d for d in DIMENSIONS if d != "d_id"), F.lit(1).alias("_large"))).drop("d_source", "d_lang"), ["g", "g2"])
+    of_huge = rows.join(F.broadcast(huge.select("g", "g2", "d_size")), ["g", "g2"])
     piece = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20))
-    pieces = of_large.withColumn("piece", piece).groupBy("g", "g2", "piece").agg(F.sum("size").alias("bytes"), F.min("doc_id").alias("doc_id"), F.min("d_size").alias("d_size"), F.min("d_source").alias("d_source"), F.min("d_lang").alias("d_lang"))
+    pieces = of_huge.withColumn("piece", piece).groupBy("g", "g2", "piece").agg(F.sum("size").alias("bytes"), F.min("doc_id").alias("doc_id"), F.min("d_size").alias("d_size"), F.min("d_source").alias("d_source"), F.min("d_lang").alias("d_lang"))
     pieces = pieces.withColumn("d_id", place).select("g", "g2", "piece", "bytes", *DIMENSIONS)
     units = scratch.save(small.union(pieces).withColumn("tie", F.xxhash64("g", "g2", F.coalesce("piece", F.lit(-1))).bitwiseAND(F.lit((1 << TIE_BITS) - 1))))
 
@@ -91,7 +99,8 @@ def kd_shards(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_co
 
             dim = max(DIMENSIONS, key=spread)
             lo, hi = r[f"{dim}_min"] << TIE_BITS, (r[f"{dim}_max"] + 1) << TIE_BITS
-            search[at] = [dim, lo, hi, r.w * (m // 2) / m, 0]  # bytes wanted below the cut, bytes known below lo
+            left, all_ = sum(room[first : first + m // 2]), sum(room[first : first + m])
+            search[at] = [dim, lo, hi, r.w * (left / all_ if all_ else (m // 2) / m), 0]  # bytes wanted below the cut, bytes known below lo
         while search:
             cell = F.lit(None).cast("int")
             for at, (dim, lo, hi, _, _) in search.items():
@@ -127,9 +136,11 @@ def kd_shards(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_co
     for at, (first, _) in leaves.items():
         shard = F.when(F.col("node") == at, F.lit(first)).otherwise(shard)
     placed = scratch.save(placed.select("g", "g2", "piece", shard.alias("shard")))
-    is_large = F.broadcast(large.select("g", "g2", F.lit(1).alias("_large")))
-    keyed = rows.join(is_large, ["g", "g2"], "left").withColumn("piece", F.when(F.col("_large").isNotNull(), piece).otherwise(F.lit(-1)))
-    placed = placed.withColumn("piece", F.coalesce("piece", F.lit(-1)))
+    is_huge = F.broadcast(huge.select("g", "g2", F.lit(1).alias("_huge")))
+    keyed = rows.join(is_huge, ["g", "g2"], "left").withColumn("piece", F.when(F.col("_huge").isNotNull(), piece).otherwise(F.lit(-1)))
+    placed = placed.withColumn("piece", F.coalesce("piece", F.lit(-1).cast("long")))
+    if homes:
+        placed = placed.unionByName(spark.range(1).select(F.inline(F.array(*homes))).select("g", "g2", F.col("piece").cast("long"), "shard"))
     out = keyed.join(placed, ["g", "g2", "piece"])
     return _result(out.withColumn("_k", F.xxhash64("doc_id", "g")), max(1, n // (shards * 50_000)), scratch)
 

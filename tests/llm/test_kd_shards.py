@@ -19,7 +19,8 @@ def test_near_equal_bytes_and_whole_groups(spark):
     rnd = random.Random(3)
     rows = [(d, "x" * rnd.randrange(400) + str(d), rnd.choice("abcd"), "en", "z") for d in range(3000)]
     rows += [(5000 + d, f"copy {d % 200} " * 4, "a", "fr", None) for d in range(800)]
-    rows += [(9000 + d, "hot " * 50, "a", "de", None) for d in range(1500)]  # a third of all bytes is one text
+    rows += [(9000 + d, "hot " * 50, "a", "de", None) for d in range(1500)]  # a third of all bytes is one text, more than a shard
+    rows += [(20_000 + 1000 * g + d, f"half {g} " * 20, "b", "es", None) for g in range(5) for d in range(60 * (g + 1))]  # up to nearly a shard each
     df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, shard string").repartition(5)
     out, bytes_ = shards_of(df, 16)
     assert len(out) == len(rows) and set(bytes_) == set(range(16))
@@ -30,7 +31,11 @@ def test_near_equal_bytes_and_whole_groups(spark):
     where = defaultdict(set)
     for r in out:
         where[texts[r.doc_id]].add(r.shard)
-    assert all(len(x) == 1 for t, x in where.items() if not t.startswith("hot"))
+    size = Counter()
+    for d, t in texts.items():
+        size[t] += len(t.encode()) + 1
+    assert sum(mean / 8 < n <= mean for n in size.values()) >= 4
+    assert all((len(x) == 1) == (size[t] <= mean) for t, x in where.items())
     assert sorted(map(str, out)) == sorted(map(str, kd_shards(df.repartition(2), 16).collect()))
 
 
