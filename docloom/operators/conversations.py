@@ -20,6 +20,17 @@ def bounded_history(messages: DataFrame, kept: int = KEPT, returned: int = RETUR
     )
 
 
+#: Fixed value: roles whose messages an agent sees.
+AGENT_ROLES = ("user", "assistant", "system")
+
+
+def agent_history(messages: DataFrame, most: int = RETURNED) -> DataFrame:
+    """thread_id, turn, role, text, seq: of each thread's newest ``most`` messages those with an agent's role and a text, oldest first."""
+    newest = Window.partitionBy("thread_id").orderBy(F.desc("turn"))
+    some = messages.withColumn("_back", F.row_number().over(newest)).where(F.col("_back") <= most).where(F.col("role").isin(*AGENT_ROLES) & (F.coalesce("text", F.lit("")) != ""))
+    return some.select("thread_id", "turn", "role", "text", F.row_number().over(Window.partitionBy("thread_id").orderBy("turn")).alias("seq"))
+
+
 def foreign_threads(threads: DataFrame, requests: DataFrame) -> DataFrame:
     """Requests (thread_id, user_id, kb_id) for threads of another user or knowledge base."""
     own = threads.select("thread_id", F.col("user_id").alias("owner"), F.col("kb_id").alias("home"))

@@ -27,10 +27,20 @@ def lineage_violations(chunks: DataFrame, elements: DataFrame, assets: DataFrame
 
 
 def anchors(chunks: DataFrame, elements: DataFrame, assets: DataFrame) -> DataFrame:
-    """chunk_id, anchor, page, x0 .. y1: the first asset's element if the chunk has assets, else its first element."""
-    first = chunks.select("chunk_id", F.try_element_at("asset_ids", F.lit(1)).alias("asset_id"), F.try_element_at("element_ids", F.lit(1)).alias("_first"))
-    own = first.join(assets.select("asset_id", F.col("element_id").alias("_own")), "asset_id", "left").select("chunk_id", F.coalesce("_own", "_first").alias("element_id"))
-    return own.join(elements.select("element_id", "page", "x0", "y0", "x1", "y1"), "element_id").withColumnRenamed("element_id", "anchor")
+    """chunk_id, anchor, page, x0 .. y1, code: the first asset's element if the chunk has assets, else its first element.
+
+    An asset's page and the element's box are taken; without an asset, the element's page, or where that is missing the
+    chunk's first. The code tells what makes a chunk unusable: invalid_asset_lineage (its asset is unknown, or of an element
+    that it doesn't list), invalid_element_lineage (no element, no page from 1 on, or no whole box).
+    """
+    box = ("x0", "y0", "x1", "y1")
+    c = chunks.select("chunk_id", "element_ids", "page_start", F.try_element_at("asset_ids", F.lit(1)).alias("asset_id"), F.try_element_at("element_ids", F.lit(1)).alias("_first"))
+    own = c.join(assets.select("asset_id", F.col("element_id").alias("_own"), F.col("page").alias("_asset_page")), "asset_id", "left").withColumn("anchor", F.when(F.col("asset_id").isNotNull(), F.col("_own")).otherwise(F.col("_first")))
+    e = elements.select(F.col("element_id").alias("anchor"), F.col("page").alias("_page"), *box, F.lit(True).alias("_known"))
+    placed = own.join(e, "anchor", "left").withColumn("page", F.when(F.col("asset_id").isNotNull(), F.col("_asset_page")).otherwise(F.coalesce(F.nullif("_page", F.lit(0)), "page_start")))
+    detached = F.col("asset_id").isNotNull() & (F.col("_known").isNull() | ~F.coalesce(F.array_contains("element_ids", F.col("anchor")), F.lit(False)))
+    unplaced = F.col("_known").isNull() | F.coalesce(F.col("page") < 1, F.lit(True)) | F.array_contains(F.transform(F.array(*box), lambda v: v.isNull()), F.lit(True))
+    return placed.select("chunk_id", "anchor", "page", *box, F.when(detached, "invalid_asset_lineage").when(unplaced, "invalid_element_lineage").alias("code"))
 
 
 def union_boxes(members: DataFrame) -> DataFrame:
@@ -134,11 +144,16 @@ def fingerprint():
     return F.sha2(F.concat_ws("\u001f", lineage, part(F.col("kind")), part(F.col("content")), part(F.sha2(F.col("asset"), 256))), 256)
 
 
+def _echo() -> Column:
+    """What an output must repeat of its element: document, page and box to 6 decimals."""
+    return F.struct("doc_id", "page", *(F.round(c, 6).alias(c) for c in ("x0", "y0", "x1", "y1")))
+
+
 def reuse(work: DataFrame, cache: DataFrame) -> DataFrame:
-    """element_id, state (hit or todo): a cached output counts if version, fingerprint and echoed document agree."""
-    c = cache.select("element_id", F.col("version").alias("_v"), F.col("fingerprint").alias("_f"), F.col("doc_id").alias("_d"))
+    """element_id, state (hit or todo): a cached output (element_id, version, fingerprint and the lineage it echoes) counts if all of these agree."""
+    c = cache.select("element_id", F.col("version").alias("_v"), F.col("fingerprint").alias("_f"), _echo().alias("_e"))
     both = work.join(c, "element_id", "left")
-    same = F.col("version").eqNullSafe(F.col("_v")) & F.col("fingerprint").eqNullSafe(F.col("_f")) & F.col("doc_id").eqNullSafe(F.col("_d"))
+    same = F.col("version").eqNullSafe(F.col("_v")) & F.col("fingerprint").eqNullSafe(F.col("_f")) & F.col("_e").eqNullSafe(_echo())
     return both.select("element_id", F.when(same, "hit").otherwise("todo").alias("state"))
 
 
@@ -160,8 +175,27 @@ def clean_tags(tags):
     return F.array_distinct(F.filter(F.transform(tags, lambda t: F.trim(t)), lambda t: t != ""))
 
 
-def semantic_artifact(accepted: DataFrame) -> DataFrame:
-    """doc_id, elements, artifact (JSON, in order of ids), sha256."""
-    one = F.struct("code", "element_id", "publishable", "search_text")
-    a = accepted.withColumn("e", one).groupBy("doc_id").agg(F.count("*").alias("elements"), F.to_json(F.array_sort(F.collect_list(F.struct(F.col("element_id").alias("k"), F.col("e"))))).alias("artifact"))
+#: Versions that a semantic artifact names.
+ARTIFACT_SCHEMA, LAYOUT_CONTRACT = 2, "layout-lineage-v1"
+
+
+def semantic_artifact(documents: DataFrame, pages: DataFrame, elements: DataFrame) -> DataFrame:
+    """doc_id, version, pages, elements (counts), artifact (JSON), sha256: one record for each document version, its notes in order.
+
+    Documents: doc_id, version, source_sha256; pages: doc_id, version, page, publishable, search_text, code; elements: the
+    same with element_id. Keys stand in the order of their names at each level; a version without notes has empty arrays.
+    """
+    key = ["doc_id", "version"]
+
+    def noted(rows: DataFrame, by: str, name: str) -> DataFrame:
+        one = F.struct(*sorted((by, "code", "publishable", "search_text")))
+        listed = F.array_sort(F.collect_list(F.struct(F.col(by).alias("k"), one.alias("e"))))
+        return rows.groupBy(*key).agg(F.transform(listed, lambda x: x["e"]).alias(name))
+
+    d = documents.join(noted(pages, "page", "pages"), key, "left").join(noted(elements, "element_id", "elements"), key, "left")
+    listed = {c: F.when(F.col(c).isNull(), F.array()).otherwise(F.col(c)).alias(c) for c in ("elements", "pages")}
+    whole = F.struct(
+        F.col("doc_id").alias("document_id"), F.col("version").alias("document_version"), listed["elements"], listed["pages"], F.lit(ARTIFACT_SCHEMA).alias("schema_version"), "source_sha256", F.lit(LAYOUT_CONTRACT).alias("trusted_layout_contract")
+    )
+    a = d.select(*key, *(F.coalesce(F.size(c), F.lit(0)).alias(c) for c in ("pages", "elements")), F.to_json(whole).alias("artifact"))
     return a.withColumn("sha256", F.sha2("artifact", 256))

@@ -26,8 +26,9 @@ def with_current(jobs: DataFrame) -> DataFrame:
 
 
 def may_retry() -> Column:
-    """A stored flag or a known code, on a job that failed in whole or part."""
-    return (F.coalesce("retryable", F.lit(False)) | F.coalesce(F.col("error_code").isin(*RETRYABLE_CODES), F.lit(False))) & F.col("status").isin(*ENDED_BADLY)
+    """A stored flag, one in the result (JSON), or a known code, on a job that failed in whole or part."""
+    in_result = F.coalesce(F.get_json_object("result", "$.retryable") == "true", F.lit(False))
+    return (F.coalesce("retryable", F.lit(False)) | in_result | F.coalesce(F.col("error_code").isin(*RETRYABLE_CODES), F.lit(False))) & F.col("status").isin(*ENDED_BADLY)
 
 
 def retry_reason() -> Column:
@@ -77,10 +78,25 @@ def newest_first(jobs: DataFrame) -> DataFrame:
     return numbered.withColumn("place", (F.col("_before") + F.col("_at")).cast("int")).select("job_id", F.col("_kb").alias("kb_id"), "place")
 
 
-def backfill_pages(documents: DataFrame, jobs: DataFrame) -> DataFrame:
-    """doc_id, page_count: from the newest succeeded job where that says more than 0."""
-    newest = jobs.where((F.col("status") == "succeeded") & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max_by("pages", F.struct("created_at", "job_id")).alias("pages"))
-    return documents.join(newest, "doc_id", "left").select("doc_id", F.coalesce(F.nullif("pages", F.lit(0)), "page_count").alias("page_count"))
+#: Counters of a document that a job's result may hold.
+COUNTERS = ("page_count", "element_count", "asset_count", "chunk_count")
+
+
+def changed_at(jobs: DataFrame) -> Column:
+    """When a job was last updated, or created where it never was."""
+    return F.coalesce("updated_at", "created_at") if "updated_at" in jobs.columns else F.col("created_at")
+
+
+def succeeded(jobs: DataFrame) -> DataFrame:
+    """The succeeded jobs of documents, with ``_at``, which orders them by time."""
+    return jobs.where((F.col("status") == "succeeded") & F.col("doc_id").isNotNull()).withColumn("_at", F.struct(changed_at(jobs), "job_id"))
+
+
+def backfill(documents: DataFrame, jobs: DataFrame) -> DataFrame:
+    """doc_id and each counter: from the newest succeeded job where that says more than 0, else the document's own."""
+    newest = succeeded(jobs).groupBy("doc_id").agg(F.max_by(F.struct(*COUNTERS), "_at").alias("n"))
+    both = documents.join(newest, "doc_id", "left")
+    return both.select("doc_id", *(F.coalesce(F.nullif(F.col("n")[c], F.lit(0)), F.col(c)).alias(c) for c in COUNTERS))
 
 
 def rollup(knowledge_bases: DataFrame, documents: DataFrame) -> DataFrame:
@@ -100,9 +116,23 @@ def task_counters(jobs: DataFrame) -> DataFrame:
 
 
 def latest_index(jobs: DataFrame, documents: DataFrame) -> DataFrame:
-    """doc_id, result: of the newest succeeded index job of each document that still exists."""
-    done = jobs.where((F.col("status") == "succeeded") & (F.col("kind") == "index") & F.col("doc_id").isNotNull()).join(documents.select("doc_id"), "doc_id", "left_semi")
-    return done.groupBy("doc_id").agg(F.max_by("result", F.struct("created_at", "job_id")).alias("result"), F.count("*").alias("versions"))
+    """doc_id, index_key, versions: of the newest succeeded job of each document that still exists, where it has an index; versions counts its succeeded jobs."""
+    done = succeeded(jobs).join(documents.select("doc_id"), "doc_id", "left_semi")
+    return done.groupBy("doc_id").agg(F.max_by("index_key", "_at").alias("index_key"), F.count("*").alias("versions")).where("index_key is not null")
+
+
+def published_assets(jobs: DataFrame, manifests: DataFrame) -> DataFrame:
+    """asset_id, object_key, doc_id, job_id: every asset of the manifests of all succeeded jobs, as the newest job that has it gives it.
+
+    Manifests: manifest_key, assets (array of id, object_key). Answers may refer to assets of any version, so neither older
+    jobs nor documents that are gone are left out. Assets without id or key are passed over; of one id given twice
+    in a manifest the last stands.
+    """
+    done = succeeded(jobs).select("doc_id", "job_id", "manifest_key", "_at")
+    each = done.join(manifests.select("manifest_key", "assets"), "manifest_key").select("doc_id", "job_id", "_at", F.posexplode("assets").alias("_pos", "a"))
+    named = each.where("coalesce(a.id, '') <> '' and coalesce(a.object_key, '') <> ''")
+    newest = named.groupBy(F.col("a.id").alias("asset_id")).agg(F.max_by(F.struct("a.object_key", "doc_id", "job_id"), F.struct("_at", "_pos")).alias("n"))
+    return newest.select("asset_id", "n.*")
 
 
 def empty_work(knowledge_bases: DataFrame, documents: DataFrame) -> DataFrame:

@@ -49,14 +49,15 @@ def _kept(lock: str, old: Column, new: Column) -> Column:
 
 
 def publish(existing: DataFrame, drafts: DataFrame) -> DataFrame:
-    """Pages after a build: page_id, title, summary, sections, revision, status.
+    """Pages after a build: page_id, title, summary, sections, conclusions and related (where both sides have them), revision, status.
 
-    Both sides have page_id, title, summary and sections (map); existing pages also revision and locked
-    (array of title, summary, section:NAME). Locked parts keep their old value, new pages start at
+    Both sides have page_id, title, summary and sections (map), and may have conclusions and related (arrays); existing
+    pages also revision and locked (array of title, summary, conclusions, related_page_ids, section:NAME). Locked parts keep their old value, new pages start at
     revision 1, others count on. A page without draft goes, unless something of it is locked.
     """
-    e = existing.select("page_id", *(F.col(c).alias(f"old_{c}") for c in ("title", "summary", "sections")), "revision", "locked")
-    d = drafts.select("page_id", "title", "summary", "sections", F.lit(True).alias("_draft"))
+    more = {c: lock for c, lock in (("conclusions", "conclusions"), ("related", "related_page_ids")) if c in existing.columns and c in drafts.columns}
+    e = existing.select("page_id", *(F.col(c).alias(f"old_{c}") for c in ("title", "summary", "sections", *more)), "revision", "locked")
+    d = drafts.select("page_id", "title", "summary", "sections", *more, F.lit(True).alias("_draft"))
     p = e.join(d, "page_id", "full_outer").withColumn("locked", F.coalesce("locked", F.array().cast("array<string>"))).where(F.col("_draft").isNotNull() | (F.size("locked") > 0))
     none = F.create_map().cast("map<string,string>")
     merged = F.map_zip_with(F.coalesce("old_sections", none), F.coalesce("sections", none), lambda k, old, new: F.when(F.array_contains("locked", F.concat(F.lit("section:"), k)) & old.isNotNull(), old).otherwise(new))
@@ -65,6 +66,7 @@ def publish(existing: DataFrame, drafts: DataFrame) -> DataFrame:
         "page_id", F.when(old_only, F.col("old_title")).otherwise(_kept("title", F.col("old_title"), F.col("title"))).alias("title"),
         F.when(old_only, F.col("old_summary")).otherwise(_kept("summary", F.col("old_summary"), F.col("summary"))).alias("summary"),
         F.when(old_only, F.col("old_sections")).otherwise(F.map_filter(merged, lambda _, v: v.isNotNull())).alias("sections"),
+        *(F.when(old_only, F.col(f"old_{c}")).otherwise(_kept(lock, F.col(f"old_{c}"), F.col(c))).alias(c) for c, lock in more.items()),
         (F.coalesce("revision", F.lit(0)) + 1).alias("revision"), F.when(F.size("locked") > 0, "locked").otherwise("published").alias("status"),
     )
 

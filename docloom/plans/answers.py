@@ -85,6 +85,12 @@ def j9_history(spark, sf):
     return C.bounded_history(_messages(spark, sf), returned=4).select("thread_id", "turn", "role", "seq")
 
 
+def j9_agent(spark, sf):
+    """Of the last four messages, those with a text; every fifth turn of a thread has none, some roles are tools."""
+    m = _messages(spark, sf).withColumns({"text": F.when(F.col("turn") % 5 != 2, F.col("text")).when(F.col("turn") % 2 == 0, ""), "role": F.when((F.col("turn") + F.col("thread_id")) % 7 == 3, "tool").otherwise(F.col("role"))})
+    return C.agent_history(m, most=4).select("thread_id", "turn", "role", F.md5("text").alias("text_md5"), "seq")
+
+
 def j10_isolation(spark, sf):
     threads = _messages(spark, sf).select("thread_id").distinct().select("thread_id", (F.col("thread_id") % 10).alias("user_id"), (F.col("thread_id") % 3).alias("kb_id"))
     asked = _messages(spark, sf).where("role = 'user'").select("thread_id", ((F.col("thread_id") + F.when(F.col("turn") == 4, 1).otherwise(0)) % 10).alias("user_id"), ((F.col("thread_id") + F.when(F.col("turn") == 2, 1).otherwise(0)) % 3).alias("kb_id"))
@@ -118,7 +124,7 @@ def j15_citation_kind(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    j1_audit, j2_citation_order, j3_mode_contract, j4_placeholders, j5_ledger, j6_outside_ledger, j7_budget, j8_repeat, j9_history, j10_isolation, j11_recall, j12_threads, j13_flatten, j14_turns, j15_citation_kind,
+    j1_audit, j2_citation_order, j3_mode_contract, j4_placeholders, j5_ledger, j6_outside_ledger, j7_budget, j8_repeat, j9_history, j9_agent, j10_isolation, j11_recall, j12_threads, j13_flatten, j14_turns, j15_citation_kind,
 )}
 
 _T = "WITH t AS (SELECT conv_id * 100 + turn AS turn_id, ((conv_id * 100 + turn) % 13)::INTEGER AS m, coalesce(text, '') AS text FROM conversations WHERE role = 'assistant') "
@@ -138,6 +144,8 @@ SQL = {
     "j6_outside_ledger": _LAST + "SELECT DISTINCT turn_id, 'citation:' || seq % 4 AS citation_id FROM calls WHERE (turn_id, 'citation:' || seq % 4) NOT IN (SELECT (turn_id, citation_id) FROM last)",
     "j7_budget": _CALLS + "SELECT seq, row_number() OVER (PARTITION BY turn_id ORDER BY seq) <= 4 AS in_budget, first(result) OVER (PARTITION BY turn_id, tool ORDER BY seq) AS served FROM calls",
     "j8_repeat": _CALLS + "SELECT turn_id, seq, tool FROM calls QUALIFY row_number() OVER (PARTITION BY turn_id, tool, args ORDER BY seq) > 1",
+    "j9_agent": """WITH m AS (SELECT conv_id AS thread_id, turn, CASE WHEN (turn + conv_id) % 7 = 3 THEN 'tool' ELSE role END AS role, CASE WHEN turn % 5 <> 2 THEN text WHEN turn % 2 = 0 THEN '' END AS text FROM conversations),
+      l AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY thread_id ORDER BY turn DESC) <= 4) SELECT thread_id, turn, role, md5(text) AS text_md5, (row_number() OVER (PARTITION BY thread_id ORDER BY turn))::INTEGER AS seq FROM l WHERE role IN ('user', 'assistant', 'system') AND coalesce(text, '') <> ''""",
     "j9_history": "SELECT thread_id, turn, role, (row_number() OVER (PARTITION BY thread_id ORDER BY turn))::INTEGER AS seq FROM (SELECT conv_id AS thread_id, turn, role FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 4)",
     "j10_isolation": "SELECT * FROM (SELECT conv_id AS thread_id, (conv_id + CASE WHEN turn = 4 THEN 1 ELSE 0 END) % 10 AS user_id, (conv_id + CASE WHEN turn = 2 THEN 1 ELSE 0 END) % 3 AS kb_id, conv_id % 10 AS owner, conv_id % 3 AS home FROM conversations WHERE role = 'user') WHERE owner <> user_id OR home <> kb_id",
     "j11_recall": "SELECT user_id, event_type AS namespace, json_extract_string(props, '$.k') AS key, arg_max(value, (ts, value)) AS value, count(*) AS versions FROM events GROUP BY 1, 2, 3",

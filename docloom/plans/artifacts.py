@@ -107,7 +107,11 @@ def d1_dangling(spark, sf):
 
 
 def d2_anchor(spark, sf):
-    return I.anchors(_chunks(spark, sf), _elements(spark, sf), _assets(spark, sf))
+    """Some elements have no page or box, some assets are unknown or of another chunk's element."""
+    e = _elements(spark, sf).withColumns({"page": F.when(F.col("doc_id") % 6 == 0, 0).otherwise(F.col("page")), "y1": F.when(F.col("doc_id") % 10 != 7, F.col("y1"))})
+    known = L.assets(elements(spark, sf)).where("doc_id % 4 <> 3").select(F.concat(F.lit("as-"), "element_id").alias("asset_id"), F.when(F.col("doc_id") % 4 == 2, "el_none").otherwise(F.col("element_id")).alias("element_id"), "page")
+    chunks = _chunks(spark, sf).withColumn("page_start", F.when(F.col("doc_id") % 12 == 0, 0).otherwise(F.col("page_start")))
+    return I.anchors(chunks, e, known).select("chunk_id", "anchor", "page", "x0", "y0", "x1", "y1", "code")
 
 
 def d3_union_bbox(spark, sf):
@@ -188,7 +192,7 @@ def i3_fingerprint(spark, sf):
 
 def i4_reuse(spark, sf):
     n = F.col("pos")
-    cache = _work(spark, sf).where("pos % 5 <> 0").select("element_id", F.when(n % 5 == 1, 2).otherwise(1).alias("version"), F.when(n % 5 == 2, "x").otherwise(F.col("fingerprint")).alias("fingerprint"), F.when(n % 7 == 3, -1).otherwise(F.col("doc_id")).alias("doc_id"))
+    cache = _work(spark, sf).where("pos % 5 <> 0").select("element_id", F.when(n % 5 == 1, 2).otherwise(1).alias("version"), F.when(n % 5 == 2, "x").otherwise(F.col("fingerprint")).alias("fingerprint"), F.when(n % 7 == 3, -1).otherwise(F.col("doc_id")).alias("doc_id"), F.when(n % 11 == 5, 0).otherwise(F.col("page")).alias("page"), (F.col("x0") + F.when(n % 13 == 6, 1e-9).when(n % 13 == 7, 1e-3).otherwise(0)).alias("x0"), "y0", "x1", "y1")
     return I.reuse(_work(spark, sf), cache)
 
 
@@ -216,7 +220,11 @@ def i8_tags(spark, sf):
 
 
 def i9_artifact(spark, sf):
-    return I.semantic_artifact(_accepted(spark, sf)).select("doc_id", "elements", "sha256")
+    """Semantic artifacts of two versions of every document; the second has page notes only, texts stand as their hashes."""
+    docs = _docs(spark, sf).select("doc_id", F.explode(F.array(F.lit(1), F.lit(2))).alias("version"), F.sha2("text", 256).alias("source_sha256"))
+    notes = _accepted(spark, sf).select("doc_id", F.lit(1).alias("version"), "element_id", "publishable", F.md5("search_text").alias("search_text"), "code")
+    pages = elements(spark, sf).select("doc_id", "page").distinct().select("doc_id", F.explode(F.array(F.lit(1), F.lit(2))).alias("version"), "page", (F.col("page") % 2 == 1).alias("publishable"), F.concat(F.lit("page "), "page").alias("search_text"), F.when(F.col("page") % 2 == 0, "pending").alias("code"))
+    return I.semantic_artifact(docs, pages, notes).select("doc_id", "version", "pages", "elements", "sha256")
 
 
 QUERIES = {f.__name__: f for f in (
@@ -244,8 +252,11 @@ SQL = {
     "a9_latest_snapshot": "SELECT user_id AS namespace, max(event_id) AS revision, CASE WHEN arg_max(event_id % 4, event_id) = 1 THEN left(arg_max(props, event_id), -1) || ', \"wiki_pages\": {}}' ELSE arg_max(props, event_id) END AS payload, arg_max(event_id % 4, event_id) AS schema_version FROM events WHERE event_id % 3 <> 0 AND event_id % 4 IN (1, 2) GROUP BY 1",
     "d1_dangling": _e(f"""WITH {_CH} SELECT DISTINCT chunk_id, 'empty_text' AS code FROM pg WHERE doc_id % 13 = 0 UNION SELECT chunk_id, 'unknown_element' FROM pg WHERE pos % 6 = 5
       UNION SELECT chunk_id, 'invalid_asset_lineage' FROM pg WHERE kind = 'table' AND doc_id % 3 = 0"""),
-    "d2_anchor": _e(f"""WITH {_CH}, f AS (SELECT chunk_id, coalesce(min(pos) FILTER (kind = 'table'), min(pos)) AS pos FROM pg GROUP BY 1)
-      SELECT chunk_id, element_id AS anchor, page, x0 / 1000 AS x0, y0 / 1000 AS y0, x1 / 1000 AS x1, y1 / 1000 AS y1 FROM pg JOIN f USING (chunk_id, pos)"""),
+    "d2_anchor": _e(f"""WITH {_CH}, f AS (SELECT chunk_id, doc_id, min(pos) FILTER (kind = 'table') AS asset, min(pos) AS pos, min(page) AS first FROM pg GROUP BY 1, 2),
+      a AS (SELECT *, CASE WHEN asset IS NULL THEN pos WHEN doc_id % 4 IN (2, 3) THEN NULL ELSE asset END AS own FROM f),
+      b AS (SELECT a.chunk_id, a.doc_id, asset, first, own, element_id, page, x0 / 1000 AS x0, y0 / 1000 AS y0, x1 / 1000 AS x1, CASE WHEN a.doc_id % 10 <> 7 THEN y1 / 1000 END AS y1 FROM a LEFT JOIN pg ON pg.chunk_id = a.chunk_id AND pg.pos = own),
+      c AS (SELECT *, CASE WHEN asset IS NOT NULL THEN CASE WHEN doc_id % 4 = 2 THEN first WHEN doc_id % 4 <> 3 THEN page END WHEN doc_id % 6 = 0 THEN CASE WHEN doc_id % 12 = 0 THEN 0 ELSE first END ELSE page END AS p FROM b)
+      SELECT chunk_id, CASE WHEN asset IS NOT NULL AND doc_id % 4 = 2 THEN 'el_none' ELSE element_id END AS anchor, p::INTEGER AS page, x0, y0, x1, y1, CASE WHEN asset IS NOT NULL AND own IS NULL THEN 'invalid_asset_lineage' WHEN p < 1 OR y1 IS NULL THEN 'invalid_element_lineage' END AS code FROM c"""),
     "d3_union_bbox": _e(f"""WITH {_CH}, b AS (SELECT chunk_id, min(x0 / 1000) AS x0, min(y0 / 1000) AS y0, max(least(CASE WHEN doc_id % 5 = 0 THEN x0 / 1000 ELSE x1 / 1000 + 0.2 END, 1.0)) AS x1, max(y1 / 1000) AS y1 FROM pg GROUP BY 1)
       SELECT chunk_id, CASE WHEN x0 >= x1 THEN 0.02 ELSE x0 END::DOUBLE AS x0, CASE WHEN x0 >= x1 THEN 0.02 ELSE y0 END::DOUBLE AS y0, CASE WHEN x0 >= x1 THEN 0.98 ELSE x1 END::DOUBLE AS x1, CASE WHEN x0 >= x1 THEN 0.98 ELSE y1 END::DOUBLE AS y1 FROM b"""),
     "d4_count_check": _e("""WITH b AS (SELECT doc_id, count(DISTINCT page) AS built FROM el GROUP BY 1), m AS (SELECT doc_id, len(string_split(text, chr(10))) // 20 + 1 AS chunk_count FROM documents)
@@ -267,10 +278,15 @@ SQL = {
     "i1_eligible": _e("SELECT element_id, kind FROM el WHERE kind = 'table'"),
     "i2_pages": _e("WITH n AS (SELECT doc_id, page, count(*) AS n FROM el WHERE kind = 'table' GROUP BY 1, 2) SELECT *, (row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, page))::INTEGER AS place FROM n QUALIFY place <= 6"),
     "i3_fingerprint": _e("SELECT element_id, sha256('{\"version\":1,\"doc_id\":' || doc_id || ',\"page\":' || page || ',\"element_id\":\"' || element_id || '\",\"bbox\":[' || round(x0 / 1000, 6) || ',' || round(y0 / 1000, 6) || ',' || round(x1 / 1000, 6) || ',' || round(y1 / 1000, 6) || ']}' || chr(31) || kind || chr(31) || content || chr(31) || CASE WHEN pos % 3 = 0 THEN chr(0) ELSE sha256(md5(content)) END) AS fingerprint FROM el WHERE kind = 'table'"),
-    "i4_reuse": _e("SELECT element_id, CASE WHEN pos % 5 IN (3, 4) AND pos % 7 <> 3 THEN 'hit' ELSE 'todo' END AS state FROM el WHERE kind = 'table'"),
+    "i4_reuse": _e("SELECT element_id, CASE WHEN pos % 5 IN (3, 4) AND pos % 7 <> 3 AND pos % 11 <> 5 AND pos % 13 <> 7 THEN 'hit' ELSE 'todo' END AS state FROM el WHERE kind = 'table'"),
     "i5_echo": _e(f"WITH {_ACC} SELECT element_id, publishable, code FROM acc"),
     "i6_fallback": _e(f"WITH {_ACC} SELECT element_id, md5(content) AS text_md5 FROM acc WHERE NOT publishable"),
     "i7_summary": _e(f"WITH {_ACC} SELECT doc_id, count(*) AS eligible, count(*) FILTER (publishable) AS enriched, count(*) FILTER (NOT publishable) AS pending, bool_and(publishable) AS fully_enriched FROM acc GROUP BY 1"),
     "i8_tags": r"""WITH t AS (SELECT doc_id, unnest(string_split_regex(text, '[,.\n]')) AS t, unnest(range(0, len(string_split_regex(text, '[,.\n]')))) AS pl FROM documents), u AS (SELECT doc_id, trim(t) AS t, min(pl) AS pl FROM t WHERE trim(t) <> '' GROUP BY 1, 2)
       SELECT d.doc_id, md5(coalesce(string_agg(t, '|' ORDER BY pl), '')) AS tags_md5, count(t) AS n FROM documents d LEFT JOIN u ON u.doc_id = d.doc_id GROUP BY d.doc_id""",
+    "i9_artifact": _e(f"""WITH {_ACC}, dv AS (SELECT doc_id, unnest([1, 2]) AS version, sha256(text) AS h FROM documents),
+      en AS (SELECT doc_id, 1 AS version, count(*)::INTEGER AS n, string_agg('{{' || coalesce('"code":"' || code || '",', '') || '"element_id":"' || element_id || '","publishable":' || publishable || ',"search_text":"' || md5(CASE WHEN publishable THEN 'seen ' || element_id ELSE content END) || '"}}', ',' ORDER BY element_id) AS j FROM acc GROUP BY 1),
+      pn AS (SELECT doc_id, count(*)::INTEGER AS n, string_agg('{{' || CASE WHEN page % 2 = 0 THEN '"code":"pending",' ELSE '' END || '"page":' || page || ',"publishable":' || (page % 2 = 1) || ',"search_text":"page ' || page || '"}}', ',' ORDER BY page) AS j FROM (SELECT DISTINCT doc_id, page FROM el) GROUP BY 1)
+      SELECT dv.doc_id, dv.version, coalesce(pn.n, 0) AS pages, coalesce(en.n, 0) AS elements, sha256('{{"document_id":' || dv.doc_id || ',"document_version":' || dv.version || ',"elements":[' || coalesce(en.j, '') || '],"pages":[' || coalesce(pn.j, '') || '],"schema_version":2,"source_sha256":"' || h || '","trusted_layout_contract":"layout-lineage-v1"}}') AS sha256
+      FROM dv LEFT JOIN en ON en.doc_id = dv.doc_id AND en.version = dv.version LEFT JOIN pn ON pn.doc_id = dv.doc_id"""),
 }

@@ -175,14 +175,14 @@ def h4_related(spark, sf):
 def _published(spark, sf):
     c = F.col("c_custkey")
     base = table(spark, sf, "customer").select("c_custkey", F.concat(F.lit("p"), c).alias("page_id"), F.col("c_name").alias("title"), F.col("c_mktsegment").alias("summary"))
-    lock = F.when(c % 6 == 0, F.array(F.lit("title"))).when(c % 9 == 0, F.array(F.lit("summary"), F.lit("section:a"))).otherwise(F.array().cast("array<string>"))
-    old = base.where("c_custkey % 3 = 0").select("page_id", F.concat(F.lit("old "), "title").alias("title"), F.lit("old").alias("summary"), F.create_map(F.lit("a"), F.lit("old a"), F.lit("b"), F.lit("old b")).alias("sections"), (c % 5 + 1).alias("revision"), lock.alias("locked"))
-    new = base.where("c_custkey % 4 <> 1").select("page_id", "title", "summary", F.create_map(F.lit("a"), F.col("title"), F.lit("c"), F.when(c % 2 == 0, "").otherwise("c")).alias("sections"))
+    lock = F.when(c % 6 == 0, F.array(F.lit("title"))).when(c % 9 == 0, F.array(F.lit("summary"), F.lit("section:a"), F.lit("conclusions"))).when(c % 15 == 0, F.array(F.lit("related_page_ids"))).otherwise(F.array().cast("array<string>"))
+    old = base.where("c_custkey % 3 = 0").select("page_id", F.concat(F.lit("old "), "title").alias("title"), F.lit("old").alias("summary"), F.create_map(F.lit("a"), F.lit("old a"), F.lit("b"), F.lit("old b")).alias("sections"), F.array(F.lit("old claim")).alias("conclusions"), F.array(F.lit("p0")).alias("related"), (c % 5 + 1).alias("revision"), lock.alias("locked"))
+    new = base.where("c_custkey % 4 <> 1").select("page_id", "title", "summary", F.create_map(F.lit("a"), F.col("title"), F.lit("c"), F.when(c % 2 == 0, "").otherwise("c")).alias("sections"), F.array("summary", "title").alias("conclusions"), F.array(F.concat(F.lit("p"), c + 1)).alias("related"))
     return W.publish(old, new)
 
 
 def h5_merge(spark, sf):
-    return _published(spark, sf).select("page_id", "title", "summary", F.array_join(F.transform(F.array_sort(F.map_entries("sections")), lambda s: F.concat_ws("=", s["key"], s["value"])), ";").alias("sections"), "revision", "status")
+    return _published(spark, sf).select("page_id", "title", "summary", F.array_join(F.transform(F.array_sort(F.map_entries("sections")), lambda s: F.concat_ws("=", s["key"], s["value"])), ";").alias("sections"), F.array_join("conclusions", ",").alias("conclusions"), F.array_join("related", ",").alias("related"), "revision", "status")
 
 
 def h6_orphans(spark, sf):
@@ -247,10 +247,11 @@ c AS (SELECT 'c' || o_orderkey AS id, 'entity:' || o_custkey AS source, 'has ' |
 en AS (SELECT 'entity:' || c_custkey AS entity_id, c_name AS label, c_mktsegment AS entity_kind, trim(regexp_replace(lower(c_name), '[^a-z0-9]+', '-', 'g'), '-') || '-' || lpad(c_custkey::VARCHAR, 8, '0') AS slug FROM customer),
 co AS (SELECT * FROM (SELECT source AS entity_id, id AS conclusion_id, '关键结论' AS section, statement, NULL::VARCHAR AS other, refs FROM c UNION ALL SELECT source, id, '关联关系', statement, target, refs FROM r
   UNION ALL SELECT target, id || ':incoming', '反向关联', statement, source, refs FROM r WHERE source <> target) WHERE entity_id IN (SELECT entity_id FROM en))"""
-_PUB = """old AS (SELECT 'p' || c_custkey AS page_id, 'old ' || c_name AS title, c_custkey % 5 + 1 AS revision, CASE WHEN c_custkey % 6 = 0 THEN 1 WHEN c_custkey % 9 = 0 THEN 2 ELSE 0 END AS k FROM customer WHERE c_custkey % 3 = 0),
-new AS (SELECT 'p' || c_custkey AS page_id, c_name AS title, c_mktsegment AS summary, CASE WHEN c_custkey % 2 = 0 THEN '' ELSE 'c' END AS c FROM customer WHERE c_custkey % 4 <> 1),
+_PUB = """old AS (SELECT 'p' || c_custkey AS page_id, 'old ' || c_name AS title, c_custkey % 5 + 1 AS revision, CASE WHEN c_custkey % 6 = 0 THEN 1 WHEN c_custkey % 9 = 0 THEN 2 WHEN c_custkey % 15 = 0 THEN 3 ELSE 0 END AS k FROM customer WHERE c_custkey % 3 = 0),
+new AS (SELECT 'p' || c_custkey AS page_id, 'p' || (c_custkey + 1) AS next, c_name AS title, c_mktsegment AS summary, CASE WHEN c_custkey % 2 = 0 THEN '' ELSE 'c' END AS c FROM customer WHERE c_custkey % 4 <> 1),
 pub AS (SELECT page_id, CASE WHEN new.page_id IS NULL OR k = 1 THEN old.title ELSE new.title END AS title, CASE WHEN new.page_id IS NULL OR k = 2 THEN 'old' ELSE new.summary END AS summary,
   CASE WHEN new.page_id IS NULL THEN 'old a' WHEN k = 2 THEN 'old a' ELSE new.title END AS a, CASE WHEN new.page_id IS NULL THEN 'old b' END AS b, CASE WHEN new.page_id IS NOT NULL THEN new.c END AS c,
+  CASE WHEN new.page_id IS NULL OR k = 2 THEN 'old claim' ELSE new.summary || ',' || new.title END AS conclusions, CASE WHEN new.page_id IS NULL OR k = 3 THEN 'p0' ELSE new.next END AS related,
   coalesce(revision, 0) + 1 AS revision, CASE WHEN coalesce(k, 0) > 0 THEN 'locked' ELSE 'published' END AS status FROM old FULL JOIN new USING (page_id) WHERE new.page_id IS NOT NULL OR k > 0)"""
 
 _F7 = f"""{_D}, m0 AS (SELECT doc_id, kind, {_KEY.format("name")} AS key, arg_min(name, (batch, id)) AS name, array_to_string(list_sort(list(DISTINCT brand)), ',') AS aliases, array_to_string(list_sort(list_distinct(flatten(list([r1, r2])))), ',') AS refs FROM d WHERE id % 31 <> 0 GROUP BY 1, 2, 3),
@@ -302,7 +303,7 @@ SQL = {
       n AS (SELECT entity_id, count(*) AS n FROM co GROUP BY 1) SELECT s.entity_id, section, md5(t) AS text_md5, label || ' 是知识库中的 ' || entity_kind || ' 实体；当前页面汇集 ' || n || ' 条可回溯结论。' AS summary FROM s JOIN n USING (entity_id) JOIN en USING (entity_id)""",
     "h3_slug": "SELECT p_partkey, trim(regexp_replace(lower(' *  ' || p_name || '  ' || p_brand || '  !'), '[^a-z0-9]+', '-', 'g'), '-') || '-' || right(lpad(p_partkey::VARCHAR, 10, '0'), 8) AS slug FROM part",
     "h4_related": f"WITH {_WIKI}, b AS (SELECT source AS entity_id, target AS other FROM r UNION SELECT target, source FROM r), p AS (SELECT DISTINCT entity_id FROM co) SELECT entity_id, string_agg(other, ',' ORDER BY other) AS related FROM b WHERE entity_id IN (SELECT entity_id FROM p) AND other IN (SELECT entity_id FROM p) GROUP BY 1",
-    "h5_merge": f"WITH {_PUB} SELECT page_id, title, summary, 'a=' || a || coalesce(';b=' || b, '') || coalesce(';c=' || c, '') AS sections, revision, status FROM pub",
+    "h5_merge": f"WITH {_PUB} SELECT page_id, title, summary, 'a=' || a || coalesce(';b=' || b, '') || coalesce(';c=' || c, '') AS sections, conclusions, related, revision, status FROM pub",
     "h8_markdown": f"WITH {_PUB} SELECT page_id, '# ' || title || chr(10) || chr(10) || summary || chr(10) || chr(10) || '## a' || chr(10) || chr(10) || a || coalesce(chr(10) || chr(10) || '## b' || chr(10) || chr(10) || b, '') || CASE WHEN coalesce(c, '') <> '' THEN chr(10) || chr(10) || '## c' || chr(10) || chr(10) || c ELSE '' END AS markdown FROM pub",
     "h6_orphans": f"WITH {_PUB} SELECT 'p' || c_custkey AS page_id, pub.title, pub.status, pub.revision FROM customer LEFT JOIN pub ON pub.page_id = 'p' || c_custkey WHERE c_custkey % 3 = 0 AND c_custkey % 4 = 1",
     "h7_history": f"WITH {_PUB} SELECT page_id, revision, title FROM pub UNION ALL SELECT page_id, revision - 1, 'before ' || title FROM pub WHERE revision > 1",

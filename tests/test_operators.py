@@ -14,8 +14,10 @@ from docloom.operators import chunking as C
 from docloom.operators import extraction as X
 from docloom.operators import graph as G
 from docloom.operators import indexing as I
+from docloom.operators import jobs as J
 from docloom.operators import layout as L
 from docloom.operators import retrieval as R
+from docloom.operators import wiki as W
 from docloom.sources import artifacts as S
 from docloom.streaming.jobs import follow_jobs
 
@@ -253,15 +255,59 @@ def test_tokens_are_compatible_forms(spark):
 
 
 def test_semantic_artifact(spark):
-    rows = [("d1", "e2", True, "two", None), ("d1", "e1", False, "one", "pending"), ("d2", "e9", True, None, None)]
-    df = spark.createDataFrame(rows, "doc_id string, element_id string, publishable boolean, search_text string, code string").repartition(3)
-    got = {r.doc_id: r for r in I.semantic_artifact(df).collect()}
-    assert {d: r.elements for d, r in got.items()} == {"d1": 2, "d2": 1}
-    assert [x["e"].get("search_text") for x in json.loads(got["d1"].artifact)] == ["one", "two"]
-    for r in got.values():
+    rows = [("d1", 1, "e2", True, "two", None), ("d1", 1, "e1", False, "one", "pending"), ("d1", 2, "e1", True, "new", None), ("d2", 1, "e9", True, None, None), ("d9", 1, "e", True, "lost", None)]
+    notes = [("d1", 1, 2, True, "second", None), ("d1", 1, 1, True, "first", None)]
+    documents = spark.createDataFrame([("d1", 1, "h1"), ("d1", 2, "h2"), ("d2", 1, "h3"), ("d3", 1, "h4")], "doc_id string, version int, source_sha256 string")
+    form = "publishable boolean, search_text string, code string"
+    elements = spark.createDataFrame(rows, f"doc_id string, version int, element_id string, {form}").repartition(3)
+    pages = spark.createDataFrame(notes, f"doc_id string, version int, page int, {form}")
+    got = {(r.doc_id, r.version): r for r in I.semantic_artifact(documents, pages, elements).collect()}
+    assert {k: (r.pages, r.elements) for k, r in got.items()} == {("d1", 1): (2, 2), ("d1", 2): (0, 1), ("d2", 1): (0, 1), ("d3", 1): (0, 0)}
+    for (doc, version), r in got.items():
         assert r.sha256 == hashlib.sha256(r.artifact.encode()).hexdigest()
-        want = sorted((e, p, s, c) for d, e, p, s, c in rows if d == r.doc_id)
-        assert [(x["e"]["element_id"], x["e"]["publishable"], x["e"].get("search_text"), x["e"].get("code")) for x in json.loads(r.artifact)] == want
+        said = json.loads(r.artifact)
+        assert list(said) == sorted(said) and (said["document_id"], said["document_version"]) == (doc, version)
+        assert [(x["element_id"], x["publishable"], x.get("search_text"), x.get("code")) for x in said["elements"]] == sorted(x[2:] for x in rows if x[:2] == (doc, version))
+        assert [(x["page"], x["search_text"]) for x in said["pages"]] == sorted((x[2], x[4]) for x in notes if x[:2] == (doc, version))
+
+
+def test_anchors_tell_what_is_unusable(spark):
+    chunks = spark.createDataFrame([("ok", ["e1"], [], 1), ("asset", ["e1", "e2"], ["a2"], 1), ("outside", ["e1"], ["a2"], 1), ("unknown", ["e1"], ["a9"], 1), ("bare", [], [], 1), ("boxless", ["e3"], [], 1), ("start", ["e4"], [], 7), ("none", ["e4"], [], 0)], "chunk_id string, element_ids array<string>, asset_ids array<string>, page_start int")
+    elements = spark.createDataFrame([("e1", 1, 0.0, 0.0, 1.0, 1.0), ("e2", 2, 0.0, 0.0, 0.5, 0.5), ("e3", 1, 0.0, None, 1.0, 1.0), ("e4", None, 0.0, 0.0, 1.0, 1.0)], "element_id string, page int, x0 double, y0 double, x1 double, y1 double")
+    assets = spark.createDataFrame([("a2", "e2", 5)], "asset_id string, element_id string, page int")
+    got = {r.chunk_id: (r.page, r.code) for r in I.anchors(chunks, elements, assets).collect()}
+    lost, bad = "invalid_asset_lineage", "invalid_element_lineage"
+    assert got == {"ok": (1, None), "asset": (5, None), "outside": (5, lost), "unknown": (None, lost), "bare": (1, bad), "boxless": (1, bad), "start": (7, None), "none": (0, bad)}
+
+
+def test_assets_of_all_versions_and_the_newest_index(spark):
+    at = lambda h: datetime(2024, 1, 1) + timedelta(hours=h)
+    form = "job_id int, doc_id string, status string, created_at timestamp, updated_at timestamp, index_key string, manifest_key string, page_count int, element_count int, asset_count int, chunk_count int"
+    jobs = spark.createDataFrame(
+        [(1, "d", "succeeded", at(1), at(9), "i1", "m1", 3, 0, 1, 1), (2, "d", "succeeded", at(5), None, "i2", "m2", 9, 9, 9, 9), (3, "d", "failed", at(20), None, "i3", "m3", 7, 7, 7, 7), (4, "gone", "succeeded", at(2), None, None, "m3", 1, 1, 1, 1), (5, None, "succeeded", at(30), None, "i5", "m1", 1, 1, 1, 1)], form
+    )
+    manifests = spark.createDataFrame([("m1", [("a", "old"), ("a", "m1/a"), ("", "x")]), ("m2", [("a", "m2/a"), ("b", "m2/b"), ("c", None)]), ("m3", [("g", "m3/g")])], "manifest_key string, assets array<struct<id:string,object_key:string>>")
+    assert sorted(map(tuple, J.published_assets(jobs, manifests).collect())) == [("a", "m1/a", "d", 1), ("b", "m2/b", "d", 2), ("g", "m3/g", "gone", 4)]
+    documents = spark.createDataFrame([("d", 5, 6, 7, 8), ("new", 1, 2, 3, 4)], "doc_id string, page_count int, element_count int, asset_count int, chunk_count int")
+    assert [tuple(r) for r in J.latest_index(jobs, documents).collect()] == [("d", "i1", 2)]
+    assert sorted(map(tuple, J.backfill(documents, jobs).collect())) == [("d", 3, 6, 1, 1), ("new", 1, 2, 3, 4)]
+
+
+def test_locked_conclusions_and_relations_stay(spark):
+    form = "page_id string, title string, summary string, sections map<string,string>, conclusions array<string>, related array<string>"
+    old = spark.createDataFrame([("a", "t", "s", {}, ["c0"], ["p0"], 1, ["conclusions"]), ("b", "t", "s", {}, ["c0"], ["p0"], 2, ["related_page_ids"]), ("c", "t", "s", {}, ["c0"], ["p0"], 3, [])], form + ", revision int, locked array<string>")
+    new = spark.createDataFrame([(p, "t2", "s2", {}, ["c1"], ["p1"]) for p in "abcd"], form)
+    got = {r.page_id: (r.title, r.conclusions, r.related, r.revision, r.status) for r in W.publish(old, new).collect()}
+    assert got == {"a": ("t2", ["c0"], ["p1"], 2, "locked"), "b": ("t2", ["c1"], ["p0"], 3, "locked"), "c": ("t2", ["c1"], ["p1"], 4, "published"), "d": ("t2", ["c1"], ["p1"], 1, "published")}
+
+
+def test_cached_outputs_must_echo_page_and_box(spark):
+    form = "element_id string, version int, fingerprint string, doc_id string, page int, x0 double, y0 double, x1 double, y1 double"
+    row = ("e", 1, "f", "d", 2, 0.1, 0.1, 0.5, 0.5)
+    work = spark.createDataFrame([row], form)
+    for i, value, state in ((None, None, "hit"), (4, 3, "todo"), (5, 0.1 + 1e-9, "hit"), (5, 0.1001, "todo"), (8, None, "todo"), (3, "x", "todo"), (1, 2, "todo")):
+        cached = [v if k != i else value for k, v in enumerate(row)]
+        assert I.reuse(work, spark.createDataFrame([tuple(cached)], form)).first().state == state, (i, value)
 
 
 def test_commits_replace_a_documents_slice(spark):
