@@ -20,7 +20,7 @@ def nfkc(text: Column) -> Column:
     def run(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
 
-    return F.coalesce(F.pandas_udf(run, "string")(F.when(text.rlike(f"[^{_SETTLED}]"), text)), text)
+    return F.coalesce(F.pandas_udf(run, "string")(F.when(unsettled(text), text)), text)
 
 
 def _folded(text: Column) -> Column:
@@ -49,8 +49,8 @@ def _let(value: Column, body) -> Column:
 
 
 def unsettled(text: Column) -> Column:
-    """Whether NFKC may change the text; false for null."""
-    return F.coalesce(text.rlike(f"[^{_SETTLED}]"), F.lit(False))
+    """Whether NFKC may change the text; false for null. ASCII texts, told by their sizes, are not searched."""
+    return F.coalesce((F.octet_length(text) != F.length(text)) & text.rlike(f"[^{_SETTLED}]"), F.lit(False))
 
 
 def settled_tokens(text: Column) -> Column:
