@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.llm.components import components
+from docloom.llm.ranks import with_order_key
 from docloom.llm.scratch import Scratch
 from docloom.llm.words import SPACED_LOWER, hash_words, mix, shingles, slices, text_bytes
 
@@ -75,7 +76,7 @@ def shingle_order(texts: DataFrame, k: int) -> np.ndarray:
 
 
 def _prefixes(docs: DataFrame, k: int, percent: int, level) -> DataFrame:
-    """doc_id, n (set size), key (of the set), prefix (rarest shingles, rarest first), ranges (set size by hash range)."""
+    """doc, doc_id, n (set size), key (of the set), prefix (rarest shingles, rarest first), ranges (set size by hash range)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -85,7 +86,7 @@ def _prefixes(docs: DataFrame, k: int, percent: int, level) -> DataFrame:
             for lo in range(0, batch.num_rows, 1024):
                 part = batch.slice(lo, 1024)
                 n, keys, rare, ends, ranges = [], [], [], [0], []
-                for s in _sets(part.column(1), k):
+                for s in _sets(part.column(2), k):
                     m = len(s)
                     n.append(m)
                     keys.append(xxhash.xxh3_128_digest(s.tobytes()))
@@ -97,11 +98,11 @@ def _prefixes(docs: DataFrame, k: int, percent: int, level) -> DataFrame:
                     ranges.append(np.bincount((s >> np.uint64(64 - 7)).astype(np.int64), minlength=RANGES))
                 flat = np.concatenate(rare).view(np.int64) if rare else np.zeros(0, np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat)), pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * RANGES, pa.int32()), pa.array(np.concatenate(ranges).astype(np.int32)))],
-                    names=["doc_id", "n", "key", "prefix", "ranges"],
+                    [part.column(0), part.column(1), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat)), pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * RANGES, pa.int32()), pa.array(np.concatenate(ranges).astype(np.int32)))],
+                    names=["doc", "doc_id", "n", "key", "prefix", "ranges"],
                 )
 
-    return docs.mapInArrow(run, "doc_id long, n long, key binary, prefix array<long>, ranges array<int>")
+    return docs.select("_doc", "doc_id", "text").mapInArrow(run, "doc long, doc_id long, n long, key binary, prefix array<long>, ranges array<int>")
 
 
 def _packed_texts(docs: DataFrame, members: DataFrame) -> DataFrame:
@@ -117,8 +118,8 @@ def _packed_texts(docs: DataFrame, members: DataFrame) -> DataFrame:
 
     if members.count() <= BROADCAST_IDS:
         members = F.broadcast(members)
-    some = docs.join(members, docs["doc_id"] == members["doc"], "left_semi").select("doc_id", "text")
-    return some.mapInArrow(run, "doc long, packed binary").dropDuplicates(["doc"])
+    some = docs.join(members, docs["_doc"] == members["doc"], "left_semi").select("_doc", "text")
+    return some.mapInArrow(run, "doc long, packed binary")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
@@ -157,7 +158,7 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, id_col: s
     (A-Z lower-cased, words split at ASCII white space).
 
     1. A fixed sketch counts all shingles of all texts; it gives one global order, rare first.
-    2. Texts with equal sets are one class, represented by its smallest id.
+    2. Texts with equal sets are one class, represented by its first row by id.
     3. Only the rarest n - ceil(n * percent / 100) + 1 shingles of a class are posted; two classes that
        link share one of them, and it stands in the shorter index prefix of the smaller set. Lists
        without such a pair go.
@@ -170,22 +171,23 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, id_col: s
 
     Shingles are compared by 64-bit hashes. A null or empty text has n_shingles 0 and is its own
     component; a text of fewer than k words is one shingle. Rows without id have component null and
-    link nothing; rows that repeat an id count as one document. Empty tables give empty tables; other
-    columns are not read.
+    link nothing; rows that repeat an id are texts of their own, each linked by its own set. Empty tables
+    give empty tables; other columns are not read.
     """
     spark: SparkSession = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
-    docs = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
+    docs = with_order_key(docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")), scratch)
     level = spark.sparkContext.broadcast(shingle_order(docs.select("text"), k))
     texts = scratch.save(_prefixes(docs, k, percent, level))
-    classes = scratch.save(texts.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("doc")).where("doc is not null"))
+    classes = texts.where("n > 0 and doc_id is not null").groupBy("key").agg(F.min(F.struct("doc", "doc_id")).alias("head"))
+    classes = scratch.save(classes.select("key", "head.*"))
 
-    lead = texts.join(classes.select(F.col("doc").alias("doc_id"), "key"), ["doc_id", "key"], "left_semi").dropDuplicates(["doc_id"])
-    posted = lead.select(F.posexplode("prefix").alias("pos", "item"), F.col("doc_id").alias("doc"), F.col("n").cast("int").alias("n"))
+    lead = texts.join(classes.select("doc"), "doc", "left_semi")
+    posted = lead.select(F.posexplode("prefix").alias("pos", "item"), "doc", F.col("n").cast("int").alias("n"))
     indexed = (F.col("n") - F.col("pos")) * (100 + percent) >= F.col("n") * (2 * percent)  # may be the smaller set's first shared shingle
     lists = posted.groupBy("item").agg(F.count("*").alias("c"), F.max(indexed).alias("indexed")).where("c > 1 and indexed").select("item")
     post = scratch.save(posted.join(lists, "item", "left_semi"))
-    ranges = scratch.save(lead.select(F.col("doc_id").alias("doc"), "ranges").join(post.select("doc").distinct(), "doc", "left_semi"))
+    ranges = scratch.save(lead.select("doc", "ranges").join(post.select("doc").distinct(), "doc", "left_semi"))
 
     def possible(pairs: DataFrame) -> DataFrame:
         """Distinct pairs a < b after the length, positional and suffix filters."""
@@ -240,7 +242,8 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, id_col: s
             live = after
     scratch.drop(post)
 
-    named = classes.join(roots.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component_id", F.coalesce("root", "doc"))
-    named = scratch.save(named.select("key", "component_id"))
+    ids = roots.join(classes.select(F.col("doc").alias("root"), F.col("doc_id").alias("root_id")), "root").select(F.col("node").alias("doc"), "root_id")
+    named = classes.join(ids, "doc", "left").select("key", F.coalesce("root_id", "doc_id").alias("component_id"))
+    named = scratch.save(named)
     out = texts.select("doc_id", "n", "key").join(named, "key", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component_id"))).otherwise(F.col("doc_id")).alias("component_id"))

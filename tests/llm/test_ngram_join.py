@@ -44,6 +44,13 @@ def test_odd_rows(spark):
     assert jaccard_components(df.limit(0)).collect() == []
 
 
+def test_rows_that_repeat_an_id_link_by_their_own_texts(spark):
+    text = lambda x, last: " ".join(f"{x}{i}" for i in range(60)) + f" {last}"
+    rows = [(1, text("a", "p")), (1, text("b", "p")), (2, text("a", "q")), (3, text("b", "q")), (4, text("c", "p")), (None, text("c", "q")), (5, text("c", "r"))]
+    got = sorted((str(r.doc_id), r.component_id) for r in jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect())
+    assert got == sorted([("1", 1), ("1", 1), ("2", 1), ("3", 1), ("4", 4), ("None", None), ("5", 4)], key=lambda r: r[0])
+
+
 def test_components_of_chains_and_stars(spark):
     chain = [(i, i + 1) for i in range(40)]
     star = [(1000, i) for i in range(1001, 1200)]
