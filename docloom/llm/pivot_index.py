@@ -17,6 +17,8 @@ from docloom.llm.scratch import Scratch
 LEAST_PIVOTS, MOST_PIVOTS = 256, 4096
 #: The nearest pivots that describe a vector, and how many of them a pair must share.
 NEAREST, SHARED = 8, 2
+#: Vectors whose largest part is smaller, or larger than its inverse, are scaled by a power of two, which changes no cosine.
+LEAST_PART = 1e-100
 #: Vectors of one block; longer pivot lists are cut into blocks, and all pairs of blocks are compared.
 BLOCK = 2048
 
@@ -32,8 +34,11 @@ def _classes(vectors: DataFrame) -> DataFrame:
                 x = None
                 if v.is_valid and len(v.values) and not v.values.null_count:
                     x = np.asarray(v.values)
-                    norm = np.sqrt(x @ x) if np.isfinite(x).all() else 0.0
-                    x = x if np.isfinite(norm) and norm > 0 else None
+                    most = np.abs(x).max()
+                    if not np.isfinite(most) or most == 0:
+                        x = None
+                    elif not LEAST_PART <= most <= 1 / LEAST_PART:  # its square would leave the range of doubles
+                        x = np.ldexp(x, -int(np.frexp(most)[1]))
                 units.append(None if x is None else x.tobytes())
                 dims.append(0 if x is None else len(x))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(dims, pa.int32()), pa.array(units, pa.binary())], names=["vec_id", "label", "dim", "raw"])

@@ -54,6 +54,12 @@ def test_odd_rows(spark):
     assert pivot_index.near_vectors(df.limit(0)).collect() == []
 
 
+def test_very_large_and_small_vectors_link(spark):
+    rows = [(1, [1e200, 2e200], 1), (2, [1e-200, 2e-200], 1), (3, [1.0, 2.0], 1), (4, [5e-324, 1e-323], 1), (5, [-1e300, 1e300], 1), (6, [float("inf"), 1.0], 1)]
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in pivot_index.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect())
+    assert got == [(1, 3, 1), (2, 3, 1), (3, 3, 1), (4, 3, 1), (5, 0, 5), (6, 0, 6)]
+
+
 def test_recall_and_exact_mode(spark):
     """Noisy copies of given embeddings at cosines around and above the bound, with as many pivots as a large table has."""
     x = np.array([r.embedding for r in spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").orderBy("vec_id").collect()])
