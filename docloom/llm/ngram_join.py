@@ -242,8 +242,9 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, id_col: s
             live = after
     scratch.drop(post)
 
-    ids = roots.join(classes.select(F.col("doc").alias("root"), F.col("doc_id").alias("root_id")), "root").select(F.col("node").alias("doc"), "root_id")
-    named = classes.join(ids, "doc", "left").select("key", F.coalesce("root_id", "doc_id").alias("component_id"))
-    named = scratch.save(named)
+    ids = roots.select(F.col("node").alias("doc"), F.col("root").alias("root_id"))
+    if not classes.where("doc <> doc_id").isEmpty():  # ids repeat: a root is a row, to be named by its id
+        ids = ids.join(classes.select(F.col("doc").alias("root_id"), "doc_id"), "root_id").select("doc", F.col("doc_id").alias("root_id"))
+    named = scratch.save(classes.join(ids, "doc", "left").select("key", F.coalesce("root_id", "doc_id").alias("component_id")))
     out = texts.select("doc_id", "n", "key").join(named, "key", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component_id"))).otherwise(F.col("doc_id")).alias("component_id"))
