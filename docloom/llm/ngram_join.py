@@ -76,7 +76,7 @@ def shingle_order(texts: DataFrame, k: int) -> np.ndarray:
 
 
 def _prefixes(docs: DataFrame, k: int, percent: int, level) -> DataFrame:
-    """doc, doc_id, n (set size), key (of the set), prefix (rarest shingles, rarest first), ranges (set size by hash range)."""
+    """doc, doc_id, n (set size), key (of the set), prefix (rarest shingles, rarest first), next (the one after them), ranges (set size by hash range)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -85,24 +85,27 @@ def _prefixes(docs: DataFrame, k: int, percent: int, level) -> DataFrame:
         for batch in batches:
             for lo in range(0, batch.num_rows, 1024):
                 part = batch.slice(lo, 1024)
-                n, keys, rare, ends, ranges = [], [], [], [0], []
+                n, keys, rare, after, ends, ranges = [], [], [], [], [0], []
                 for s in _sets(part.column(2), k):
                     m = len(s)
                     n.append(m)
                     keys.append(xxhash.xxh3_128_digest(s.tobytes()))
                     p = m - -(-percent * m // 100) + 1 if m else 0
                     rank = levels[(s & np.uint64(ORDER_CELLS - 1)).astype(np.int64)] | (s >> np.uint64(8))
-                    first = np.argpartition(rank, p - 1)[:p] if 0 < p < m else np.arange(p)
-                    rare.append(s[first[np.lexsort((s[first], rank[first]))]])
+                    q = min(p + 1, m)
+                    first = np.argpartition(rank, q - 1)[:q] if q < m else np.arange(q)
+                    first = s[first[np.lexsort((s[first], rank[first]))]].view(np.int64)
+                    rare.append(first[:p])
+                    after.append(int(first[p]) if p < q else None)
                     ends.append(ends[-1] + p)
                     ranges.append(np.bincount((s >> np.uint64(64 - 7)).astype(np.int64), minlength=RANGES))
-                flat = np.concatenate(rare).view(np.int64) if rare else np.zeros(0, np.int64)
+                flat = np.concatenate(rare) if rare else np.zeros(0, np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat)), pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * RANGES, pa.int32()), pa.array(np.concatenate(ranges).astype(np.int32)))],
-                    names=["doc", "doc_id", "n", "key", "prefix", "ranges"],
+                    [part.column(0), part.column(1), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat)), pa.array(after, pa.int64()), pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * RANGES, pa.int32()), pa.array(np.concatenate(ranges).astype(np.int32)))],
+                    names=["doc", "doc_id", "n", "key", "prefix", "next", "ranges"],
                 )
 
-    return docs.select("_doc", "doc_id", "text").mapInArrow(run, "doc long, doc_id long, n long, key binary, prefix array<long>, ranges array<int>")
+    return docs.select("_doc", "doc_id", "text").mapInArrow(run, "doc long, doc_id long, n long, key binary, prefix array<long>, next long, ranges array<int>")
 
 
 def _packed_texts(docs: DataFrame, members: DataFrame) -> DataFrame:
@@ -168,6 +171,9 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, id_col: s
        A list of two is done then. Of the others, only pairs of classes that are still in different
        components are joined and checked. A dense group of near copies thus costs about one check a
        member, and no link between components is lost.
+    5. Before that last join, a list with more pairs than second keys is dealt by the second shingle that
+       a link must share as well, among the index prefix and the shingle after it. Sets too small to link
+       with any other set are not posted. A shingle common to many unlike texts is thus no square of them.
 
     Shingles are compared by 64-bit hashes. A null or empty text has n_shingles 0 and is its own
     component; a text of fewer than k words is one shingle. Rows without id have component null and
@@ -182,7 +188,7 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, id_col: s
     classes = texts.where("n > 0 and doc_id is not null").groupBy("key").agg(F.min(F.struct("doc", "doc_id")).alias("head"))
     classes = scratch.save(classes.select("key", "head.*"))
 
-    lead = texts.join(classes.select("doc"), "doc", "left_semi")
+    lead = texts.join(classes.select("doc"), "doc", "left_semi").where(100 * F.col("n") >= percent * (F.col("n") + 1))  # smaller sets link with equal ones only
     posted = lead.select(F.posexplode("prefix").alias("pos", "item"), "doc", F.col("n").cast("int").alias("n"))
     indexed = (F.col("n") - F.col("pos")) * (100 + percent) >= F.col("n") * (2 * percent)  # may be the smaller set's first shared shingle
     lists = posted.groupBy("item").agg(F.count("*").alias("c"), F.max(indexed).alias("indexed")).where("c > 1 and indexed").select("item")
@@ -212,6 +218,17 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, id_col: s
         scratch.drop(packed)
         return found
 
+    def by_second(live: DataFrame) -> DataFrame:
+        """live with ``second``: 0, or, where that makes fewer rows than a list has pairs, each shingle that can be the second one that a link shares."""
+        least = F.ceil(F.lit(percent) * F.col("n") / 100)  # that a link of this set shares
+        keys = F.col("n") - least + 1 - F.col("pos")
+        sizes = live.groupBy("item").agg(F.count("*").alias("c"), F.sum(keys).alias("keys"), F.min(least).alias("least"))
+        dealt = live.join(sizes.select("item", F.expr("least >= 2 and c * (c - 1) > 2 * keys").alias("dealt")), "item")
+        rarest = lead.select("doc", F.concat("prefix", F.array("next")).alias("rarest"))
+        some = dealt.where("dealt").join(rarest, "doc")
+        some = some.select(*live.columns, F.explode(F.slice("rarest", F.col("pos") + 2, F.size("rarest"))).alias("second"))
+        return some.union(dealt.where("not dealt").select(*live.columns, F.lit(0).cast("long").alias("second")))
+
     live, tried, links, roots = post.withColumn("comp", F.col("doc")), [], None, None
     for turn in range(STARS + 1):
         if turn < STARS:
@@ -223,8 +240,9 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, id_col: s
             pick = lambda x, y: F.when(first, F.col(x)).otherwise(F.col(y))
             pairs = pairs.select(pick("doc", "hd").alias("a"), pick("hd", "doc").alias("b"), pick("n", "hn").alias("na"), pick("hn", "n").alias("nb"), pick("pos", "hp").alias("pa"), pick("hp", "pos").alias("pb"))
         else:
-            x, y = (live.select("item", *(F.col(c).alias(f"{c}{side}") for c in ("doc", "n", "pos", "comp"))) for side in ("1", "2"))
-            pairs = x.join(y, "item").where("doc1 < doc2 and comp1 <> comp2")
+            live = scratch.save(by_second(live))
+            x, y = (live.select("item", "second", *(F.col(c).alias(f"{c}{side}") for c in ("doc", "n", "pos", "comp"))) for side in ("1", "2"))
+            pairs = x.join(y, ["item", "second"]).where("doc1 < doc2 and comp1 <> comp2")
             pairs = pairs.select(*(F.col(c).alias(to) for c, to in (("doc1", "a"), ("doc2", "b"), ("n1", "na"), ("n2", "nb"), ("pos1", "pa"), ("pos2", "pb"))))
         found = verified(pairs, tried)
         links = found if links is None else links.union(found)
@@ -240,6 +258,8 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, id_col: s
             if turn:
                 scratch.drop(live)
             live = after
+            if live.isEmpty():
+                break
     scratch.drop(post)
 
     ids = roots.select(F.col("node").alias("doc"), F.col("root").alias("root_id"))

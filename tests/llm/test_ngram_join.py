@@ -51,6 +51,21 @@ def test_rows_that_repeat_an_id_link_by_their_own_texts(spark):
     assert got == sorted([("1", 1), ("1", 1), ("2", 1), ("3", 1), ("4", 4), ("None", None), ("5", 4)], key=lambda r: r[0])
 
 
+def test_texts_of_few_shared_words(spark):
+    """Every shingle is in very many texts, so all lists are dealt by a second shingle; some texts link, most do not."""
+    rnd = random.Random(5)
+    for words, percent in ((3, 90), (4, 50)):
+        rows = []
+        for i in range(0, 240, 2):
+            w = [rnd.choice("abcdefgh"[:words]) for _ in range(rnd.choice([4, 9, 12, 14, 30, 60]))]
+            rows.append((i, " ".join(w)))
+            w[rnd.choice([0, -1])] = rnd.choice("ab")
+            rows.append((i + 1, " ".join(w)))
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_components(df, percent=percent).collect()}
+        assert got == brute.jaccard_components(rows, percent=percent)
+
+
 def test_components_of_chains_and_stars(spark):
     chain = [(i, i + 1) for i in range(40)]
     star = [(1000, i) for i in range(1001, 1200)]
