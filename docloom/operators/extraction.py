@@ -213,16 +213,21 @@ def match_existing(groups: DataFrame, existing: DataFrame) -> DataFrame:
     """group_id, verdict (new, match, conflict), entity_id, label, aliases: by (kind, alias) of groups (group_id, kind, names) and existing (entity_id, kind, alias, label).
 
     A match takes the entity's id and label, and its aliases united with the group's; more than one entity is a
-    conflict for manual merging.
+    conflict for manual merging. An alias of existing entities is folded to its first and last entity before the groups
+    meet it, so a group meets one row an alias, however many entities share it.
     """
     names = groups.select("group_id", "kind", F.explode("names").alias("name")).select("group_id", "kind", alias_key(F.col("name")).alias("alias")).distinct()
-    hits = names.join(existing, ["kind", "alias"]).groupBy("group_id").agg(F.count_distinct("entity_id").alias("n"), F.min("entity_id").alias("entity_id"), F.min_by("label", "entity_id").alias("label"))
+    held = existing.where("entity_id is not null").groupBy("kind", "alias").agg(F.min(F.struct("entity_id", "label")).alias("first"), F.max("entity_id").alias("last"))
+    met = names.join(held, ["kind", "alias"]).groupBy("group_id").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+    hits = met.select("group_id", F.when(F.col("first.entity_id") == F.col("last"), 1).otherwise(2).alias("n"), F.col("first.entity_id").alias("entity_id"), F.col("first.label").alias("label"))
     own = names.groupBy("group_id").agg(F.collect_set("alias").alias("_own"))
-    theirs = existing.groupBy("entity_id").agg(F.collect_set("alias").alias("_theirs"))
-    all_ = groups.select("group_id").join(own, "group_id", "left").join(hits, "group_id", "left").join(theirs, "entity_id", "left")
+    single = hits.where("n = 1").select("group_id", "entity_id")
+    theirs = existing.join(single.select("entity_id").distinct(), "entity_id", "left_semi").groupBy("entity_id").agg(F.collect_set("alias").alias("_theirs"))
+    theirs = single.join(theirs, "entity_id").select("group_id", "_theirs")
+    all_ = groups.select("group_id").join(own, "group_id", "left").join(hits, "group_id", "left").join(theirs, "group_id", "left")
     n, none = F.coalesce("n", F.lit(0)), F.array().cast("array<string>")
     one = lambda c: F.when(n == 1, F.col(c)).alias(c)
-    aliases = F.sort_array(F.array_union(F.coalesce("_own", none), F.when(n == 1, F.coalesce("_theirs", none)).otherwise(none)))
+    aliases = F.sort_array(F.array_union(F.coalesce("_own", none), F.coalesce("_theirs", none)))
     return all_.select("group_id", F.when(n == 0, "new").when(n == 1, "match").otherwise("conflict").alias("verdict"), one("entity_id"), one("label"), aliases.alias("aliases"))
 
 
