@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions.text import alias_key
+from docloom.operators.retrieval import small_side
 from docloom.sources.shared import cut
 
 # Keywords of communities, tried in this order.
@@ -189,14 +190,21 @@ def local_subgraph(edges: DataFrame, seeds: DataFrame, hops: int, limit: int) ->
     Each hop is a join of the frontier with both directions of the edges. A node's place follows from its
     parent's place, the relation and its own id; only first meetings count against the limit. ``parent`` is
     the place of the node from which it was met, null for the seed.
+
+    Only seeds that still take nodes are expanded. Fewer than ``limit`` nodes are taken by then, so the first
+    ``limit`` new ones of a node are among its first ``2 * limit`` neighbours, and only these are joined.
     """
-    ways = both_ways(edges)
+    nearest = Window.partitionBy("node").orderBy("relation", "other")
+    ways = both_ways(edges).select("node", "other", "relation")
     found = cut(seeds.select(F.col("id").alias("seed"), F.col("id").alias("node"), F.lit(1).cast("long").alias("place"), F.lit(0).alias("hop"), F.lit(None).cast("long").alias("parent")))
     for hop in range(1, hops + 1):
-        met = found.where(F.col("hop") == hop - 1).join(ways, "node").groupBy("seed", F.col("other").alias("node")).agg(F.min(F.struct("place", "relation")).alias("met"))
+        so_far = found.groupBy("seed").agg(F.max("place").alias("last")).where(F.col("last") < limit)
+        front = found.where(F.col("hop") == hop - 1).join(so_far.select("seed"), "seed", "left_semi")
+        near = ways.join(small_side(front.select("node").distinct()), "node", "left_semi").repartition("node").groupBy("node", "other").agg(F.min("relation").alias("relation"))
+        near = near.withColumn("r", F.row_number().over(nearest)).where(F.col("r") <= 2 * limit).drop("r")
+        met = front.join(near, "node").groupBy("seed", F.col("other").alias("node")).agg(F.min(F.struct("place", "relation")).alias("met"))
         new = met.join(found.select("seed", "node"), ["seed", "node"], "left_anti")
         first = new.withColumn("r", F.row_number().over(Window.partitionBy("seed").orderBy("met.place", "met.relation", "node"))).where(F.col("r") <= limit)
-        so_far = found.groupBy("seed").agg(F.max("place").alias("last"))
         ranked = first.join(so_far, "seed").withColumn("place", F.col("r") + F.col("last")).where(F.col("place") <= limit)
         found = cut(found.union(ranked.select("seed", "node", "place", F.lit(hop), "met.place")))
     return found
@@ -208,12 +216,16 @@ def subgraph_edges(edges: DataFrame, found: DataFrame, hops: int, limit: int) ->
     A node that is expanded gives all its edges, as long as nodes are still taken. The one at which the limit is
     reached gives those, by (relation, other end), before the first whose other end was not taken; the nodes
     after it give none. That node is the parent of the last place, so no edge has to be walked in turn: one
-    minimum per seed finds where its edges end.
+    minimum per seed finds where its edges end. At most ``limit`` nodes are taken, so a node's edges end among those
+    to its first ``limit + 1`` other ends, and only these are joined.
     """
     last = found.groupBy("seed").agg(F.count("*").alias("taken"), F.max_by("parent", "place").alias("stop"))
     full = F.col("taken") >= limit
     open_ = found.join(last, "seed").where((F.col("hop") < hops) & (~full | (F.col("place") <= F.col("stop")))).select("seed", "node", (full & (F.col("place") == F.col("stop"))).alias("cut"))
-    met = open_.join(both_ways(edges), "node").withColumn("key", F.struct("relation", "other"))
+    ways = both_ways(edges).join(small_side(open_.select("node").distinct()), "node", "left_semi").repartition("node")
+    ways = ways.withColumn("r", F.row_number().over(Window.partitionBy("node", "other").orderBy("relation", "id", "way")))
+    ways = ways.withColumn("others", F.sum((F.col("r") == 1).cast("int")).over(Window.partitionBy("node").orderBy("relation", "other").rangeBetween(Window.unboundedPreceding, 0)))
+    met = ways.where(F.col("others") <= limit + 1).drop("r", "others").join(open_, "node").withColumn("key", F.struct("relation", "other"))
     met = met.join(found.select("seed", F.col("node").alias("other"), F.lit(True).alias("taken")), ["seed", "other"], "left")
     ends = met.where(F.col("cut") & F.col("taken").isNull()).groupBy("seed").agg(F.min("key").alias("end"))
     kept = met.where("taken").join(ends, "seed", "left").where(~F.col("cut") | F.col("end").isNull() | (F.col("key") < F.col("end")))
