@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +16,8 @@ K1, B, RRF = 1.5, 0.75, 60
 LEXICAL_TOP_K, DENSE_TOP_K, RERANK_TOP_K = 12, 12, 8
 #: Query-side rows that may be broadcast; more are joined by shuffle.
 BROADCAST_ROWS = 500_000
+#: Chunks and queries that are scored against each other in one group, and queries whose scores are held at a time.
+CHUNK_BLOCK, QUERY_BLOCK, SLAB = 16_384, 2_048, 64
 
 
 def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -128,6 +133,128 @@ def cosine(chunks: DataFrame, queries: DataFrame, within: DataFrame | None = Non
     return both.select("query_id", "kb_id", "chunk_id", F.when(size > 0, _dot(F.col("embedding"), F.col("vector")) / size).otherwise(0.0).alias("score"))
 
 
+def _best(scores: np.ndarray, k: np.ndarray, above: float | None = None) -> list[np.ndarray]:
+    """For each row of scores the columns of the best k by rounded score (NaN first), ties by column; only those above a bound."""
+    out, n = [], scores.shape[1]
+    for row, most in zip(scores, k, strict=True):
+        row = np.where(np.isnan(row), np.inf, row)
+        most = min(max(int(most), 0), n)
+        low = np.partition(row, n - most)[n - most] - 2e-9 if most else np.inf
+        at = np.flatnonzero(row >= low) if most else np.empty(0, int)
+        if above is not None:
+            at = at[row[at] > above]
+        out.append(at[np.argsort(-np.round(row[at], 9), kind="stable")][:most])
+    return out
+
+
+def _ranked_blocks(rows: DataFrame, asked: DataFrame, by: list[str], n_chunks: int, score, k: int | Column) -> DataFrame:
+    """query_id, kb_id, chunk_id, score, rank: the best k chunks of each query, where only a block's best leave the block.
+
+    Rows of chunks (chunk_id) and of queries (query_id) meet by the columns ``by``, in blocks of both; ``score`` gives the
+    chunk ids in order, the queries' rows and a function that scores a range of the queries against the block's chunks. A
+    block holds CHUNK_BLOCK chunks and QUERY_BLOCK queries of the whole at most on average, so memory doesn't grow.
+    """
+    over = max(1, -(-n_chunks // CHUNK_BLOCK))
+    ask = max(1, -(-asked.select("query_id").distinct().count() // QUERY_BLOCK))
+    block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = rows.withColumn("_c", block("chunk_id", over)).withColumn("_q", every(ask))
+    right = asked.withColumn("_k", F.lit(k).cast("long") if isinstance(k, int) else k.cast("long")).withColumn("_q", block("query_id", ask)).withColumn("_c", every(over))
+    of = {c: rows.schema[c].dataType.simpleString() for c in ("kb_id", "chunk_id")} | {"query_id": asked.schema["query_id"].dataType.simpleString()}
+
+    def run(a: pa.Table, b: pa.Table) -> pa.Table:
+        names = ["query_id", "kb_id", "chunk_id", "score", "key"]
+        found = {c: [] for c in names}
+        if a.num_rows and b.num_rows:
+            chunks, queries, slab = score(a, b)
+            kb = a.column("kb_id").slice(0, 1)
+            for start in range(0, queries.num_rows, SLAB):
+                part = queries.slice(start, SLAB)
+                scores, above = slab(start, start + part.num_rows)
+                best = _best(scores, part.column("_k").to_numpy(), above)
+                at = np.concatenate(best) if best else np.empty(0, int)
+                who = np.repeat(np.arange(part.num_rows), [len(x) for x in best])
+                value = scores[who, at]
+                for c, v in zip(names, (part.column("query_id").take(pa.array(who)), kb.take(pa.array(np.zeros(len(at), int))), chunks.take(pa.array(at)), pa.array(value), pa.array(np.round(value, 9))), strict=True):
+                    found[c].append(v.combine_chunks() if isinstance(v, pa.ChunkedArray) else v)
+        types = {"query_id": b.schema.field("query_id").type, "kb_id": a.schema.field("kb_id").type, "chunk_id": a.schema.field("chunk_id").type, "score": pa.float64(), "key": pa.float64()}
+        return pa.table({c: pa.chunked_array([x for x in found[c] if len(x)], types[c]) for c in names})
+
+    keys = [*by, "_c", "_q"]
+    near = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, f"query_id {of['query_id']}, kb_id {of['kb_id']}, chunk_id {of['chunk_id']}, score double, key double")
+    most = asked.select("query_id", "kb_id", (F.lit(k) if isinstance(k, int) else k).cast("long").alias("_k")).distinct()
+    if isinstance(k, int):
+        return top_k(near, k, by="key").drop("key")
+    return top_k(near.join(most, ["query_id", "kb_id"]), F.col("_k"), by="key").drop("key", "_k")
+
+
+def _scoped(rows: DataFrame, lists: DataFrame | None, key: str) -> tuple[DataFrame, list[str]]:
+    return (rows, ["kb_id"]) if lists is None else (rows.join(lists, key), ["kb_id", "list_id"])
+
+
+def bm25_top_k(hits: DataFrame, weights: DataFrame, n_chunks: int, k: int | Column, lists: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """As top_k of bm25_score, by blocks: a posting is moved once, and of a block's scores only the best of each query.
+
+    ``lists`` are each query's list of documents (query_id, list_id; one a query) and the lists' documents (list_id, doc_id):
+    a query ranks those of its list only. Lists are shared, so pairs of queries and documents are never written out.
+    """
+    rows, by = _scoped(hits, lists and lists[1], "doc_id")
+    asked, _ = _scoped(weights, lists and lists[0], "query_id")
+
+    def score(a: pa.Table, b: pa.Table):
+        chunk, token = (pc.dictionary_encode(a.column(c).combine_chunks()) for c in ("chunk_id", "token"))
+        order = pc.sort_indices(chunk.dictionary).to_numpy()
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        chunks, at = chunk.dictionary.take(pa.array(order)), place[chunk.indices.to_numpy()]
+        query = pc.dictionary_encode(b.column("query_id").combine_chunks())
+        first = pc.index_in(query.dictionary, b.column("query_id").combine_chunks())
+        queries = b.select(["query_id", "_k"]).take(first)
+        tf, length = a.column("tf").to_numpy().astype(float), a.column("len").to_numpy().astype(float)
+        part = tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / b.column("avg_len")[0].as_py()))
+        ids = token.indices.to_numpy()
+        by_token = np.argsort(ids, kind="stable")
+        ends = np.searchsorted(ids[by_token], np.arange(len(token.dictionary) + 1))
+        term = pc.index_in(b.column("token").combine_chunks(), value_set=token.dictionary)
+        known = pc.is_valid(term).to_numpy(zero_copy_only=False)
+        term, who, weight = (x[known] for x in (pc.fill_null(term, 0).to_numpy(), query.indices.to_numpy(), b.column("weight").to_numpy()))
+
+        def slab(low: int, high: int) -> tuple[np.ndarray, float]:
+            scores = np.zeros((high - low, len(chunks)))
+            for i in np.flatnonzero((who >= low) & (who < high)):
+                own = by_token[ends[term[i]] : ends[term[i] + 1]]
+                scores[who[i] - low, at[own]] += weight[i] * part[own]
+            return scores, 0.0
+
+        return chunks, queries, slab
+
+    return _ranked_blocks(rows.select(*by, "chunk_id", "token", "tf", "len"), asked.select(*by, "query_id", "token", "weight", "avg_len"), by, n_chunks, score, k)
+
+
+def cosine_top_k(chunks: DataFrame, queries: DataFrame, k: int | Column, lists: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """As top_k of cosine, by blocks whose scores are one product of matrices; for ``lists`` see bm25_top_k."""
+    norm = lambda v: F.sqrt(_dot(v, v))
+    rows, by = _scoped(chunks.where("embedding is not null and kb_id is not null"), lists and lists[1], "doc_id")
+    asked, _ = _scoped(queries.where("vector is not null"), lists and lists[0], "query_id")
+    rows = rows.select(*by, "chunk_id", "embedding", norm(F.col("embedding")).alias("cn"), F.size("embedding").alias("_d"))
+    asked = asked.select(*by, "query_id", "vector", norm(F.col("vector")).alias("qn"), F.size("vector").alias("_d"))
+
+    def score(a: pa.Table, b: pa.Table):
+        order = pc.sort_indices(a.column("chunk_id")).to_numpy()
+        matrix = lambda t, c: t.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(t.num_rows, t.column("_d")[0].as_py())
+        size = lambda t, c: pc.fill_null(t.column(c), 0.0).to_numpy()
+        y, cn, x, qn = matrix(a, "embedding")[order], size(a, "cn")[order], matrix(b, "vector"), size(b, "qn")
+
+        def slab(low: int, high: int) -> tuple[np.ndarray, None]:
+            both = qn[low:high, None] * cn
+            with np.errstate(all="ignore"):
+                return np.where((both > 0) | np.isnan(both), x[low:high] @ y.T / both, 0.0), None
+
+        return a.column("chunk_id").take(pa.array(order)), b.select(["query_id", "_k"]), slab
+
+    return _ranked_blocks(rows, asked, [*by, "_d"], chunks.select("chunk_id").count(), score, k)
+
+
 def override(k: Column) -> dict[str, Column]:
     """How many hits each ranking keeps where k are asked for: at least the defaults before the fusion, k after it; a null k asks for nothing."""
     return {

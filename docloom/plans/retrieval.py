@@ -69,11 +69,11 @@ def e3_scope_statistics(spark, sf):
 
 
 def _bm25(spark, sf):
-    return R.top_k(_index(spark, sf).bm25(_queries(spark, sf)), R.LEXICAL_TOP_K)
+    return _index(spark, sf).bm25_top_k(_queries(spark, sf), R.LEXICAL_TOP_K)
 
 
 def _dense(spark, sf):
-    return R.top_k(R.cosine(_dense_chunks(spark, sf), _vectors(spark, sf)), R.DENSE_TOP_K)
+    return R.cosine_top_k(_dense_chunks(spark, sf), _vectors(spark, sf), R.DENSE_TOP_K)
 
 
 def e4_bm25_topk(spark, sf):
@@ -106,25 +106,24 @@ def e9_doc_filter(spark, sf):
 
 
 def _listed(spark, sf):
-    """Each query's documents: those that agree with it modulo 3."""
-    q = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id")).distinct()
-    d = table(spark, sf, "documents").select("doc_id", (F.col("doc_id") % 3).alias("m")).distinct()
-    return q.withColumn("m", F.col("query_id") % 3).join(d, "m").select("query_id", "doc_id")
+    """Each query's list of documents, and the lists: documents that agree with the query modulo 3."""
+    q = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), (F.col("item_id") % 3).alias("list_id")).distinct()
+    return q, table(spark, sf, "documents").select("doc_id", (F.col("doc_id") % 3).alias("list_id")).distinct()
 
 
 def e9_prefilter(spark, sf):
     """Rankings inside each query's documents, with the scope's own statistics, fused."""
-    within = _listed(spark, sf)
-    lexical = R.top_k(_index(spark, sf).bm25(_queries(spark, sf), within), R.LEXICAL_TOP_K)
-    dense = R.top_k(R.cosine(_dense_chunks(spark, sf), _vectors(spark, sf), within), R.DENSE_TOP_K)
+    lists = _listed(spark, sf)
+    lexical = _index(spark, sf).bm25_top_k(_queries(spark, sf), R.LEXICAL_TOP_K, lists)
+    dense = R.cosine_top_k(_dense_chunks(spark, sf), _vectors(spark, sf), R.DENSE_TOP_K, lists)
     return R.fuse(lexical, dense).select("query_id", "kb_id", "chunk_id", "lexical_rank", "dense_rank", F.round("score", 6).alias("score"), "rank")
 
 
 def e10_topk_override(spark, sf):
     """Each query's own k, at least the defaults in both rankings, and as it is in the fused list."""
     k = R.override(F.col("query_id").cast("int"))
-    lexical = R.top_k(_index(spark, sf).bm25(_queries(spark, sf)), k["lexical"])
-    dense = R.top_k(R.cosine(_dense_chunks(spark, sf), _vectors(spark, sf)), k["dense"])
+    lexical = _index(spark, sf).bm25_top_k(_queries(spark, sf), k["lexical"])
+    dense = R.cosine_top_k(_dense_chunks(spark, sf), _vectors(spark, sf), k["dense"])
     return R.fuse(lexical, dense, k["rerank"]).select("query_id", "kb_id", "chunk_id", "lexical_rank", "dense_rank", "rank")
 
 

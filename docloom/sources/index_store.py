@@ -106,12 +106,21 @@ class IndexStore:
 
     def bm25(self, queries: DataFrame, within: DataFrame | None = None) -> DataFrame:
         """query_id, kb_id, chunk_id, score > 0, for queries (query_id, kb_id, text); no chunk is tokenised. For ``within`` see bm25_score."""
+        return R.bm25_score(*self._asked(queries), within)
+
+    def bm25_top_k(self, queries: DataFrame, k: int | Column, lists: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+        """The best k of bm25 for each query, with ``rank``; for ``lists`` see operators.retrieval.bm25_top_k."""
+        n = self.statistics().agg(F.sum("n")).first()[0] or 0
+        return R.bm25_top_k(*self._asked(queries), n, k, lists)
+
+    def _asked(self, queries: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The postings that have a term of a query, and the queries' weights."""
         asked = cut(R.query_terms(queries))
         few = asked.count() <= R.BROADCAST_ROWS
         side = F.broadcast if few else lambda x: x
         terms = asked.select("kb_id", "token").distinct()
         df = self._read("df").join(side(terms), ["kb_id", "token"], "left_semi").groupBy("kb_id", "token").agg(F.sum("df").alias("df")).where("df > 0")
-        return R.bm25_score(self.postings(terms), side(R.bm25_weights(asked, df, self.statistics())), within)
+        return self.postings(terms), side(R.bm25_weights(asked, df, self.statistics()))
 
 
 def stored_index(spark: SparkSession, path: str, source: str, chunks: DataFrame, id_type: str = "bigint") -> IndexStore:
