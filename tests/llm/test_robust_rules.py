@@ -92,3 +92,14 @@ def test_small_groups_are_pooled_and_few_rows_reject_none(spark):
     got = quality_rules(spark.createDataFrame(rows, FORM)).groupBy("group").agg(F.count("*").alias("n"), F.min("kept").alias("kept")).collect()
     assert {(r.group, r.n) for r in got} == {('{"lang":"en"}', 70), ("{}", 20)} and all(r.kept for r in got if r.group == "{}")
     assert quality_rules(spark.createDataFrame([], FORM)).collect() == []
+
+
+def test_steps_do_not_depend_on_how_soon_groups_settle(spark, monkeypatch):
+    from docloom.llm import robust_rules
+
+    done = []
+    step = robust_rules._concentrated
+    monkeypatch.setattr(robust_rules, "_concentrated", lambda *a: done.append(1) or step(*a))
+    settled = spark.createDataFrame([("b", [0.5] * D) for _ in range(100)], "g string, z array<double>")
+    robust_estimates(settled, Scratch(spark, "test"), 1).collect()
+    assert len(done) == robust_rules.STEPS
