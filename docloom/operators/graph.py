@@ -74,21 +74,23 @@ def mention_edges(mentions: DataFrame) -> DataFrame:
     return mentions.select(F.col("entity").alias("source"), F.explode("evidence").alias("target"), F.lit("MENTIONED_IN").alias("relation")).distinct()
 
 
-def _united(rows: DataFrame, column: str) -> DataFrame:
-    """id, column: the sorted distinct values of an array column over all rows of an id; repeats go before the shuffle."""
-    each = rows.select("id", F.explode(column).alias("v")).groupBy("id").agg(F.sort_array(F.collect_set("v")).alias(column))
-    return each
+def _end(best, *columns: str) -> Column:
+    """Columns of the first (F.min) or last (F.max) contribution by doc_id; those without a document don't count."""
+    return best(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", *columns)))
 
 
 def merge_edges(edges: DataFrame) -> DataFrame:
-    """One row per edge id: ends and relation of the first contribution, properties (if edges have them) of the last, evidence of all, semantic if any is."""
-    last = [F.max_by("properties", "doc_id").alias("properties")] if "properties" in edges.columns else []
-    one = edges.groupBy("id").agg(
-        F.min_by("source", "doc_id").alias("source"), F.min_by("target", "doc_id").alias("target"), F.min_by("relation", "doc_id").alias("relation"),
-        F.bool_or("semantic").alias("semantic"), F.count_distinct("doc_id").alias("contributions"), *last,
+    """One row per edge id: ends and relation of the first contribution, properties (if edges have them) of the last, evidence of all, semantic if any is.
+
+    One aggregate does it all, so a contribution is shuffled once; repeats of evidence go before that.
+    """
+    last = ["properties"] if "properties" in edges.columns else []
+    each = edges.select("id", "doc_id", "source", "target", "relation", "semantic", *last, F.explode_outer("evidence").alias("v"))
+    merged = each.groupBy("id").agg(
+        _end(F.min, "source", "target", "relation").alias("_first"), F.bool_or("semantic").alias("semantic"), F.size(F.collect_set("doc_id")).cast("long").alias("contributions"),
+        F.sort_array(F.collect_set("v")).alias("evidence"), *(_end(F.max, c).alias("_last") for c in last),
     )
-    merged = one.join(_united(edges, "evidence"), "id", "left").withColumn("evidence", F.coalesce("evidence", F.array().cast("array<string>")))
-    return merged.select("id", "source", "target", "relation", "evidence", "semantic", "contributions", *(["properties"] if last else []))
+    return merged.select("id", "_first.source", "_first.target", "_first.relation", "evidence", "semantic", "contributions", *(f"_last.{c}" for c in last))
 
 
 def violations(nodes: DataFrame, edges: DataFrame, catalogue: DataFrame | None = None) -> DataFrame:
@@ -131,8 +133,9 @@ def commit_contributions(stored: DataFrame, batch: DataFrame, committed: DataFra
 
 def fold_nodes(contributions: DataFrame) -> DataFrame:
     """Merged nodes: the first contribution (by doc_id) gives kind and label, the last its value, aliases are united and joined by commas."""
-    n = contributions.groupBy("id").agg(F.min_by("kind", "doc_id").alias("kind"), F.min_by("label", "doc_id").alias("label"), F.max_by("value", "doc_id").alias("value"))
-    return n.join(_united(contributions, "aliases"), "id", "left").withColumn("aliases", F.coalesce(F.array_join("aliases", ","), F.lit("")))
+    each = contributions.select("id", "doc_id", "kind", "label", "value", F.explode_outer("aliases").alias("v"))
+    n = each.groupBy("id").agg(_end(F.min, "kind", "label").alias("_first"), _end(F.max, "value").alias("_last"), F.sort_array(F.collect_set("v")).alias("aliases"))
+    return n.select("id", "_first.kind", "_first.label", "_last.value", F.array_join("aliases", ",").alias("aliases"))
 
 
 def referenced(nodes: DataFrame, edges: DataFrame) -> DataFrame:
