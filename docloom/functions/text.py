@@ -5,22 +5,26 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
 #: Characters that NFKC leaves alone wherever they stand: most of Latin, Greek, Cyrillic, kana, CJK and common signs.
 _SETTLED = r"\x00-\x7F\u00A1-\u00A7\u00A9\u00AB-\u00AE\u00B0\u00B1\u00B6\u00B7\u00BB\u00BF-\u0131\u0134-\u013E\u0141-\u0148\u014A-\u017E\u0391-\u03CE\u0400-\u0482\u048A-\u052F\u2013\u2014\u2018-\u201E\u2020-\u2022\u20AC\u3001-\u3029\u3041-\u3096\u30A1-\u30FA\u3400-\u4DBF\u4E00-\u9FFF"
+#: Texts of a batch that are Python objects at a time.
+_PIECE = 64
 _CJK = "\u3400-\u4DBF\u4E00-\u9FFF"
 
 
 def nfkc(text: Column) -> Column:
     """Unicode's compatible composed form; only texts with a character that it may change leave the JVM."""
 
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
+    def run(texts: pa.Array) -> pa.Array:
+        some = (texts.slice(low, _PIECE).to_pylist() for low in range(0, len(texts), _PIECE))
+        return pa.concat_arrays([pa.array([t if t is None else unicodedata.normalize("NFKC", t) for t in piece], pa.string()) for piece in some] or [pa.array([], pa.string())])
 
-    return F.coalesce(F.pandas_udf(run, "string")(F.when(unsettled(text), text)), text)
+    return F.coalesce(F.arrow_udf(run, "string")(F.when(unsettled(text), text)), text)
 
 
 def _folded(text: Column) -> Column:

@@ -53,6 +53,11 @@ def document_frequency(posts: DataFrame) -> DataFrame:
     return posts.groupBy("kb_id", "token").agg(F.count("*").alias("df"))
 
 
+def chunk_frequency(chunks: DataFrame) -> DataFrame:
+    """As document_frequency of the chunks' postings; a chunk's distinct tokens are enough, so its terms are not counted."""
+    return document_frequency(tokenised(chunks).select("kb_id", F.explode(F.array_distinct("w")).alias("token")))
+
+
 def scope_statistics(chunks: DataFrame) -> DataFrame:
     """kb_id, n chunks and mean length, at least 1."""
     return _statistics(tokenised(chunks))

@@ -61,7 +61,7 @@ def e2_stored(spark, sf):
 
 
 def e3_document_frequency(spark, sf):
-    return R.document_frequency(R.postings(_chunks(spark, sf)))
+    return R.chunk_frequency(_chunks(spark, sf))
 
 
 def e3_scope_statistics(spark, sf):
