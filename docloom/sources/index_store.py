@@ -55,18 +55,28 @@ class IndexStore:
     def _write(self, rows: DataFrame, name: str, batch: int, *by: str) -> None:
         rows = rows.withColumn("batch", F.lit(batch).cast("long"))
         if by:
-            rows = rows.repartition(*by).sortWithinPartitions(*by, *(["token"] if "token" in rows.columns else []))
+            rows = rows.hint("rebalance", *by).sortWithinPartitions(*by, *(["token"] if "token" in rows.columns else []))
         rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by, "batch").parquet(f"{self.path}/{name}")
 
     def _present(self, ids: DataFrame, before: int) -> DataFrame:
         """The newest stored row of each chunk of ``ids`` (chunk_id, chunk_bucket) that no earlier batch has removed."""
         rows = self._read("forward").where(F.col("batch") < before).join(R.small_side(ids), ["chunk_id", "chunk_bucket"], "left_semi")
-        gone = self._read("stale").where(F.col("batch") < before).select("chunk_id", F.col("before").alias("batch"))
-        return rows.join(gone, ["chunk_id", "batch"], "left_anti")
+        return self._standing(rows, before)
+
+    def _standing(self, rows: DataFrame, before: int | None = None) -> DataFrame:
+        """Rows that no batch (of those before the given one) has replaced or removed; where none has replaced any, they aren't joined."""
+        if not self._exists("stale"):
+            return rows
+        stale = self._read("stale")
+        stale = stale if before is None else stale.where(F.col("batch") < before)
+        return rows.join(R.small_side(stale.select("chunk_id", F.col("before").alias("batch"))), ["chunk_id", "batch"], "left_anti")
 
     def upsert(self, chunks: DataFrame, batch: int, removed: DataFrame | None = None) -> None:
         """Writes new chunks, and replaces those that are there; chunks of ``removed`` (chunk_id) go. Of a repeated id in a batch one row is kept."""
-        one = chunks.withColumn("_r", F.row_number().over(Window.partitionBy("chunk_id").orderBy("doc_id", "text"))).where("_r = 1").drop("_r")
+        twice = cut(chunks.groupBy("chunk_id").agg(F.count("*").alias("_n")).where("_n > 1").select(F.col("chunk_id").alias("_id")))
+        same, twice = F.col("chunk_id").eqNullSafe(F.col("_id")), R.small_side(twice)
+        first = F.row_number().over(Window.partitionBy("chunk_id").orderBy("doc_id", "text"))  # only texts whose id repeats are shuffled
+        one = chunks.join(twice, same, "left_anti").unionByName(chunks.join(twice, same, "left_semi").withColumn("_r", first).where("_r = 1").drop("_r"))
         bucket = F.pmod(F.hash("chunk_id"), F.lit(CHUNK_BUCKETS))
         fresh = cut(R.counted(one.select("kb_id", "chunk_id", "doc_id", "text")).withColumn("chunk_bucket", bucket))
         touched = fresh.select("chunk_id")
@@ -101,8 +111,7 @@ class IndexStore:
         if terms is not None:
             asked = terms.select("kb_id", "token").distinct().withColumn("token_bucket", _token_bucket(F.col("token")))
             rows = rows.join(R.small_side(asked), ["kb_id", "token_bucket", "token"], "left_semi")
-        stale = self._read("stale").select("chunk_id", F.col("before").alias("batch"))
-        return rows.join(stale, ["chunk_id", "batch"], "left_anti").select("kb_id", "chunk_id", "doc_id", "len", "token", "tf")
+        return self._standing(rows).select("kb_id", "chunk_id", "doc_id", "len", "token", "tf")
 
     def bm25(self, queries: DataFrame, within: DataFrame | None = None) -> DataFrame:
         """query_id, kb_id, chunk_id, score > 0, for queries (query_id, kb_id, text); no chunk is tokenised. For ``within`` see bm25_score."""

@@ -4,6 +4,10 @@ from pyspark.sql import functions as F
 
 from docloom.operators import extraction as X
 from docloom.operators import graph as G
+from docloom.operators.graph import fold_nodes, merge_edges
+from docloom.operators.retrieval import chunk_frequency, document_frequency, postings
+from docloom.sources.derived import edges, single_edges
+from docloom.sources.index_store import IndexStore
 from docloom.sources.shared import cut
 from tests.growth import most_rows
 
@@ -63,3 +67,41 @@ def test_rankings_by_blocks_equal_all_pairs(spark, monkeypatch):
             assert told(R.bm25_top_k(hits, weights, 300, k, own)) == told(R.top_k(R.bm25_score(hits, weights, pairs).withColumn("_k", F.lit(4)), k))
             assert told(R.cosine_top_k(chunks, asked, k, own)) == told(R.top_k(R.cosine(chunks, asked, pairs), k))
     assert most_rows(R.cosine_top_k(chunks, asked, 4)) <= 4_000 < most_rows(R.top_k(R.cosine(chunks, asked), 4))
+
+
+def _plan(df):
+    return df.select("*")._jdf.queryExecution().executedPlan().toString()  # a plan that has not run
+
+
+def test_contributions_are_folded_in_one_shuffle(spark):
+    rows = [("a", 2, "s2", "t2", "R2", ["y", "x"], False, "p2"), ("a", 1, "s1", "t1", "R1", ["x"], True, "p1"), ("a", None, "s0", "t0", "R0", ["z"], False, "p0"), ("b", 1, None, "t", "R", [], False, None)]
+    given = spark.createDataFrame(rows, "id string, doc_id int, source string, target string, relation string, evidence array<string>, semantic boolean, properties string")
+    merged = merge_edges(given)
+    assert {tuple(r) for r in merged.withColumn("evidence", F.array_join("evidence", ",")).collect()} == {("a", "s1", "t1", "R1", "x,y,z", True, 2, "p2"), ("b", None, "t", "R", "", False, 1, None)}
+    nodes = given.select("id", "doc_id", F.col("source").alias("kind"), F.col("target").alias("label"), F.col("relation").alias("value"), F.col("evidence").alias("aliases"))
+    folded = fold_nodes(nodes)
+    assert {tuple(r) for r in folded.collect()} == {("a", "s1", "t1", "R2", "x,y,z"), ("b", None, "t", "R", "")}
+    assert all(_plan(df).count("Exchange hashpartitioning") == 1 for df in (merged, folded))
+
+
+def test_an_index_without_replaced_chunks_joins_no_stale_ones(spark, tmp_path):
+    store = IndexStore(spark, f"file://{tmp_path}/index")
+    chunks = spark.createDataFrame([("k", 1, 1, "one two"), ("k", 2, 1, "two"), ("k", 2, 2, "again"), ("k", None, 3, "x"), ("k", None, 3, "y")], "kb_id string, chunk_id long, doc_id long, text string")
+    store.upsert(chunks, 0)
+    assert {(r.chunk_id, r.token) for r in store.postings().collect()} == {(1, "one"), (1, "two"), (2, "two"), (None, "x")}
+    assert "LeftAnti" not in _plan(store.postings())
+    store.upsert(chunks.where("chunk_id = 1").withColumn("text", F.lit("three")), 1)
+    assert {(r.chunk_id, r.token) for r in store.postings().collect()} == {(1, "three"), (2, "two"), (None, "x")}
+
+
+def test_chunk_frequency_counts_no_terms(spark):
+    chunks = spark.createDataFrame([("k", 1, "a b a"), ("k", 2, "b Ａ 知识"), (None, 3, "a"), ("l", 4, None)], "kb_id string, chunk_id long, text string")
+    got = chunk_frequency(chunks)
+    assert {tuple(r) for r in got.collect()} == {tuple(r) for r in document_frequency(postings(chunks)).collect()} == {("k", "a", 2), ("k", "b", 2), ("k", "知", 1), ("k", "识", 1), ("k", "知识", 1), (None, "a", 1)}
+    assert "array_sort" not in _plan(got) and "sort_array" not in _plan(got)
+
+
+def test_single_edges_are_the_distinct_edges(spark):
+    sf = "/root/testdata/sf0.001"
+    got = single_edges(spark, sf)
+    assert sorted(got.collect()) == sorted(edges(spark, sf).select(*got.columns).distinct().collect())
