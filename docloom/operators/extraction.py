@@ -125,10 +125,10 @@ def _clean(values: Column) -> Column:
 
 def _merged(rows: DataFrame, keys: list[str], first: tuple[str, ...] = (), united: tuple[str, ...] = ("refs",)) -> DataFrame:
     """One row a key: the given columns of the first row by place, and the sorted union of each array column; repeats go before the shuffle."""
-    out = rows.groupBy(*keys).agg(*(F.min_by(c, "place").alias(c) for c in first), F.min("place").alias("place"))
+    out = rows.groupBy(*keys).agg(*(F.min_by(c, "place").alias(c) for c in first)) if first else None
     for c in united:
-        each = rows.select(*keys, F.explode(_clean(F.col(c))).alias("v")).groupBy(*keys).agg(F.sort_array(F.collect_set("v")).alias(c))
-        out = out.join(each, keys, "left").withColumn(c, F.coalesce(c, F.array().cast("array<string>")))
+        each = rows.select(*keys, F.explode_outer(_clean(F.col(c))).alias("v")).groupBy(*keys).agg(F.sort_array(F.collect_set("v")).alias(c))
+        out = each if out is None else out.join(each, keys, "left").withColumn(c, F.coalesce(c, F.array().cast("array<string>")))
     return out
 
 
@@ -166,27 +166,37 @@ def merge_extractions(entities: DataFrame, claims: DataFrame, relations: DataFra
     merged = cut(merge_entities(entities.where(whole)))
     named = entities.where(whole).select("doc_id", "batch", F.col("ref").alias("_local"), "place", F.trim("kind").alias("kind"), alias_key(F.trim("name")).alias("key"))
     local = named.groupBy("doc_id", "batch", "_local").agg(F.max_by(F.struct("kind", "key"), "place").alias("k")).select("doc_id", "batch", "_local", "k.*")
-    # how a key is written decides the order of claims and relations
-    written = F.concat(F.lit("('"), F.col("kind"), F.lit("', '"), F.col("key"), F.lit("')"))
-    local = cut(local.join(merged.select("doc_id", "kind", "key", "ref"), ["doc_id", "kind", "key"]).select("doc_id", "batch", "_local", F.struct(written.alias("key"), F.col("ref").alias("ref")).alias("_end")))
+    local = cut(local.join(merged.select("doc_id", "kind", "key", "ref"), ["doc_id", "kind", "key"]).select("doc_id", "batch", "_local", F.col("ref").alias("_end")))
+    # how a key is written decides the order of claims and relations; rows are merged by the shorter references
+    written = merged.select("doc_id", F.col("ref").alias("_end"), F.concat(F.lit("('"), F.col("kind"), F.lit("', '"), F.col("key"), F.lit("')")).alias("_key"))
 
     def ended(rows: DataFrame, *ends: str) -> DataFrame:
         for e in ends:
-            rows = rows.join(local.withColumnsRenamed({"_local": e, "_end": f"_{e}"}), ["doc_id", "batch", e], "left")
+            rows = rows.join(local.withColumnsRenamed({"_local": e, "_end": f"_{e}"}), ["doc_id", "batch", e])
         return rows
 
+    def ordered(rows: DataFrame, *ends: str) -> DataFrame:
+        for e in ends:
+            rows = rows.join(written.withColumnsRenamed({"_end": f"_{e}", "_key": f"_{e}_key"}), ["doc_id", f"_{e}"])
+        return rows
+
+    def unknown(rows: DataFrame, code: str, *ends: str) -> DataFrame:
+        """Batches with a reference that they don't declare; each reference is looked up once, however many rows have it."""
+        used = rows.select("doc_id", "batch", F.explode(F.array(*ends)).alias("_local")).distinct()
+        there = local.select("doc_id", "batch", "_local", F.lit(True).alias("_there"))
+        return used.join(there, ["doc_id", "batch", "_local"], "left").where("_there is null").select("doc_id", "batch", F.lit(code).alias("code"))  # an anti join would be moved below the distinct
+
     texts = lambda rows, *cols: rows.withColumns({c: F.trim(F.coalesce(c, F.lit(""))) for c in cols})
-    c, r = ended(texts(claims, "statement"), "subject_ref"), ended(texts(relations, "predicate", "statement"), "source_ref", "target_ref")
-    known = {"claim": F.col("_subject_ref").isNotNull(), "relation": F.col("_source_ref").isNotNull() & F.col("_target_ref").isNotNull()}
-    said = lambda rows, code: rows.select("doc_id", "batch", F.lit(code).alias("code"))
-    problems = said(entities.where(~whole), "incomplete_entity").union(said(c.where(~known["claim"]), "claim_of_unknown_entity")).union(said(r.where(~known["relation"]), "relation_of_unknown_entity")).distinct()
-    c = _numbered(_merged(c.where(known["claim"]), ["doc_id", "_subject_ref", "statement"]), "claim", F.col("_subject_ref.key"), F.col("statement"))
-    r = _merged(r.where(known["relation"]), ["doc_id", "_source_ref", "_target_ref", "predicate", "statement"])
-    r = _numbered(r, "relation", F.col("_source_ref.key"), F.col("_target_ref.key"), F.col("predicate"), F.col("statement"))
+    missing = unknown(claims, "claim_of_unknown_entity", "subject_ref").union(unknown(relations, "relation_of_unknown_entity", "source_ref", "target_ref"))
+    problems = entities.where(~whole).select("doc_id", "batch", F.lit("incomplete_entity").alias("code")).union(missing).distinct()
+    c = ordered(_merged(ended(texts(claims, "statement"), "subject_ref"), ["doc_id", "_subject_ref", "statement"]), "subject_ref")
+    c = _numbered(c, "claim", F.col("_subject_ref_key"), F.col("statement"))
+    r = _merged(ended(texts(relations, "predicate", "statement"), "source_ref", "target_ref"), ["doc_id", "_source_ref", "_target_ref", "predicate", "statement"])
+    r = _numbered(ordered(r, "source_ref", "target_ref"), "relation", F.col("_source_ref_key"), F.col("_target_ref_key"), F.col("predicate"), F.col("statement"))
     return (
         merged.select("doc_id", "ref", "kind", "name", "aliases", "refs"),
-        c.select("doc_id", "ref", F.col("_subject_ref.ref").alias("subject_ref"), "statement", "refs"),
-        r.select("doc_id", "ref", F.col("_source_ref.ref").alias("source_ref"), F.col("_target_ref.ref").alias("target_ref"), "predicate", "statement", "refs"),
+        c.select("doc_id", "ref", F.col("_subject_ref").alias("subject_ref"), "statement", "refs"),
+        r.select("doc_id", "ref", F.col("_source_ref").alias("source_ref"), F.col("_target_ref").alias("target_ref"), "predicate", "statement", "refs"),
         problems,
     )
 
