@@ -204,16 +204,17 @@ def merge_extractions(entities: DataFrame, claims: DataFrame, relations: DataFra
 def resolve(declared: DataFrame) -> DataFrame:
     """id, root: declarations (id, kind, names) that share a kind and an alias, directly or through others.
 
-    Labels move from declarations to aliases and back, each way a combined minimum, until none changes.
+    Labels move from declarations to aliases and back, each way a combined minimum, until none changes. A round's
+    tables meet by shuffle, as broadcasts would send them through the driver in every round.
     """
     ties = cut(declared.select("id", F.explode(F.array_distinct("names")).alias("name"), "kind").select("id", F.concat_ws(":", "kind", alias_key(F.col("name"))).alias("alias")).distinct())
     roots = declared.select("id", F.col("id").alias("root"))
     while True:
-        by_alias = ties.join(roots, "id").groupBy("alias").agg(F.min("root").alias("least"))
-        own = ties.join(by_alias, "alias").groupBy("id").agg(F.min("least").alias("least"))
-        after = roots.join(own, "id", "left").select("id", F.least("root", F.coalesce("least", "root")).alias("root"), F.col("root").alias("before"))
+        by_alias = ties.join(roots.hint("merge"), "id").groupBy("alias").agg(F.min("root").alias("least"))
+        own = ties.join(by_alias.hint("merge"), "alias").groupBy("id").agg(F.min("least").alias("least"))
+        after = roots.join(own.hint("merge"), "id", "left").select("id", F.least("root", F.coalesce("least", "root")).alias("root"), F.col("root").alias("before"))
         jump = after.select(F.col("id").alias("root"), F.col("root").alias("further"))
-        after = cut(after.join(jump, "root", "left").select("id", F.coalesce("further", "root").alias("root"), "before"))
+        after = cut(after.join(jump.hint("merge"), "root", "left").select("id", F.coalesce("further", "root").alias("root"), "before"))
         if after.where("root <> before").isEmpty():
             return after.select("id", "root")
         roots = after.select("id", "root")

@@ -34,3 +34,11 @@ def test_problems_look_each_reference_up_once(spark):
     problems = X.merge_extractions(*_extractions(spark))[3]
     assert {tuple(r) for r in problems.collect()} == {(1, 0, "claim_of_unknown_entity"), (1, 0, "relation_of_unknown_entity"), (1, 1, "relation_of_unknown_entity")}
     assert _rows_joined(problems) <= 10
+
+
+def test_resolve_sends_no_table_to_the_driver(spark, monkeypatch):
+    plans, cut = [], X.cut
+    monkeypatch.setattr(X, "cut", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or cut(df))
+    declared = spark.createDataFrame([(i, "K", [f"a{i}", f"a{i - 1}"]) for i in range(1, 9)] + [(20, "L", ["a1"])], "id long, kind string, names array<string>")
+    assert {tuple(r) for r in X.resolve(declared).collect()} == {(i, 1) for i in range(1, 9)} | {(20, 20)}
+    assert len(plans) > 2 and not any("Broadcast" in p for p in plans)
