@@ -97,19 +97,23 @@ def violations(nodes: DataFrame, edges: DataFrame, catalogue: DataFrame | None =
     """id, code: node ids given twice, edges without one of their nodes, semantic edges without evidence.
 
     Where edges have a kb_id, also edges whose source is of another knowledge base; with a catalogue (evidence,
-    doc_id), also edges with evidence of another document than their own.
+    doc_id), also edges with evidence of another document than their own. Edges are written once for all checks, and
+    each source meets its nodes once.
     """
-    ids = nodes.select("id")
-    lost = lambda end: edges.join(ids.withColumnRenamed("id", end), end, "left_anti").select("id", F.lit(f"missing_{end}").alias("code"))
-    twice = nodes.groupBy("kb_id", "id").agg(F.count("*").alias("c")).where("c > 1").select("id", F.lit("duplicate_node").alias("code"))
-    bare = edges.where(F.col("semantic") & (F.size("evidence") == 0)).select("id", F.lit("no_evidence").alias("code"))
-    found = twice.union(lost("source")).union(lost("target")).union(bare)
+    edges = cut(edges.select(*(c for c in ("id", "doc_id", "kb_id", "source", "target", "semantic", "evidence") if c in edges.columns)))
+    out = lambda df, code: df.select("id", F.lit(code).alias("code"))
+    twice = out(nodes.groupBy("kb_id", "id").agg(F.count("*").alias("c")).where("c > 1"), "duplicate_node")
+    bare = out(edges.where(F.col("semantic") & (F.size("evidence") == 0)), "no_evidence")
+    lost = out(edges.select("id", "target").join(nodes.select(F.col("id").alias("target")), "target", "left_anti"), "missing_target")
+    homes = nodes.groupBy(F.col("id").alias("source")).agg(F.count("*").alias("_there"), F.min("kb_id").alias("_least"), F.max("kb_id").alias("_most"))
+    codes = [F.when(F.col("_there").isNull(), "missing_source")]
     if "kb_id" in edges.columns:
-        home = nodes.select(F.col("id").alias("source"), F.col("kb_id").alias("_home"))
-        found = found.union(edges.join(home, "source").where("kb_id <> _home").select("id", F.lit("other_knowledge_base").alias("code")))
+        codes.append(F.when((F.col("kb_id") != F.col("_least")) | (F.col("kb_id") != F.col("_most")), "other_knowledge_base"))
+    from_ = edges.select("id", "source", *(c for c in ("kb_id",) if c in edges.columns)).join(homes, "source", "left")
+    found = twice.union(bare).union(lost).union(from_.select("id", F.explode(F.array_compact(F.array(*codes))).alias("code")))
     if catalogue is not None:
         own = edges.select("id", "doc_id", F.explode("evidence").alias("evidence")).join(catalogue.select("evidence", F.col("doc_id").alias("_of")), "evidence")
-        found = found.union(own.where("doc_id <> _of").select("id", F.lit("foreign_evidence").alias("code")))
+        found = found.union(out(own.where("doc_id <> _of"), "foreign_evidence"))
     return found.distinct()
 
 

@@ -1,6 +1,7 @@
 """Steps that large tables pass: how often rows are read, and what is sent to the driver."""
 
 from docloom.operators import extraction as X
+from docloom.operators import graph as G
 from tests.growth import _steps
 
 
@@ -42,3 +43,19 @@ def test_resolve_sends_no_table_to_the_driver(spark, monkeypatch):
     declared = spark.createDataFrame([(i, "K", [f"a{i}", f"a{i - 1}"]) for i in range(1, 9)] + [(20, "L", ["a1"])], "id long, kind string, names array<string>")
     assert {tuple(r) for r in X.resolve(declared).collect()} == {(i, 1) for i in range(1, 9)} | {(20, 20)}
     assert len(plans) > 2 and not any("Broadcast" in p for p in plans)
+
+
+def test_violations_evaluate_their_edges_once(spark):
+    nodes = spark.createDataFrame([(0, "a"), (1, "b"), (1, "b"), (0, "c"), (2, "c"), (None, "d")], "kb_id int, id string")
+    edges = spark.createDataFrame(
+        [("1", "a", "b", True, ["v"], 0, 5), ("2", "a", "x", True, [], 0, 5), ("3", "x", "a", False, [], 0, 5), ("4", "b", "a", True, ["v"], 0, 6), ("5", "c", "a", True, ["w"], 0, 5), ("6", "d", "a", True, ["v"], 0, 5), ("7", "a", "a", True, ["v"], None, 5), ("8", None, "a", False, [], 0, 5)],
+        "id string, source string, target string, semantic boolean, evidence array<string>, kb_id int, doc_id int",
+    )
+    catalogue = spark.createDataFrame([("v", 5)], "evidence string, doc_id int")
+    found = G.violations(nodes, edges, catalogue)
+    assert _reads(found, "semantic") == 0
+    assert sorted(tuple(r) for r in found.collect()) == [
+        ("2", "missing_target"), ("2", "no_evidence"), ("3", "missing_source"), ("4", "foreign_evidence"), ("4", "other_knowledge_base"), ("5", "other_knowledge_base"), ("8", "missing_source"), ("b", "duplicate_node"),
+    ]
+    plain = G.violations(nodes, edges.drop("kb_id", "doc_id"))
+    assert {r.code for r in plain.collect()} == {"duplicate_node", "missing_source", "missing_target", "no_evidence"}
