@@ -10,6 +10,8 @@ from docloom.llm.scratch import Scratch
 
 #: Rows of test-side tables (terms, anchors) that may be broadcast; beyond it they are joined by shuffle.
 BROADCAST_ROWS = 200_000
+#: Documents that may be broadcast as a list of ids (8 bytes each); longer lists are joined by shuffle.
+BROADCAST_IDS = 1_000_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -19,6 +21,11 @@ def word_array(text: Column) -> Column:
     return F.coalesce(F.regexp_extract_all(low, F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"), F.lit(0)), F.array().cast("array<string>"))
 
 
+def word_count(text: Column) -> Column:
+    """Words of a text in number; capitals are told as letters, so none is lower-cased."""
+    return F.coalesce(F.regexp_count(text, F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")), F.lit(0)).cast("long")
+
+
 def item_windows(items: DataFrame, size: int) -> DataFrame:
     """item_id, words, phrase: ``size`` consecutive words of an item, or all of a shorter one; distinct per item."""
     w = items.select("item_id", word_array(F.col("text")).alias("w")).where(F.size("w") > 0)
@@ -59,8 +66,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, size: int = 10, rarest: int
 
     1. Corpus frequencies of the items' terms, over all texts.
     2. Each window's rarest terms are its anchors; the texts' postings of anchors are stored.
-    3. Anchor postings, moved back by their offset, meet in (phrase, text, start); starts that all anchors
-       of a phrase name are candidates, and the phrase is compared with the text's words there.
+    3. Anchor postings, moved back by their offset, meet in (phrase's number, text, start); starts that all
+       anchors of a phrase name are candidates, and the phrase is compared with the text's words there.
 
     Only test-side tables are broadcast, below a counted bound. Lists are met by aggregates that combine
     before the shuffle. A null or empty text has no words and no hits; an item without words has no
@@ -73,14 +80,19 @@ def decontaminate(docs: DataFrame, items: DataFrame, size: int = 10, rarest: int
     windows = scratch.save(item_windows(items.select(items[item_id_col].alias("item_id"), items[item_text_col].alias("text")), size))
     frequencies = scratch.save(_frequencies(docs, windows))
     anchor = scratch.save(anchors(windows, frequencies, rarest))
+    phrases = scratch.save(anchor.select("phrase", "size").distinct().withColumn("number", F.monotonically_increasing_id()))
     index = scratch.save(postings(docs, anchor.select("term").distinct()))
-    starts = index.join(_small(anchor), "term").select("phrase", "doc", "size", "n", (F.col("pos") - F.col("offset")).alias("start")).where("start >= 0")
-    met = starts.groupBy("phrase", "doc", "start", "size", "n").agg(F.count("*").alias("c")).where("c = n")
-    candidates = scratch.save(met.groupBy("doc").agg(F.collect_list(F.struct("start", "size", "phrase")).alias("asked")))
-
-    read = docs.join(candidates, F.col("_doc") == F.col("doc"), "left").withColumn("words", word_array(F.col("text")))  # texts, not their words, are shuffled
+    numbered = scratch.save(anchor.join(phrases.select("phrase", "number"), "phrase").select("number", "term", "offset", "n"))
+    starts = index.join(_small(numbered), "term").select("number", "doc", "n", (F.col("pos") - F.col("offset")).alias("start")).where("start >= 0")
+    met = starts.groupBy("number", "doc", "start", "n").agg(F.count("*").alias("c")).where("c = n")
+    candidates = scratch.save(met.join(_small(phrases), "number").groupBy("doc").agg(F.collect_list(F.struct("start", "size", "phrase")).alias("asked")))
+
+    # texts without a candidate are not shuffled; of the others texts, not their words
+    listed = candidates.select("doc")
+    asked = docs.join(F.broadcast(listed) if listed.count() <= BROADCAST_IDS else listed, F.col("_doc") == F.col("doc"), "left_semi")
+    read = asked.join(candidates, F.col("_doc") == F.col("doc")).withColumn("words", word_array(F.col("text")))
     there = F.filter("asked", lambda c: F.array_join(F.slice("words", c["start"] + 1, c["size"]), " ") == c["phrase"])
-    read = scratch.save(read.select("_doc", "doc_id", F.size("words").cast("long").alias("n_words"), F.array_sort(there).alias("hits")))
+    read = scratch.save(read.select("_doc", F.size("words").alias("n"), F.array_sort(there).alias("hits")))  # words named twice, so they aren't made anew for each candidate
     zero = F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("n"))
 
     def cover(acc, hit):
@@ -91,7 +103,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, size: int = 10, rarest: int
     found = read.select("_doc", F.explode(F.array_distinct(F.transform("hits", lambda c: c["phrase"]))).alias("phrase"))
     owners = windows.groupBy("phrase").agg(F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("owners"))
     named = found.join(owners, "phrase").groupBy("_doc").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_set("owners")))).alias("item_ids"))  # a text's phrases mostly have the same owners
-    out = read.select("_doc", "doc_id", "n_words", n_hit.alias("n_hit")).join(named, "_doc", "left")
+    hit = read.select("_doc", n_hit.alias("n_hit")).join(named, "_doc", "left")
+    out = docs.select("_doc", "doc_id", word_count(F.col("text")).alias("n_words")).join(hit, "_doc", "left").withColumn("n_hit", F.coalesce("n_hit", F.lit(0).cast("long")))
     ids = F.coalesce("item_ids", F.array().cast("array<string>"))
     return out.select("doc_id", "n_words", "n_hit", F.size(ids).cast("long").alias("n_items"), F.sha2(F.array_join(ids, ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), ids.alias("item_ids"))
 
