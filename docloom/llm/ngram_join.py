@@ -108,6 +108,11 @@ def _prefixes(docs: DataFrame, k: int, percent: int, level) -> DataFrame:
     return docs.select("_doc", "doc_id", "text").mapInArrow(run, "doc long, doc_id long, n long, key binary, prefix array<long>, next long, ranges array<int>")
 
 
+def _listed(ids: DataFrame) -> DataFrame:
+    """A table of ids: broadcast if its counted rows are few enough."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
 def _packed_texts(docs: DataFrame, members: DataFrame) -> DataFrame:
     """(doc, text as a zstd frame) of the members; a text takes about a quarter of its set's room."""
 
@@ -119,9 +124,7 @@ def _packed_texts(docs: DataFrame, members: DataFrame) -> DataFrame:
             packed = [pack((t or "").encode("utf-8", "surrogatepass")) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], names=["doc", "packed"])
 
-    if members.count() <= BROADCAST_IDS:
-        members = F.broadcast(members)
-    some = docs.join(members, docs["_doc"] == members["doc"], "left_semi").select("_doc", "text")
+    some = docs.join(_listed(members), docs["_doc"] == members["doc"], "left_semi").select("_doc", "text")
     return some.mapInArrow(run, "doc long, packed binary")
 
 
@@ -185,15 +188,18 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, id_col: s
     docs = with_order_key(docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")), scratch)
     level = spark.sparkContext.broadcast(shingle_order(docs.select("text"), k))
     texts = scratch.save(_prefixes(docs, k, percent, level))
-    classes = texts.where("n > 0 and doc_id is not null").groupBy("key").agg(F.min(F.struct("doc", "doc_id")).alias("head"))
-    classes = scratch.save(classes.select("key", "head.*"))
+    members = texts.where("n > 0 and doc_id is not null")
+    classes = members.groupBy("key").agg(F.min(F.struct("doc", "doc_id")).alias("head"), F.count("*").alias("size"))
+    classes = scratch.save(classes.select("key", "head.*", "size"))
 
-    lead = texts.join(classes.select("doc"), "doc", "left_semi").where(100 * F.col("n") >= percent * (F.col("n") + 1))  # smaller sets link with equal ones only
+    shared = classes.where("size > 1").select("key", F.col("doc").alias("first"))
+    copies = _listed(scratch.save(members.select("key", "doc").join(shared, "key").where("doc <> first").select("doc")))  # few beside the representatives
+    lead = members.join(copies, "doc", "left_anti").where(100 * F.col("n") >= percent * (F.col("n") + 1))  # smaller sets link with equal ones only
     posted = lead.select(F.posexplode("prefix").alias("pos", "item"), "doc", F.col("n").cast("int").alias("n"))
     indexed = (F.col("n") - F.col("pos")) * (100 + percent) >= F.col("n") * (2 * percent)  # may be the smaller set's first shared shingle
     lists = posted.groupBy("item").agg(F.count("*").alias("c"), F.max(indexed).alias("indexed")).where("c > 1 and indexed").select("item")
     post = scratch.save(posted.join(lists, "item", "left_semi"))
-    ranges = scratch.save(lead.select("doc", "ranges").join(post.select("doc").distinct(), "doc", "left_semi"))
+    ranges = scratch.save(lead.select("doc", "ranges").join(_listed(scratch.save(post.select("doc").distinct())), "doc", "left_semi"))
 
     def possible(pairs: DataFrame) -> DataFrame:
         """Distinct pairs a < b after the length, positional and suffix filters."""
@@ -224,7 +230,7 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, id_col: s
         keys = F.col("n") - least + 1 - F.col("pos")
         sizes = live.groupBy("item").agg(F.count("*").alias("c"), F.sum(keys).alias("keys"), F.min(least).alias("least"))
         dealt = live.join(sizes.select("item", F.expr("least >= 2 and c * (c - 1) > 2 * keys").alias("dealt")), "item")
-        rarest = lead.select("doc", F.concat("prefix", F.array("next")).alias("rarest"))
+        rarest = lead.select("doc", F.concat("prefix", F.array("next")).alias("rarest")).join(_listed(scratch.save(live.select("doc").distinct())), "doc", "left_semi")
         some = dealt.where("dealt").join(rarest, "doc")
         some = some.select(*live.columns, F.explode(F.slice("rarest", F.col("pos") + 2, F.size("rarest"))).alias("second"))
         return some.union(dealt.where("not dealt").select(*live.columns, F.lit(0).cast("long").alias("second")))

@@ -3,6 +3,7 @@
 import pytest
 
 from docloom.llm.decontam import decontaminate
+from docloom.llm.ngram_join import jaccard_components
 from docloom.llm.scratch import Scratch
 from tests.growth import _steps
 
@@ -33,3 +34,10 @@ def test_only_texts_with_candidates_are_shuffled(spark, moved):
     assert rows[0] == (13, 10, 1) and rows[1] == (6, 0, 0) and rows[100] == rows[101] == (0, 0, 0) and len(rows) == 102
     assert sum(n for columns, n in moved if "text#" in columns) <= 5
     assert not any("phrase#" in columns and "start#" in columns for columns, _ in moved)
+
+
+def test_prefixes_are_not_shuffled(spark, moved):
+    text = " ".join(f"w{i}" for i in range(40))
+    docs = spark.createDataFrame([(1, text), (2, text), (3, text + " x"), (4, "other " * 3 + "words here"), (5, None)], "doc_id long, text string")
+    assert {(r.doc_id, r.component_id) for r in jaccard_components(docs, k=3, percent=80).collect()} == {(1, 1), (2, 1), (3, 1), (4, 4), (5, 5)}
+    assert not any("prefix#" in columns or "ranges#" in columns and "n#" in columns for columns, _ in moved)
