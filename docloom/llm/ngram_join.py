@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docloom.llm.components import components
@@ -113,6 +113,16 @@ def _listed(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
 
+def _without_equal(postings: DataFrame, item: str, most: int) -> DataFrame:
+    """postings (``item``, doc, pos) without the items that stand in the same documents as ``most`` rarer ones: each pair meets in those first.
+
+    Lists of documents are compared by their number and 128 bits of their ids' hashes.
+    """
+    lists = postings.groupBy(item).agg(F.count("*").alias("c"), *(F.bit_xor(F.xxhash64("doc", F.lit(i))).alias(f"h{i}") for i in (0, 1)), F.min(F.struct("doc", "pos")).alias("head"))
+    rank = F.row_number().over(Window.partitionBy("c", "h0", "h1").orderBy("head.pos"))  # all of them stand in one document, rarest first
+    return postings.join(lists.select(item, rank.alias("rank")).where(F.col("rank") <= most).select(item), item, "left_semi")
+
+
 def _packed_texts(docs: DataFrame, members: DataFrame) -> DataFrame:
     """(doc, text as a zstd frame) of the members; a text takes about a quarter of its set's room."""
 
@@ -175,7 +185,10 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, id_col: s
        components are joined and checked. A dense group of near copies thus costs about one check a
        member, and no link between components is lost.
     5. Before that last join, a list with more pairs than second keys is dealt by the second shingle that
-       a link must share as well, among the index prefix and the shingle after it. Sets too small to link
+       a link must share as well, among the index prefix and the shingle after it. Of shingles that stand in
+       the same documents (those of a common passage), only the rarest is a list and the two rarest are
+       second ones, unless no other component has them or they stand too late for the sizes in the
+       list. Sets too small to link
        with any other set are not posted. A shingle common to many unlike texts is thus no square of them.
 
     Shingles are compared by 64-bit hashes. A null or empty text has n_shingles 0 and is its own
@@ -226,13 +239,18 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, id_col: s
 
     def by_second(live: DataFrame) -> DataFrame:
         """live with ``second``: 0, or, where that makes fewer rows than a list has pairs, each shingle that can be the second one that a link shares."""
-        least = F.ceil(F.lit(percent) * F.col("n") / 100)  # that a link of this set shares
-        keys = F.col("n") - least + 1 - F.col("pos")
-        sizes = live.groupBy("item").agg(F.count("*").alias("c"), F.sum(keys).alias("keys"), F.min(least).alias("least"))
-        dealt = live.join(sizes.select("item", F.expr("least >= 2 and c * (c - 1) > 2 * keys").alias("dealt")), "item")
-        rarest = lead.select("doc", F.concat("prefix", F.array("next")).alias("rarest")).join(_listed(scratch.save(live.select("doc").distinct())), "doc", "left_semi")
-        some = dealt.where("dealt").join(rarest, "doc")
-        some = some.select(*live.columns, F.explode(F.slice("rarest", F.col("pos") + 2, F.size("rarest"))).alias("second"))
+        least = F.greatest("least", F.ceil(F.lit(percent) * F.col("n") / 100))  # size of the smallest set in the list that can link with this one
+        last = F.col("n") - F.ceil(percent * (F.col("n") + least) / (100 + percent))  # where a link's first shared shingle stands at most
+        near = live.join(live.groupBy("item").agg(F.min("n").alias("least")), "item").withColumn("last", last.cast("int")).where("pos <= last").select(*live.columns, "last")
+        live = scratch.save(_without_equal(near, "item", 1))
+        sizes = live.groupBy("item").agg(F.count("*").alias("c"), F.sum(F.col("last") + 1 - F.col("pos")).alias("keys"), F.min(F.ceil(F.lit(percent) * F.col("n") / 100)).alias("least"))
+        dealt = scratch.save(live.join(sizes.select("item", F.expr("least >= 2 and c * (c - 1) > 2 * keys").alias("dealt")), "item"))
+        holders = _listed(scratch.save(dealt.where("dealt").select("doc", F.col("comp").alias("of")).distinct()))
+        seconds = lead.join(holders, "doc").select("doc", "of", F.posexplode(F.concat("prefix", F.array("next"))).alias("pos", "second"))
+        seconds = scratch.save(seconds.where("second is not null"))
+        several = seconds.groupBy("second").agg(F.min("of").alias("c0"), F.max("of").alias("c1")).where("c0 <> c1").select("second")
+        seconds = _without_equal(seconds.join(several, "second", "left_semi"), "second", 2).select("doc", F.col("pos").alias("at"), "second")
+        some = dealt.where("dealt").join(seconds, "doc").where("at > pos and at <= last + 1").select(*live.columns, "second")
         return some.union(dealt.where("not dealt").select(*live.columns, F.lit(0).cast("long").alias("second")))
 
     live, tried, links, roots = post.withColumn("comp", F.col("doc")), [], None, None

@@ -66,6 +66,26 @@ def test_texts_of_few_shared_words(spark):
         assert got == brute.jaccard_components(rows, percent=percent)
 
 
+def test_rows_of_second_shingles_follow_the_texts(spark, monkeypatch):
+    """Texts of a common passage that do not link: its shingles stand in the same texts, so one of them is a list; some texts link besides."""
+    dealt, save = [], Scratch.save
+
+    def noted(self, df):
+        out = save(self, df)
+        if {"item", "second"} <= set(df.columns):
+            dealt.append(out.count())
+        return out
+
+    monkeypatch.setattr(Scratch, "save", noted)
+    passage = [f"p{i}" for i in range(22)]
+    rows = [(i, " ".join([f"own{i}x{j}" for j in range(12 - i % 6)] + passage + [f"own{i}y{j}" for j in range(i % 4)])) for i in range(0, 120, 2)]
+    rows += [(i + 1, text + f" last{i}") for i, text in rows[:9]]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_components(df, percent=55).collect()}
+    assert got == brute.jaccard_components(rows, percent=55)
+    assert len(dealt) == 1 and dealt[0] <= 3 * len(rows)
+
+
 def test_components_of_chains_and_stars(spark):
     chain = [(i, i + 1) for i in range(40)]
     star = [(1000, i) for i in range(1001, 1200)]
