@@ -7,6 +7,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,7 +28,10 @@ FREQUENT = 1 << 16
 ROUNDS, BATCH, STEP = 2, 4096, 0.05
 #: Texts whose sums one combining step adds at most.
 FAN_IN = 64
+#: Tasks of a training round, at most: this many, or one for TOKENS_A_MOVE tokens for each hashed weight row, so that the weights they send follow the input.
+LEAST_TASKS, TOKENS_A_MOVE = 16, 128
 _BLOCK = 256
+_ROW = np.dtype((np.void, 4 * WIDTH))
 
 END = int(mix(np.array([0xE0F], np.uint64))[0])
 START = mix(np.array([0x57A, 0x57B], np.uint64))
@@ -61,8 +65,10 @@ def count_tokens(texts: DataFrame) -> DataFrame:
 
         def add() -> None:
             h, tail, n = (np.concatenate(x) for x in zip(*held, strict=True))
-            u, first, back = np.unique(h, return_index=True, return_inverse=True)
-            held[:] = [(u, tail[first], np.bincount(back, weights=n).astype(np.int64))]
+            back, u = pd.factorize(h)  # by hashing, far quicker than a sort
+            tails = np.empty(len(u), tail.dtype)
+            tails[back] = tail  # equal for equal words
+            held[:] = [(u, tails, np.bincount(back, weights=n).astype(np.int64))]
 
         def out() -> pa.RecordBatch:
             h, tail, n = held.pop()
@@ -102,6 +108,10 @@ def weight_rows(tokens: int) -> int:
     return n
 
 
+def training_tasks(tokens: int) -> int:
+    return max(LEAST_TASKS, tokens // (TOKENS_A_MOVE * weight_rows(tokens)))
+
+
 def feature_rows(t: Tokens, classes: np.ndarray, n_rows: int) -> tuple[np.ndarray, np.ndarray]:
     """Rows of the weights and outcome of each token's two choices: its class, and its subclass given the class.
 
@@ -134,8 +144,10 @@ def feature_rows(t: Tokens, classes: np.ndarray, n_rows: int) -> tuple[np.ndarra
 def _chances(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """Probabilities of the WIDTH outcomes of some choices."""
     x = weights.take(rows[0], axis=0)
+    more = np.empty_like(x)
     for r in rows[1:]:
-        x += weights.take(r, axis=0)
+        np.take(weights, r, axis=0, out=more, mode="clip")  # all rows are there; clipping spares a copy
+        x += more
     top = x
     while top.shape[1] > 1:  # halves against halves, as a maximum along short rows is slow
         half = top.shape[1] // 2
@@ -146,16 +158,22 @@ def _chances(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return x
 
 
-def _update(weights: np.ndarray, squares: np.ndarray, seen: np.ndarray, rows: np.ndarray, outcome: np.ndarray) -> None:
-    """One gradient step (per-row AdaGrad) on a batch of choices."""
+def _update(weights: np.ndarray, squares: np.ndarray, rows: np.ndarray, outcome: np.ndarray) -> None:
+    """One gradient step (per-row AdaGrad) on a batch of choices, classes first; the last feature is the bias."""
     slope = _chances(weights, rows)
     slope[np.arange(len(outcome)), outcome] -= 1.0
-    for r in rows:  # a batch is a sparse matrix of choices by rows; its product with the slopes, row by row
+    for r in rows[:-1]:  # a batch is a sparse matrix of choices by rows; its product with the slopes, row by row
         keyed = np.sort((r << 16) | np.arange(len(r)))  # far quicker than an argsort; batches are shorter than 2**16
         ordered, order = keyed >> 16, keyed & 0xFFFF
         first = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
         n = np.diff(np.append(first, len(order)))
-        _step(weights, squares, seen, ordered[first], _sums(slope, order, first, n), n)
+        _step(weights, squares, ordered[first], _sums(slope, order, first, n), n)
+    half, bias = len(outcome) // 2, rows[-1]  # one row of all classes, and one of the subclasses of each class: sums by a product
+    own = outcome[:half] == np.arange(WIDTH)[:, None]
+    n = own.sum(1)
+    u = bias[0] + 1 + np.flatnonzero(n)
+    sums = (own[n > 0].astype(np.float32) @ slope[half:]).astype(np.float32)
+    _step(weights, squares, np.append(bias[0], u), np.vstack((slope[:half].sum(0), sums)), np.append(half, n[n > 0]))
 
 
 def _sums(slope: np.ndarray, order: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -169,13 +187,14 @@ def _sums(slope: np.ndarray, order: np.ndarray, first: np.ndarray, n: np.ndarray
     return g
 
 
-def _step(weights, squares, seen, u, g, n) -> None:
-    g /= np.sqrt(n, dtype=np.float32)[:, None]
-    now = squares[u] + np.einsum("ij,ij->i", g, g) / WIDTH
+def _step(weights, squares, u, g, n) -> None:
+    n = n.astype(np.float32)
+    now = squares.take(u) + np.einsum("ij,ij->i", g, g) / (n * np.float32(WIDTH))
     squares[u] = now
-    seen[u] += n
-    g *= (STEP / (np.sqrt(now) + 1e-3)).astype(np.float32)[:, None]
-    weights[u] -= g
+    g *= (np.float32(STEP) / ((np.sqrt(now) + np.float32(1e-3)) * np.sqrt(n)))[:, None]
+    moved = weights.take(u, axis=0)
+    moved -= g
+    weights.view(_ROW)[u, 0] = moved.view(_ROW)[:, 0]  # whole rows, quicker than their numbers
 
 
 def train_round(texts: DataFrame, weights: np.ndarray, singles: np.ndarray) -> np.ndarray:
@@ -195,7 +214,8 @@ def train_round(texts: DataFrame, weights: np.ndarray, singles: np.ndarray) -> n
                 rows, outcome = feature_rows(t, class_of(t.h, t.tail, singles), n_rows)
                 for lo in range(0, len(t.h), BATCH):
                     some = rows[:, :, lo : lo + BATCH]
-                    _update(w, squares, seen, some.reshape(len(some), -1), outcome[:, lo : lo + BATCH].reshape(-1))
+                    _update(w, squares, some.reshape(len(some), -1), outcome[:, lo : lo + BATCH].reshape(-1))
+                seen += np.bincount(rows.reshape(-1), minlength=total_rows)
         moved = ((w - now.value) * seen[:, None]).astype(np.float32)
         blocks = [i for i in range(0, total_rows, _BLOCK) if seen[i : i + _BLOCK].any()]
         task = TaskContext.get().partitionId()
@@ -304,7 +324,7 @@ def score_texts(docs: DataFrame, rounds: int = ROUNDS, id_col: str = "doc_id", t
       subclass). The most frequent words are subclasses of their own, the others share one by their last two
       bytes. Both factors are softmaxes over hashed weights of the two words before, each alone, both, and
       their subclasses, trained by ``rounds`` passes of gradient steps over all training texts; after each
-      pass the tasks' weights are averaged. The rows of the weights grow with the training tokens up to
+      pass the tasks' weights are averaged. A task takes more texts where the weights it sends would outgrow them. The rows of the weights grow with the training tokens up to
       MOST_ROWS; a word within its subclass is told by counts alone.
     * Counts of the FREQUENT commonest tokens go to every task; the other tokens of each text are joined with
       the counts by hash (64 bits) and summed per text, so no vocabulary is held in one place.
@@ -336,7 +356,7 @@ def score_texts(docs: DataFrame, rounds: int = ROUNDS, id_col: str = "doc_id", t
     log_sizes = np.log10([float(sum(sizes.get(k, (0, 0)))) + 1.0 for k in range(CLASSES)])
     weights = np.zeros((table_rows(weight_rows(int(n))), WIDTH), np.float32)
     for _ in range(rounds):
-        weights = train_round(train, weights, singles)
+        weights = train_round(train.coalesce(training_tasks(int(n))), weights, singles)
     shared = spark.sparkContext.broadcast(Model(weights, singles, log_sizes, hashes, c))
 
     rare = _rare(docs, shared).join(counts.select("h", "c"), "h")

@@ -81,6 +81,16 @@ def test_weight_rows_follow_the_tokens():
     assert maxent.weight_rows(1 << 27) == (1 << 27) // maxent.TOKENS_A_ROW
 
 
+def test_weights_sent_follow_the_tokens(spark, monkeypatch):
+    sent = lambda tokens: maxent.training_tasks(tokens) * maxent.table_rows(maxent.weight_rows(tokens)) / tokens
+    assert max(sent(1 << i) for i in range(25, 40)) <= 2 * sent(1 << 25) < 0.05
+    tasks = []
+    monkeypatch.setattr(maxent, "train_round", lambda texts, weights, singles: tasks.append(texts.rdd.getNumPartitions()) or weights)
+    df = spark.createDataFrame([(2 if d % 2 else 1, f"a b d{d}") for d in range(120)], "doc_id long, text string").repartition(40)
+    score_texts(df, rounds=1).collect()
+    assert tasks[0] <= maxent.LEAST_TASKS
+
+
 def test_long_text(spark):
     long = "a b c d e " * 120_000
     r = score_texts(spark.createDataFrame([(0, long), (1, "a b")], "doc_id long, text string")).where("doc_id = 0").first()
