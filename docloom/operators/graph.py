@@ -79,18 +79,23 @@ def _end(best, *columns: str) -> Column:
     return best(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", *columns)))
 
 
-def merge_edges(edges: DataFrame) -> DataFrame:
+def _marked(marks: tuple[str, ...]) -> list[Column]:
+    return [F.bool_or(c).alias(c) for c in marks]
+
+
+def merge_edges(edges: DataFrame, by: tuple[str, ...] = ("id",), marks: tuple[str, ...] = ()) -> DataFrame:
     """One row per edge id: ends and relation of the first contribution, properties (if edges have them) of the last, evidence of all, semantic if any is.
 
-    One aggregate does it all, so a contribution is shuffled once; repeats of evidence go before that.
+    One aggregate does it all, so a contribution is shuffled once; repeats of evidence go before that. Ids may count in a
+    scope only (``by``); ``marks`` are true where one of a row's contributions has them.
     """
     last = ["properties"] if "properties" in edges.columns else []
-    each = edges.select("id", "doc_id", "source", "target", "relation", "semantic", *last, F.explode_outer("evidence").alias("v"))
-    merged = each.groupBy("id").agg(
+    each = edges.select(*by, "doc_id", "source", "target", "relation", "semantic", *last, *marks, F.explode_outer("evidence").alias("v"))
+    merged = each.groupBy(*by).agg(
         _end(F.min, "source", "target", "relation").alias("_first"), F.bool_or("semantic").alias("semantic"), F.size(F.collect_set("doc_id")).cast("long").alias("contributions"),
-        F.sort_array(F.collect_set("v")).alias("evidence"), *(_end(F.max, c).alias("_last") for c in last),
+        F.sort_array(F.collect_set("v")).alias("evidence"), *(_end(F.max, c).alias("_last") for c in last), *_marked(marks),
     )
-    return merged.select("id", "_first.source", "_first.target", "_first.relation", "evidence", "semantic", "contributions", *(f"_last.{c}" for c in last))
+    return merged.select(*by, "_first.source", "_first.target", "_first.relation", "evidence", "semantic", "contributions", *(f"_last.{c}" for c in last), *marks)
 
 
 def violations(nodes: DataFrame, edges: DataFrame, catalogue: DataFrame | None = None) -> DataFrame:
@@ -135,11 +140,11 @@ def commit_contributions(stored: DataFrame, batch: DataFrame, committed: DataFra
     return rows, after, conflicts
 
 
-def fold_nodes(contributions: DataFrame) -> DataFrame:
-    """Merged nodes: the first contribution (by doc_id) gives kind and label, the last its value, aliases are united and joined by commas."""
-    each = contributions.select("id", "doc_id", "kind", "label", "value", F.explode_outer("aliases").alias("v"))
-    n = each.groupBy("id").agg(_end(F.min, "kind", "label").alias("_first"), _end(F.max, "value").alias("_last"), F.sort_array(F.collect_set("v")).alias("aliases"))
-    return n.select("id", "_first.kind", "_first.label", "_last.value", F.array_join("aliases", ",").alias("aliases"))
+def fold_nodes(contributions: DataFrame, by: tuple[str, ...] = ("id",), marks: tuple[str, ...] = ()) -> DataFrame:
+    """Merged nodes: the first contribution (by doc_id) gives kind and label, the last its value, aliases are united and joined by commas; for ``by`` and ``marks`` see merge_edges."""
+    each = contributions.select(*by, "doc_id", "kind", "label", "value", *marks, F.explode_outer("aliases").alias("v"))
+    n = each.groupBy(*by).agg(_end(F.min, "kind", "label").alias("_first"), _end(F.max, "value").alias("_last"), F.sort_array(F.collect_set("v")).alias("aliases"), *_marked(marks))
+    return n.select(*by, "_first.kind", "_first.label", "_last.value", F.array_join("aliases", ",").alias("aliases"), *marks)
 
 
 def referenced(nodes: DataFrame, edges: DataFrame) -> DataFrame:

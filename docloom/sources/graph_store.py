@@ -14,14 +14,17 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docloom.operators.graph import commit_contributions, fold_nodes, merge_edges
+from docloom.operators import retrieval as R
 from docloom.operators.retrieval import small_side
-from docloom.sources.shared import cut
+from docloom.sources.shared import Cuts, cut, freed_shuffles
 
 NODES = "kb_id long, doc_id string, id string, kind string, label string, value string, aliases array<string>"
 EDGES = "kb_id long, doc_id string, id string, source string, target string, relation string, evidence array<string>, semantic boolean"
 _NODE_FOLD = "kb_id long, version long, id string, kind string, label string, value string, aliases string, gone boolean"
 _EDGE_FOLD = "kb_id long, version long, id string, source string, target string, relation string, evidence array<string>, semantic boolean, contributions long, gone boolean"
 _VERSIONS = "kb_id long, version long"
+#: Files of a partition at least, and contributions that one task folds.
+FILES, FOLDED = 16, 250_000
 
 
 class GraphStore:
@@ -36,9 +39,14 @@ class GraphStore:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
 
-    def _write(self, rows: DataFrame, name: str, *by: str) -> None:
-        dealt = rows.repartition(*by, F.pmod(F.hash("id"), F.lit(16)))  # few files a partition, and a large one over 16 tasks
-        dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(f"{self.path}/{name}")
+    @staticmethod
+    def _dealt(rows: DataFrame, *by: str, n: int = FILES) -> DataFrame:
+        """Rows dealt by the columns and n shares of the ids (_b): few files a partition, and a large one over n tasks."""
+        return rows.withColumn("_b", F.pmod(F.hash("id"), F.lit(n))).repartition(*by, "_b")
+
+    def _write(self, dealt: DataFrame, name: str, schema: str, *by: str) -> None:
+        with freed_shuffles(self.spark):
+            dealt.select(*self._columns(schema)).write.mode("overwrite").options(partitionOverwriteMode="dynamic", compression="zstd").partitionBy(*by).parquet(f"{self.path}/{name}")
 
     def versions(self) -> DataFrame:
         """kb_id, version."""
@@ -64,71 +72,83 @@ class GraphStore:
         (kb_id, doc_id, code, version) and changes nothing. Tables are written before the version, so a commit that
         fails is not seen in snapshots, and can be run again.
         """
-        stored = tuple(cut(t.select("kb_id", "doc_id").distinct()) for t in self.contributions())
-        none = lambda t: t.select("kb_id", "doc_id")
-        versions = cut(self.versions())
-        _, after, conflicts = commit_contributions(none(stored[0]), none(nodes), committed, versions)
-        conflicts = cut(conflicts)
-        slices = cut(committed.select("kb_id", "doc_id").distinct().join(conflicts, ["kb_id", "doc_id"], "left_anti"))
-        self._apply(slices, nodes, edges, cut(after))
+        none = committed.select("kb_id", "doc_id").limit(0)
+        with Cuts(self.spark) as kept:
+            _, after, conflicts = commit_contributions(none, none, committed, kept(self.versions()))
+            conflicts = cut(conflicts)
+            slices = kept(committed.select("kb_id", "doc_id").distinct().join(conflicts, ["kb_id", "doc_id"], "left_anti"))
+            self._apply(slices, nodes, edges, kept(after), kept)
         return conflicts
 
     def remove(self, removed: DataFrame) -> None:
         """Takes the slices of ``removed`` (kb_id, doc_id) out; a version is added for each slice that was there."""
         nodes, edges = self.contributions()
-        there = nodes.select("kb_id", "doc_id").union(edges.select("kb_id", "doc_id")).distinct()
-        slices = cut(removed.distinct().join(there, ["kb_id", "doc_id"], "left_semi"))
-        gone = slices.groupBy("kb_id").agg(F.count("*").alias("_n"))
-        after = cut(self.versions().join(gone, "kb_id", "left").select("kb_id", (F.col("version") + F.coalesce("_n", F.lit(0))).alias("version")))
-        self._apply(slices, nodes.limit(0), edges.limit(0), after)
-
-    def _apply(self, slices: DataFrame, nodes: DataFrame, edges: DataFrame, after: DataFrame) -> None:
+        key = ["kb_id", "doc_id"]
+        with Cuts(self.spark) as kept:
+            asked = small_side(kept(removed.select(*key).distinct()))
+            slices = kept(nodes.select(*key).union(edges.select(*key)).join(asked, key, "left_semi").distinct())
+            gone = slices.groupBy("kb_id").agg(F.count("*").alias("_n"))
+            after = kept(self.versions().join(gone, "kb_id", "left").select("kb_id", (F.col("version") + F.coalesce("_n", F.lit(0))).alias("version")))
+            self._apply(slices, nodes.limit(0), edges.limit(0), after, kept)
+
+    def _apply(self, slices: DataFrame, nodes: DataFrame, edges: DataFrame, after: DataFrame, kept: Cuts) -> None:
+        """Writes the slices and what the snapshots have of their ids, old and new. What is given is read once, as it is written; only ids of what it replaces are kept meanwhile."""
         if slices.isEmpty():
             return
         key, side = ["kb_id", "doc_id"], small_side(slices)
         old_nodes, old_edges = (t.join(side, key, "left_semi") for t in self.contributions())
-        new_nodes, new_edges = (cut(t.join(side, key, "left_semi")) for t in (nodes.select(*self._columns(NODES)), edges.select(*self._columns(EDGES))))
-        ends = lambda e, c: e.select("kb_id", F.col(c).alias("id"))
-        changed = cut(old_edges.select("kb_id", "id", "source", "target").union(new_edges.select("kb_id", "id", "source", "target")).distinct())
-        edge_ids = changed.select("kb_id", "id").distinct()
-        node_ids = cut(old_nodes.select("kb_id", "id").union(new_nodes.select("kb_id", "id")).union(ends(changed, "source")).union(ends(changed, "target")).distinct())
-        for rows, name, schema in ((new_nodes, "nodes", NODES), (new_edges, "edges", EDGES)):
-            empty = slices.join(rows.select(*key).distinct(), key, "left_anti")
-            self._write(rows.unionByName(empty, allowMissingColumns=True).select(*self._columns(schema)), name, *key)
-        self._refold(node_ids, cut(edge_ids), after)
-
-    def _refold(self, node_ids: DataFrame, edge_ids: DataFrame, after: DataFrame) -> None:
-        """Snapshot rows of the touched ids, from the contributions of every document that has them."""
-        all_nodes, all_edges = self.contributions()
-        id_ = ["kb_id", "id"]
-        nodes, edges = all_nodes.join(small_side(node_ids), id_, "left_semi"), all_edges.join(small_side(edge_ids), id_, "left_semi")
+        old_nodes, old_edges = kept(old_nodes.select("kb_id", "id")), kept(old_edges.select("kb_id", "id", "source", "target"))
+        for rows, name, schema in ((nodes, "nodes", NODES), (edges, "edges", EDGES)):
+            given = rows.select(*self._columns(schema)).join(side, key, "left_semi").unionByName(slices.select(*self._columns("kb_id long, doc_id string")), allowMissingColumns=True)
+            self._write(self._dealt(given, *key), name, schema, *key)
+        self._refold(slices, old_nodes, old_edges, after, kept)
+
+    def _refold(self, slices: DataFrame, old_nodes: DataFrame, old_edges: DataFrame, after: DataFrame, kept: Cuts) -> None:
+        """Snapshot rows of the touched ids, from the contributions of every document that has them.
+
+        Contributions are dealt once, as the snapshot is written, and folded there. Those of the slices mark their ids as
+        touched (_t), and so do the ids of what the slices held before; where these are few, only their contributions
+        are dealt. Other nodes than entities also are touched by edges that come or go, and stand while an edge has them.
+        """
+        key, id_, by = ["kb_id", "doc_id"], ["kb_id", "id"], ("kb_id", "_b", "id")
+        scope, new = small_side(slices.select("kb_id").distinct()), small_side(slices.withColumn("_t", F.lit(True)))
+        all_nodes, all_edges = (t.join(scope, "kb_id", "left_semi").join(new, key, "left") for t in self.contributions())
+        old_nodes, old_edges = (t.withColumn("_t", F.lit(True)) for t in (old_nodes, old_edges))
         version = small_side(after.select("kb_id", F.col("version").cast("long").alias("version")))
-        merged = self._by_scope(merge_edges, edges).withColumn("gone", F.lit(False))
-        gone = edge_ids.join(merged.select(*id_), id_, "left_anti").withColumn("gone", F.lit(True))
-        rows = merged.unionByName(gone, allowMissingColumns=True).join(version, "kb_id")
-        self._write(rows.select(*self._columns(_EDGE_FOLD)), "edge_snapshot", "kb_id", "version")
-        ends = all_edges.select("kb_id", F.explode(F.array("source", "target")).alias("id")).join(small_side(node_ids), id_, "left_semi").distinct()
-        folded = self._by_scope(fold_nodes, nodes)
-        folded = folded.where("kind = 'entity'").unionByName(folded.where("kind <> 'entity'").join(ends, id_, "left_semi")).withColumn("gone", F.lit(False))
-        gone = node_ids.join(folded.select(*id_), id_, "left_anti").withColumn("gone", F.lit(True))
-        rows = folded.unionByName(gone, allowMissingColumns=True).join(version, "kb_id")
-        self._write(rows.select(*self._columns(_NODE_FOLD)), "node_snapshot", "kb_id", "version")
+
+        def dealt(rows: DataFrame, name: str, *touched: DataFrame) -> DataFrame:
+            ids = rows.where("_t").select(*id_)
+            for t in touched:
+                ids = ids.union(t.where("_t").select(*id_))
+            few = ids.count() <= R.BROADCAST_ROWS
+            rows = rows.join(F.broadcast(ids), id_, "left_semi") if few else rows
+            for t in touched:
+                rows = rows.unionByName(t, allowMissingColumns=True)
+            return self._dealt(rows, "kb_id", n=FILES if few else max(FILES, -(-self._read(name, NODES if name == "nodes" else EDGES).count() // FOLDED)))
+
+        merged = merge_edges(dealt(all_edges, "edges", old_edges.drop("source", "target")), by, ("_t",)).where("_t")
+        self._write(merged.withColumn("gone", F.col("contributions") == 0).join(version, "kb_id"), "edge_snapshot", _EDGE_FOLD, "kb_id", "version")
+
+        loose = kept(all_nodes.where("kind <> 'entity'").select(*id_).distinct())
+        ends = lambda e, there: e.select("kb_id", F.explode(F.array("source", "target")).alias("id"), "_t", F.lit(there).alias("_e"))
+        met = ends(all_edges, True).union(ends(old_edges, False))
+        met = met.join(F.broadcast(loose), id_, "left_semi") if loose.count() <= R.BROADCAST_ROWS else met
+        met = kept(met.groupBy(*id_).agg(F.bool_or("_t").alias("_t"), F.bool_or("_e").alias("_e")))
+        rows = dealt(all_nodes.withColumn("_n", F.lit(True)), "nodes", old_nodes.withColumn("_o", F.lit(True)), met)
+        folded = fold_nodes(rows, by, ("_t", "_e", "_n", "_o")).where("_t and (_n or _o)")
+        stands = F.coalesce(F.col("_n") & ((F.col("kind") == "entity") | ((F.col("kind") != "entity") & F.col("_e"))), F.lit(False))
+        self._write(folded.withColumn("gone", ~stands).join(version, "kb_id"), "node_snapshot", _NODE_FOLD, "kb_id", "version")
         after.select("kb_id", F.col("version").cast("long").alias("version")).write.mode("append").parquet(f"{self.path}/versions")
 
     def compact(self) -> None:
         """Rewrites the snapshots with the newest row of each id only, under the present version."""
-        for name, schema in (("node_snapshot", _NODE_FOLD), ("edge_snapshot", _EDGE_FOLD)):
-            now = self._newest(name, schema).join(small_side(self.versions()), "kb_id").withColumn("gone", F.lit(False))
-            now = cut(now)
-            old = self._read(name, schema).select("kb_id", "version").distinct().join(now.select("kb_id", "version").distinct(), ["kb_id", "version"], "left_anti")
-            self._write(now.unionByName(old.withColumn("gone", F.lit(True)), allowMissingColumns=True).select(*self._columns(schema)), name, "kb_id", "version")
+        with Cuts(self.spark) as kept:
+            for name, schema in (("node_snapshot", _NODE_FOLD), ("edge_snapshot", _EDGE_FOLD)):
+                now = kept(self._newest(name, schema).join(small_side(self.versions()), "kb_id").withColumn("gone", F.lit(False)))
+                old = self._read(name, schema).select("kb_id", "version").distinct().join(now.select("kb_id", "version").distinct(), ["kb_id", "version"], "left_anti")
+                rows = now.unionByName(old.withColumn("gone", F.lit(True)), allowMissingColumns=True)
+                self._write(self._dealt(rows, "kb_id", "version"), name, schema, "kb_id", "version")
 
     @staticmethod
     def _columns(schema: str) -> list[Column]:
         return [F.col(c.split()[0]).cast(c.split()[1]).alias(c.split()[0]) for c in schema.split(", ")]
-
-    @staticmethod
-    def _by_scope(fold, rows: DataFrame) -> DataFrame:
-        """``fold`` (by id) of rows whose ids count in their knowledge base only."""
-        folded = fold(rows.withColumn("id", F.struct("kb_id", "id")))
-        return folded.select("id.kb_id", "id.id", *(c for c in folded.columns if c != "id"))
