@@ -18,6 +18,8 @@ LEXICAL_TOP_K, DENSE_TOP_K, RERANK_TOP_K = 12, 12, 8
 BROADCAST_ROWS = 500_000
 #: Chunks and queries that are scored against each other in one group, and queries whose scores are held at a time.
 CHUNK_BLOCK, QUERY_BLOCK, SLAB = 16_384, 2_048, 64
+#: Scores that a block tells of a query at most, to find the least that can be among its best, and how many of them its share of the k hits takes.
+TOLD, SHARE = 16, 4
 
 
 def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -138,13 +140,13 @@ def cosine(chunks: DataFrame, queries: DataFrame, within: DataFrame | None = Non
     return both.select("query_id", "kb_id", "chunk_id", F.when(size > 0, _dot(F.col("embedding"), F.col("vector")) / size).otherwise(0.0).alias("score"))
 
 
-def _best(scores: np.ndarray, k: np.ndarray, above: float | None = None) -> list[np.ndarray]:
-    """For each row of scores the columns of the best k by rounded score (NaN first), ties by column; only those above a bound."""
+def _best(scores: np.ndarray, k: np.ndarray, least: np.ndarray, above: float | None = None) -> list[np.ndarray]:
+    """For each row of scores the columns of the best k by rounded score (NaN first), ties by column; only those above a bound, and not below the row's least."""
     out, n = [], scores.shape[1]
-    for row, most in zip(scores, k, strict=True):
+    for row, most, floor in zip(scores, k, least, strict=True):
         row = np.where(np.isnan(row), np.inf, row)
         most = min(max(int(most), 0), n)
-        low = np.partition(row, n - most)[n - most] - 2e-9 if most else np.inf
+        low = max(np.partition(row, n - most)[n - most], floor) - 2e-9 if most else np.inf
         at = np.flatnonzero(row >= low) if most else np.empty(0, int)
         if above is not None:
             at = at[row[at] > above]
@@ -152,45 +154,81 @@ def _best(scores: np.ndarray, k: np.ndarray, above: float | None = None) -> list
     return out
 
 
+def _told(scores: np.ndarray, step: np.ndarray, above: float | None = None) -> list[np.ndarray]:
+    """For each row of scores every step-th of its best scores, TOLD at most: as many times step scores are no less than each."""
+    out, n = [], scores.shape[1]
+    for row, s in zip(scores, step, strict=True):
+        row = np.where(np.isnan(row), np.inf, row)
+        row = row if above is None else row[row > above]
+        most = min(TOLD * int(s), len(row))
+        out.append(-np.sort(-np.partition(row, len(row) - most)[len(row) - most :])[int(s) - 1 :: int(s)] if most else row[:0])
+    return out
+
+
 def _ranked_blocks(rows: DataFrame, asked: DataFrame, by: list[str], n_chunks: int, score, k: int | Column) -> DataFrame:
     """query_id, kb_id, chunk_id, score, rank: the best k chunks of each query, where only a block's best leave the block.
 
     Rows of chunks (chunk_id) and of queries (query_id) meet by the columns ``by``, in blocks of both; ``score`` gives the
     chunk ids in order, the queries' rows and a function that scores a range of the queries against the block's chunks. A
     block holds CHUNK_BLOCK chunks and QUERY_BLOCK queries of the whole at most on average, so memory doesn't grow.
+
+    Where each query has its own k, which may be larger than a block, the blocks are scored twice: first each tells some of
+    its best scores (``_told``), so that at least k are known to be no less than the query's least one (_t), and then only
+    scores from there on leave their block: about k and a share of k for all blocks together, not k for each block.
     """
     over = max(1, -(-n_chunks // CHUNK_BLOCK))
     ask = max(1, -(-asked.select("query_id").distinct().count() // QUERY_BLOCK))
     block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = rows.withColumn("_c", block("chunk_id", over)).withColumn("_q", every(ask))
-    right = asked.withColumn("_k", F.lit(k).cast("long") if isinstance(k, int) else k.cast("long")).withColumn("_q", block("query_id", ask)).withColumn("_c", every(over))
+    own_k = not isinstance(k, int)
+    asked = asked.withColumn("_k", (k if own_k else F.lit(k)).cast("long"))
+    dealt = lambda df: df.withColumn("_q", block("query_id", ask)).withColumn("_c", every(over))
     of = {c: rows.schema[c].dataType.simpleString() for c in ("kb_id", "chunk_id")} | {"query_id": asked.schema["query_id"].dataType.simpleString()}
 
-    def run(a: pa.Table, b: pa.Table) -> pa.Table:
-        names = ["query_id", "kb_id", "chunk_id", "score", "key"]
-        found = {c: [] for c in names}
+    def scored(a: pa.Table, b: pa.Table):
+        """The block's chunks and knowledge base, and a slab of its queries at a time with their scores and bound."""
         if a.num_rows and b.num_rows:
             chunks, queries, slab = score(a, b)
-            kb = a.column("kb_id").slice(0, 1)
             for start in range(0, queries.num_rows, SLAB):
                 part = queries.slice(start, SLAB)
-                scores, above = slab(start, start + part.num_rows)
-                best = _best(scores, part.column("_k").to_numpy(), above)
-                at = np.concatenate(best) if best else np.empty(0, int)
-                who = np.repeat(np.arange(part.num_rows), [len(x) for x in best])
-                value = scores[who, at]
-                for c, v in zip(names, (part.column("query_id").take(pa.array(who)), kb.take(pa.array(np.zeros(len(at), int))), chunks.take(pa.array(at)), pa.array(value), pa.array(np.round(value, 9))), strict=True):
-                    found[c].append(v.combine_chunks() if isinstance(v, pa.ChunkedArray) else v)
-        types = {"query_id": b.schema.field("query_id").type, "kb_id": a.schema.field("kb_id").type, "chunk_id": a.schema.field("chunk_id").type, "score": pa.float64(), "key": pa.float64()}
-        return pa.table({c: pa.chunked_array([x for x in found[c] if len(x)], types[c]) for c in names})
-
-    keys = [*by, "_c", "_q"]
-    near = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, f"query_id {of['query_id']}, kb_id {of['kb_id']}, chunk_id {of['chunk_id']}, score double, key double")
-    most = asked.select("query_id", "kb_id", (F.lit(k) if isinstance(k, int) else k).cast("long").alias("_k")).distinct()
-    if isinstance(k, int):
+                yield chunks, a.column("kb_id").slice(0, 1), part, *slab(start, start + part.num_rows)
+
+    def joined(a: pa.Table, b: pa.Table, found: dict[str, list], **more: pa.DataType) -> pa.Table:
+        types = {"query_id": b.schema.field("query_id").type, "kb_id": a.schema.field("kb_id").type} | more
+        flat = {c: [v.combine_chunks() if isinstance(v, pa.ChunkedArray) else v for v in x] for c, x in found.items()}
+        return pa.table({c: pa.chunked_array([x for x in flat.get(c, ()) if len(x)], t) for c, t in types.items()})
+
+    def tell(a: pa.Table, b: pa.Table) -> pa.Table:
+        found = {"query_id": [], "kb_id": [], "told": []}
+        for _, kb, part, scores, above in scored(a, b):
+            told = _told(scores, -(-np.maximum(part.column("_k").to_numpy(), 1) // (SHARE * over)), above)
+            for c, v in zip(found, (part.column("query_id"), kb.take(pa.array(np.zeros(len(told), int))), pa.array(told, pa.list_(pa.float64()))), strict=True):
+                found[c].append(v)
+        return joined(a, b, found, told=pa.list_(pa.float64()))
+
+    def run(a: pa.Table, b: pa.Table) -> pa.Table:
+        found = {c: [] for c in ("query_id", "kb_id", "chunk_id", "score", "key")}
+        for chunks, kb, part, scores, above in scored(a, b):
+            best = _best(scores, part.column("_k").to_numpy(), pc.fill_null(part.column("_t"), -np.inf).to_numpy(), above)
+            at = np.concatenate(best) if best else np.empty(0, int)
+            who = np.repeat(np.arange(part.num_rows), [len(x) for x in best])
+            value = scores[who, at]
+            for c, v in zip(found, (part.column("query_id").take(pa.array(who)), kb.take(pa.array(np.zeros(len(at), int))), chunks.take(pa.array(at)), pa.array(value), pa.array(np.round(value, 9))), strict=True):
+                found[c].append(v)
+        return joined(a, b, found, chunk_id=a.schema.field("chunk_id").type, score=pa.float64(), key=pa.float64())
+
+    keys, query = [*by, "_c", "_q"], ["query_id", "kb_id"]
+    blocks = lambda asked, f, form: left.groupBy(*keys).cogroup(dealt(asked).groupBy(*keys)).applyInArrow(f, f"query_id {of['query_id']}, kb_id {of['kb_id']}, {form}")
+    ask_all = asked.withColumn("_t", F.lit(None).cast("double"))
+    if own_k and over > 1:
+        told = blocks(ask_all, tell, "told array<double>").groupBy(*query).agg(F.sort_array(F.flatten(F.collect_list("told")), asc=False).alias("_all"))
+        needed = F.ceil(F.col("_k") / F.ceil(F.greatest(F.col("_k"), F.lit(1)) / F.lit(SHARE * over))).cast("int")
+        ask_all = asked.join(told, query, "left").withColumn("_t", F.get("_all", F.greatest(needed, F.lit(1)) - 1)).drop("_all")
+    near = blocks(ask_all, run, f"chunk_id {of['chunk_id']}, score double, key double")
+    if not own_k:
         return top_k(near, k, by="key").drop("key")
-    return top_k(near.join(most, ["query_id", "kb_id"]), F.col("_k"), by="key").drop("key", "_k")
+    return top_k(near.join(asked.select(*query, "_k").distinct(), query), F.col("_k"), by="key").drop("key", "_k")
 
 
 def _scoped(rows: DataFrame, lists: DataFrame | None, key: str) -> tuple[DataFrame, list[str]]:
@@ -214,7 +252,7 @@ def bm25_top_k(hits: DataFrame, weights: DataFrame, n_chunks: int, k: int | Colu
         chunks, at = chunk.dictionary.take(pa.array(order)), place[chunk.indices.to_numpy()]
         query = pc.dictionary_encode(b.column("query_id").combine_chunks())
         first = pc.index_in(query.dictionary, b.column("query_id").combine_chunks())
-        queries = b.select(["query_id", "_k"]).take(first)
+        queries = b.select(["query_id", "_k", "_t"]).take(first)
         tf, length = a.column("tf").to_numpy().astype(float), a.column("len").to_numpy().astype(float)
         part = tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / b.column("avg_len")[0].as_py()))
         ids = token.indices.to_numpy()
@@ -255,7 +293,7 @@ def cosine_top_k(chunks: DataFrame, queries: DataFrame, k: int | Column, lists:
             with np.errstate(all="ignore"):
                 return np.where((both > 0) | np.isnan(both), x[low:high] @ y.T / both, 0.0), None
 
-        return a.column("chunk_id").take(pa.array(order)), b.select(["query_id", "_k"]), slab
+        return a.column("chunk_id").take(pa.array(order)), b.select(["query_id", "_k", "_t"]), slab
 
     return _ranked_blocks(rows, asked, [*by, "_d"], chunks.select("chunk_id").count(), score, k)
 
